@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import table
+from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_documents
 from .sql import ORACLES
@@ -18,6 +19,13 @@ from .url_filter import Rule, filter_urls
 URL_RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, own = (public_tokenizers.path(f"byte_bpe_50k.{end}") for end in ("tiktoken", "json"))
+    return pack_documents(table(spark, sf_dir, "documents"), ranks, own, public_tokenizers.PATTERN, capacity=2048, end_id=0)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -39,7 +47,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_byte_bpe, op5_quality_rules, op8_url_filters)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op4_byte_bpe, op5_quality_rules, op8_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
