@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import table
+from .jaccard import jaccard_components
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_documents
@@ -42,12 +43,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op4_byte_bpe, op5_quality_rules, op8_url_filters)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op4_byte_bpe, op5_quality_rules, op7_ngram_jaccard_join, op8_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:

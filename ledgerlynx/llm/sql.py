@@ -35,4 +35,23 @@ SELECT page_id, host, path, rule,
 FROM counted
 """
 
-ORACLES = {"op8_url_filters": _URLS}
+_JACCARD = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+         WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS id, doc_id AS to_id FROM documents UNION SELECT reach.id, links.v FROM reach JOIN links ON links.u = reach.to_id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.to_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.id = d.doc_id GROUP BY d.doc_id
+"""
+
+ORACLES = {"op7_ngram_jaccard_join": _JACCARD, "op8_url_filters": _URLS}
