@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import table
+from .hnsw import near_duplicates
+from .html_extract import extract_text
 from .jaccard import jaccard_components
 from .packing import pack_documents
 from .quality import quality_rules
@@ -32,6 +34,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +49,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -52,7 +62,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op4_byte_bpe, op5_quality_rules, op7_ngram_jaccard_join, op8_url_filters)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_embedding_near_dedup, op4_byte_bpe, op5_quality_rules, op6_html_extraction, op7_ngram_jaccard_join, op8_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:

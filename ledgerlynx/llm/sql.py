@@ -54,4 +54,18 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.to_id) AS comp
 FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLES = {"op7_ngram_jaccard_join": _JACCARD, "op8_url_filters": _URLS}
+_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, e::DOUBLE[] AS e, sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) AS r
+  FROM (SELECT vec_id, label, embedding AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.r > 0 AND b.r > 0 AND list_dot_product(a.e, b.e) / (a.r * b.r) >= 0.93),
+reach AS (SELECT vec_id AS id, vec_id AS to_id FROM embeddings UNION SELECT reach.id, links.v FROM reach JOIN links ON links.u = reach.to_id),
+c AS (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id)
+SELECT e.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) k ON k.u = e.vec_id JOIN c ON c.id = e.vec_id
+"""
+
+ORACLES = {"op3_embedding_near_dedup": _VECTORS, "op7_ngram_jaccard_join": _JACCARD, "op8_url_filters": _URLS}
