@@ -71,3 +71,12 @@ def small_batches(spark: SparkSession) -> None:
     """Keep a batch of very long texts from filling a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: Ids that are broadcast at most; beyond, a shuffled join takes its place.
+BROADCAST_IDS = 2_000_000
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose id is among `ids` (one column, materialised). A counted, small list is broadcast."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")

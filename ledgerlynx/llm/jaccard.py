@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_batches, materialise, small_batches, utf8
+from .common import map_batches, materialise, small_batches, utf8, with_ids
 from .graph import components
 
 WORDS = 5
@@ -35,8 +35,6 @@ THRESHOLD = 75  # per cent
 MOST_L, SKETCH_BITS = 4, 16
 #: Estimated cost of a check against that of reading a posting.
 CHECK_COST = 4.0
-#: Ids of candidates that are broadcast at most; beyond, a join by id takes their place.
-BROADCAST_IDS = 2_000_000
 #: Word hashes that a task remembers.
 MEMO = 300_000
 
@@ -189,8 +187,7 @@ def set_table(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str,
     """(sig, items) of the wanted signatures, shingled again from one document of each."""
     ids = materialise(rows.join(wanted, "sig", "left_semi").where("id is not null").groupBy("sig").agg(F.min("id").alias("id")).select("id"), "wanted")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n = ids.count()
-    texts = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
+    texts = with_ids(texts, ids, "id")
 
     def make():
         shingler = Shingler()
@@ -255,3 +252,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = rows.where("sig is not null").join(classes, "sig").select("id", "n", "component_id")
     alone = rows.where("sig is null").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with the smallest id of their group, and those without an id; all columns stay."""
+    found = jaccard_components(docs.select(id_col, text_col), id_col, text_col)
+    keep = materialise(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "kept-ids")
+    return with_ids(docs.where(F.col(id_col).isNotNull()), keep, id_col).unionByName(docs.where(F.col(id_col).isNull()))

@@ -15,10 +15,11 @@ from __future__ import annotations
 from collections import Counter
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8
+from .common import map_batches, small_batches, utf8
 
 
 class Band(NamedTuple):
@@ -101,3 +102,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = dict(docs.dtypes)[id_col]
     return map_batches(docs.select(F.col(id_col), utf8(text_col)), make, f"`{id_col}` {kind}, {SCHEMA}")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
+    """The documents that the rules keep, with all their columns. No shuffle."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        one = judge(**limits)
+        return texts.map(lambda t: one(t)[-1])
+
+    return docs.where(good(utf8(text_col)))

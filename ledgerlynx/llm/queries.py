@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
-from .common import table
+from .common import shared_folder, table
 from .hnsw import near_duplicates
 from .html_extract import extract_text
 from .jaccard import jaccard_components
 from .packing import pack_documents
+from .pii import digest, find_personal_data
 from .quality import quality_rules
 from .sharding import shard_documents
 from .sql import ORACLES
+from .training_order import write_in_order
 from .url_filter import Rule, filter_urls
 
 #: The rules that the URL query is asked to apply.
@@ -61,8 +64,20 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, own = (public_tokenizers.path(f"byte_bpe_50k.{end}") for end in ("tiktoken", "json"))
+    folder = f"{shared_folder(spark)}/llm/training-{uuid.uuid4().hex}"
+    return write_in_order(table(spark, sf_dir, "documents"), folder, ranks, own, public_tokenizers.PATTERN, key=20240101, stride=2048, per_shard=4096, end_id=50256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_embedding_near_dedup, op4_byte_bpe, op5_quality_rules, op6_html_extraction, op7_ngram_jaccard_join, op8_url_filters)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_embedding_near_dedup, op4_byte_bpe, op5_quality_rules, op6_html_extraction, op7_ngram_jaccard_join, op8_url_filters, op9_personal_data, op10_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:
