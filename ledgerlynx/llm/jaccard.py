@@ -9,9 +9,10 @@ A pair is then a candidate if its prefixes share as many shingles as the smaller
 
 Components need not have all pairs. First, in stars, each holder of a prefix shingle meets only that
 shingle's first holder, the smallest set, so a group of thousands of near copies costs thousands of
-checks. Then holders of a shingle that still stand in different components meet one by one under the full
-count rule. Both steps verify with the whole sets, so no link that joins two components is lost, and
-pairs within a component are never formed.
+checks. While the holders that stand apart would still make many more pairs than there are holders, rounds
+of random leads join what can be joined the same way. Then holders of a shingle in different components
+meet one by one under the full count rule. All steps verify with the whole sets; only the last must be
+complete, and it is, so no link that joins two components is lost and pairs within one are not formed.
 
 Null and empty texts have no set and are linked with nothing. Texts of fewer than five words are one
 shingle. Empty tables give no rows. Repeated rows are linked as any equal texts are. Very long texts are
@@ -35,6 +36,10 @@ THRESHOLD = 75  # per cent
 MOST_L, SKETCH_BITS = 4, 16
 #: Estimated cost of a check against that of reading a posting.
 CHECK_COST = 4.0
+#: Rounds of leads, and leads of a shingle in a round.
+MOST_ROUNDS, LEADS = 4, 8
+#: Bits of a shingle's place in its prefix.
+PLACE_BITS = 24
 #: Word hashes that a task remembers.
 MEMO = 300_000
 
@@ -144,15 +149,15 @@ def prefix(s: np.ndarray, counts: np.ndarray, mean: int) -> tuple[np.ndarray, in
 
 
 def prefixes(docs: DataFrame, text_col: str, counts: np.ndarray) -> DataFrame:
-    """Rows (token, sig, meta): a prefix shingle of a set; meta = 8 n + l. A task gives a set that it has met
-    already no second time."""
+    """Rows (token, sig, meta): a prefix shingle of a set; meta holds the set's size n, the shingle's place in the
+    order and l, the lowest 3 bits. A task gives a set that it has met already no second time."""
     mean = int(counts.mean())
 
     def make():
         shingler, met = Shingler(), set()
 
         def work(texts):
-            tokens, sigs, metas, sizes = [], [], [], []
+            tokens, sigs, metas, sizes = [], [], [np.empty(0, np.int64)], []
             for s in shingler.sets(texts):
                 if len(s) and (sig := signature(s)) not in met:
                     if len(met) > 1_000_000:
@@ -161,16 +166,20 @@ def prefixes(docs: DataFrame, text_col: str, counts: np.ndarray) -> DataFrame:
                     p, l = prefix(s, counts, mean)  # noqa: E741
                     tokens.append(p.view(np.int64))
                     sigs.append(sig)
-                    metas.append(8 * len(s) + l)
+                    metas.append((((len(s) << PLACE_BITS) + np.arange(len(p))) << 3) + l)
                     sizes.append(len(p))
             flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-            return pa.array(flat), pa.array(np.repeat(np.array(sigs, np.int64), sizes)), pa.array(np.repeat(np.array(metas, np.int64), sizes))
+            return pa.array(flat), pa.array(np.repeat(np.array(sigs, np.int64), sizes)), pa.array(np.concatenate(metas))
 
         return work
 
     return map_batches(docs.select(utf8(text_col)), make, "token long, sig long, meta long")
 
 
+def size_of(meta: str) -> Column:
+    return F.shiftright(meta, PLACE_BITS + 3)
+
+
 def in_reach(a: str, b: str) -> Column:
     """Sets of these sizes can reach the threshold."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
@@ -213,6 +222,61 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.where(f"100 * both >= {THRESHOLD} * (total - both)").select("a", "b")
 
 
+#: Columns of a holder: its set's size, the shingle's place in its order, its l and its component so far.
+MEMBER = ("token", "sig", "n", "place", "l", "own")
+
+
+def still_apart(members: DataFrame) -> DataFrame:
+    """The holders of the shingles that are held in more than one component."""
+    apart = members.groupBy("token").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("token")
+    return materialise(members.join(apart, "token", "left_semi"), "members")
+
+
+def pairs_left(members: DataFrame) -> bool:
+    """Whether the pairs across components that share a shingle are many more than the holders."""
+    sizes = members.groupBy("token", "own").agg(F.count("*").cast("double").alias("c")).groupBy("token")
+    left = sizes.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    total = left.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
+    return (total["pairs"] or 0) > (total["n"] or 0)
+
+
+def lead_pairs(members: DataFrame, k: int, degrees: DataFrame | None) -> DataFrame:
+    """Each set once, under one of its shingles (another each round), with `LEADS` leads of that shingle.
+
+    The first leads are random and meet all sets; `degrees` then tells how many of them a set linked with,
+    and the leads of later rounds are the best linked, which most others are near to."""
+    chosen = members.groupBy("sig", "own", "n").agg(F.min(F.struct(F.xxhash64("token", F.lit(k)).alias("h"), "token")).alias("t")).select("sig", "own", "n", "t.token")
+    chosen = materialise(chosen, "chosen")
+    ranked = chosen.withColumn("degree", F.lit(0)) if degrees is None else chosen.join(degrees, "sig", "left")
+    order = Window.partitionBy("token").orderBy(F.coalesce("degree", F.lit(0)).desc(), F.xxhash64("sig", F.lit(k)), "sig")
+    leads = ranked.withColumn("nth", F.row_number().over(order)).where(f"nth <= {LEADS}")
+    leads = leads.select("token", F.col("sig").alias("b"), F.col("own").alias("other"), F.col("n").alias("m"))
+    apart = (F.col("own") != F.col("other")) if degrees is not None else (F.col("sig") != F.col("b"))
+    return chosen.join(leads, "token").where(apart & in_reach("n", "m")).select(F.col("sig").alias("a"), "b").distinct()
+
+
+def merged(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The holders with the components that the links join."""
+    own = materialise(members.select("sig", "own").distinct(), "own")
+    ends = links.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").select("u", "v")
+    return members.join(components(ends).withColumnRenamed("id", "own"), "own", "left").select(*MEMBER[:-1], F.coalesce("component_id", "own").alias("own"))
+
+
+def met_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of different components whose prefixes share as many shingles as the smaller l asks.
+
+    The sizes of a pair say how many shingles it must share, which is more than each size alone says, so
+    for the pair both prefixes are shorter: shingles at later places do not count."""
+    members = still_apart(members)
+    x, y = (members.select("token", *(F.col(c).alias(f"{c}_{side}") for c in MEMBER[1:])) for side in "xy")
+    need = F.expr(f"(n_x + n_y) * {THRESHOLD} div {100 + THRESHOLD} + int((n_x + n_y) * {THRESHOLD} % {100 + THRESHOLD} > 0)")
+    l = F.least("l_x", "l_y")  # noqa: E741
+    early = (F.col("place_x") < F.col("n_x") - need + l) & (F.col("place_y") < F.col("n_y") - need + l)
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("own_x") < F.col("own_y")) & in_reach("n_x", "n_y") & early)
+    met = met.groupBy(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b")).agg(F.count("*").alias("shared"), F.min(l).alias("l"))
+    return met.where("shared >= l").select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id."""
     passed = materialise(first_pass(docs, id_col, text_col), "shingled")
@@ -223,27 +287,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     held = star_rows(prefixes(docs, text_col, counts), ["token"]).where("sig <> lead")
     held = materialise(held, "held")
-    pairs = held.select(F.col("sig").alias("a"), F.col("lead").alias("b"), F.expr("meta div 8").alias("n"), F.expr("lead_meta div 8").alias("m"))
-    pairs = materialise(pairs.where(in_reach("n", "m")).select("a", "b").distinct(), "star-pairs")
-    sets = set_table(docs, rows, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), id_col, text_col)
-    links = materialise(verify(pairs, sets), "star-links")
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sets = set_table(docs, rows, held.select("sig").union(held.select("lead")).distinct(), id_col, text_col)
+    pairs = held.select(F.col("sig").alias("a"), F.col("lead").alias("b"), size_of("meta").alias("n"), size_of("lead_meta").alias("m"))
+    links = materialise(verify(pairs.where(in_reach("n", "m")).select("a", "b").distinct(), sets), "star-links")
+    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "sig")
 
-    # holders of a shingle in different components
     members = held.select("token", "sig", "meta").union(held.select("token", "lead", "lead_meta").distinct())
-    members = members.join(joined.withColumnRenamed("id", "sig"), "sig", "left").withColumn("own", F.coalesce("component_id", "sig")).drop("component_id")
-    members = materialise(members, "members")
-    apart = members.groupBy("token").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("token")
-    members = members.join(apart, "token").select("token", "sig", "own", F.expr("meta div 8").alias("n"), F.expr("meta % 8").alias("l"))
-    x, y = (members.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("sig", "own", "n", "l"))) for side in "xy")
-    met = x.join(y, "token").where((F.col("own_x") < F.col("own_y")) & in_reach("n_x", "n_y"))
-    met = met.groupBy(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("l_x", "l_y")).alias("l"))
-    met = met.where("shared >= l").select("a", "b")
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    met = materialise(met.join(known, ["a", "b"], "left_anti"), "met-pairs")
-    if met.limit(1).count():
-        sets = set_table(docs, rows, met.select(F.col("a").alias("sig")).union(met.select("b")).distinct(), id_col, text_col)
-        links = links.union(materialise(verify(met, sets), "met-links"))
+    place = F.shiftright("meta", 3).bitwiseAND((1 << PLACE_BITS) - 1)
+    members = members.select("token", "sig", size_of("meta").alias("n"), place.alias("place"), F.expr("meta % 8").alias("l"))
+    members = members.join(joined, "sig", "left").select(*MEMBER[:-1], F.coalesce("component_id", "sig").alias("own"))
+    found, degrees = [links], None
+    for k in range(MOST_ROUNDS):
+        members = still_apart(members)
+        if not pairs_left(members):
+            break
+        more = materialise(verify(lead_pairs(members, k, degrees), sets), "lead-links")
+        if more.limit(1).count() == 0:
+            break
+        if degrees is None:
+            degrees = materialise(more.groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("degree")), "degrees")
+        found.append(more)
+        members = merged(members, more)
+    met = materialise(verify(met_pairs(members), sets), "met-links")
+    links = found[0]
+    for more in [*found[1:], met]:
+        links = links.union(more)
 
     classes = materialise(rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep")), "classes")
     by_rep = links.join(classes.withColumnRenamed("sig", "a").withColumnRenamed("rep", "u"), "a").join(classes.withColumnRenamed("sig", "b").withColumnRenamed("rep", "v"), "b")
