@@ -37,7 +37,7 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
 
     Later reads neither repeat the work above nor depend on an executor that may be lost."""
     path = f"{shared_folder(df.sparkSession)}/llm/{label}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

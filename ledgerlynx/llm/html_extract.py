@@ -59,7 +59,7 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
-BLOCKS = "blocks array<struct<paths: array<string>, text: string, noise: boolean, main: boolean>>"
+BLOCKS = "blocks array<struct<paths: array<string>, text: string, content: bigint, noise: boolean, main: boolean>>"
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -79,6 +79,8 @@ def _element(tag: str, text: str, inside: bool) -> tuple[str, bool]:
 
 def read_blocks(html: str | None) -> list[dict]:
     """A page's blocks in order: the paths above each (outermost first), text, and flags."""
+    from xxhash import xxh3_64_intdigest
+
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, in the main part
     out: list[dict] = []
     run: list[str] = []
@@ -88,7 +90,8 @@ def read_blocks(html: str | None) -> list[dict]:
     def flush() -> None:
         text = _SPACE.sub(" ", unescape("".join(run))).strip()
         if text:
-            out.append({"paths": list(held_paths), "text": text, "noise": held[2], "main": held[3]})
+            # the tree needs a hash of every text, the page only what may stay
+            out.append({"paths": list(held_paths), "text": "" if held[2] else text, "content": xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63), "noise": held[2], "main": held[3]})
         run.clear()
 
     def open_paths() -> list[str]:
@@ -145,7 +148,7 @@ def read_blocks(html: str | None) -> list[dict]:
 def style_tree(blocks: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """(host, low): the paths of the host's branches of low importance."""
     nodes = blocks.select("host", "page", F.xxhash64("blocks").alias("whole"), F.explode("blocks").alias("b"))
-    nodes = nodes.select("host", "page", "whole", F.xxhash64("b.text").alias("content"), F.posexplode("b.paths").alias("depth", "path"), F.col("b.paths").alias("paths"))
+    nodes = nodes.select("host", "page", "whole", F.col("b.content").alias("content"), F.posexplode("b.paths").alias("depth", "path"), F.col("b.paths").alias("paths"))
     nodes = nodes.withColumn("style", F.xxhash64(F.coalesce(F.get("paths", F.col("depth") + 1), F.lit(""))))
     # a page's content and style of a node: order-free sums of hashes
     wide = F.sum(F.col("content").cast("decimal(38,0)")), F.sum(F.col("style").cast("decimal(38,0)"))
