@@ -1,4 +1,8 @@
 """Queries over the driver's tables, by operator, with the same in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+
+from .bindings import ORACLES, QUERIES  # noqa: F401
+
+for _name in ("v_validation", "j_patterns"):
+    importlib.import_module(f"{__name__}.{_name}")  # each registers its queries
