@@ -37,7 +37,9 @@ MOST_L, SKETCH_BITS = 4, 16
 #: Estimated cost of a check against that of reading a posting.
 CHECK_COST = 4.0
 #: Rounds of leads, and leads of a shingle in a round.
-MOST_ROUNDS, LEADS = 4, 8
+MOST_ROUNDS, LEADS = 2, 8
+#: Holders from which a shingle's group is large, and pairs a holder from which it is crowded.
+LARGE, CROWD = 64, 8
 #: Bits of a shingle's place in its prefix.
 PLACE_BITS = 24
 #: Word hashes that a task remembers.
@@ -176,8 +178,10 @@ def prefixes(docs: DataFrame, text_col: str, counts: np.ndarray) -> DataFrame:
     return map_batches(docs.select(utf8(text_col)), make, "token long, sig long, meta long")
 
 
-def size_of(meta: str) -> Column:
-    return F.shiftright(meta, PLACE_BITS + 3)
+def fields(meta: str, end: str = "") -> list[Column]:
+    """n, place and l of a meta column."""
+    place = F.shiftright(meta, 3).bitwiseAND((1 << PLACE_BITS) - 1)
+    return [F.shiftright(meta, PLACE_BITS + 3).alias(f"n{end}"), place.alias(f"place{end}"), F.col(meta).bitwiseAND(7).alias(f"l{end}")]
 
 
 def in_reach(a: str, b: str) -> Column:
@@ -185,6 +189,14 @@ def in_reach(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
 
 
+def may_link() -> Column:
+    """Whether a shingle shared by sets x and y counts for this pair. The sizes of a pair say how many
+    shingles it must share, which is more than each size alone says, so for the pair both prefixes are shorter."""
+    need = F.expr(f"(n_x + n_y) * {THRESHOLD} div {100 + THRESHOLD} + int((n_x + n_y) * {THRESHOLD} % {100 + THRESHOLD} > 0)")
+    l = F.least("l_x", "l_y")  # noqa: E741
+    return in_reach("n_x", "n_y") & (F.col("place_x") < F.col("n_x") - need + l) & (F.col("place_y") < F.col("n_y") - need + l)
+
+
 def star_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Each row of a group with the group's first set as `lead` and `lead_meta`; repeats of a set go."""
     order = Window.partitionBy(*keys).orderBy("meta", "sig")
@@ -232,12 +244,11 @@ def still_apart(members: DataFrame) -> DataFrame:
     return materialise(members.join(apart, "token", "left_semi"), "members")
 
 
-def pairs_left(members: DataFrame) -> bool:
-    """Whether the pairs across components that share a shingle are many more than the holders."""
+def crowds(members: DataFrame) -> DataFrame:
+    """Shingles whose holders would make many more pairs across components than there are holders."""
     sizes = members.groupBy("token", "own").agg(F.count("*").cast("double").alias("c")).groupBy("token")
     left = sizes.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-    total = left.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
-    return (total["pairs"] or 0) > (total["n"] or 0)
+    return left.where((F.col("n") > LARGE) & (F.col("n") * F.col("n") - F.col("squares") > 2 * CROWD * F.col("n"))).select("token")
 
 
 def lead_pairs(members: DataFrame, k: int, degrees: DataFrame | None) -> DataFrame:
@@ -263,17 +274,11 @@ def merged(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def met_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components whose prefixes share as many shingles as the smaller l asks.
-
-    The sizes of a pair say how many shingles it must share, which is more than each size alone says, so
-    for the pair both prefixes are shorter: shingles at later places do not count."""
+    """Pairs of different components whose prefixes share as many shingles as the smaller l asks."""
     members = still_apart(members)
     x, y = (members.select("token", *(F.col(c).alias(f"{c}_{side}") for c in MEMBER[1:])) for side in "xy")
-    need = F.expr(f"(n_x + n_y) * {THRESHOLD} div {100 + THRESHOLD} + int((n_x + n_y) * {THRESHOLD} % {100 + THRESHOLD} > 0)")
-    l = F.least("l_x", "l_y")  # noqa: E741
-    early = (F.col("place_x") < F.col("n_x") - need + l) & (F.col("place_y") < F.col("n_y") - need + l)
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("own_x") < F.col("own_y")) & in_reach("n_x", "n_y") & early)
-    met = met.groupBy(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b")).agg(F.count("*").alias("shared"), F.min(l).alias("l"))
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("own_x") < F.col("own_y")) & may_link())
+    met = met.groupBy(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("l_x", "l_y")).alias("l"))
     return met.where("shared >= l").select("a", "b")
 
 
@@ -287,28 +292,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     held = star_rows(prefixes(docs, text_col, counts), ["token"]).where("sig <> lead")
     held = materialise(held, "held")
-    sets = set_table(docs, rows, held.select("sig").union(held.select("lead")).distinct(), id_col, text_col)
-    pairs = held.select(F.col("sig").alias("a"), F.col("lead").alias("b"), size_of("meta").alias("n"), size_of("lead_meta").alias("m"))
-    links = materialise(verify(pairs.where(in_reach("n", "m")).select("a", "b").distinct(), sets), "star-links")
+    pairs = held.select(F.col("sig").alias("a"), F.col("lead").alias("b"), *fields("meta", "_x"), *fields("lead_meta", "_y"))
+    pairs = materialise(pairs.where(may_link()).select("a", "b").distinct(), "star-pairs")
+    # the rounds of leads below need the sets of the large groups
+    large = held.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("token")
+    large = held.join(large, "token", "left_semi")
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig")).union(large.select("lead"))
+    sets = set_table(docs, rows, wanted.distinct(), id_col, text_col)
+    links = materialise(verify(pairs, sets), "star-links")
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "sig")
 
     members = held.select("token", "sig", "meta").union(held.select("token", "lead", "lead_meta").distinct())
-    place = F.shiftright("meta", 3).bitwiseAND((1 << PLACE_BITS) - 1)
-    members = members.select("token", "sig", size_of("meta").alias("n"), place.alias("place"), F.expr("meta % 8").alias("l"))
+    members = members.select("token", "sig", *fields("meta"))
     members = members.join(joined, "sig", "left").select(*MEMBER[:-1], F.coalesce("component_id", "sig").alias("own"))
     found, degrees = [links], None
     for k in range(MOST_ROUNDS):
         members = still_apart(members)
-        if not pairs_left(members):
+        crowded = materialise(members.join(crowds(members), "token", "left_semi"), "crowded")
+        if crowded.limit(1).count() == 0:
             break
-        more = materialise(verify(lead_pairs(members, k, degrees), sets), "lead-links")
+        more = materialise(verify(lead_pairs(crowded, k, degrees), sets), "lead-links")
         if more.limit(1).count() == 0:
             break
         if degrees is None:
             degrees = materialise(more.groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("degree")), "degrees")
         found.append(more)
         members = merged(members, more)
-    met = materialise(verify(met_pairs(members), sets), "met-links")
+    met = materialise(met_pairs(members), "met-pairs")
+    sets = set_table(docs, rows, met.select(F.col("a").alias("sig")).union(met.select("b")).distinct(), id_col, text_col)
+    met = materialise(verify(met, sets), "met-links")
     links = found[0]
     for more in [*found[1:], met]:
         links = links.union(more)
