@@ -59,7 +59,10 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
-BLOCKS = "blocks array<struct<paths: array<string>, text: string, content: bigint, noise: boolean, main: boolean>>"
+BLOCKS = (
+    "blocks array<struct<paths: array<bigint>, text: string, noise: boolean, main: boolean>>, whole bigint, "
+    "nodes array<struct<path: bigint, content: bigint, style: bigint>>"
+)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -79,8 +82,6 @@ def _element(tag: str, text: str, inside: bool) -> tuple[str, bool]:
 
 def read_blocks(html: str | None) -> list[dict]:
     """A page's blocks in order: the paths above each (outermost first), text, and flags."""
-    from xxhash import xxh3_64_intdigest
-
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, in the main part
     out: list[dict] = []
     run: list[str] = []
@@ -90,8 +91,7 @@ def read_blocks(html: str | None) -> list[dict]:
     def flush() -> None:
         text = _SPACE.sub(" ", unescape("".join(run))).strip()
         if text:
-            # the tree needs a hash of every text, the page only what may stay
-            out.append({"paths": list(held_paths), "text": "" if held[2] else text, "content": xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63), "noise": held[2], "main": held[3]})
+            out.append({"paths": list(held_paths), "text": text, "noise": held[2], "main": held[3]})
         run.clear()
 
     def open_paths() -> list[str]:
@@ -145,23 +145,46 @@ def read_blocks(html: str | None) -> list[dict]:
     return out
 
 
-def style_tree(blocks: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, low): the paths of the host's branches of low importance."""
-    nodes = blocks.select("host", "page", F.xxhash64("blocks").alias("whole"), F.explode("blocks").alias("b"))
-    nodes = nodes.select("host", "page", "whole", F.col("b.content").alias("content"), F.posexplode("b.paths").alias("depth", "path"), F.col("b.paths").alias("paths"))
-    nodes = nodes.withColumn("style", F.xxhash64(F.coalesce(F.get("paths", F.col("depth") + 1), F.lit(""))))
-    # a page's content and style of a node: order-free sums of hashes
-    wide = F.sum(F.col("content").cast("decimal(38,0)")), F.sum(F.col("style").cast("decimal(38,0)"))
-    each = nodes.groupBy("host", "path", "page", "whole").agg(wide[0].alias("content"), wide[1].alias("style"))
+def hashed(text: str) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return _signed(xxh3_64_intdigest(text.encode("utf-8", "replace")))
+
+
+def _signed(h: int) -> int:
+    h &= (1 << 64) - 1
+    return h - (1 << 64) if h >> 63 else h
+
+
+def page_parts(html: str | None) -> tuple[list[dict], int, list[dict]]:
+    """A page's blocks with hashed paths, a hash of the page, and its nodes: for each path the hashes of the texts
+    below it and of the styles that its children have, as sums that no order changes."""
+    blocks, nodes, whole = read_blocks(html), {}, 0
+    for b in blocks:
+        content = hashed(b["text"])
+        whole = whole * 31 + content
+        for k, path in enumerate(b["paths"]):
+            node = nodes.setdefault(path, [0, 0])
+            node[0] += content
+            node[1] += hashed(b["paths"][k + 1]) if k + 1 < len(b["paths"]) else 0
+    own = {p: hashed(p) for p in nodes}
+    # the tree needs the nodes, the page only the texts that may stay
+    shown = [{"paths": [own[p] for p in b["paths"]], "text": "" if b["noise"] else b["text"], "noise": b["noise"], "main": b["main"]} for b in blocks]
+    return shown, _signed(whole), [{"path": own[p], "content": _signed(c), "style": _signed(s)} for p, (c, s) in nodes.items()]
+
+
+def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """(host, low): the hashed paths of the host's branches of low importance."""
+    each = pages.select("host", "whole", F.inline("nodes"))
     each = each.groupBy("host", "path", "whole").agg(F.min("content").alias("content"), F.min("style").alias("style"))  # copies of a page count once
-    pages = blocks.select("host", F.xxhash64("blocks").alias("whole")).distinct().groupBy("host").agg(F.count("*").alias("of_host"))
+    of_host = pages.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("of_host"))
 
     def entropy(of: str) -> DataFrame:
         counts = each.groupBy("host", "path", of).agg(F.count("*").alias("n"))
         m = F.sum("n")
         return counts.groupBy("host", "path").agg(m.alias("m"), ((F.log(m) - F.sum(F.col("n") * F.log("n")) / m) / F.log(F.greatest(m, F.lit(2)))).alias(of))
 
-    tree = entropy("content").join(entropy("style").drop("m"), ["host", "path"]).join(pages, "host")
+    tree = entropy("content").join(entropy("style").drop("m"), ["host", "path"]).join(of_host, "host")
     low = tree.where((F.col("m") >= least_pages) & (F.col("m") * 5 >= F.col("of_host")) & (F.greatest("content", "style") < least))
     return low.groupBy("host").agg(F.collect_set("path").alias("low"))
 
@@ -175,15 +198,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def make():
         def work(ids, urls, htmls):
-            return ids, urls, list(map(read_blocks, htmls))
+            return ids, urls, *zip(*map(page_parts, htmls), strict=True)
 
         return work
 
     kind = dict(pages.dtypes)[id_col]
     read = map_batches(pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string")), make, f"id {kind}, url string, {BLOCKS}")
-    read = materialise(read.withColumn("host", host_of("url")).withColumn("page", F.monotonically_increasing_id()), "blocks")
+    read = materialise(read.withColumn("host", F.xxhash64(host_of("url"))), "blocks")
     low = materialise(style_tree(read), "style-tree")
-    kept = F.filter("blocks", lambda b: ~b["noise"] & ~F.arrays_overlap(b["paths"], F.coalesce("low", F.array().cast("array<string>"))))
+    kept = F.filter("blocks", lambda b: ~b["noise"] & ~F.arrays_overlap(b["paths"], F.coalesce("low", F.array().cast("array<bigint>"))))
     pruned = read.join(low, "host", "left").withColumn("kept", kept)
     inner = F.filter("kept", lambda b: b["main"])
     text = F.array_join(F.transform(F.when(F.size(inner) > 0, inner).otherwise(F.col("kept")), lambda b: b["text"]), " ")
