@@ -129,7 +129,12 @@ def write_in_order(
     numbered = cut.join(F.broadcast(starts.select("part", "start")), "part").withColumn("number", F.col("start") + F.col("nth")).drop("part", "nth", "start")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
+            packed = pa.array([squeeze(t.as_py()) for t in b.column("tokens")], pa.binary())
+            b = b.set_column(b.schema.get_field_index("tokens"), "tokens", packed)  # what is shuffled
             yield b.append_column("slot", pa.array(permute(b.column("number").to_numpy(), n, key)))
 
     kind = dict(cut.dtypes)["first_doc_id"]
@@ -140,7 +145,9 @@ def write_in_order(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)
         store.create_dir(root, recursive=True)
-        current, out, temporary = None, None, ""
+        import zstandard
+
+        current, out, temporary, spread = None, None, "", zstandard.ZstdDecompressor().decompress
 
         def close() -> None:
             if out is not None:
@@ -149,14 +156,14 @@ def write_in_order(
 
         for b in batches:
             shard = b.column("shard").to_numpy()
-            tokens = b.column("tokens")
+            tokens = [spread(t.as_py()) for t in b.column("tokens")]
             for i in range(b.num_rows):
                 if shard[i] != current:
                     close()
                     current, temporary = int(shard[i]), f"{root}/.shard-{int(shard[i]):08d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(temporary)
-                out.write(tokens[i].as_py())
-            crc = pa.array([zlib.crc32(t.as_py()) for t in tokens], pa.int64())
+                out.write(tokens[i])
+            crc = pa.array([zlib.crc32(t) for t in tokens], pa.int64())
             slot = b.column("slot").to_numpy()
             at = pa.array(slot % per_shard * width)
             yield pa.RecordBatch.from_arrays([b.column("slot"), b.column("shard"), at, b.column("number"), b.column("first_doc_id"), b.column("n_tokens"), crc], names=["slot", "shard", "byte_offset", "number", "first_doc_id", "n_tokens", "tokens_crc32"])
