@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..model import DAY_US, HIGH_RISK_COUNTRIES, TRANSACTION_TYPES
 
-AMOUNT = F.col("amount").cast("double")
+
+
+def amount() -> Column:
+    return F.col("amount").cast("double")
 
 
 def base(key: str = "sender_id") -> WindowSpec:
@@ -31,8 +34,8 @@ def basic(t: DataFrame) -> DataFrame:
     """F1."""
     hour, day = F.hour("ts"), F.weekday("ts")
     return t.withColumns({
-        "amount_value": AMOUNT, "hour": hour, "weekday": day, "day": F.dayofmonth("ts"), "month": F.month("ts"), "weekend": (day >= 5).cast("int"), "business_hours": hour.between(9, 17).cast("int"),
-        "night": ((hour < 6) | (hour > 22)).cast("int"), "log_amount": F.log1p(AMOUNT), "sqrt_amount": F.sqrt(AMOUNT),
+        "amount_value": amount(), "hour": hour, "weekday": day, "day": F.dayofmonth("ts"), "month": F.month("ts"), "weekend": (day >= 5).cast("int"), "business_hours": hour.between(9, 17).cast("int"),
+        "night": ((hour < 6) | (hour > 22)).cast("int"), "log_amount": F.log1p(amount()), "sqrt_amount": F.sqrt(amount()),
     })
 
 
@@ -67,13 +70,13 @@ def moments(t: DataFrame) -> DataFrame:
     """F5 but for the percentile position; all 0 without history."""
     w = earlier()
     n = F.count("*").over(w)
-    mean, sd = F.avg(AMOUNT).over(w), F.stddev_pop(AMOUNT).over(w)
-    q = {p: F.percentile(AMOUNT, F.lit(p / 100)).over(w) for p in (25, 50, 75)}
+    mean, sd = F.avg(amount()).over(w), F.stddev_pop(amount()).over(w)
+    q = {p: F.percentile(amount(), F.lit(p / 100)).over(w) for p in (25, 50, 75)}
     out = t.withColumns({
-        "h_n": n, "h_mean": mean, "h_median": q[50], "h_sd": sd, "h_min": F.min(AMOUNT).over(w), "h_max": F.max(AMOUNT).over(w), "h_q25": q[25], "h_q75": q[75],
-        "h_skew": F.when(n >= 3, F.skewness(AMOUNT).over(w)), "h_kurtosis": F.when(n >= 4, F.kurtosis(AMOUNT).over(w)),
+        "h_n": n, "h_mean": mean, "h_median": q[50], "h_sd": sd, "h_min": F.min(amount()).over(w), "h_max": F.max(amount()).over(w), "h_q25": q[25], "h_q75": q[75],
+        "h_skew": F.when(n >= 3, F.skewness(amount()).over(w)), "h_kurtosis": F.when(n >= 4, F.kurtosis(amount()).over(w)),
     })
-    z = F.when(F.col("h_sd") > 0, (AMOUNT - F.col("h_mean")) / F.col("h_sd"))
+    z = F.when(F.col("h_sd") > 0, (amount() - F.col("h_mean")) / F.col("h_sd"))
     out = out.withColumns({"h_iqr": F.col("h_q75") - F.col("h_q25"), "h_cv": F.when(F.col("h_mean") > 0, F.col("h_sd") / F.col("h_mean")), "h_z": z, "h_abs_z": F.abs(z)})
     made = [c for c in out.columns if c.startswith("h_")]
     # the deviation of equal amounts is not a number to compare
@@ -82,8 +85,8 @@ def moments(t: DataFrame) -> DataFrame:
 
 def position(t: DataFrame) -> DataFrame:
     """F5's percentile position: the share of the history at or below the amount, times 100."""
-    history = F.collect_list(AMOUNT).over(earlier())
-    share = 100.0 * F.size(F.filter(history, lambda a: a <= AMOUNT)) / F.size(history)
+    history = F.collect_list(amount()).over(earlier())
+    share = 100.0 * F.size(F.filter(history, lambda a: a <= amount())) / F.size(history)
     return t.withColumn("h_position", F.when(F.size(history) > 0, share).otherwise(0.0))
 
 
@@ -92,7 +95,7 @@ def velocity(t: DataFrame, days=(1, 7, 30)) -> DataFrame:
     out = {}
     for d in days:
         w = earlier(d)
-        out |= {f"n_{d}d": F.count("*").over(w), f"volume_{d}d": F.coalesce(F.sum("amount").over(w).cast("double"), F.lit(0.0)), f"mean_{d}d": F.coalesce(F.avg(AMOUNT).over(w), F.lit(0.0)), f"max_{d}d": F.coalesce(F.max(AMOUNT).over(w), F.lit(0.0))}
+        out |= {f"n_{d}d": F.count("*").over(w), f"volume_{d}d": F.coalesce(F.sum("amount").over(w).cast("double"), F.lit(0.0)), f"mean_{d}d": F.coalesce(F.avg(amount()).over(w), F.lit(0.0)), f"max_{d}d": F.coalesce(F.max(amount()).over(w), F.lit(0.0))}
     return t.withColumns(out)
 
 
@@ -101,7 +104,7 @@ def habits(t: DataFrame) -> DataFrame:
     rows = Window.partitionBy("sender_id").orderBy("ts", "transaction_id")
     burst = F.count("*").over(within(DAY_US))
     near = F.count_if(F.col("amount").between(9_000, 10_000)).over(rows.rowsBetween(-10, -1))
-    last = F.collect_list(AMOUNT).over(rows.rowsBetween(-5, -1))
+    last = F.collect_list(amount()).over(rows.rowsBetween(-5, -1))
     rising = (F.size(last) == 5) & (last == F.array_sort(last))
     gap = (F.unix_micros("ts") - F.max(F.unix_micros("ts")).over(rows.rowsBetween(Window.unboundedPreceding, -1))) / 3_600_000_000
     out = t.withColumns({"seen": F.count("*").over(rows.rowsBetween(Window.unboundedPreceding, -1)), "burst": burst, "near": near, "last": last, "rising": rising, "gap": gap})
@@ -148,8 +151,8 @@ def baseline(t: DataFrame, rows: int = 1000) -> DataFrame:
     """the deviation from the mean of the last rows before this one, and the frequency over those with it."""
     order = Window.partitionBy("sender_id").orderBy("ts", "transaction_id")
     before, upto = order.rowsBetween(-rows, -1), order.rowsBetween(-(rows - 1), 0)
-    mean, sd = F.avg(AMOUNT).over(before), F.stddev_pop(AMOUNT).over(before)
-    deviation = F.when(sd > 0, F.abs(AMOUNT - mean) / sd).otherwise(0.0)
+    mean, sd = F.avg(amount()).over(before), F.stddev_pop(amount()).over(before)
+    deviation = F.when(sd > 0, F.abs(amount() - mean) / sd).otherwise(0.0)
     days = F.floor((F.unix_micros("ts") - F.min(F.unix_micros("ts")).over(upto)) / DAY_US)
     return t.withColumns({"b_mean": mean, "b_deviation": deviation, "b_frequency": F.count("*").over(upto) / F.greatest(days, F.lit(1))}).withColumn("b_anomalous", F.col("b_deviation") > 3)
 
@@ -157,8 +160,8 @@ def baseline(t: DataFrame, rows: int = 1000) -> DataFrame:
 def tempo(t: DataFrame) -> DataFrame:
     """F13."""
     order = Window.partitionBy("sender_id").orderBy("ts", "transaction_id")
-    mean = F.avg(AMOUNT).over(earlier())
-    out = {"velocity_score": F.when(mean > 0, AMOUNT / mean), "hours_to_next": (F.unix_micros(F.lead("ts").over(order)) - F.unix_micros("ts")) / 3_600_000_000}
+    mean = F.avg(amount()).over(earlier())
+    out = {"velocity_score": F.when(mean > 0, amount() / mean), "hours_to_next": (F.unix_micros(F.lead("ts").over(order)) - F.unix_micros("ts")) / 3_600_000_000}
     for name, us in (("1h", DAY_US // 24), ("24h", DAY_US), ("7d", 7 * DAY_US)):
         out[f"burst_{name}"] = F.count("*").over(within(us))
     return t.withColumns(out)

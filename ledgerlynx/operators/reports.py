@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..model import money
 
-AMOUNT = money("amount")
+
+
+def amount() -> Column:
+    return F.col("amount").cast("double")
 
 
 def profile(txns: DataFrame) -> DataFrame:
     """A4: a customer's whole history; the sample deviation."""
     return txns.groupBy("sender_id").agg(
-        F.count("*").alias("n"), money(F.sum("amount")).alias("total"), F.round(F.avg(AMOUNT), 4).alias("average"), F.round(F.stddev_samp(AMOUNT), 4).alias("deviation"),
+        F.count("*").alias("n"), money(F.sum("amount")).alias("total"), F.round(F.avg(amount()), 4).alias("average"), F.round(F.stddev_samp(amount()), 4).alias("deviation"),
         money(F.max("amount")).alias("high"), money(F.min("amount")).alias("low"), F.count_distinct("receiver_id").alias("receivers"), F.count_distinct("country_destination").alias("countries"),
     )
 
@@ -31,7 +34,7 @@ def since(txns: DataFrame, as_of: str, days: int) -> DataFrame:
 def statistics(txns: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """A5: a look-back for all customers at once; the population deviation and conditional counts."""
     return since(txns, as_of, days).groupBy("sender_id").agg(
-        F.count("*").alias("n"), money(F.sum("amount")).alias("total"), F.round(F.avg(AMOUNT), 4).alias("average"), F.round(F.stddev_pop(AMOUNT), 4).alias("deviation"), money(F.max("amount")).alias("high"),
+        F.count("*").alias("n"), money(F.sum("amount")).alias("total"), F.round(F.avg(amount()), 4).alias("average"), F.round(F.stddev_pop(amount()), 4).alias("deviation"), money(F.max("amount")).alias("high"),
         money(F.min("amount")).alias("low"), F.count_distinct("receiver_id").alias("receivers"), F.count_distinct("country_destination").alias("countries"), F.count_if("is_suspicious").alias("suspicious"),
         F.count_if(F.col("transaction_type") == "cash_deposit").alias("cash_deposits"), F.count_if(F.col("transaction_type") == "wire_transfer").alias("wires"),
     )
@@ -92,7 +95,7 @@ def country_risk(txns: DataFrame, factor: float = 1.5) -> DataFrame:
     """Countries whose suspicious rate is above a multiple of the overall rate (one row, joined by value)."""
     overall = txns.agg(F.avg(F.col("is_suspicious").cast("int")).alias("overall"))
     by = txns.groupBy(F.col("country_destination").alias("country")).agg(
-        F.count("*").alias("n"), F.avg(F.col("is_suspicious").cast("int")).alias("rate"), F.count_if("is_suspicious").alias("suspicious"), F.round(F.avg(AMOUNT), 4).alias("average"), money(F.sum("amount")).alias("total")
+        F.count("*").alias("n"), F.avg(F.col("is_suspicious").cast("int")).alias("rate"), F.count_if("is_suspicious").alias("suspicious"), F.round(F.avg(amount()), 4).alias("average"), money(F.sum("amount")).alias("total")
     )
     return by.crossJoin(F.broadcast(overall)).where(F.col("rate") > factor * F.col("overall")).drop("overall").withColumn("rate", F.round("rate", 6))
 
@@ -114,7 +117,7 @@ def cross_tab(txns: DataFrame, row: str, column: str, values: list[str]) -> Data
 def scorecard(txns: DataFrame) -> DataFrame:
     """A19."""
     out = txns.groupBy("sender_id").agg(
-        F.count("*").alias("n"), F.count_if("is_suspicious").alias("suspicious"), F.sum("amount").alias("sum"), F.avg(AMOUNT).alias("mean"), F.stddev_samp(AMOUNT).alias("sd"), money(F.max("amount")).alias("high"),
+        F.count("*").alias("n"), F.count_if("is_suspicious").alias("suspicious"), F.sum("amount").alias("sum"), F.avg(amount()).alias("mean"), F.stddev_samp(amount()).alias("sd"), money(F.max("amount")).alias("high"),
         F.count_distinct("receiver_id").alias("receivers"), F.stddev_samp(F.hour("ts")).alias("hour_sd"),
     )
     rate = F.col("suspicious") / F.col("n")

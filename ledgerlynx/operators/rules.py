@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import DAY_US, HIGH_RISK_COUNTRIES, level_of
-from .history import AMOUNT, earlier, within
+from .history import amount, earlier, within
 from .validation import labels, worst
 
 #: Id, severity and category of the evaluated rules.
@@ -43,7 +43,7 @@ def history_rules(t: DataFrame) -> DataFrame:
     a, any_before = F.col("amount"), F.count("*").over(earlier()) > 0
     near = a.between(9_000, 10_000) & (a < 10_000)
     w1, w7, w30 = earlier(0), earlier(7), earlier(30)
-    mean = F.avg(AMOUNT).over(earlier())
+    mean = F.avg(amount()).over(earlier())
 
     def passes(w, limit):
         return any_before & (F.coalesce(F.sum("amount").over(w), F.lit(0)) + a > limit)
@@ -51,7 +51,7 @@ def history_rules(t: DataFrame) -> DataFrame:
     return t.withColumns({
         "R008": passes(w1, 10_000), "R009": passes(w7, 25_000), "R010": passes(w30, 50_000), "R011": near & (F.count_if(near).over(w7) >= 2),
         "R012": (F.count("*").over(w1) >= 2) & (F.max("amount").over(w1) < 10_000), "R013": (a % 1000 == 0) & (F.count_if(a % 1000 == 0).over(w7) >= 2),
-        "R019": F.count("*").over(within(2 * DAY_US)) >= 3, "R032": (mean > 0) & (AMOUNT > 10 * mean),
+        "R019": F.count("*").over(within(2 * DAY_US)) >= 3, "R032": (mean > 0) & (amount() > 10 * mean),
     })
 
 
@@ -164,7 +164,7 @@ def second_stage(t: DataFrame, results: DataFrame) -> DataFrame:
     """A detector that sees the mean risk of the suspicious detectors before it."""
     seen = results.where("suspicious").groupBy("transaction_id").agg(F.least(F.avg("risk_score"), F.lit(0.95)).alias("seen"))
     out = t.join(seen, "transaction_id", "left")
-    large = F.when(F.col("amount") >= 20_000, F.least(F.lit(0.85), AMOUNT / 100_000)).otherwise(0.0)
+    large = F.when(F.col("amount") >= 20_000, F.least(F.lit(0.85), amount() / 100_000)).otherwise(0.0)
     cross = F.when(F.col("country_origin") != F.col("country_destination"), 0.55).otherwise(0.0)
     risk = F.greatest(F.lit(0.2), large, cross, F.coalesce("seen", F.lit(0.0)))
     return out.withColumn("stage_risk", risk).withColumn("stage_suspicious", F.col("stage_risk") >= 0.6).withColumn("stage_confidence", F.when(F.col("stage_suspicious"), 0.55).otherwise(0.45))
