@@ -9,9 +9,9 @@ A pair is then a candidate if its prefixes share as many shingles as the smaller
 
 Components need not have all pairs. First, in stars, each holder of a prefix shingle meets only that
 shingle's first holder, the smallest set, so a group of thousands of near copies costs thousands of
-checks. While the holders that stand apart would still make many more pairs than there are holders, rounds
-of random leads join what can be joined the same way. Then holders of a shingle in different components
-meet one by one under the full count rule. All steps verify with the whole sets; only the last must be
+checks; in large groups each set also meets a few random leads, and where the holders that stand apart
+would still make many more pairs than there are holders, the best linked leads. Then holders of a shingle
+in different components meet one by one under the full count rule. All steps verify with the whole sets; only the last must be
 complete, and it is, so no link that joins two components is lost and pairs within one are not formed.
 
 Null and empty texts have no set and are linked with nothing. Texts of fewer than five words are one
@@ -36,8 +36,8 @@ THRESHOLD = 75  # per cent
 MOST_L, SKETCH_BITS = 4, 16
 #: Estimated cost of a check against that of reading a posting.
 CHECK_COST = 4.0
-#: Rounds of leads, and leads of a shingle in a round.
-MOST_ROUNDS, LEADS = 2, 8
+#: Leads of a shingle in a round.
+LEADS = 8
 #: Holders from which a shingle's group is large, and pairs a holder from which it is crowded.
 LARGE, CROWD = 64, 8
 #: Bits of a shingle's place in its prefix.
@@ -275,7 +275,6 @@ def merged(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def met_pairs(members: DataFrame) -> DataFrame:
     """Pairs of different components whose prefixes share as many shingles as the smaller l asks."""
-    members = still_apart(members)
     x, y = (members.select("token", *(F.col(c).alias(f"{c}_{side}") for c in MEMBER[1:])) for side in "xy")
     met = x.join(y, (x["token"] == y["token"]) & (F.col("own_x") < F.col("own_y")) & may_link())
     met = met.groupBy(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("l_x", "l_y")).alias("l"))
@@ -292,32 +291,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     held = star_rows(prefixes(docs, text_col, counts), ["token"]).where("sig <> lead")
     held = materialise(held, "held")
-    pairs = held.select(F.col("sig").alias("a"), F.col("lead").alias("b"), *fields("meta", "_x"), *fields("lead_meta", "_y"))
-    pairs = materialise(pairs.where(may_link()).select("a", "b").distinct(), "star-pairs")
-    # the rounds of leads below need the sets of the large groups
-    large = held.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("token")
-    large = held.join(large, "token", "left_semi")
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig")).union(large.select("lead"))
+    members = held.select("token", "sig", "meta").union(held.select("token", "lead", "lead_meta").distinct())
+    members = materialise(members.select("token", "sig", *fields("meta")), "holders")
+    stars = held.select(F.col("sig").alias("a"), F.col("lead").alias("b"), *fields("meta", "_x"), *fields("lead_meta", "_y")).where(may_link()).select("a", "b")
+    large = members.join(members.groupBy("token").agg(F.count("*").alias("of")).where(F.col("of") > LARGE).select("token"), "token", "left_semi")
+    large = materialise(large, "large")
+    pairs = materialise(stars.unionByName(lead_pairs(large.withColumn("own", F.col("sig")), 0, None)).distinct(), "first-pairs")
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig"))
     sets = set_table(docs, rows, wanted.distinct(), id_col, text_col)
-    links = materialise(verify(pairs, sets), "star-links")
+    links = materialise(verify(pairs, sets), "first-links")
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "sig")
-
-    members = held.select("token", "sig", "meta").union(held.select("token", "lead", "lead_meta").distinct())
-    members = members.select("token", "sig", *fields("meta"))
-    members = members.join(joined, "sig", "left").select(*MEMBER[:-1], F.coalesce("component_id", "sig").alias("own"))
-    found, degrees = [links], None
-    for k in range(MOST_ROUNDS):
-        members = still_apart(members)
-        crowded = materialise(members.join(crowds(members), "token", "left_semi"), "crowded")
-        if crowded.limit(1).count() == 0:
-            break
-        more = materialise(verify(lead_pairs(crowded, k, degrees), sets), "lead-links")
-        if more.limit(1).count() == 0:
-            break
-        if degrees is None:
-            degrees = materialise(more.groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("degree")), "degrees")
-        found.append(more)
-        members = merged(members, more)
+    members = still_apart(members.join(joined, "sig", "left").select(*MEMBER[:-1], F.coalesce("component_id", "sig").alias("own")))
+
+    found = [links]
+    crowded = materialise(members.join(crowds(members), "token", "left_semi"), "crowded")
+    if crowded.limit(1).count():
+        degrees = links.groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("degree"))
+        found.append(materialise(verify(lead_pairs(crowded, 1, degrees), sets), "lead-links"))
+        members = still_apart(merged(members, found[-1]))
     met = materialise(met_pairs(members), "met-pairs")
     sets = set_table(docs, rows, met.select(F.col("a").alias("sig")).union(met.select("b")).distinct(), id_col, text_col)
     met = materialise(verify(met, sets), "met-links")
