@@ -32,15 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again.
+def materialise(df: DataFrame, label: str, level: int = 3) -> DataFrame:
+    """Write df as Parquet into the shared folder, with zstd at a level, and read it again.
 
     Later reads neither repeat the work above nor depend on an executor that may be lost."""
     path = f"{shared_folder(df.sparkSession)}/llm/{label}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -120,7 +120,7 @@ def write_in_order(
     end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2",
 ) -> DataFrame:
     """Write the shards and return one row a sequence: slot, shard, byte_offset, number, first_doc_id, n_tokens, tokens_crc32."""
-    cut = materialise(sequences(docs, ranks_path, tokenizer_path, pattern, stride, end_id, id_col, text_col, dtype), "sequences")
+    cut = materialise(sequences(docs, ranks_path, tokenizer_path, pattern, stride, end_id, id_col, text_col, dtype), "sequences", level=9)
     counts = cut.groupBy("part").agg(F.count("*").alias("n"))
     # one row a task of the scan; its size is that of the job, not of the data
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,7 +131,7 @@ def write_in_order(
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=6).compress
         for b in batches:
             packed = pa.array([squeeze(t.as_py()) for t in b.column("tokens")], pa.binary())
             b = b.set_column(b.schema.get_field_index("tokens"), "tokens", packed)  # what is shuffled
