@@ -243,6 +243,18 @@ def test_personal_data(spark):
     assert pii.redact(text, [{"kind": "email", "start": 5, "stop": 29}]).startswith("mail <EMAIL> or")
 
 
+def test_disguised_personal_data_at_every_size(spark):
+    planted = ["write to joe at mail dot com now", "they saw a[at]b.com there", "seen 10[.]0[.]0[.]1 in logs", "call (555) 010-2030 today", "card 4111.1111.1111.1111 is", "tel 555.010.2030 and"]
+    hidden = ["joe at mail dot com", "a[at]b.com", "10[.]0[.]0[.]1", "(555) 010-2030", "4111.1111.1111.1111", "555.010.2030"]
+    clean = ["on 2024-01-15 we met", "arrived at Paris.The next", "version 10 dot 2 dot 3 dot 4", "order 555-010-2030 is late", "host 300[.]0[.]0[.]1 failed", "card 4111.1111.1111.1112 no", "paid 12 345 678 900 in all"]
+    filler = [f"mail u{k}@m{k % 9}.example.com or +1 (555) 01{k % 10}-{1000 + k} or {k % 200}.1.2.3 in serial {2669109448945251 + 10 * k}" for k in range(400)]
+    # disguised data that is frequent in the table must not count against itself
+    for more in ([], filler, filler + planted * 100):
+        found = pii.find_personal_data(spark.createDataFrame(list(enumerate(planted + clean + more)), "doc_id long, text string"))
+        out = {r["doc_id"]: [(planted + clean)[r["doc_id"]][s["start"] : s["stop"]] for s in r["spans"]] for r in found.where(f"doc_id < {len(planted + clean)}").collect()}
+        assert [out[k] for k in range(len(planted + clean))] == [[h] for h in hidden] + [[]] * len(clean)
+
+
 def test_boosting_held_out():
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(3000, 6))
