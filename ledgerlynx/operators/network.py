@@ -1,9 +1,10 @@
-"""Graph operators over vertex and edge DataFrames. Loops are bounded, and each round is checkpointed where
-lineage would grow; path joins need edges filtered first and a hop cap."""
+"""Graph operators over vertex and edge DataFrames. Searches and components run until
+nothing changes, other loops a given number of rounds; each round is checkpointed where lineage would grow; path joins need edges filtered first and a hop cap."""
 
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,12 +73,12 @@ def eigenvector(e: DataFrame, rounds: int = 50) -> DataFrame:
     return x
 
 
-def distances(e: DataFrame, sources: DataFrame | None = None, most: int = 20) -> DataFrame:
-    """Breadth-first search from every source (default all): source, node, dist, sigma = number of shortest paths."""
+def distances(e: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Breadth-first search from every source (default all), to the end or `most` steps far: source, node, dist, sigma = number of shortest paths."""
     links = cut(e.where("src <> dst").select("src", "dst").distinct())
     seen = (sources or nodes_of(e)).select(F.col("node").alias("source"), "node").withColumns({"dist": F.lit(0), "sigma": F.lit(1.0)})
     front = seen
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         step = front.join(links, front["node"] == links["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
         front = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(k).alias("dist"), "sigma"))
         if front.limit(1).count() == 0:
@@ -173,11 +174,11 @@ def greedy_chain(txns: DataFrame, most: int = 10) -> DataFrame:
     return out.select("transaction_id", "layers", "back").withColumn("layering", (F.col("layers") >= 3) | F.col("back"))
 
 
-def weak_components(e: DataFrame, most: int = 40) -> DataFrame:
+def weak_components(e: DataFrame) -> DataFrame:
     """(node, component): the smallest node that is reachable either way; labels jump along themselves."""
     both = cut(e.select("src", "dst").union(e.select("dst", "src")).where("src <> dst").distinct())
     label = cut(nodes_of(e).withColumn("component", F.col("node")))
-    for _ in range(most):
+    while True:
         near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("near"))
         new = label.join(near, label["node"] == near["src"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
@@ -188,17 +189,38 @@ def weak_components(e: DataFrame, most: int = 40) -> DataFrame:
     return label
 
 
-def strong_components(e: DataFrame, most: int = 20) -> DataFrame:
-    """(node, component) by mutual reachability on the graph's cyclic core: nodes without incoming or outgoing edges go first."""
-    core = cut(e.where("src <> dst").select("src", "dst").distinct())
-    for _ in range(most):
-        kept = cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if kept.count() == core.count():
+def strong_components(e: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of those that reach each other. Each round takes labels forward to the smallest node that
+    reaches a node, then searches back from the nodes that keep their own label, within it: these are whole components. Nodes without
+    incoming or outgoing edges go first."""
+    left, found = cut(e.where("src <> dst").select("src", "dst").distinct()), None
+    while True:
+        before = -1
+        while (now := left.count()) != before:
+            before = now
+            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if not now:
             break
-        core = kept
-    reach = distances(core, most=most).select("source", "node")
-    mutual = reach.join(reach.select(F.col("source").alias("node"), F.col("node").alias("source")), ["source", "node"])
-    found = mutual.groupBy(F.col("source").alias("node")).agg(F.min("node").alias("component"))
+        label = cut(nodes_of(left).withColumn("component", F.col("node")))
+        while True:
+            came = left.join(label.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("came"))
+            new = cut(label.join(came, "node").select("node", F.col("component").alias("old"), F.least("component", "came").alias("component")))
+            label = new.select("node", "component")
+            if new.where("component <> old").limit(1).count() == 0:
+                break
+        inside = left.join(label.toDF("src", "component"), "src").join(label.toDF("dst", "other"), "dst")
+        inside = cut(inside.where("component = other").select("src", "dst", "component"))
+        seen = front = cut(label.where("node = component"))
+        while True:
+            back = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "component").distinct()
+            front = cut(back.join(seen.select("node"), "node", "left_anti"))
+            if front.limit(1).count() == 0:
+                break
+            seen = cut(seen.unionByName(front))
+        found = seen if found is None else found.unionByName(seen)
+        left = cut(left.join(seen.select(F.col("node").alias("src")), "src", "left_anti").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return nodes_of(e).withColumn("component", F.col("node"))
     return nodes_of(e).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

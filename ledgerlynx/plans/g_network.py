@@ -1,16 +1,17 @@
-"""G1-G24, F8 over the large transfers among the driver's customers."""
+"""G1-G24, F8 over the transfers among the driver's customers: queries named _whole and those without SQL over all of them,
+the others, whose SQL says so, over the large ones. Paths are enumerated among large transfers only."""
 
 from pyspark.sql import functions as F
 
 from ..operators import network as G
-from .bindings import graph_slice, query, txn
+from .bindings import CTES, ORACLES, graph_slice, query, sql, txn
 
 E = "slice edges"
 NODES = "nodes AS (SELECT DISTINCT unnest([src, dst]) AS node FROM edges)"
 
 
-def edges(spark, sf):
-    return G.edges(graph_slice(spark, sf))
+def edges(spark, sf, of=graph_slice):
+    return G.edges(of(spark, sf))
 
 
 def text(c):
@@ -20,20 +21,20 @@ def text(c):
 @query("g1_edges", E, """
 SELECT sender_id AS src, receiver_id AS dst, count(*) AS n, sum(amount)::DOUBLE AS total, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts,
   arg_min(amount, (ts, transaction_id))::DOUBLE AS first_amount FROM slice GROUP BY 1, 2""")
-def g1(spark, sf):
-    return edges(spark, sf).drop("weight").withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_ts", "last_ts")})
+def g1(spark, sf, of=graph_slice):
+    return edges(spark, sf, of).drop("weight").withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_ts", "last_ts")})
 
 
 @query("g2_vertices", E, "SELECT node, count(*) AS n FROM (SELECT unnest([sender_id, receiver_id]) AS node FROM slice) GROUP BY 1")
-def g2(spark, sf):
-    return G.vertices(graph_slice(spark, sf))
+def g2(spark, sf, of=graph_slice):
+    return G.vertices(of(spark, sf))
 
 
 @query("g3_degrees", E, f"""{NODES}
 SELECT node, (SELECT count(*) FROM edges WHERE src = node) AS out_degree, (SELECT count(*) FROM edges WHERE dst = node) AS in_degree,
   round(((SELECT count(*) FROM edges WHERE src = node) + (SELECT count(*) FROM edges WHERE dst = node)) / ((SELECT count(*) FROM nodes) - 1), 6) AS centrality FROM nodes""")
-def g3(spark, sf):
-    return G.degrees(edges(spark, sf)).withColumn("centrality", F.round("centrality", 6))
+def g3(spark, sf, of=graph_slice):
+    return G.degrees(edges(spark, sf, of)).withColumn("centrality", F.round("centrality", 6))
 
 
 def _pagerank(rounds: int) -> str:
@@ -49,13 +50,13 @@ r{i} AS MATERIALIZED (SELECT node, 0.15::DOUBLE / (SELECT n FROM k) + 0.85::DOUB
 
 
 @query("g4_pagerank", E, _pagerank(5))
-def g4(spark, sf):
-    return G.pagerank(edges(spark, sf), rounds=5).withColumn("rank", F.round("rank", 8))
+def g4(spark, sf, of=graph_slice, rounds=5):
+    return G.pagerank(edges(spark, sf, of), rounds).withColumn("rank", F.round("rank", 8))
 
 
 @query("g5_betweenness")
 def g5(spark, sf):
-    return G.betweenness(edges(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
+    return G.betweenness(edges(spark, sf, txn)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 _DIST = f"""{NODES},
@@ -66,18 +67,18 @@ m AS (SELECT s, t, min(k) AS k FROM d GROUP BY 1, 2)
 
 @query("g6_closeness", E, _DIST + """
 SELECT t AS node, round(CASE WHEN sum(k) > 0 THEN (count(*) - 1) / sum(k) * (count(*) - 1) / ((SELECT count(*) FROM nodes) - 1) ELSE 0 END, 6)::DOUBLE AS closeness FROM m GROUP BY 1""", recursive=True)
-def g6(spark, sf):
-    return G.closeness(edges(spark, sf)).withColumn("closeness", F.round("closeness", 6))
+def g6(spark, sf, of=graph_slice):
+    return G.closeness(edges(spark, sf, of)).withColumn("closeness", F.round("closeness", 6))
 
 
 @query("g7_eigenvector")
 def g7(spark, sf):
-    return G.eigenvector(edges(spark, sf), rounds=6).withColumn("x", F.round("x", 6))
+    return G.eigenvector(edges(spark, sf, txn), rounds=100).withColumn("x", F.round("x", 6))
 
 
 @query("g8_communities")
 def g8(spark, sf):
-    return G.communities(edges(spark, sf), rounds=4)
+    return G.communities(edges(spark, sf, txn))
 
 
 def _paths(hops: int) -> str:
@@ -121,34 +122,34 @@ f AS (SELECT sender_id AS at, arg_min(receiver_id, (ts, transaction_id)) AS nxt
 c AS (SELECT transaction_id, sender_id AS origin, receiver_id AS at, [sender_id, receiver_id] AS path, 1 AS layers, false AS back FROM slice
   UNION ALL SELECT c.transaction_id, c.origin, f.nxt, list_append(c.path, f.nxt), c.layers + 1, f.nxt = c.origin FROM c JOIN f ON f.at = c.at WHERE NOT c.back AND c.layers < 5 AND (f.nxt = c.origin OR NOT list_contains(c.path, f.nxt)))
 SELECT transaction_id, max(layers)::INT AS layers, bool_or(back) AS back, max(layers) >= 3 OR bool_or(back) AS layering FROM c GROUP BY 1""", recursive=True)
-def g14(spark, sf):
-    return G.greedy_chain(graph_slice(spark, sf), 5)
+def g14(spark, sf, of=graph_slice, most=5):
+    return G.greedy_chain(of(spark, sf), most)
 
 
 _REACH = f"{NODES},\nreach AS (SELECT node AS s, node AS t FROM nodes UNION SELECT reach.s, e.dst FROM reach JOIN edges e ON e.src = reach.t)"
 
 
 @query("g15_strong_components", E, _REACH + " SELECT a.s AS node, min(a.t) AS component FROM reach a JOIN reach b ON a.s = b.t AND a.t = b.s GROUP BY 1", recursive=True)
-def g15(spark, sf):
-    return G.strong_components(edges(spark, sf))
+def g15(spark, sf, of=graph_slice):
+    return G.strong_components(edges(spark, sf, of))
 
 
 @query("g16_weak_components", E, f"{NODES}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT node AS s, node AS t FROM nodes UNION SELECT reach.s, b.dst FROM reach JOIN both_ways b ON b.src = reach.t) SELECT s AS node, min(t) AS component FROM reach GROUP BY 1", recursive=True)
-def g16(spark, sf):
-    return G.weak_components(edges(spark, sf))
+def g16(spark, sf, of=graph_slice):
+    return G.weak_components(edges(spark, sf, of))
 
 
 @query("g17_flow_statistics", E, _REACH + """, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), wr AS (SELECT node AS s, node AS t FROM nodes UNION SELECT wr.s, b.dst FROM wr JOIN both_ways b ON b.src = wr.t),
 st AS (SELECT a.s, min(a.t) AS c FROM reach a JOIN reach b ON a.s = b.t AND a.t = b.s GROUP BY 1), wk AS (SELECT s, min(t) AS c FROM wr GROUP BY 1)
 SELECT (SELECT count(*) FROM edges) AS edges, (SELECT sum(total)::DOUBLE FROM edges) AS total, (SELECT round(avg(total::DOUBLE), 4) FROM edges) AS average, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT c) FROM wk) AS weak,
   (SELECT count(DISTINCT c) FROM st) AS strong, round((SELECT count(*) FROM edges) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 8) AS density, (SELECT count(DISTINCT c) FROM wk) = 1 AS connected""", recursive=True)
-def g17(spark, sf):
-    return G.flow_statistics(edges(spark, sf)).withColumns({"average": F.round("average", 4), "density": F.round("density", 8)})
+def g17(spark, sf, of=graph_slice):
+    return G.flow_statistics(edges(spark, sf, of)).withColumns({"average": F.round("average", 4), "density": F.round("density", 8)})
 
 
 def measures(spark, sf):
-    e = edges(spark, sf)
-    return G.pagerank(e, 5).join(G.betweenness(e), "node").join(G.degrees(e), "node")
+    e = edges(spark, sf, txn)
+    return G.pagerank(e).join(G.betweenness(e), "node").join(G.degrees(e), "node")
 
 
 @query("g18_hubs")
@@ -159,26 +160,26 @@ def g18(spark, sf):
 @query("g19_neighbourhood", E, """
 b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT min(src) AS node FROM edges), h1 AS (SELECT node FROM s UNION SELECT dst FROM b JOIN s ON src = node), h2 AS (SELECT node FROM h1 UNION SELECT dst FROM b JOIN h1 ON src = node)
 SELECT src, dst, total::DOUBLE AS total FROM edges WHERE src IN (SELECT node FROM h2) AND dst IN (SELECT node FROM h2)""")
-def g19(spark, sf):
-    e = edges(spark, sf)
+def g19(spark, sf, of=graph_slice):
+    e = edges(spark, sf, of)
     return G.neighbourhood(e, e.agg(F.min("src").alias("node")), 2).select("src", "dst", "total")
 
 
 @query("g20_high_risk_customers")
 def g20(spark, sf):
-    e = edges(spark, sf)
-    return G.pagerank(e, 5).join(G.vertices(graph_slice(spark, sf)), "node").join(G.communities(e, 4), "node").orderBy(F.desc("rank"), F.desc("n"), "node").limit(50)
+    e = edges(spark, sf, txn)
+    return G.pagerank(e).join(G.vertices(txn(spark, sf)), "node").join(G.communities(e), "node").orderBy(F.desc("rank"), F.desc("n"), "node").limit(50)
 
 
 @query("g21_network_verdict")
 def g21(spark, sf):
-    e = edges(spark, sf)
-    strong = G.strong_components(e)
-    m = measures(spark, sf).select("node", "rank", "betweenness").join(G.communities(e, 4), "node").join(strong, "node").join(strong.groupBy("component").agg(F.count("*").alias("component_size")), "component")
-    m = m.join(G.hubs(measures(spark, sf)).select("node", F.lit(True).alias("hub")), "node", "left").fillna(False, ["hub"])
-    loops = G.cycles(e, 4).select(F.explode("path").alias("node")).distinct()
-    legs = G.layering(e, 2, 2).select(F.col("path")[0].alias("src"), F.col("path")[1].alias("dst")).union(G.layering(e, 2, 2).select(F.col("path")[1], F.col("path")[2])).distinct()
-    return G.network_verdict(graph_slice(spark, sf), m, loops, legs).select("transaction_id", "network_risk", "network_alert")
+    e, large = edges(spark, sf, txn), edges(spark, sf)
+    strong, found = G.strong_components(e), G.cut(measures(spark, sf))
+    m = found.select("node", "rank", "betweenness").join(G.communities(e), "node").join(strong, "node").join(strong.groupBy("component").agg(F.count("*").alias("component_size")), "component")
+    m = m.join(G.hubs(found).select("node", F.lit(True).alias("hub")), "node", "left").fillna(False, ["hub"])
+    loops = G.cycles(large, 4).select(F.explode("path").alias("node")).distinct()
+    legs = G.layering(large, 2, 2).select(F.col("path")[0].alias("src"), F.col("path")[1].alias("dst")).union(G.layering(large, 2, 2).select(F.col("path")[1], F.col("path")[2])).distinct()
+    return G.network_verdict(txn(spark, sf), m, loops, legs).select("transaction_id", "network_risk", "network_alert")
 
 
 @query("g22_risk_scores")
@@ -189,13 +190,13 @@ def g22(spark, sf):
 @query("g23_clustering", E, f"""{NODES}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges), nb AS (SELECT a AS x, b AS y FROM u UNION SELECT b, a FROM u),
 t AS (SELECT p.x AS node, count(*) AS t FROM nb p JOIN nb q ON p.x = q.x AND p.y < q.y JOIN u ON u.a = p.y AND u.b = q.y GROUP BY 1), d AS (SELECT x AS node, count(*) AS d FROM nb GROUP BY 1)
 SELECT node, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6)::DOUBLE AS clustering FROM nodes LEFT JOIN t USING (node) LEFT JOIN d USING (node)""")
-def g23(spark, sf):
-    return G.clustering(edges(spark, sf)).withColumn("clustering", F.round("clustering", 6))
+def g23(spark, sf, of=graph_slice):
+    return G.clustering(edges(spark, sf, of)).withColumn("clustering", F.round("clustering", 6))
 
 
 @query("g24_shell_heuristics")
 def g24(spark, sf):
-    e = edges(spark, sf)
+    e = edges(spark, sf, txn)
     top = G.betweenness(e)
     cut = top.agg(F.percentile("betweenness", F.lit(0.95)).alias("p"))
     return G.degrees(e).join(top, "node").crossJoin(F.broadcast(cut)).where("out_degree + in_degree > 50 OR betweenness >= p").select("node", "out_degree", "in_degree")
@@ -203,7 +204,29 @@ def g24(spark, sf):
 
 @query("f8_network_features", E, f"""{NODES}
 SELECT t.transaction_id, coalesce((SELECT count(*) FROM edges WHERE src = t.sender_id OR dst = t.sender_id), 0) AS degree, coalesce((SELECT count(*) FROM edges WHERE src = t.sender_id OR dst = t.sender_id), 0) > 10 AS hub FROM txn t""")
-def f8(spark, sf):
-    d = G.degrees(edges(spark, sf)).select(F.col("node").alias("sender_id"), (F.col("out_degree") + F.col("in_degree")).alias("degree"))
+def f8(spark, sf, of=graph_slice):
+    d = G.degrees(edges(spark, sf, of)).select(F.col("node").alias("sender_id"), (F.col("out_degree") + F.col("in_degree")).alias("degree"))
     out = txn(spark, sf).join(d, "sender_id", "left").fillna(0, ["degree"])
     return out.select("transaction_id", "degree", (F.col("degree") > 10).alias("hub"))
+
+
+def whole(name, f, oracle=None, **more):
+    """Register f over all transfers as well; its SQL, where not too slow, takes all of them in place of the large ones."""
+    found = query(f"{name}_whole")(lambda spark, sf: f(spark, sf, of=txn, **more))
+    if oracle:
+        ORACLES[f"{name}_whole"] = oracle.replace(CTES["slice"], "slice AS (SELECT * FROM txn)")
+    return found
+
+
+for _name, _f in (("g1_edges", g1), ("g2_vertices", g2), ("g3_degrees", g3), ("g16_weak_components", g16), ("g19_neighbourhood", g19)):
+    whole(_name, _f, ORACLES[_name])
+# a transfer to oneself links no neighbours, and is back where it began
+whole("g23_clustering", g23, ORACLES["g23_clustering"].replace("AS b FROM edges)", "AS b FROM edges WHERE src <> dst)"))
+whole("g14_greedy_chain", g14, ORACLES["g14_greedy_chain"].replace("c.layers < 5", "c.layers < 10").replace("false AS back", "sender_id = receiver_id AS back"), most=10)
+# the degree is that of G3: a transfer to oneself counts as an outgoing and an incoming edge
+whole("f8_network_features", f8, sql(E, """
+d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)
+SELECT t.transaction_id, coalesce(d.degree, 0) AS degree, coalesce(d.degree, 0) > 10 AS hub FROM txn t LEFT JOIN d ON d.node = t.sender_id"""))
+whole("g4_pagerank", g4, sql(E, _pagerank(10)), rounds=10)
+for _name, _f in (("g6_closeness", g6), ("g15_strong_components", g15), ("g17_flow_statistics", g17)):
+    whole(_name, _f)
