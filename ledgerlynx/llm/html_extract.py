@@ -12,7 +12,8 @@ comments); elements whose name, role, class or id says so are removed as branche
 If a page has an article or main element with text left, blocks outside all of them go.
 
 Counts are combined before the shuffle, so a host with a third of all pages is summed by many tasks.
-Its pages then meet the host's short list of removed paths in a join that Spark can split.
+The removed paths of a host may be many: they meet the paths of its pages as rows, in a join that Spark can
+split, and a page gets back only those of its own.
 
 Null, empty and text-free pages give empty text. Very long pages are read whole. Repeated rows give
 repeated results; pages without a host count as one host. Further input columns are ignored.
@@ -174,19 +175,17 @@ def page_parts(html: str | None) -> tuple[list[dict], int, list[dict]]:
 
 
 def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, low): the hashed paths of the host's branches of low importance."""
+    """(host, path): the hashed paths of the host's branches of low importance, on however small a share of its pages."""
     each = pages.select("host", "whole", F.inline("nodes"))
     each = each.groupBy("host", "path", "whole").agg(F.min("content").alias("content"), F.min("style").alias("style"))  # copies of a page count once
-    of_host = pages.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("of_host"))
 
     def entropy(of: str) -> DataFrame:
         counts = each.groupBy("host", "path", of).agg(F.count("*").alias("n"))
         m = F.sum("n")
         return counts.groupBy("host", "path").agg(m.alias("m"), ((F.log(m) - F.sum(F.col("n") * F.log("n")) / m) / F.log(F.greatest(m, F.lit(2)))).alias(of))
 
-    tree = entropy("content").join(entropy("style").drop("m"), ["host", "path"]).join(of_host, "host")
-    low = tree.where((F.col("m") >= least_pages) & (F.col("m") * 5 >= F.col("of_host")) & (F.greatest("content", "style") < least))
-    return low.groupBy("host").agg(F.collect_set("path").alias("low"))
+    tree = entropy("content").join(entropy("style").drop("m"), ["host", "path"])
+    return tree.where((F.col("m") >= least_pages) & (F.greatest("content", "style") < least)).select("host", "path")
 
 
 def host_of(url: str):
@@ -204,10 +203,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     kind = dict(pages.dtypes)[id_col]
     read = map_batches(pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string")), make, f"id {kind}, url string, {BLOCKS}")
-    read = materialise(read.withColumn("host", F.xxhash64(host_of("url"))), "blocks")
+    read = materialise(read.withColumns({"host": F.xxhash64(host_of("url")), "row": F.monotonically_increasing_id()}), "blocks")
     low = materialise(style_tree(read), "style-tree")
-    kept = F.filter("blocks", lambda b: ~b["noise"] & ~F.arrays_overlap(b["paths"], F.coalesce("low", F.array().cast("array<bigint>"))))
-    pruned = read.join(low, "host", "left").withColumn("kept", kept)
+    shown = read.select("row", "id", "url", F.filter("blocks", lambda b: ~b["noise"]).alias("blocks"))
+    own = read.select("row", "host", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("blocks", lambda b: ~b["noise"]), lambda b: b["paths"])))).alias("path"))
+    hit = own.join(low, ["host", "path"]).groupBy("row").agg(F.collect_list("path").alias("low"))
+    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["paths"], F.coalesce("low", F.array().cast("array<bigint>"))))
+    pruned = shown.join(hit, "row", "left").withColumn("kept", kept)
     inner = F.filter("kept", lambda b: b["main"])
     text = F.array_join(F.transform(F.when(F.size(inner) > 0, inner).otherwise(F.col("kept")), lambda b: b["text"]), " ")
     return pruned.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -179,6 +179,15 @@ def test_html(spark):
     assert all(r["text"] == prose(r["page_id"], 20) for r in out)
 
 
+def test_html_of_a_host_with_many_templates(spark):
+    def page(k, section):
+        return f"<body><div class=s{section}><div class=b1><p>Unmarked words of section {section}</p></div><div class=b2><p>{prose(k, 20)}</p></div></div></body>"
+
+    rows = [(k, f"http://hot.x/{k}", page(k, k % 6)) for k in range(60)]  # each section is on a sixth of the host
+    out = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 60 and all(r["text"] == prose(r["page_id"], 20) for r in out)
+
+
 def brute_components(ids, links):
     group = {i: i for i in ids}
     changed = True
