@@ -2,10 +2,10 @@
 
 A document is its token ids and one end id. Documents longer than the capacity are cut so that all
 pieces but the first are full. Partitions pack their pieces best-fit decreasing; nearly full bins are
-final. The other bins become items of the next round: groups of `fan_in` partitions pack them again, and
-so on up the tree until one group is left. A group hands up at most `CARRY_ROWS` pieces, the emptiest
-bins first; the bins beyond that are final as they are, so the root's work is bounded at every size and
-only the fill of a few bins is lost, never a row.
+final. The pieces of all others are packed again, each for itself, in groups of about `GROUP_ROWS` pieces that a hash
+mixes anew each round, so that long and short pieces of different files meet. Rounds go on until one group
+has packed all that is left, or a round of several groups saves no more bins than it has groups. A last group joins the bins
+that are at most half full, of which each group leaves one at most. No task holds more than its group.
 
 Null and empty texts are the end id alone. Empty tables give no rows. Repeated rows are packed each for
 itself. Very long texts are cut and packed whole. Further input columns are ignored.
@@ -27,13 +27,12 @@ from .common import map_batches, materialise
 
 #: A bin this close to the capacity is final.
 SLACK = 8
-FAN_IN = 8
-#: Pieces that one group hands to the next round at most.
-CARRY_ROWS = 50_000
+#: Pieces that a group packs in a round, on average.
+GROUP_ROWS = 50_000
 #: Pieces that a task packs at a time.
 LOCAL_ROWS = 400_000
 
-ITEM = "row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, bin long, offset long, grp long, done boolean"
+ITEM = "row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, bin long, offset long, used long"
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,34 +57,15 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-def settle(items: pd.DataFrame, level: int, group: int, first_bin: int, capacity: int, last: bool) -> pd.DataFrame:
-    """Pack the bins of `items` (each piece is a bin of its own in the first round) into new ones."""
-    old, position = np.unique(items["bin"].to_numpy(), return_inverse=True)
+def settle(items: pd.DataFrame, level: int, group: int, first_bin: int, capacity: int) -> pd.DataFrame:
+    """Pack the pieces into new bins."""
     length = items["length"].to_numpy()
-    used = np.bincount(position, weights=length, minlength=len(old)).astype(np.int64)
-    to, base = best_fit(used, capacity)
-    filled = np.bincount(to, weights=used).astype(np.int64)
-    n_rows = np.bincount(to[position], minlength=len(filled))
-    done = filled >= capacity - SLACK
-    open_first = np.argsort(np.where(done, capacity + 1, filled), kind="stable")
-    over = np.cumsum(np.where(done[open_first], 0, n_rows[open_first])) > CARRY_ROWS
-    done[open_first[over]] = True
-    out = items.copy()
-    out["offset"] = items["offset"].to_numpy() + base[position]
-    out["bin"] = (level << 56) + (group << 28) + first_bin + to[position]
-    out["grp"] = group
-    out["done"] = True if last else done[to[position]]
-    return out
-
-
-def merging(level: int, capacity: int, last: bool):
-    def merge(items: pd.DataFrame) -> pd.DataFrame:
-        return settle(items, level, int(items["grp"].iloc[0]), 0, capacity, last)
-
-    return merge
-
-
-def pack(pieces: DataFrame, capacity: int, fan_in: int = FAN_IN) -> DataFrame:
+    to, offset = best_fit(length, capacity)
+    used = np.bincount(to, weights=length).astype(np.int64)[to]
+    return items.assign(bin=(level << 56) + (group << 28) + first_bin + to, offset=offset, used=used)
+
+
+def pack(pieces: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """pieces: row, doc_id, piece, start, length, ids_crc32. Adds sequence_id and offset."""
     schema = ITEM.format(kind=dict(pieces.dtypes)["doc_id"])
 
@@ -93,36 +73,53 @@ def pack(pieces: DataFrame, capacity: int, fan_in: int = FAN_IN) -> DataFrame:
         from pyspark import TaskContext
 
         group, held, n, bins = TaskContext.get().partitionId(), [], 0, 0
-
-        def flush():
-            items = pd.concat(held, ignore_index=True)
-            items["bin"], items["offset"] = np.arange(len(items)), 0
-            return settle(items, 0, group, bins, capacity, False)
-
         for batch in batches:
             held.append(batch)
             n += len(batch)
             if n >= LOCAL_ROWS:
-                yield (out := flush())
-                held, n, bins = [], 0, bins + len(out)
+                yield settle(pd.concat(held, ignore_index=True), 0, group, bins, capacity)
+                held, n, bins = [], 0, bins + n
         if held:
-            yield flush()
+            yield settle(pd.concat(held, ignore_index=True), 0, group, bins, capacity)
+
+    def again(left: DataFrame, level: int, groups: int) -> DataFrame:
+        def one(items: pd.DataFrame) -> pd.DataFrame:
+            # in one order, whatever order the rows come in
+            return settle(items.sort_values("row", ignore_index=True).drop(columns="grp"), level, int(items["grp"].iloc[0]), 0, capacity)
 
-    settled = [materialise(pieces.mapInPandas(first, schema), "pack-0")]
-    level = 0
+        dealt = left.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)))
+        return materialise(dealt.groupBy("grp").applyInPandas(one, schema), f"pack-{level}")
+
+    def size(left: DataFrame) -> tuple[int, int]:
+        """Pieces and bins."""
+        r = left.groupBy("bin").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("bins")).first()
+        return r["n"], r["bins"]
+
+    def is_open(most: int):
+        return F.col("used") < most
+
+    out, last, level = [], materialise(pieces.mapInPandas(first, schema), "pack-0"), 0
     while True:
-        carried = settled[-1].where(~F.col("done"))
-        top = carried.agg(F.max("grp").alias("top")).first()["top"]
-        if top is None:
+        left = last.where(is_open(capacity - SLACK))
+        n, bins = size(left)
+        groups = -(-n // group_rows)
+        if bins < 2:
             break
-        level, last = level + 1, top < fan_in
-
-        up = carried.withColumn("grp", F.expr(f"grp div {fan_in}")).groupBy("grp").applyInPandas(merging(level, capacity, last), schema)
-        settled.append(materialise(up.select(*settled[-1].columns), f"pack-{level}"))
-    out = settled[0].where("done")
-    for s in settled[1:]:
-        out = out.unionByName(s.where("done"))
-    return out.select("row", "doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+        level += 1
+        new = again(left, level, groups)
+        saved = bins - size(new)[1]
+        if saved > 0:
+            out.append(last.where(~is_open(capacity - SLACK)))
+            last = new
+        if groups == 1 or saved <= groups:
+            break
+    light = last.where(is_open(capacity // 2 + 1))
+    if size(light)[1] > 1:
+        out.append(last.where(~is_open(capacity // 2 + 1)))
+        last = again(light, level + 1, 1)
+    for closed in out:
+        last = last.unionByName(closed)
+    return last.select("row", "doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
 
 @lru_cache(maxsize=2)
@@ -176,11 +173,11 @@ def token_pieces(
 
 def pack_documents(
     docs: DataFrame, ranks_path: str, tokenizer_path: str | None, pattern: str, capacity: int = 2048, end_id: int = 0,
-    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, fan_in: int = FAN_IN,
+    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """One row a piece: id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids."""
     pieces = materialise(token_pieces(docs, ranks_path, tokenizer_path, pattern, capacity, end_id, id_col, text_col, with_ids), "pieces")
-    placed = pack(pieces.drop("ids"), capacity, fan_in)
+    placed = pack(pieces.drop("ids"), capacity, group_rows)
     if with_ids:
         placed = placed.join(pieces.select("row", "ids"), "row")
     return placed.drop("row").withColumnRenamed("doc_id", id_col)

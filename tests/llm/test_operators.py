@@ -51,6 +51,18 @@ def test_packing(docs):
     assert by.ngroups <= -(-out.length.sum() // 256) + 1
 
 
+def test_packing_of_long_and_short_pieces_apart(spark):
+    # one partition has an open bin for each piece, another the pieces that fill them
+    long, short = 60_000, 60_000
+    pieces = spark.range(0, long + short, 1, 2).selectExpr("id as row", "id as doc_id", "0 as piece", "0L as start", f"if(id < {long}, 140L, 110L) as length", "0L as ids_crc32")
+    out = packing.pack(pieces, 256).toPandas()
+    one = packing.pack(pieces, 256, group_rows=200_000).toPandas()
+    assert len(out) == long + short and one.sequence_id.nunique() == long and out.sequence_id.nunique() < 1.01 * long
+    for found in (out, one):
+        by = found.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+        assert by.length.sum().max() <= 256 and ((found.sort_values(["sequence_id", "offset"]).length.groupby(found.sequence_id).cumsum() - found.length) == found.offset).all()
+
+
 def test_packing_of_special_tokens_and_no_rows(spark):
     special = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
     out = packing.pack_documents(special, RANKS, JSON, P.PATTERN, with_ids=True).first()
