@@ -10,6 +10,9 @@ from .network import weak_components
 #: Titles that cleaning drops.
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "sir", "lord", "lady", "hon")
 
+#: List entries that are broadcast at most to names without candidates.
+MOST_LISTED = 100_000
+
 
 def clean(name: Column, titles=TITLES) -> Column:
     """E1."""
@@ -59,17 +62,23 @@ def score(a: Column, b: Column) -> Column:
     return F.when(a == b, 100.0).otherwise(F.greatest(ratio(a, b), ratio(sorted_words(a), sorted_words(b)), token_set(a, b)))
 
 
-def candidates(names: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """Pairs of a name and a list entry whose first or last word is one of the name's words."""
+def candidates(names: DataFrame, watchlist: DataFrame, whole: bool = True) -> DataFrame:
+    """Pairs of a name and a list entry whose first or last word is one of the name's words, in any case. A name
+    without such an entry meets the whole list, which is broadcast only up to `MOST_LISTED` entries; not so if `whole` is false."""
     ends = watchlist.select("name_norm").distinct().withColumn("w", F.split("name_norm", " "))
     right = ends.select("name_norm", F.explode(F.array_distinct(F.array(F.get("w", F.lit(0)), F.element_at("w", -1)))).alias("word"))
-    left = names.select("name").distinct().select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    return left.join(right, "word").select("name", "name_norm").distinct()
+    left = names.select("name").where("name is not null").distinct()
+    words = left.select("name", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
+    found, entries = words.join(right, "word").select("name", "name_norm").distinct(), ends.select("name_norm")
+    if not whole:
+        return found
+    small = entries.limit(MOST_LISTED + 1).count() <= MOST_LISTED
+    return found.unionByName(left.join(found.select("name"), "name", "left_anti").crossJoin(F.broadcast(entries) if small else entries))
 
 
-def screen(names: DataFrame, watchlist: DataFrame, least: float = 85, k: int = 5) -> DataFrame:
+def screen(names: DataFrame, watchlist: DataFrame, least: float = 85, k: int = 5, whole: bool = True) -> DataFrame:
     """Exact entries first, else the best k at or above the score."""
-    scored = candidates(names, watchlist).withColumn("score", F.round(score(F.col("name"), F.col("name_norm")), 4)).where(F.col("score") >= least)
+    scored = candidates(names, watchlist, whole).withColumn("score", F.round(score(F.lower("name"), F.col("name_norm")), 4)).where(F.col("score") >= least)
     order = Window.partitionBy("name").orderBy(F.desc("score"), "name_norm")
     return scored.withColumn("place", F.row_number().over(order)).withColumn("best", F.max("score").over(Window.partitionBy("name"))).where((F.col("place") <= k) & ((F.col("best") < 100) | (F.col("score") == 100))).drop("best")
 

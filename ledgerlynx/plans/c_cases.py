@@ -67,12 +67,28 @@ _BLOCK = ", pairs AS (SELECT DISTINCT name AS a, n AS b FROM names, (SELECT DIST
 
 @query("e4_candidates", "", NAMES + _BLOCK.rstrip(", ") + " SELECT a AS name, b AS name_norm FROM pairs")
 def e4(spark, sf):
-    return S.candidates(names(spark, sf), watchlist(spark, sf))
+    return S.candidates(names(spark, sf), watchlist(spark, sf), whole=False)
 
 
 @query("e5_batch_screening", "", NAMES + _BLOCK + _SCORE + """, k AS (SELECT a AS name, b AS name_norm, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place, max(score) OVER (PARTITION BY a) AS best FROM sc WHERE score >= 60)
 SELECT name, name_norm, score, place FROM k WHERE place <= 5 AND (best < 100 OR score = 100)""")
 def e5(spark, sf):
+    return S.screen(names(spark, sf), watchlist(spark, sf), least=60, whole=False)
+
+
+# the forms above stop at the blocks, as their SQL does; in these a name without candidates meets the whole list
+_WHOLE = _BLOCK.replace("pairs AS", "blocked AS").replace("string_split(name, ' ')", "string_split(lower(name), ' ')") + """
+pairs AS (SELECT a, b FROM blocked UNION ALL SELECT name, n FROM names, (SELECT DISTINCT lower(name_norm) AS n FROM watch) WHERE name NOT IN (SELECT a FROM blocked)), """
+
+
+@query("e4_candidates_whole", "", NAMES + _WHOLE.rstrip(", ") + " SELECT a AS name, b AS name_norm FROM pairs")
+def e4_whole(spark, sf):
+    return S.candidates(names(spark, sf), watchlist(spark, sf))
+
+
+@query("e5_batch_screening_whole", "", NAMES + _WHOLE + _SCORE.replace("(a,", "(lower(a),").replace("a = b", "lower(a) = b").replace("(a, ' ')", "(lower(a), ' ')") + """, k AS (SELECT a AS name, b AS name_norm, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place, max(score) OVER (PARTITION BY a) AS best FROM sc WHERE score >= 60)
+SELECT name, name_norm, score, place FROM k WHERE place <= 5 AND (best < 100 OR score = 100)""")
+def e5_whole(spark, sf):
     return S.screen(names(spark, sf), watchlist(spark, sf), least=60)
 
 
