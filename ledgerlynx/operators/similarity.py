@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,16 @@ def dot(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, same: str | None = None, most_queries: int = 10_000) -> DataFrame:
     """The k best by cosine for each query, except itself; `same` names a column that must agree.
 
-    A stated set of queries meets all vectors; it is broadcast only up to `most_queries` rows."""
-    n = queries.limit(most_queries + 1).count()
+    The queries meet all vectors; above `most_queries` rows they are broadcast in blocks by a hash, of half as many on average."""
+    n = queries.count()
     if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries; search them in blocks")
+        blocks = -(-2 * n // most_queries)
+        block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [_nearest(queries.where(block == b), vectors, k, same) for b in range(blocks)])
+    return _nearest(queries, vectors, k, same)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, same: str | None) -> DataFrame:
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("nq"), *([F.col(same).alias("q_same")] if same else []))
     v = vectors.withColumn("nv", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
     on = F.col("vec_id") != F.col("query_id")

@@ -78,6 +78,15 @@ def n2(spark, sf):
     return N.nearest(e.where("vec_id < 20"), e, 5, "label").withColumn("similarity", F.round("similarity", 6))
 
 
+@query("n2_nearest_whole", "", """
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS l FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, list_dot_product(q, embedding::DOUBLE[]) / sqrt(list_dot_product(q, q) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS sim FROM q JOIN embeddings ON label = l AND vec_id <> query_id)
+SELECT query_id, vec_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM s QUALIFY place <= 5""")
+def n2_whole(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return N.nearest(e.where("vec_id % 100 = 0"), e, 5, "label").withColumn("similarity", F.round("similarity", 6))
+
+
 @query("n3_approximate_pairs")
 def n3(spark, sf):
     return N.approximate(table(spark, sf, "embeddings"), 0.35)
