@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +33,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+_WRITTEN: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, label: str, level: int = 3) -> DataFrame:
     """Write df as Parquet into the shared folder, with zstd at a level, and read it again.
 
     Later reads neither repeat the work above nor depend on an executor that may be lost."""
     path = f"{shared_folder(df.sparkSession)}/llm/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[written] = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables. Whatever was made of them must be materialised itself by then."""
+    for df in tables:
+        spark, path = df.sparkSession, _WRITTEN.pop(df)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def utf8(column: str) -> Column:
@@ -74,6 +88,11 @@ def small_batches(spark: SparkSession) -> None:
 BROADCAST_IDS = 2_000_000
 
 
+def join_list(rows: DataFrame, found: DataFrame, column: str, how: str = "inner", most: int = BROADCAST_IDS) -> DataFrame:
+    """rows joined with a materialised table of narrow rows, which is counted, and broadcast if it is small."""
+    return rows.join(F.broadcast(found) if found.count() <= most else found, column, how)
+
+
 def with_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows whose id is among `ids` (one column, materialised). A counted, small list is broadcast."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
+    return join_list(rows, ids, column, "left_semi")

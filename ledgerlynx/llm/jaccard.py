@@ -1,22 +1,27 @@
 """Exact n-gram Jaccard join by adaptive multi-match prefixes, up to connectivity.
 
 Documents become sets of hashed 5-word shingles (64 bits). Documents with equal sets form one class, which its
-smallest id stands for. Every set is ordered by how frequent its shingles are (a bounded count sketch over all
-documents; ties by hash), rarest first. Two sets of n and m shingles with a Jaccard similarity of t or more
-share at least l shingles within their first n - ceil(t n) + l and m - ceil(t m) + l ones. Each document
-chooses its l from 1 to `MOST_L`: a longer prefix reads more, but leaves fewer candidates; the sketch tells both.
-A pair is then a candidate if its prefixes share as many shingles as the smaller of both l.
+smallest id stands for; sets are told apart by 128 bits. Every set is ordered by how frequent its shingles are (a
+bounded count sketch over all documents; ties by hash), rarest first. Two sets of n and m shingles with a Jaccard
+similarity of t or more share at least l shingles within their first n - ceil(t n) + l and m - ceil(t m) + l ones.
+Each document chooses its l from 1 to `MOST_L`: a longer prefix reads more, but leaves fewer candidates; the sketch
+tells both. A pair is then a candidate if its prefixes share as many shingles as the smaller of both l.
 
 Components need not have all pairs. First, in stars, each holder of a prefix shingle meets only that
 shingle's first holder, the smallest set, so a group of thousands of near copies costs thousands of
 checks; in large groups each set also meets a few random leads, and where the holders that stand apart
 would still make many more pairs than there are holders, the best linked leads. Then holders of a shingle
-in different components meet one by one under the full count rule. All steps verify with the whole sets; only the last must be
+in different components meet one by one under the full count rule. Only the last step must be
 complete, and it is, so no link that joins two components is lost and pairs within one are not formed.
 
+Candidates are checked in two steps. Each set has a parity bitmap of about as many bits as shingles; bits in which
+two bitmaps differ are at most the shingles in which the sets differ, so pairs that differ in too many are out for
+certain. Only the sets of the pairs left are shingled again and compared whole.
+
 Null and empty texts have no set and are linked with nothing. Texts of fewer than five words are one
-shingle. Empty tables give no rows. Repeated rows are linked as any equal texts are. Very long texts are
-read whole. Null ids are kept as rows that stand for themselves. Further input columns are ignored.
+shingle. Empty tables give no rows. Repeated rows are linked as any equal texts are; rows with equal ids are one
+document. Very long texts are read whole. Null ids are kept as rows that stand for themselves and link nothing. Further
+input columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_batches, materialise, small_batches, utf8, with_ids
+from .common import discard, join_list, map_batches, materialise, small_batches, utf8, with_ids
 from .graph import components
 
 WORDS = 5
@@ -40,8 +45,10 @@ CHECK_COST = 4.0
 LEADS = 8
 #: Holders from which a shingle's group is large, and pairs a holder from which it is crowded.
 LARGE, CROWD = 64, 8
-#: Bits of a shingle's place in its prefix.
-PLACE_BITS = 24
+#: Bits of a shingle's place in its prefix; a text of Spark's largest size has fewer words.
+PLACE_BITS = 30
+#: Fewest bits of a set's parity bitmap, and pairs of a set from which it is dealt to several tasks.
+LEAST_BITS, HOT_PAIRS = 512, 256
 #: Word hashes that a task remembers.
 MEMO = 300_000
 
@@ -99,14 +106,23 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def signature(s: np.ndarray) -> int:
+def signature(s: np.ndarray, clashing: frozenset[int] = frozenset()) -> int:
+    """64 bits of a set; those of another seed where two different sets of the table have the same."""
     from xxhash import xxh3_64_intdigest
 
-    return int(np.array(xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
+    h = int(np.array(xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
+    return int(np.array(xxh3_64_intdigest(s.tobytes(), seed=1), np.uint64).view(np.int64)) if h in clashing else h
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """The set's bitmap, as 64-bit words: each shingle turns one bit over. A larger bitmap folds into one of half its bits."""
+    bits = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    at = (_mix(s) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row (id, sig, n) for each document, and for each task its counts (bucket, n) of shingles by the
+    """A row (id, sig, check, n, parity) for each document, and for each task its counts (bucket, n) of shingles by the
     leading bits of their hash: 2 ** SKETCH_BITS numbers at most, whatever the input's size."""
     kind = dict(docs.dtypes)[id_col]
 
@@ -117,16 +133,19 @@ def first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in found:
                 np.add.at(counts, bucket_of(s), 1)
             sig = pa.array([signature(s) if len(s) else None for s in found], pa.int64())
+            check = pa.array([signature(s, frozenset([h])) if len(s) else None for s, h in zip(found, sig.to_pylist(), strict=True)], pa.int64())
             n = pa.array([len(s) for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sig, n, pa.nulls(len(found), pa.int32())], names=["id", "sig", "n", "bucket"])
+            maps = pa.array([parity(s) if len(s) else None for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sig, check, n, maps, pa.nulls(len(found), pa.int32())], names=names)
         full = np.flatnonzero(counts)
         if len(full):
             none = pa.nulls(len(full), to_arrow_type(id_type))
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(full), pa.int64()), pa.array(counts[full]), pa.array(full.astype(np.int32))], names=["id", "sig", "n", "bucket"])
+            empty = pa.nulls(len(full), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, empty, empty, pa.array(counts[full]), pa.nulls(len(full), pa.list_(pa.int64())), pa.array(full.astype(np.int32))], names=names)
 
     small_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType
-    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(run, f"id {kind}, sig long, n long, bucket int")
+    id_type, names = docs.schema[id_col].dataType, ["id", "sig", "check", "n", "parity", "bucket"]
+    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(run, f"id {kind}, sig long, check long, n long, parity array<long>, bucket int")
 
 
 def at_least(n):
@@ -150,7 +169,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, mean: int) -> tuple[np.ndarray, in
     return s[order[: n - need + chosen]], chosen
 
 
-def prefixes(docs: DataFrame, text_col: str, counts: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, text_col: str, counts: np.ndarray, clashing: frozenset[int]) -> DataFrame:
     """Rows (token, sig, meta): a prefix shingle of a set; meta holds the set's size n, the shingle's place in the
     order and l, the lowest 3 bits. A task gives a set that it has met already no second time."""
     mean = int(counts.mean())
@@ -161,7 +180,7 @@ def prefixes(docs: DataFrame, text_col: str, counts: np.ndarray) -> DataFrame:
         def work(texts):
             tokens, sigs, metas, sizes = [], [], [np.empty(0, np.int64)], []
             for s in shingler.sets(texts):
-                if len(s) and (sig := signature(s)) not in met:
+                if len(s) and (sig := signature(s, clashing)) not in met:
                     if len(met) > 1_000_000:
                         met.clear()
                     met.add(sig)
@@ -197,16 +216,17 @@ def may_link() -> Column:
     return in_reach("n_x", "n_y") & (F.col("place_x") < F.col("n_x") - need + l) & (F.col("place_y") < F.col("n_y") - need + l)
 
 
-def star_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row of a group with the group's first set as `lead` and `lead_meta`; repeats of a set go."""
-    order = Window.partitionBy(*keys).orderBy("meta", "sig")
-    first = rows.withColumn("lead", F.first("sig").over(order)).withColumn("lead_meta", F.first("meta").over(order))
-    return first.withColumn("prior", F.lag("sig").over(order)).where("prior is null or prior <> sig").drop("prior")
+def star_rows(postings: DataFrame) -> DataFrame:
+    """The holders of shingles that several sets hold: all but the first one, each with the first as `lead` and
+    `lead_meta`. `second` marks one row of a shingle, `many` the rows of a holder beyond `LARGE`; repeats of a set go."""
+    order = Window.partitionBy("token").orderBy("meta", "sig")
+    seen = postings.withColumns({"lead": F.first("sig").over(order), "lead_meta": F.first("meta").over(order), "prior": F.lag("sig").over(order), "nth": F.row_number().over(order)})
+    return seen.where("prior <> sig").select("token", "sig", "meta", "lead", "lead_meta", (F.col("prior") == F.col("lead")).alias("second"), (F.col("nth") > LARGE).alias("many"))
 
 
-def set_table(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, clashing: frozenset[int]) -> DataFrame:
     """(sig, items) of the wanted signatures, shingled again from one document of each."""
-    ids = materialise(rows.join(wanted, "sig", "left_semi").where("id is not null").groupBy("sig").agg(F.min("id").alias("id")).select("id"), "wanted")
+    ids = materialise(join_list(classes.select("sig", "rep"), wanted, "sig", "left_semi").where("rep is not null").select(F.col("rep").alias("id")).distinct(), "wanted")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = with_ids(texts, ids, "id")
 
@@ -217,7 +237,7 @@ def set_table(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str,
             found = [s for s in shingler.sets(texts) if len(s)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            return pa.array([signature(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            return pa.array([signature(s, clashing) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
         return work
 
@@ -225,13 +245,50 @@ def set_table(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str,
     return materialise(found, "sets").dropDuplicates(["sig"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("sig").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+def attach(pairs: DataFrame, values: DataFrame, end: str, value: str, to: str) -> DataFrame:
+    """The pairs with the value of their set at one end. A set of very many pairs is repeated for several tasks."""
+    hot = pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") > HOT_PAIRS).select(end, F.expr(f"int(n div {HOT_PAIRS}) + 1").alias("parts"))
+    hot = materialise(hot, "hot-sets")
+    dealt = join_list(pairs, hot, end, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    values = join_list(values.select(F.col("sig").alias(end), F.col(value).alias(to)), hot, end, "left")
+    values = values.select(end, to, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part"))
+    return dealt.join(values, [end, "part"]).drop("part")
+
+
+def bits_apart() -> Column:
+    """Bits in which the bitmaps x and y differ; the longer one is folded to the length of the shorter."""
+    words = F.least(F.size("x"), F.size("y"))
+
+    def fold(c: str) -> Column:
+        low = F.slice(c, 1, words)
+        return F.when(F.size(c) == words, F.col(c)).otherwise(F.zip_with(low, F.slice(c, words + 1, words), lambda a, b: a.bitwiseXOR(b)))
+
+    return F.aggregate(F.zip_with(fold("x"), fold("y"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+
+
+def enough(total: str, both: Column) -> Column:
+    """Whether sets with so many shingles together and so many in common link."""
+    return F.lit(100) * both >= THRESHOLD * (F.col(total) - both)
+
+
+def possible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sizes and bitmaps don't rule out, materialised."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted-maps")
+    known = join_list(classes.where("rep is not null"), wanted, "sig", "left_semi").select("sig", F.struct("n", "parity").alias("own"))
+    known = materialise(known, "maps")
+    both = attach(attach(pairs, known, "a", "own", "p"), known, "b", "own", "q")
+    both = both.select("a", "b", (F.col("p.n") + F.col("q.n")).alias("total"), F.col("p.n").alias("n"), F.col("q.n").alias("m"), F.col("p.parity").alias("x"), F.col("q.parity").alias("y"))
+    return materialise(both.where(in_reach("n", "m")).where(enough("total", (F.col("total") - bits_apart()) / 2)).select("a", "b"), "possible")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, clashing: frozenset[int]) -> DataFrame:
+    """The pairs (a, b) that link, materialised."""
+    left = possible_pairs(pairs, classes)
+    wanted = materialise(left.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted-sets")
+    sets = set_table(docs, classes, wanted, id_col, text_col, clashing)
+    both = attach(attach(left, sets, "a", "items", "x"), sets, "b", "items", "y")
     shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return shared.where(f"100 * both >= {THRESHOLD} * (total - both)").select("a", "b")
+    return materialise(shared.where(enough("total", F.col("both"))).select("a", "b"), "links-found")
 
 
 #: Columns of a holder: its set's size, the shingle's place in its order, its l and its component so far.
@@ -270,7 +327,8 @@ def merged(members: DataFrame, links: DataFrame) -> DataFrame:
     """The holders with the components that the links join."""
     own = materialise(members.select("sig", "own").distinct(), "own")
     ends = links.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").select("u", "v")
-    return members.join(components(ends).withColumnRenamed("id", "own"), "own", "left").select(*MEMBER[:-1], F.coalesce("component_id", "own").alias("own"))
+    joined = materialise(components(ends).withColumnRenamed("id", "own"), "joined")
+    return join_list(members, joined, "own", "left").select(*MEMBER[:-1], F.coalesce("component_id", "own").alias("own"))
 
 
 def met_pairs(members: DataFrame) -> DataFrame:
@@ -284,49 +342,64 @@ def met_pairs(members: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id."""
     passed = materialise(first_pass(docs, id_col, text_col), "shingled")
-    rows = passed.where("bucket is null").select("id", "sig", "n")
+    rows = passed.where("bucket is null")
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in passed.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # 2 ** SKETCH_BITS rows at most
         counts[r["bucket"]] = r["n"]
-
-    held = star_rows(prefixes(docs, text_col, counts), ["token"]).where("sig <> lead")
-    held = materialise(held, "held")
-    members = held.select("token", "sig", "meta").union(held.select("token", "lead", "lead_meta").distinct())
-    members = materialise(members.select("token", "sig", *fields("meta")), "holders")
+    # different sets with the same 64 bits: none as a rule, some dozens among 10 ** 10 documents
+    same = rows.where("sig is not null").groupBy("sig").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
+    clashing = frozenset(r["sig"] for r in same.select("sig").collect())
+    if clashing:
+        rows = rows.withColumn("sig", F.when(F.col("sig").isin(*clashing), F.col("check")).otherwise(F.col("sig")))
+    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    classes = materialise(classes, "classes")
+    own = docs, classes, id_col, text_col, clashing
+
+    held = materialise(star_rows(prefixes(docs, text_col, counts, clashing)), "held")
+    leads = held.where("second").select("token", F.col("lead").alias("sig"), F.col("lead_meta").alias("meta"))
+    members = held.select("token", "sig", "meta").union(leads).select("token", "sig", *fields("meta"))
     stars = held.select(F.col("sig").alias("a"), F.col("lead").alias("b"), *fields("meta", "_x"), *fields("lead_meta", "_y")).where(may_link()).select("a", "b")
-    large = members.join(members.groupBy("token").agg(F.count("*").alias("of")).where(F.col("of") > LARGE).select("token"), "token", "left_semi")
-    large = materialise(large, "large")
+    many = materialise(held.where("many").select("token").distinct(), "large-tokens")
+    large = materialise(with_ids(members, many, "token"), "large")
     pairs = materialise(stars.unionByName(lead_pairs(large.withColumn("own", F.col("sig")), 0, None)).distinct(), "first-pairs")
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig"))
-    sets = set_table(docs, rows, wanted.distinct(), id_col, text_col)
-    links = materialise(verify(pairs, sets), "first-links")
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "sig")
-    members = still_apart(members.join(joined, "sig", "left").select(*MEMBER[:-1], F.coalesce("component_id", "sig").alias("own")))
+    discard(large, many)
+    found = [verify(pairs, *own)]
+    discard(pairs)
+    joined = materialise(components(found[0].select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "sig"), "joined")
+    members = still_apart(join_list(members, joined, "sig", "left").select(*MEMBER[:-1], F.coalesce("component_id", "sig").alias("own")))
+    discard(held, joined)
 
-    found = [links]
     crowded = materialise(members.join(crowds(members), "token", "left_semi"), "crowded")
     if crowded.limit(1).count():
-        degrees = links.groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("degree"))
-        found.append(materialise(verify(lead_pairs(crowded, 1, degrees), sets), "lead-links"))
-        members = still_apart(merged(members, found[-1]))
+        degrees = found[0].groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("degree"))
+        pairs = materialise(lead_pairs(crowded, 1, degrees), "lead-pairs")
+        found.append(verify(pairs, *own))
+        before, members = members, still_apart(merged(members, found[-1]))
+        discard(before, pairs)
     met = materialise(met_pairs(members), "met-pairs")
-    sets = set_table(docs, rows, met.select(F.col("a").alias("sig")).union(met.select("b")).distinct(), id_col, text_col)
-    met = materialise(verify(met, sets), "met-links")
+    discard(members, crowded)
+    found.append(verify(met, *own))
     links = found[0]
-    for more in [*found[1:], met]:
+    for more in found[1:]:
         links = links.union(more)
 
-    classes = materialise(rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep")), "classes")
-    by_rep = links.join(classes.withColumnRenamed("sig", "a").withColumnRenamed("rep", "u"), "a").join(classes.withColumnRenamed("sig", "b").withColumnRenamed("rep", "v"), "b")
-    found = components(by_rep.select("u", "v")).withColumnRenamed("id", "rep")
-    classes = classes.join(found, "rep", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
-    linked = rows.where("sig is not null").join(classes, "sig").select("id", "n", "component_id")
+    reps = classes.select("sig", "rep")
+    by_rep = links.join(reps.toDF("a", "u"), "a").join(reps.toDF("b", "v"), "b")
+    joined = components(by_rep.select("u", "v")).withColumnRenamed("id", "rep")
+    reps = reps.join(joined, "rep", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
+    linked = rows.where("sig is not null").select("id", "n", "sig").join(reps, "sig").select("id", "n", "component_id")
     alone = rows.where("sig is null").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their group, and those without an id; all columns stay."""
+    """One document of each group, that with the smallest id; all columns stay.
+
+    Of rows with the same id one stays. Rows without an id stay, but one of each equal text only."""
     found = jaccard_components(docs.select(id_col, text_col), id_col, text_col)
-    keep = materialise(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "kept-ids")
-    return with_ids(docs.where(F.col(id_col).isNotNull()), keep, id_col).unionByName(docs.where(F.col(id_col).isNull()))
+    keep = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n"))
+    keep = materialise(keep, "kept-ids")
+    once, again = (materialise(keep.where(c).select(id_col), "kept-ids") for c in ("n = 1", "n > 1"))
+    known = docs.where(F.col(id_col).isNotNull())
+    out = with_ids(known, once, id_col).unionByName(with_ids(known, again, id_col).dropDuplicates([id_col]))
+    return out.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
