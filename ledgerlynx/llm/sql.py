@@ -3,13 +3,16 @@
 from .url_filter import SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS
 
 
-def _word(term: str) -> str:
-    return f"regexp_matches(u, '(^|[^a-z0-9]){term}($|[^a-z0-9])')"
+def _hits(terms: tuple[str, ...], hit: str) -> str:
+    """The sum over the terms of an expression of the parts that a term cuts the URL into between boundaries.
+
+    Every boundary is doubled, so that two terms may share one."""
+    return " + ".join(hit.format(f"(len(string_split(u, '_{t}_')) - 1)") for t in terms)
 
 
 _URLS = f"""
 WITH cut AS (
-  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u,
+  SELECT page_id, '_' || regexp_replace(translate(coalesce(url_decode(replace(url, '+', '%2B')), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]', '__', 'g') || '_' AS u,
          CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
 parts AS (
@@ -26,12 +29,11 @@ ruled AS (
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
   END AS rule FROM parts),
 counted AS (
-  SELECT *, {' + '.join(f'{_word(t)}::INT' for t in STRICT_TERMS)} AS n_strict_terms,
-            {' + '.join(f'{_word(t)}::INT' for t in SOFT_TERMS)} AS n_soft
+  SELECT *, ({_hits(STRICT_TERMS, '{}')})::INT AS n_strict, ({_hits(SOFT_TERMS, '({} > 0)::INT')})::INT AS n_soft
   FROM ruled)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN n_strict_terms >= 1 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+       WHEN n_strict >= 1 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
 FROM counted
 """
 
