@@ -166,14 +166,52 @@ def test_perfect_hash():
     assert all(rank(k) == v for k, v in ranks.items()) and rank(b"no key") == -1 and None not in table.keys
 
 
-def test_quality(docs):
+def test_quality(docs, spark):
     out = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
     assert [out[k]["kept"] for k in (0, 3, 5, 6, 7, 9, 10)] == [True, True, False, False, False, False, True]
     assert out[5]["n_words"] == 0 and out[9]["n_repeat_words"] == 3000 and out[9]["base_failed"]
     assert quality.base_counts("a b c d a b c\n\nx|# y\nx|# y".encode()) == (11, 15, 4, 1, 6)
-    noise = " ".join(f"{random.Random(k).getrandbits(200):x}" for k in range(200)).encode()
-    assert not quality.judge(bands=(quality.Band(256, 0.3, 0.5),))(noise)[-1]
     assert quality.keep_good(docs).columns == docs.columns and quality.keep_good(docs.where("false")).count() == 0
+    assert quality.quality_rules(docs.where("false")).count() == 0
+
+
+def test_quality_base_counts_against_brute_force():
+    import re
+
+    rnd = random.Random(8)
+    for _ in range(400):
+        text = "".join(rnd.choice(["a", "b", "é", "\x1c", "\x85", " ", " ", "\n", "\n\n", "\t", "#", "a b a b ", "x y\n"]) for _ in range(rnd.randrange(60)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        repeated = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert quality.base_counts(text.encode()) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated))
+
+
+def test_quality_bands_decide(spark):
+    rnd = random.Random(4)
+    natural = [(k, prose(k, 60 + 7 * k)) for k in range(120)]
+    junk = [
+        (500, " ".join(f"{rnd.getrandbits(200):x}" for _ in range(60))),
+        (501, " ".join(f"numbered-item-{k:05d}" for k in range(200))),
+        (502, prose(900, 700) + " " + " ".join(f"numbered-item-{k:05d}" for k in range(300)) + " " + prose(901, 900)),
+    ]
+    rows = spark.createDataFrame(natural + junk, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in quality.quality_rules(rows).collect()}
+    assert not any(out[k]["base_failed"] or out[k]["kept"] for k, _ in junk) and out[502]["bad_chunks"] >= 0.25
+    assert sum(out[k]["kept"] for k, _ in natural) >= 118
+    assert {r["doc_id"] for r in quality.keep_good(rows).collect()} == {k for k, r in out.items() if r["kept"]}
+    # by hand: medians and quartiles of each octave, then the rule
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    excess = {k: (len(t.encode()), len(squeeze(t.encode())) / len(t.encode()) - quality.usual(len(t.encode()))) for k, t in natural + junk}
+    for k, (size, own) in excess.items():
+        peers = sorted(e for i, (n, e) in excess.items() if n.bit_length() == size.bit_length() and n >= 256 and not out[i]["base_failed"])
+        q1, middle, q3 = (peers[max(0, -(-len(peers) * a // 4) - 1)] for a in (1, 2, 3))
+        centre, spread = len(peers) * middle / (len(peers) + 20), (len(peers) * (q3 - q1) / 1.349 + 1.4) / (len(peers) + 20)
+        if size >= 256 and out[k]["bad_chunks"] == 0:
+            assert out[k]["kept"] == (abs(own - centre) <= 4 * spread), k
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body><nav><a>Home</a></nav>
@@ -200,6 +238,27 @@ def test_html_of_a_host_with_many_templates(spark):
     assert len(out) == 60 and all(r["text"] == prose(r["page_id"], 20) for r in out)
 
 
+def test_html_that_is_not_as_it_should_be(spark):
+    def text(html):
+        blocks, tree, _, _ = html_extract.page_parts(html)
+        return html_extract.main_text(blocks, tree, {})
+
+    assert text("<a title=don't>one</a><p>two's</p>") == "one two's" and text('<p class=x">one') == "one" and text("<script src=x />var a</script>t") == "t"
+    assert text("<div class=free-form>a</div><div class=header-image-story>b</div><div class=comment-list>c</div><div id=cookieNotice>d</div>") == "a b"
+    assert text("<div>x" * 20_000) == " ".join("x" * 20_000)
+    many = spark.createDataFrame([(k, "http://h.x/", "<div>" * 3000 + "x", "c") for k in range(3)], "page_id long, url string, html string, row string")
+    assert [r["text"] for r in html_extract.extract_text(many).collect()] == ["x"] * 3 and html_extract.extract_text(many.where("false")).count() == 0
+
+
+def test_html_keeps_what_is_important_inside_an_unimportant_branch(spark):
+    def page(k):
+        own = f"<section><p>{prose(k, 20)}</p></section>" if k < 9 else ""
+        return f"<body><div class=z><p>Same words</p>{own}</div><ul><li>{prose(500 + k, 9)}</li></ul></body>"
+
+    out = html_extract.extract_text(spark.createDataFrame([(k, f"http://h.x/{k}", page(k)) for k in range(200)], "page_id long, url string, html string")).collect()
+    assert all(r["text"] == (f"{prose(r['page_id'], 20)} " if r["page_id"] < 9 else "") + prose(500 + r["page_id"], 9) for r in out)
+
+
 def brute_components(ids, links):
     group = {i: i for i in ids}
     changed = True
@@ -238,6 +297,36 @@ def test_jaccard(spark, docs):
     assert set(jaccard.one_of_each(df).columns) == set(df.columns)
 
 
+def test_jaccard_of_crowds_and_passages(spark):
+    rnd = random.Random(11)
+    base, passage = prose(50, 200).split(), " ".join(f"p{k}" for k in range(60))
+    made = []
+    for k in range(200):  # 200 that link by one passage and more, and 200 that share a passage and don't
+        words = list(base)
+        words[rnd.randrange(200)] = f"w{k}"
+        made.append(" ".join(words))
+    made += [passage + " " + " ".join(f"u{k}x{i}" for i in range(40)) for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert all(got[k] == 0 for k in range(200)) and all(got[k] == k for k in range(200, 400))
+
+
+def test_jaccard_keeps_one_row_of_repeated_ids(spark):
+    a, b = prose(60, 80), prose(61, 80)
+    rows = [(1, a, "x"), (1, a, "y"), (2, a, "z"), (3, b, "x"), (None, b, "x"), (None, b, "y"), (4, None, "x"), (4, None, "x"), (5, "", "x")]
+    out = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == sorted([(1, a), (3, b), (0, b), (4, ""), (5, "")])
+
+
+def test_jaccard_signatures_that_clash():
+    s = np.arange(10, dtype=np.uint64)
+    h = jaccard.signature(s)
+    assert jaccard.signature(s, frozenset([h])) != h and jaccard.signature(s, frozenset([h + 1])) == h
+    big, small = jaccard.parity(np.arange(600, dtype=np.uint64)), jaccard.parity(np.arange(500, dtype=np.uint64))
+    half = len(big) // 2
+    assert len(small) == half and sum(int(x).bit_count() for x in ((big[:half] ^ big[half:]) ^ small).view(np.uint64)) <= 100
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(30)] + [(100, 200), (200, 150), (7, 7)]
     out = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
@@ -253,6 +342,30 @@ def test_urls(spark):
     assert (out[0]["host"], out[0]["path"], out[7]["host"], out[8]["path"], out[11]["path"]) == ("a.example.org", "/es/1", "", "", "")
 
 
+def test_urls_against_brute_force_and_sql(spark):
+    import re
+    from urllib.parse import unquote_to_bytes
+
+    import duckdb
+
+    from ledgerlynx.llm.queries import URL_RULES
+    from ledgerlynx.llm.sql import ORACLES
+
+    rnd = random.Random(1)
+    parts = [*url_filter.STRICT_TERMS, *url_filter.SOFT_TERMS, "a", "Xx", "é", "%20", "%66ree", "+", "?", "#", "/fr/", "/es/"]
+    urls = [None, "", "x", "://", "http://h.net/" + "casin" * 20_000] + [f"http://{rnd.choice(['H', 'a.example', 'example'])}.{rnd.choice(['net', 'org', 'com'])}/" + "".join(rnd.choice(parts) + rnd.choice(["", "-", "/", "_", "%2D"]) for _ in range(rnd.randrange(6))) for _ in range(600)]
+    pages = spark.createDataFrame([(k, u, "clash", 1) for k, u in enumerate(urls)], "page_id long, url string, rest string, n_soft int")
+    got = url_filter.filter_urls(pages, URL_RULES).orderBy("page_id").collect()
+    for u, r in zip(urls, got, strict=True):
+        text = unquote_to_bytes((u or "").encode().lower()).lower().decode("utf-8", "replace")
+        hits = {t: len(re.findall(rf"(?<![a-z0-9]){t}(?![a-z0-9])", text)) for t in (*url_filter.STRICT_TERMS, *url_filter.SOFT_TERMS)}
+        assert (r["n_strict"], r["n_soft"]) == (sum(hits[t] for t in url_filter.STRICT_TERMS), sum(hits[t] > 0 for t in url_filter.SOFT_TERMS))
+    con = duckdb.connect()
+    con.register("pages", pages.select("page_id", "url").toPandas())
+    assert con.sql(f"select page_id, host, path, rule, verdict, n_strict, n_soft from ({ORACLES['op8_url_filters']}) order by page_id").fetchall() == [tuple(r) for r in got]
+    assert url_filter.filter_urls(pages.where("false"), URL_RULES).count() == 0
+
+
 def test_personal_data(spark):
     text = "mail joe.b+1@mail.example.com or 10.0.0.256 and 10.20.30.40, card 4111 1111 1111 1111, not 4111 1111 1111 1112, call +1 (555) 010-2030 é🙂 +12"
     rows = [(1, text), (2, None), (3, ""), (4, "a@b no dot"), (5, "x" * 200_000 + "@" + "9" * 50_000)]
@@ -276,6 +389,17 @@ def test_disguised_personal_data_at_every_size(spark):
         assert [out[k] for k in range(len(planted + clean))] == [[h] for h in hidden] + [[]] * len(clean)
 
 
+def test_spans_of_many_candidates_in_one_text():
+    base = " ".join(f"10.0.{k // 250}.{k % 250}" for k in range(20_000))
+    text = base + " " + " ".join(f"10[.]0[.]{k // 250}[.]{k % 250}" for k in range(5_000))
+    found = pii.spans_of(text)
+    ips = [s for s in found if s["kind"] == pii.IP]
+    assert sum(s["base"] for s in ips) == 20_000 and sum(not s["base"] for s in ips) >= 5_000
+    spans = [pii.Span(s["kind"], s["start"], s["stop"], s["base"]) for s in pii.spans_of(base[:3000] + " 1[.]2[.]3[.]4")]
+    own = [s for s in spans if s.base]
+    assert all(s.stop <= b.start or b.stop <= s.start for s in spans if not s.base for b in own)
+
+
 def test_boosting_held_out():
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(3000, 6))
