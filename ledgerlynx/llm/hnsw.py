@@ -1,12 +1,14 @@
 """Embedding near-dedup: navigable small-world graphs per shard, audited beams, verified links, components.
 
 Vectors are compared only within a label. Equal vectors form one class with a count. The classes of a
-label are dealt to shards of about `SHARD` vectors by hash; each shard builds one hierarchical graph over
-all its vectors, and every vector of the label queries every shard. A query whose beam ends above the
+label are dealt to shards of about `SHARD` vectors by hash; each shard builds one hierarchical graph over all its vectors
+once, and graph and vectors are written as one packed row. Every vector of the label queries every shard: a task takes one
+shard's graph and the vectors of one shard as a block of queries, so it never holds more than two shards, and a label
+with very many vectors is spread over the square of its shards. A query whose beam ends above the
 threshold may have more links than its beam holds, so its beam is doubled until it does not; past `WIDEST`
 the shard is scanned in blocks for that query. Each shard audits a sample of its own vectors against
-brute force and doubles the beam of all queries until the recall of links reaches `RECALL`. Every
-link is verified by the cosine in double precision.
+brute force and doubles the beam of all queries until the recall of links to other vectors reaches `RECALL`; the recall
+that the shard of a vector ended with is returned with it. Every link is verified by the cosine in double precision.
 
 A task returns for each query its number of links and a spanning forest of the links it saw, not
 all pairs, so a large group of near copies gives rows in proportion to its members. Components
@@ -14,23 +16,26 @@ are then the union of the forests.
 
 Vectors that are null, zero, or hold null or non-finite components, and vectors without a label, link
 with nothing. Empty tables give no rows. Ties in similarity are all links. Repeated rows are links of
-each other, also if their ids are equal (an id is then in several rows, each with the other's link).
-Vectors of differing lengths never link. Further input columns are ignored.
+each other, also if their ids are equal (an id is then in several rows, each with the other's link). Rows without an id
+link nothing. Vectors of differing lengths never link. Further input columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, small_batches
 from .graph import components
 
 THRESHOLD = 0.93
-#: Vectors of one graph, about. Links of a node on the lowest level, and above.
-SHARD, NEAR, FAR = 16_384, 16, 8
+#: Vectors of one graph, about, and bytes of its components. Links of a node on the lowest level, and above.
+SHARD, SHARD_BYTES, NEAR, FAR = 16_384, 64 << 20, 16, 8
 BEAM, WIDEST = 32, 512
 #: Vectors that a shard audits, and the recall of links it must reach.
 AUDIT, RECALL = 128, 0.995
@@ -161,16 +166,18 @@ def neighbours(graph: SmallWorld, q: np.ndarray, beam: int, least: float):
         beam *= 2
 
 
-def audited_beam(graph: SmallWorld, beam: int, least: float) -> int:
-    """The beam, doubled until a sample's links are found to `RECALL`."""
+def audited_beam(graph: SmallWorld, beam: int, least: float) -> tuple[int, float]:
+    """The beam, doubled until a sample's links to other vectors are found to `RECALL`, and the recall reached."""
     sample = np.unique(np.linspace(0, len(graph.x) - 1, min(AUDIT, len(graph.x))).astype(int))
     q = graph.x[sample]
-    there = int((q @ graph.x.T >= least).sum())
-    while beam <= WIDEST:
-        if sum(len(r) for r, _ in neighbours(graph, q, beam, least)) >= RECALL * there:
-            break
+    there = q @ graph.x.T >= least
+    there[np.arange(len(sample)), sample] = False
+    there = int(there.sum())
+    while True:
+        found = sum(int((sample[r] != c).sum()) for r, c in neighbours(graph, q, beam, least))
+        if found >= RECALL * there or beam > WIDEST:  # past the widest beam the search is exact
+            return beam, found / there if there else 1.0
         beam *= 2
-    return beam
 
 
 class Forest:
@@ -191,39 +198,44 @@ class Forest:
         return a != b
 
 
-def search_shard(indexed: pd.DataFrame, asking: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Rows (id, n_links, other): a query's links into the shard, weighted by class size, and forest edges."""
-    out: dict[str, list] = {"id": [], "n_links": [], "other": []}
-    asked_by_length = asking.groupby(asking["embedding"].str.len())
-    for length, index in indexed.groupby(indexed["embedding"].str.len()):
-        if length not in asked_by_length.groups:
-            continue
-        asked = asked_by_length.get_group(length)
-        exact = _unit(np.stack(index["embedding"].to_numpy()).astype(np.float64))
-        asked_exact = _unit(np.stack(asked["embedding"].to_numpy()).astype(np.float64))
-        graph = SmallWorld(exact.astype(np.float32))
-        least = np.float32(threshold - 1e-4)
-        beam = audited_beam(graph, BEAM, least)
-        ids, sizes, askers = index["id"].to_numpy(), index["size"].to_numpy(), asked["id"].to_numpy()
-        place = {v: i for i, v in enumerate(dict.fromkeys([*ids.tolist(), *askers.tolist()]))}
-        ids_at, askers_at = (np.array([place[v] for v in x.tolist()]) for x in (ids, askers))
-        forest, n_links = Forest(len(place)), np.zeros(len(asked), np.int64)
-        for r, c in neighbours(graph, asked_exact.astype(np.float32), beam, least):
-            true = np.einsum("ij,ij->i", asked_exact[r], exact[c]) >= threshold
-            r, c = r[true], c[true]
-            true = askers[r] != ids[c]
-            r, c = r[true], c[true]
-            np.add.at(n_links, r, sizes[c])
-            for i, j in zip(r.tolist(), c.tolist(), strict=True):
-                if forest.join(askers_at[i], ids_at[j]):
-                    out["id"].append(askers[i])
-                    out["n_links"].append(0)
-                    out["other"].append(ids[j])
-        linked = np.flatnonzero(n_links)
-        out["id"] += askers[linked].tolist()
-        out["n_links"] += n_links[linked].tolist()
-        out["other"] += [None] * len(linked)
-    return pd.DataFrame(out).astype({"id": "int64", "n_links": "int64", "other": "Int64"})
+def pack_shard(rows: pd.DataFrame, threshold: float) -> tuple[bytes, float]:
+    """A shard's ids, class sizes, vectors and graph as bytes, and its audited recall."""
+    import zstandard
+
+    vectors = np.stack(rows["embedding"].to_numpy())
+    graph = SmallWorld(_unit(vectors.astype(np.float64)).astype(np.float32))
+    beam, recall = audited_beam(graph, BEAM, np.float32(threshold - 1e-4))
+    out = io.BytesIO()
+    levels = {f"level{k}": x for k, x in enumerate(graph.levels)}
+    np.savez(out, ids=rows["id"].to_numpy(np.int64), sizes=rows["size"].to_numpy(np.int64), vectors=vectors, entry=graph.entry, beam=beam, **levels)
+    return zstandard.ZstdCompressor(level=1).compress(out.getvalue()), recall
+
+
+class Shard:
+    """A packed shard, read again."""
+
+    def __init__(self, packed: bytes):
+        import zstandard
+
+        own = np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(packed)))
+        self.ids, self.sizes, self.exact, self.beam = own["ids"], own["sizes"], _unit(own["vectors"].astype(np.float64)), int(own["beam"])
+        self.graph = SmallWorld.__new__(SmallWorld)
+        self.graph.x, self.graph.entry = self.exact.astype(np.float32), int(own["entry"])
+        self.graph.levels = [own[f"level{k}"] for k in range(sum(name.startswith("level") for name in own.files))]
+
+
+def search_shard(index: Shard, asked: Shard, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, n_links) of the askers with links into the shard, weighted by class size, and the edges (id, other) of a forest."""
+    places, at = np.unique(np.concatenate([index.ids, asked.ids]), return_inverse=True)
+    ids_at, askers_at = at[: len(index.ids)], at[len(index.ids) :]
+    forest, n_links, edges = Forest(len(places)), np.zeros(len(asked.ids), np.int64), []
+    for r, c in neighbours(index.graph, asked.graph.x, index.beam, np.float32(threshold - 1e-4)):
+        true = (askers_at[r] != ids_at[c]) & (np.einsum("ij,ij->i", asked.exact[r], index.exact[c]) >= threshold)
+        r, c = r[true], c[true]
+        np.add.at(n_links, r, index.sizes[c])
+        edges += [(i, j) for i, j in zip(askers_at[r].tolist(), ids_at[c].tolist(), strict=True) if forest.join(i, j)]
+    linked, edges = np.flatnonzero(n_links), np.array(edges, np.int64).reshape(-1, 2)
+    return asked.ids[linked], n_links[linked], places[edges[:, 0]], places[edges[:, 1]]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -232,34 +244,53 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
-    """One row a vector: id, n_links, component_id, kept."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
+    """One row a vector: id, n_links, component_id, kept, recall (null for vectors that link nothing by rule)."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("fit", F.coalesce(finite, F.lit(False)) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    rows = rows.withColumn("key", F.when(F.col("fit"), F.sha2(F.to_json(F.struct("embedding")), 256)))
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    fit = rows.where("fit")
+    # equal vectors are told by 128 bits of them
+    keys = {f"key{k}": F.when(F.col("fit"), F.xxhash64(F.lit(k), F.col("embedding") if k == 0 else F.reverse("embedding"))) for k in range(2)}
+    rows = materialise(rows.withColumns({**keys, "row": F.monotonically_increasing_id(), "length": F.size("embedding")}), "vectors")
+    fit, same = rows.where("fit"), ["label", "length", *keys]
     # one row a class of equal vectors; any of its ids stands for it, here the smallest
-    classes = fit.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.min("row").alias("row"))
-    classes = materialise(classes.join(rows.select("row", "embedding"), "row").select("label", "key", F.col("row").alias("id"), "rep", "size", "embedding"), "classes")
-    shards = classes.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / shard)).cast("int").alias("n_shards"))
-    dealt = classes.join(shards, "label").select("label", "id", "size", "embedding", "n_shards")
-    index = dealt.withColumn("shard", F.pmod(F.xxhash64("id"), "n_shards").cast("int"))
-    asking = dealt.select(*(F.col(c).alias(c) for c in dealt.columns), F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)).alias("shard"))
-
-    def search(key, indexed: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        return search_shard(indexed, asking, threshold)
-
-    found = index.groupBy("label", "shard").cogroup(asking.groupBy("label", "shard")).applyInPandas(search, "id long, n_links long, other long")
-    found = materialise(found, "vector-links")
-    reps = classes.select("id", "rep", "size", "label", "key")
+    classes = fit.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.min("row").alias("row"))
+    classes = classes.join(rows.select("row", "embedding"), "row").select(*same, F.col("row").alias("id"), "rep", "size", "embedding")
+    room = F.greatest(F.lit(64), F.least(F.lit(shard), F.expr(f"int({SHARD_BYTES} / (8 * length))")))
+    shards = fit.groupBy("label", "length").agg(F.ceil(F.count("*") / room).cast("int").alias("n_shards"))
+    classes = materialise(classes.join(shards, ["label", "length"]).withColumn("shard", F.pmod(F.xxhash64("id"), "n_shards").cast("int")), "classes")
+    kind = dict(rows.dtypes)["label"]
+
+    def build(key, indexed: pd.DataFrame) -> pd.DataFrame:
+        packed, recall = pack_shard(indexed, threshold)
+        return pd.DataFrame({"label": [key[0]], "length": [key[1]], "shard": [key[2]], "n_shards": [indexed["n_shards"].iloc[0]], "packed": [packed], "recall": [recall]})
+
+    graphs = classes.select("label", "length", "shard", "n_shards", "id", "size", "embedding").groupBy("label", "length", "shard").applyInPandas(build, f"label {kind}, length int, shard int, n_shards int, packed binary, recall double")
+    graphs = materialise(graphs, "graphs")
+    every = F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1))
+    index = graphs.select("label", "length", "shard", every.alias("block"), F.col("packed").alias("index"))
+    asking = graphs.select("label", "length", F.col("shard").alias("block"), every.alias("shard"), F.col("packed").alias("asking"))
+    both = index.join(asking, ["label", "length", "shard", "block"]).select("index", "asking")
+
+    def search(batches):
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                ids, n_links, u, v = search_shard(Shard(left.as_py()), Shard(right.as_py()), threshold)
+                columns = np.concatenate([ids, u]), np.concatenate([n_links, np.zeros(len(u), np.int64)])
+                other = pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(v, pa.int64())])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), other], names=["id", "n_links", "other"])
+
+    small_batches(rows.sparkSession)
+    found = materialise(both.mapInArrow(search, "id long, n_links long, other long"), "vector-links")
+    recalls = materialise(graphs.select("label", "length", "shard", "recall"), "recalls")
+    discard(graphs)
+    reps = classes.select("id", "rep", "size", "shard", *same)
     links = found.where("other is not null").join(reps.select("id", F.col("rep").alias("u")), "id")
     links = links.join(reps.select(F.col("id").alias("other"), F.col("rep").alias("v")), "other")
     joined = components(links.select("u", "v")).withColumnRenamed("id", "rep")
     counts = found.where("other is null").groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    known = reps.join(counts, "id", "left").join(joined, "rep", "left")
-    known = known.select("label", "key", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    linked = fit.select("id", "label", "key").join(known, ["label", "key"]).select("id", "n_links", "component_id")
-    alone = rows.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    known = reps.join(counts, "id", "left").join(joined, "rep", "left").join(F.broadcast(recalls) if recalls.count() <= 100_000 else recalls, ["label", "length", "shard"])
+    known = known.select(*same, (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), "recall")
+    linked = fit.select("id", *same).join(known, same).select("id", "n_links", "component_id", "recall")
+    alone = rows.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
     out = linked.unionByName(alone)
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "recall")

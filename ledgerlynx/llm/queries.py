@@ -38,7 +38,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93).drop("recall")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,9 +129,22 @@ def test_near_duplicates(spark):
         found, total = found + got[i]["n_links"], total + want
         assert got[i]["kept"] == (got[i]["component_id"] == i)
     assert found >= 0.99 * total and got[502]["component_id"] == 502
+    want = brute_components([r[0] for r in rows], [(a, b) for a, bs in links.items() for b in bs])
+    assert {k: r["component_id"] for k, r in got.items()} == want
+    assert all((r["recall"] is None) == (k not in fit) and (r["recall"] or 1) >= 0.99 for k, r in got.items())
     assert hnsw.near_duplicates(vectors(spark, rows).where("false")).count() == 0
 
 
+def test_near_duplicates_of_a_crowd(spark):
+    rnd = np.random.default_rng(6)
+    base = rnd.normal(size=24)
+    rows = [(k, (base + rnd.normal(scale=0.02, size=24)).tolist(), 1, "x") for k in range(1000)] + [(1000 + k, rnd.normal(size=24).tolist(), 1, "x") for k in range(300)]
+    rows += [(2000 + k, [1.0] * 24, 1, "x") for k in range(40)]  # ties
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(vectors(spark, rows), shard=400).collect()}
+    assert all(got[k]["component_id"] == 0 and got[k]["n_links"] == 999 for k in range(1000))
+    assert all(got[2000 + k]["component_id"] == 2000 and got[2000 + k]["n_links"] == 39 for k in range(40))
+
+
 def test_small_world_recall():
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(1500, 24)) + 2 * rnd.normal(size=(30, 24))[rnd.integers(0, 30, 1500)]
@@ -424,4 +437,26 @@ def test_training_order(docs, tmp_path, spark):
     assert (read[20] == next(training_order.read_slots(folder, 20, 1, 64, 16))).all()
     total = sum(len(packing._encoder(RANKS, JSON, P.PATTERN)(t)) + 1 if t else 1 for t in texts())
     assert out.n_tokens.sum() == total
+    # the tasks' chains one after the other, cut and put into their slots, are the files
+    chains, encode = {}, packing._encoder(RANKS, JSON, P.PATTERN)
+    from pyspark.sql import functions as F
+
+    for r in docs.withColumn("part", F.spark_partition_id()).collect():
+        chains.setdefault(r["part"], []).extend([*(encode(r["text"]).tolist() if r["text"] else []), 50256])
+    cut = [c[a : a + 64] for _, c in sorted(chains.items()) for a in range(0, len(c), 64)]
+    slots = training_order.permute(np.arange(n), n, 3)
+    assert len(cut) == n and all(read[slots[k]].tolist() == c + [50256] * (64 - len(c)) for k, c in enumerate(cut))
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.bin")) == [f"shard-{k:08d}.bin" for k in range(-(-n // 16))]
     assert training_order.write_in_order(docs.where("false"), folder + "2", RANKS, JSON, P.PATTERN, key=3).count() == 0
+    with pytest.raises(Exception, match="does not fit"):
+        training_order.write_in_order(docs, folder + "3", RANKS, JSON, P.PATTERN, key=3, dtype="u1")
+
+
+def test_packing_over_several_rounds(spark):
+    rnd = np.random.default_rng(3)
+    lengths = rnd.integers(20, 256, 30_000)
+    pieces = spark.createDataFrame([(k, k, 0, 0, int(v), 0) for k, v in enumerate(lengths)], "row long, doc_id long, piece int, start long, length long, ids_crc32 long").repartition(8)
+    out = packing.pack(pieces, 256, group_rows=1500).toPandas()
+    assert len(out) == 30_000 and out.groupby("sequence_id").length.sum().max() <= 256
+    best = packing.best_fit(lengths, 256)[0].max() + 1
+    assert max(-(-lengths.sum() // 256), (lengths > 128).sum()) <= out.sequence_id.nunique() <= 1.02 * best
