@@ -5,12 +5,18 @@ tokens; only a task's last sequence is padded with end ids. Sequences are number
 number plus their place in it. A keyed Feistel network over the smallest even-bit domain that holds
 all N numbers, walked along its cycle until it lands below N, maps numbers to slots: a permutation of
 0 .. N-1 that the key alone decides, with no sort of random keys and no list of N entries anywhere.
-Slots are range partitioned, `per_shard` to a shard, and each shard is written as one file of
+Slots are range partitioned, `per_shard` to a shard, by arithmetic (the ranges are equal, so none need be sampled): a task
+gets one shard, and each shard is written as one file of
 fixed stride: slot s lies in file s // per_shard at byte (s % per_shard) * stride * width, so a reader
 resumes anywhere by arithmetic.
 
 A shard is written under a name of its own attempt and then renamed, so a task that is run again after
-the loss of an executor, or twice, leaves one whole file.
+the loss of an executor, or twice, leaves one whole file. The folder is named as Hadoop names it, so a path without a scheme
+lies in the cluster's default file system.
+
+The permutation is a function of the key and N alone. Which sequence has which number also depends on how the scan was
+split into tasks, so the same order comes again from the returned table or the files, not from another run over
+other splits. A token id that the width doesn't hold raises an error.
 
 Null and empty texts are one end id. Empty tables give no rows and no files. Repeated rows are
 written each for itself. Very long texts run over as many sequences as they need. Further input columns are ignored.
@@ -19,13 +25,14 @@ written each for itself. Very long texts run over as many sequences as they need
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -75,6 +82,7 @@ def sequences(docs: DataFrame, ranks_path: str, tokenizer_path: str | None, patt
 
         part, nth = TaskContext.get().partitionId(), 0
         encode, end = _encoder(ranks_path, tokenizer_path, pattern), np.array([end_id], np.uint32)
+        most = np.iinfo(dtype).max
         rest, owner = np.empty(0, np.uint32), None  # tokens not yet cut, and the document they begin with
 
         def rows(cut: list[tuple]) -> pa.RecordBatch:
@@ -84,6 +92,8 @@ def sequences(docs: DataFrame, ranks_path: str, tokenizer_path: str | None, patt
             cut = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([encode(text), end]) if text else end
+                if (top := int(ids.max())) > most:
+                    raise ValueError(f"token id {top} does not fit {dtype}")
                 if not len(rest):
                     owner = doc
                 chain = np.concatenate([rest, ids])
@@ -107,12 +117,17 @@ def sequences(docs: DataFrame, ranks_path: str, tokenizer_path: str | None, patt
 
 
 def _filesystem(folder: str):
-    """(pyarrow file system, path) of a folder named by path or URI."""
+    """(pyarrow file system, path) of a folder named by URI."""
     from pyarrow import fs
 
-    if "://" in folder or folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
-    return fs.LocalFileSystem(), os.path.abspath(folder)
+    return fs.FileSystem.from_uri(folder)
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the file system that Hadoop finds it in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", uri)
 
 
 def write_in_order(
@@ -120,7 +135,8 @@ def write_in_order(
     end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2",
 ) -> DataFrame:
     """Write the shards and return one row a sequence: slot, shard, byte_offset, number, first_doc_id, n_tokens, tokens_crc32."""
-    cut = materialise(sequences(docs, ranks_path, tokenizer_path, pattern, stride, end_id, id_col, text_col, dtype), "sequences", level=9)
+    folder = _qualified(docs.sparkSession, folder)
+    cut = materialise(sequences(docs, ranks_path, tokenizer_path, pattern, stride, end_id, id_col, text_col, dtype), "sequences", level=6)
     counts = cut.groupBy("part").agg(F.count("*").alias("n"))
     # one row a task of the scan; its size is that of the job, not of the data
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,7 +147,7 @@ def write_in_order(
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=6).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             packed = pa.array([squeeze(t.as_py()) for t in b.column("tokens")], pa.binary())
             b = b.set_column(b.schema.get_field_index("tokens"), "tokens", packed)  # what is shuffled
@@ -170,14 +186,14 @@ def write_in_order(
         close()
 
     n_shards = -(-n // per_shard)
-    in_order = shards.repartition(max(1, n_shards), "shard").sortWithinPartitions("shard", "slot").select("slot", "shard", "number", "first_doc_id", "n_tokens", "tokens")
+    in_order = shards.repartitionById(max(1, n_shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "slot").select("slot", "shard", "number", "first_doc_id", "n_tokens", "tokens")
     written = in_order.mapInArrow(write, f"slot long, shard long, byte_offset long, number long, first_doc_id {kind}, n_tokens long, tokens_crc32 long")
     return materialise(written, "written")
 
 
 def read_slots(folder: str, first: int, count: int, stride: int = 2048, per_shard: int = 8192, dtype: str = "<u2") -> Iterator[np.ndarray]:
-    """Sequences first, first + 1, ... in training order, from any slot on."""
-    store, root = _filesystem(folder)
+    """Sequences first, first + 1, ... in training order, from any slot on. A folder without a scheme is a local one."""
+    store, root = _filesystem(folder if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", folder) else f"file://{os.path.abspath(folder)}")
     width = stride * np.dtype(dtype).itemsize
     while count > 0:
         shard, place = divmod(first, per_shard)
