@@ -14,7 +14,7 @@ CUSTOMER = "customer_id string, name string, customer_type string, registration_
 #: Fixed values.
 TRANSACTION_TYPES = ("wire_transfer", "cash_deposit", "cash_withdrawal", "check", "ach", "card_payment", "crypto", "international")
 HIGH_RISK_COUNTRIES = ("IR", "KP", "SY", "AF", "IQ", "LY", "SO", "SD", "YE", "MM")
-CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CHF", "CAD", "AUD", "CNY", "INR")
+CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CHF", "CAD", "AUD", "CNY", "BRL")
 SENSITIVE_COLUMNS = ("ssn", "tax_id", "account_number", "card_number")
 
 DAY_US = 86_400_000_000

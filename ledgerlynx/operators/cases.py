@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import money
+from .ordering import ranges, running
 from .validation import labels
 
-#: Alert types in their order of test, by pattern.
-ALERT_TYPES = (("structuring", "STRUCTURING"), ("smurfing", "SMURFING"), ("layering", "LAYERING"), ("sanctions", "SANCTIONS"), ("pep", "PEP"), ("geography", "HIGH_RISK_COUNTRY"), ("crypto", "CRYPTO"), ("basic", "RULE_BASED"))
+#: Alert types in their order of test, by patterns.
+ALERT_TYPES = (
+    (("sanctioned_sender", "sanctioned_receiver"), "SANCTIONS_VIOLATION"), (("layering",), "LAYERING"), (("smurfing",), "SMURFING"), (("structuring",), "STRUCTURING"), (("large_cash",), "LARGE_CASH_TRANSACTION"),
+    (("high_risk_country_origin", "high_risk_country_destination"), "HIGH_RISK_JURISDICTION"), (("behavioral_anomaly",), "BEHAVIORAL_ANOMALY"), (("fan_out",), "SUSPICIOUS_NETWORK_ACTIVITY"),
+)
+#: Starting thresholds and their steps, floors and caps.
+THRESHOLDS = {"structuring": (50.0, 9000.0, float("inf")), "high_value": (500.0, 5000.0, float("inf")), "anomaly": (0.02, 0.5, 0.95)}
 
 
 def alert_type(patterns: Column) -> Column:
     """C2."""
     out = F.lit("SUSPICIOUS_ACTIVITY")
-    for pattern, name in reversed(ALERT_TYPES):
-        out = F.when(F.array_contains(patterns, pattern), name).otherwise(out)
+    for names, kind in reversed(ALERT_TYPES):
+        out = F.when(F.arrays_overlap(patterns, F.array(*map(F.lit, names))), kind).otherwise(out)
     return out
 
 
@@ -35,13 +41,17 @@ def explanation(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("explanation", F.concat_ws(" ", F.format_string("%s alert at level %s.", "alert_type", "risk_level"), F.array_join(F.transform(F.slice("findings", 1, 5), lambda f: F.concat(F.lit("- "), f)), " ")))
 
 
-def merge_alerts(alerts: DataFrame, hours: int = 24) -> DataFrame:
-    """C4: by customer, type and window of hours: the row of highest priority with the union of ids and patterns."""
-    x = alerts.select("*", F.explode("customer_ids").alias("customer")).withColumn("window", F.window("created_at", f"{hours} hours")["start"])
+def merge_alerts(alerts: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """C4: the alerts of the last hours before `as_of`, and any later ones, by customer and type: the row of highest
+    priority with the union of ids, customers, patterns and detectors, and a note if it stands for several."""
+    recent = alerts.where((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("created_at")) < hours * 3_600_000_000)
+
     def union(c):
         return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
 
-    return x.groupBy("customer", "alert_type", "window").agg(F.max_by("alert_id", F.struct("priority", "alert_id")).alias("alert_id"), F.max("priority").alias("priority"), F.count("*").alias("n"), union("transaction_ids"), union("patterns"), union("triggered_by"))
+    by = recent.select("*", F.explode("customer_ids").alias("customer")).groupBy("customer", "alert_type")
+    out = by.agg(F.max_by("alert_id", F.struct("priority", "alert_id")).alias("alert_id"), F.max("priority").alias("priority"), F.count("*").alias("n"), *map(union, ("transaction_ids", "customer_ids", "patterns", "triggered_by")))
+    return out.withColumn("note", F.when(F.col("n") > 1, F.format_string("[CONSOLIDATED from %d related alerts]", "n")).otherwise(""))
 
 
 def current_status(log: DataFrame) -> DataFrame:
@@ -73,6 +83,16 @@ def narrative(alerts: DataFrame, txns: DataFrame, shown: int = 10) -> DataFrame:
     return rows.select("alert_id", F.concat(F.array_join(lines, "\n"), F.when(F.size("rows") > shown, F.concat(F.lit("\nand "), (F.size("rows") - shown).cast("string"), F.lit(" more"))).otherwise("")).alias("narrative"))
 
 
+def file_reports(reports: DataFrame, filings: DataFrame) -> DataFrame:
+    """Reports with those of the filings (report_id, filed_by, filed_at) marked as filed, the first filing of each
+    counting. The confirmation is a hash, so a run that is repeated gives the same one."""
+    first = filings.groupBy("report_id").agg(F.min(F.struct("filed_at", "filed_by")).alias("first"))
+    out = reports.join(first, "report_id", "left")
+    code = F.upper(F.substring(F.sha2(F.concat_ws("|", F.lit("filing"), F.col("report_id").cast("string"), "first.filed_by", F.col("first.filed_at").cast("string")), 256), 1, 12))
+    marked = {"filed": F.col("first").isNotNull(), "filed_at": F.col("first.filed_at"), "filed_by": F.col("first.filed_by"), "confirmation": F.when(F.col("first").isNotNull(), F.concat(F.lit("CONF-"), code))}
+    return out.withColumns(marked).drop("first")
+
+
 def validate_report(reports: DataFrame) -> DataFrame:
     """C10."""
     errors = labels(*((F.col(c).isNull(), c) for c in ("subject_id", "alert_type", "start", "narrative")))
@@ -80,6 +100,41 @@ def validate_report(reports: DataFrame) -> DataFrame:
     return reports.withColumns({"errors": errors, "warnings": warnings})
 
 
+def _element(name: str, *inside: Column | str) -> Column:
+    """An XML element; a string names a column, whose value is escaped and empty if null."""
+    def escaped(c):
+        out = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            out = F.replace(out, F.lit(mark), F.lit(entity))
+        return out
+
+    return F.concat(F.lit(f"<{name}>"), *(escaped(c) if isinstance(c, str) else c for c in inside), F.lit(f"</{name.split()[0]}>"))
+
+
+def filing_xml(reports: DataFrame, institution_id: str, institution: str, filing_date: str) -> DataFrame:
+    """C11, first layout: one document a report, from C6 with a narrative."""
+    made = reports.withColumns({"_id": F.lit(institution_id), "_name": F.lit(institution), "_date": F.lit(filing_date), "_kind": F.lit("1"), "_country": F.lit("US"), "_none": F.lit("")})
+    address = _element("Address", *(_element(n, "_none") for n in ("Street", "City", "State", "ZipCode")), _element("Country", "_country"))
+    body = _element(
+        "Activity",
+        _element("FilingInstitution", _element("InstitutionTIN", "_id"), _element("InstitutionName", "_name")),
+        _element("Subject", _element("SubjectType", "_kind"), _element("FirstName", "_none"), _element("LastName", "_none"), _element("TIN", "subject_id"), address),
+        _element("SuspiciousActivity", _element("SuspiciousActivityStartDate", "start"), _element("SuspiciousActivityEndDate", "end"), _element("TotalDollarAmount", "total_amount"), _element("ActivityType", "alert_type")),
+        _element("Narrative", "narrative"), _element("FilingDate", "_date"),
+    )
+    return made.select("alert_id", _element('EFilingBatchXML Version="1.2"', body).alias("xml"))
+
+
+def transaction_xml(alerts: DataFrame, txns: DataFrame, entity_id: str, entity: str, date: str) -> DataFrame:
+    """C11, second layout: one document an alert, with its transactions in order."""
+    rows = attach(alerts, txns).withColumn("_date", F.date_format("ts", "yyyy-MM-dd"))
+    one = _element("transaction", _element("transaction_id", "transaction_id"), _element("amount", "amount"), _element("currency", "currency"), _element("date", "_date"))
+    parts = rows.groupBy("alert_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "transaction_id", one.alias("xml")))), lambda r: r["xml"]), "").alias("_rows"))
+    made = parts.join(alerts.select("alert_id", "alert_type"), "alert_id").withColumns({"_code": F.lit("STR"), "_date": F.lit(date), "_id": F.lit(entity_id), "_name": F.lit(entity)})
+    head = _element("report_header", _element("report_code", "_code"), _element("submission_date", "_date")), _element("reporting_entity", _element("entity_id", "_id"), _element("entity_name", "_name"))
+    return made.select("alert_id", _element('goAMLMessage version="5.0"', *head, F.col("_rows"), _element("reason_for_suspicion", "alert_type")).alias("xml"))
+
+
 def filing_clock(reports: DataFrame, found: str, as_of: str, days: int = 30, least: float = 5000) -> DataFrame:
     """C12."""
     due = F.date_add(F.to_date(found), days)
@@ -89,61 +144,173 @@ def filing_clock(reports: DataFrame, found: str, as_of: str, days: int = 30, lea
 def feedback_class(predicted: Column, decision: Column) -> Column:
     """B1."""
     return (
-        F.when(predicted & (decision == "TRUE_POSITIVE"), "TP").when(predicted & (decision == "FALSE_POSITIVE"), "FP").when(~predicted & (decision == "TRUE_NEGATIVE"), "TN").when(~predicted & decision.isin("TRUE_POSITIVE", "FALSE_NEGATIVE"), "FN").otherwise("UNKNOWN")
+        F.when(decision == "TRUE_POSITIVE", F.when(predicted, "TP").otherwise("FN")).when(decision == "FALSE_POSITIVE", F.when(predicted, "FP").otherwise("TN")).when(decision == "TRUE_NEGATIVE", F.when(predicted, "FP").otherwise("TN")).otherwise("UNKNOWN")
     )
 
 
+def _of_class(*names: str) -> dict[str, Column]:
+    return {k.lower(): (F.col("class") == k).cast("long") for k in names}
+
+
 def rolling_metrics(feedback: DataFrame, order: str, rows: int = 100, first: int = 10) -> DataFrame:
-    """B2: feedback: key, class. The order is one sequence of analyst decisions, which is short."""
-    w = Window.orderBy(order)
-    last = w.rowsBetween(-(rows - 1), 0)
-    n = {k: F.count_if(F.col("class") == k.upper()).over(last) for k in ("tp", "fp", "tn", "fn")}
-    out = feedback.withColumns({**n, "place": F.row_number().over(w)}).where(F.col("place") >= first)
+    """B2: feedback: a numeric key that gives the order, class. Counts of the last rows are differences of running sums.
+    F1 stays what it was while precision and recall are both 0."""
+    kinds = ("tp", "fp", "tn", "fn")
+    sums = running(feedback, order, {"place": F.lit(1), **_of_class("TP", "FP", "TN", "FN")})
+    old = sums.select((F.col("place") + rows).alias("place"), *(F.col(k).alias(f"old_{k}") for k in kinds))
+    out = sums.join(old, "place", "left").withColumns({k: F.col(k) - F.coalesce(f"old_{k}", F.lit(0)) for k in kinds}).drop(*(f"old_{k}" for k in kinds))
+
     def over(a, b):
         return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
-    tp, fp, tn, fn = (F.col(k) for k in ("tp", "fp", "tn", "fn"))
-    return out.withColumns({"accuracy": over(tp + tn, tp + fp + tn + fn), "precision": over(tp, tp + fp), "recall": over(tp, tp + fn), "fpr": over(fp, fp + tn)})
+    tp, fp, tn, fn = map(F.col, kinds)
+    out = out.where(F.col("place") >= first).withColumns({"accuracy": over(tp + tn, tp + fp + tn + fn), "precision": over(tp, tp + fp), "recall": over(tp, tp + fn), "fpr": over(fp, fp + tn)})
+    p, r = F.col("precision"), F.col("recall")
+    out = ranges(out.withColumn("_f1", F.when(p + r > 0, 2 * p * r / (p + r))), order)
+    # the last value before a range is the last one of the ranges before it: one row a range
+    ends = out.groupBy("range").agg(F.max_by("_f1", F.when(F.col("_f1").isNotNull(), F.col(order))).alias("end"))
+    ends = ends.select("range", F.last("end", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return out.join(F.broadcast(ends), "range").withColumn("f1", F.coalesce(F.last("_f1", ignorenulls=True).over(own), "_before", F.lit(0.0))).drop("_f1", "_before", "range")
+
+
+def threshold_fold(feedback: DataFrame, order: str, start: dict[str, float], rows: int = 1_000_000) -> DataFrame:
+    """Feedback: a numeric key that gives the order, class, patterns. Each row with the thresholds after it.
+
+    A step adds to a threshold and keeps it between a floor and a cap. Steps one after the other are again one step with
+    another floor and cap, so each range of rows is first folded into one step, the few steps of the ranges are
+    folded on the driver, and then each range is walked from its own start."""
+    import pandas as pd
+
+    names = list(THRESHOLDS)
+    pattern = {
+        "structuring": F.size(F.filter("patterns", lambda p: p.contains("structuring"))),
+        "high_value": F.size(F.filter("patterns", lambda p: p.contains("high_value") & ~p.contains("structuring"))),
+    }
+    sign = F.when(F.col("class") == "FP", 1).when(F.col("class") == "FN", -1).otherwise(0)
+    steps = feedback.withColumns({n: sign * F.coalesce(pattern.get(n, F.lit(1)), F.lit(0)) for n in names})
+    steps = ranges(steps.select(order, *names), order, rows)
+
+    def folded(own: pd.DataFrame) -> pd.DataFrame:
+        own, out = own.sort_values(order), {"range": [int(own["range"].iloc[0])]}
+        for n in names:
+            size, floor, cap = THRESHOLDS[n]
+            add, low, high = 0.0, -float("inf"), float("inf")
+            for times in own[n]:
+                for _ in range(abs(int(times))):  # only the bound in the direction of the step is looked at
+                    add, low, high = (add + size, min(low + size, cap), min(high + size, cap)) if times > 0 else (add - size, max(low - size, floor), max(high - size, floor))
+            out |= {f"{n}_add": [add], f"{n}_low": [low], f"{n}_high": [high]}
+        return pd.DataFrame(out)
+
+    whole = ", ".join(f"{n}_{c} double" for n in names for c in ("add", "low", "high"))
+    found = sorted(steps.groupBy("range").applyInPandas(folded, f"range int, {whole}").collect(), key=lambda r: r["range"])
+    begins, at = {}, dict(start)
+    for r in found:
+        begins[r["range"]] = dict(at)
+        at = {n: min(r[f"{n}_high"], max(r[f"{n}_low"], at[n] + r[f"{n}_add"])) for n in names}
+    kind = dict(feedback.dtypes)[order]
+
+    def walked(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(order)
+        at, out = dict(begins[int(own["range"].iloc[0])]), {n: [] for n in names}
+        for row in own[names].itertuples(index=False):
+            for n, times in zip(names, row, strict=True):
+                size, floor, cap = THRESHOLDS[n]
+                for _ in range(abs(int(times))):
+                    at[n] = min(at[n] + size, cap) if times > 0 else max(at[n] - size, floor)
+                out[n].append(at[n])
+        return pd.DataFrame({order: own[order].to_numpy(), **out})
+
+    return steps.groupBy("range").applyInPandas(walked, f"`{order}` {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def trend(feedback: DataFrame, order: str, rows: int = 50) -> DataFrame:
-    """The share of false positives among the first and the last rows."""
-    out = feedback.withColumns({"a": F.row_number().over(Window.orderBy(order)), "z": F.row_number().over(Window.orderBy(F.desc(order)))})
-    fp = (F.col("class") == "FP").cast("double")
-    return out.agg(F.avg(F.when(F.col("a") <= rows, fp)).alias("first_rate"), F.avg(F.when(F.col("z") <= rows, fp)).alias("last_rate"), F.count("*").alias("n")).where(F.col("n") >= rows)
+    """The share of false positives among the first and the last rows, its improvement and what that is called."""
+    fp = F.avg((F.col("class") == "FP").cast("double"))
+    first, last = (feedback.orderBy(o).limit(rows).agg(fp.alias(f"{n}_rate")) for n, o in (("first", F.asc(order)), ("last", F.desc(order))))
+    out = feedback.agg(F.count("*").alias("n")).crossJoin(first).crossJoin(last)  # one row each
+    enough = F.col("n") >= rows
+    gain = F.when(F.col("first_rate") > 0, (F.col("first_rate") - F.col("last_rate")) / F.col("first_rate")).otherwise(0.0)
+    out = out.select("n", *(F.when(enough, F.col(c)).alias(c) for c in ("first_rate", "last_rate")), F.when(enough, gain).alias("improvement"))
+    return out.withColumn("trend", F.when(~enough, "insufficient_data").when(F.col("improvement") > 0, "improving").when(F.col("improvement") == 0, "stable").otherwise("declining"))
 
 
 def adaptive_threshold(feedback: DataFrame, order: str, start: float = 0.5) -> DataFrame:
     """A running product of factors that depend on running counts alone."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    tp, fp, fn = (F.count_if(F.col("class") == k).over(w) for k in ("TP", "FP", "FN"))
-    out = feedback.withColumns({"tp": tp, "fp": fp, "fn": fn})
+    out = running(feedback, order, _of_class("TP", "FP", "FN"))
     enough = F.col("tp") + F.col("fp") + F.col("fn") >= 10
     factor = F.when(enough & (2 * F.col("tp") < F.col("tp") + F.col("fp")), 1.1).when(enough & (2 * F.col("tp") < F.col("tp") + F.col("fn")), 0.9).otherwise(1.0)
-    return out.withColumn("factor", factor).withColumn("threshold", start * F.exp(F.sum(F.ln("factor")).over(w)))
+    return running(out.withColumn("factor", factor), order, {"logs": F.ln("factor")}).withColumn("threshold", start * F.exp("logs")).drop("logs")
+
+
+def threshold_statistics(history: DataFrame, feedback: DataFrame) -> DataFrame:
+    """History: name, value, triggered; feedback: name, class. Thresholds without history have no row."""
+    seen = history.groupBy("name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.avg(F.col("triggered").cast("double")).alias("trigger_rate"))
+    counts = feedback.groupBy("name").agg(*(F.count_if(F.col("class") == k).alias(k.lower()) for k in ("TP", "FP", "TN", "FN")))
+    out = seen.join(counts, "name", "left").fillna(0, ["tp", "fp", "tn", "fn"])
+    tp, fp, tn, fn = map(F.col, ("tp", "fp", "tn", "fn"))
+    out = out.withColumns({"precision": F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0), "recall": F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0), "total": tp + fp + tn + fn})
+    p, r = F.col("precision"), F.col("recall")
+    return out.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)).drop("tp", "fp", "tn", "fn")
 
 
 def importance(findings: DataFrame) -> DataFrame:
     """Findings: transaction_id, finding, risk. Risk by the first keyword, scaled by the largest."""
     low = F.lower("finding")
-    group = F.when(low.contains("amount"), "amount").when(low.contains("country"), "country").when(low.contains("frequen"), "frequency").when(low.contains("time"), "time")
+    group = F.when(low.contains("amount"), "transaction_amount").when(low.contains("country"), "country_risk").when(low.contains("frequency"), "transaction_frequency").when(low.contains("time"), "transaction_time")
     sums = findings.withColumn("feature", group).where("feature is not null").groupBy("transaction_id", "feature").agg(F.sum("risk").alias("weight"))
     return sums.withColumn("share", F.col("weight") / F.max("weight").over(Window.partitionBy("transaction_id")))
 
 
-def counterfactuals(txns: DataFrame, high_risk: tuple[str, ...]) -> DataFrame:
-    """What would have to differ."""
-    def case(test, kind, text):
-        return F.when(test, F.struct(F.lit(kind).alias("kind"), text.alias("scenario")))
+#: Destinations that the counterfactual and the sanctions rule look at.
+COUNTERFACTUAL_COUNTRIES = ("IR", "KP", "SY")
+SANCTIONED_COUNTRIES = ("IR", "KP", "SY", "CU")
+
+
+def counterfactuals(txns: DataFrame, countries: tuple[str, ...] = COUNTERFACTUAL_COUNTRIES) -> DataFrame:
+    """What would have to differ, and whether there would still be an alert."""
+    def case(test, kind, before, after, alert):
+        return F.when(test, F.struct(F.lit(kind).alias("scenario"), before.alias("original"), after.alias("modified"), alert.alias("would_alert")))
+
+    a, hour, always = F.col("amount").cast("double"), F.hour("ts"), F.lit(True)
+
+    def cut(share, kind, limit):
+        return case(always, kind, F.format_string("%.2f", a), F.format_string("%.2f", a * share), F.when(a * share > limit, "yes").otherwise("no"))
 
-    a, always = F.col("amount").cast("double"), F.lit(True)
     cases = F.array_compact(F.array(
-        case(always, "amount_half", F.format_string("%.2f", a * 0.5)), case(always, "amount_below", F.format_string("%.2f", F.least(a, F.lit(8999.0)))),
-        case(F.col("country_destination").isin(*high_risk), "country", F.lit("US")), case((F.hour("ts") < 6) | (F.hour("ts") > 22), "hour", F.lit("12")),
+        cut(0.9, "amount_less_10_percent", 9_000), cut(0.5, "amount_less_50_percent", 10_000),
+        case(F.col("country_destination").isin(*countries), "low_risk_destination", F.col("country_destination"), F.lit("US"), F.lit("no")),
+        case((hour < 6) | (hour > 22), "business_hours", F.format_string("%d:00", hour), F.lit("14:00"), F.lit("possibly")),
     ))
     return txns.select("transaction_id", F.inline(cases))
 
 
+def regulations(txns: DataFrame, results: DataFrame) -> DataFrame:
+    """The regulations that apply to each transaction; results: transaction_id, patterns."""
+    marked = results.where(F.array_contains("patterns", "structuring")).select("transaction_id").distinct().withColumn("structured", F.lit(True))
+    a = F.col("amount")
+
+    def rule(test, name, reference):
+        return F.when(test, F.struct(F.lit(name).alias("regulation"), F.lit(reference).alias("reference")))
+
+    found = F.array_compact(F.array(
+        rule(a > 10_000, "FATF Recommendation 10", "https://www.fatf-gafi.org/recommendations.html"),
+        rule((a > 10_000) & F.col("transaction_type").isin("cash_deposit", "cash_withdrawal"), "FinCEN CTR", "31 CFR 1010.310"),
+        rule(F.col("structured"), "BSA/AML Anti-Structuring", "31 USC 5324"),
+        rule(F.col("country_destination").isin(*SANCTIONED_COUNTRIES), "OFAC Sanctions", "https://home.treasury.gov/policy-issues/office-of-foreign-assets-control-sanctions-programs-and-information"),
+    ))
+    return txns.join(marked, "transaction_id", "left").select("transaction_id", F.inline(found))
+
+
+def decision_path(results: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """One row a transaction: the steps in the order of the detectors, the mean confidence, and what it says."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("detector"))
+    step = F.struct(place.alias("place"), "detector", "suspicious", "risk_score", "confidence", "findings", "patterns")
+    out = results.groupBy("transaction_id").agg(F.array_sort(F.collect_list(step)).alias("path"), F.avg("confidence").alias("overall_confidence"))
+    c = F.col("overall_confidence")
+    return out.withColumn("factor", F.when(c > 0.9, "High agreement between agents").when(c < 0.5, "Low agreement between agents"))
+
+
 def audit(df: DataFrame, columns: list[str]) -> DataFrame:
     """Entries with a content hash; `verify` hashes again."""
     return df.withColumn("content_hash", F.sha2(F.to_json(F.struct(*sorted(columns))), 256))

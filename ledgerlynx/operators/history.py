@@ -83,6 +83,14 @@ def moments(t: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in made})
 
 
+def deviation(t: DataFrame) -> DataFrame:
+    """F5's distance from the mean of the history in standard deviations alone, 0 without one."""
+    w = earlier()
+    sd = F.stddev_pop(amount()).over(w)
+    z = F.when(sd > 0, F.abs(amount() - F.avg(amount()).over(w)) / sd)
+    return t.withColumn("h_abs_z", F.coalesce(F.nanvl(z, F.lit(0.0)), F.lit(0.0)))
+
+
 def position(t: DataFrame) -> DataFrame:
     """F5's percentile position: the share of the history at or below the amount, times 100."""
     history = F.collect_list(amount()).over(earlier())
@@ -100,29 +108,29 @@ def velocity(t: DataFrame, days=(1, 7, 30)) -> DataFrame:
 
 
 def habits(t: DataFrame) -> DataFrame:
-    """F7, 0 with fewer than 3 rows of history. The order is by time, then id."""
+    """F7, 0 with fewer than 3 rows of history. The order is by time, then id; the last rows are five, or all if there are fewer."""
     rows = Window.partitionBy("sender_id").orderBy("ts", "transaction_id")
     burst = F.count("*").over(within(DAY_US))
     near = F.count_if(F.col("amount").between(9_000, 10_000)).over(rows.rowsBetween(-10, -1))
     last = F.collect_list(amount()).over(rows.rowsBetween(-5, -1))
-    rising = (F.size(last) == 5) & (last == F.array_sort(last))
+    rising = last == F.array_sort(last)
     gap = (F.unix_micros("ts") - F.max(F.unix_micros("ts")).over(rows.rowsBetween(Window.unboundedPreceding, -1))) / 3_600_000_000
     out = t.withColumns({"seen": F.count("*").over(rows.rowsBetween(Window.unboundedPreceding, -1)), "burst": burst, "near": near, "last": last, "rising": rising, "gap": gap})
     enough = F.col("seen") >= 3
     return out.withColumns({
         "burst": F.when(enough, F.col("burst")).otherwise(0), "near_count": F.when(enough, F.col("near")).otherwise(0), "burst_flag": (enough & (F.col("burst") > 10)).cast("int"), "near_flag": (enough & (F.col("near") >= 3)).cast("int"),
-        "escalation": (enough & F.col("rising")).cast("int"), "escalation_ratio": F.when(enough & F.col("rising") & (F.get("last", F.lit(0)) > 0), F.get("last", F.lit(4)) / F.get("last", F.lit(0))).otherwise(0.0),
+        "escalation": (enough & F.col("rising")).cast("int"), "escalation_ratio": F.when(~enough, 0.0).when(F.get("last", F.lit(0)) > 0, F.element_at("last", -1) / F.get("last", F.lit(0))).otherwise(1.0),
         "frequency_ratio": F.when(enough, 1.0).otherwise(0.0), "hours_since_last": F.when(enough, F.col("gap")).otherwise(0.0),
     }).drop("near", "last", "rising", "gap")
 
 
 def roll_up(t: DataFrame) -> DataFrame:
-    """F9, on top of F1, F2 and F4."""
+    """F9, on top of F1, F4, F7 and the deviation of `deviation`."""
     a, h = F.col("amount"), F.col("hour")
-    amount_risk = F.when(a > 50_000, 1.0).when(a > 10_000, 0.8).when(a > 5_000, 0.5).otherwise(0.2)
-    hour_risk = F.when((h < 6) | (h > 22), 0.8).when((h < 9) | (h > 17), 0.5).otherwise(0.2)
+    amount_risk = F.when(a >= 100_000, 1.0).when(a >= 50_000, 0.8).when(a >= 10_000, 0.5).otherwise(0.2)
+    hour_risk = F.when((h < 6) | (h > 22), 0.8).when((h < 9) | (h > 18), 0.5).otherwise(0.2)
     geo = (F.col("origin_risk") + F.col("destination_risk")) / 2
-    flags = F.col("night") + F.col("weekend") + F.col("any_risk") + F.col("international") + (F.col("roundness") >= 0.8).cast("int")
+    flags = (a % 1000 == 0).cast("int") + F.col("international") + F.col("any_risk") + F.col("night") + (F.col("h_abs_z") > 3).cast("int") + F.col("burst_flag") + F.col("near_flag")
     return t.withColumns({"flags": flags, "amount_risk": amount_risk, "hour_risk": hour_risk, "geo_risk": geo, "composite_risk": (amount_risk + hour_risk + geo) / 3})
 
 

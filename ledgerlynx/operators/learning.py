@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def split(df: DataFrame, label: str, key: str, share: float = 0.8) -> DataFrame:
     """M2: a stratified split by the rank of a hash within each label; the same rows at every run."""
@@ -45,8 +47,7 @@ def ensemble(train: DataFrame, label: str, weights=(0.35, 0.35, 0.30)):
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """M6: by average ranks; ties share theirs. Ranks come from counts of each distinct score."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = running(by, "s", {"up_to": F.col("n")}).withColumn("rank", F.col("up_to") - F.col("n") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum("n")
     return ranked.agg(((F.sum(F.col("pos") * F.col("rank")) - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))
 
@@ -62,9 +63,9 @@ def ks(reference: DataFrame, current: DataFrame, c: str) -> DataFrame:
     """The largest gap between two empirical distributions; counts of each distinct value, then running sums."""
     both = reference.select(F.col(c).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(current.select(F.col(c), F.lit(0), F.lit(1)))
     by = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every))
-    return by.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    total = by.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    sums = running(by.withColumn("v", F.col("v").cast("double")), "v", {"x": F.col("a"), "y": F.col("b")})
+    return sums.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("x") / F.col("ta") - F.col("y") / F.col("tb"))).alias("ks"))
 
 
 def chi_square(reference: DataFrame, current: DataFrame, c: str) -> DataFrame:

@@ -79,8 +79,9 @@ def card_columns(df: DataFrame) -> DataFrame:
     }).withColumn("chip", F.col("entry").isin("05", "07"))
 
 
-RISKY_MCC = ("7995", "6051", "5967", "4829", "6211")
-RISKY_RESPONSES = ("05", "51", "59", "63")
+#: Merchant categories and response codes of risk.
+RISKY_MCC = ("7995", "7801", "6051", "4829", "5933")
+RISKY_RESPONSES = ("14", "41", "43", "54")
 
 
 def card_risk(df: DataFrame, mcc=RISKY_MCC, responses=RISKY_RESPONSES) -> DataFrame:

@@ -154,7 +154,7 @@ def consolidate(results: DataFrame) -> DataFrame:
         return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(triggered, F.col(c))))))
 
     out = results.groupBy("transaction_id").agg(
-        (0.7 * F.max(w) + 0.3 * F.avg(w)).alias("score"), (F.count_if("suspicious") / F.count("*")).alias("share"), F.array_sort(F.collect_set(F.when(triggered, F.col("detector")))).alias("triggered_by"), union("findings").alias("findings"), union("patterns").alias("patterns"),
+        (0.7 * F.max(w) + 0.3 * F.avg(w)).alias("score"), F.avg("confidence").alias("confidence"), F.count_if("suspicious").alias("n_suspicious"), F.count("*").alias("n_detectors"), (F.count_if("suspicious") / F.count("*")).alias("share"), F.array_sort(F.collect_set(F.when(triggered, F.col("detector")))).alias("triggered_by"), union("findings").alias("findings"), union("patterns").alias("patterns"),
     )
     out = out.withColumns({"level": level_of(F.col("score")), "suspicious": (F.col("share") >= 0.3) | (F.col("score") >= 0.75)})
     return out.withColumn("alert", F.col("suspicious") & F.col("level").isin("high", "critical"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .network import weak_components
 
 #: Titles that cleaning drops.
-TITLES = ("mr", "mrs", "ms", "dr", "prof", "sir", "lord", "lady", "hon")
+TITLES = ("mr", "mrs", "ms", "dr", "prof", "sir", "madam", "sr", "jr")
 
 #: List entries that are broadcast at most to names without candidates.
 MOST_LISTED = 100_000
@@ -32,14 +32,22 @@ def unlisted(df: DataFrame, key: str, watchlist: DataFrame) -> DataFrame:
 
 
 def partial_hits(names: DataFrame, watchlist: DataFrame, least: int = 3, longer: int = 5) -> DataFrame:
-    """One string contains the other. Candidates share a word, by an equi-join; containment within a word is
-    not a match of names."""
+    """One string contains the other, wherever it lies. All pieces of three letters of a string are also in what
+    contains it, so it is looked up by the one of its pieces that the fewest strings of the other side have."""
     n = names.where(F.length("name") >= least).select("name", F.lower("name").alias("a")).distinct()
     w = watchlist.where(F.length("name_norm") > longer).select("name_norm").distinct()
-    left = n.withColumn("word", F.explode(F.array_distinct(F.split("a", " "))))
-    right = w.withColumn("word", F.explode(F.array_distinct(F.split("name_norm", " "))))
-    pairs = left.join(right, "word").select("name", "a", "name_norm").distinct()
-    return pairs.where(F.contains("a", F.col("name_norm")) | F.contains("name_norm", F.col("a"))).select("name", "name_norm")
+
+    def inside(short: DataFrame, s: str, long: DataFrame, c: str) -> DataFrame:
+        pieces = long.withColumn("piece", F.explode(_pieces(c)))
+        rare = short.withColumn("piece", F.explode(_pieces(s))).join(pieces.groupBy("piece").agg(F.count("*").alias("of")), "piece", "left")
+        rare = rare.groupBy(*short.columns).agg(F.min_by("piece", F.struct(F.coalesce("of", F.lit(0)), "piece")).alias("piece"))
+        return rare.join(pieces, "piece").where(F.contains(c, F.col(s))).select("name", "name_norm")
+
+    return inside(w, "name_norm", n, "a").unionByName(inside(n, "a", w, "name_norm")).distinct()
+
+
+def _pieces(c: str) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda k: F.substring(F.col(c), k, F.lit(3))))
 
 
 def ratio(a: Column, b: Column) -> Column:

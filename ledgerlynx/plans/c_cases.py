@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..model import HIGH_RISK_COUNTRIES
 from ..operators import cases as C
 from ..operators import rules as R
 from ..operators import screening as S
@@ -27,8 +26,8 @@ def alerts(spark, sf):
 
 
 _ALERTS = _CONSOLIDATED + """,
-al AS (SELECT sha256('alert:' || t.transaction_id) AS alert_id, t.transaction_id, t.sender_id, t.receiver_id, t.amount, t.ts, l.level, l.score, CASE WHEN list_contains(l.patterns, 'geography') THEN 'HIGH_RISK_COUNTRY' WHEN list_contains(l.patterns, 'basic') THEN 'RULE_BASED' ELSE 'SUSPICIOUS_ACTIVITY' END AS alert_type,
-  l.patterns, l.triggered_by FROM lev l JOIN txn t USING (transaction_id) WHERE l.suspicious AND l.score >= 0.5)"""
+al AS (SELECT sha256('alert:' || t.transaction_id) AS alert_id, t.transaction_id, t.sender_id, t.receiver_id, t.amount, t.ts, l.level, l.score, CASE WHEN list_contains(l.patterns, 'large_cash') THEN 'LARGE_CASH_TRANSACTION' WHEN list_contains(l.patterns, 'high_risk_country_origin') THEN 'HIGH_RISK_JURISDICTION' ELSE 'SUSPICIOUS_ACTIVITY' END AS alert_type,
+  l.patterns, l.triggered_by, l.findings FROM lev l JOIN txn t USING (transaction_id) WHERE l.suspicious AND l.score >= 0.5)"""
 
 
 @query("j4_watchlist_exact", "", NAMES + " SELECT p_partkey, lower(trim(p_name)) AS name_norm FROM part WHERE lower(trim(p_name)) IN (SELECT lower(name_norm) FROM watch)")
@@ -114,16 +113,17 @@ def c1(spark, sf):
     return alerts(spark, sf).select("alert_id", "alert_type", "risk_level", F.round("priority", 6).alias("priority"), F.col("transaction_ids")[0].alias("transaction_id"))
 
 
-@query("c3_explanations")
+@query("c3_explanations", "txn", _ALERTS + " SELECT alert_id, alert_type || ' alert at level ' || level || '. ' || array_to_string(list_transform(list_sort(list_distinct(findings))[1:5], lambda f: '- ' || f), ' ') AS explanation FROM al")
 def c3(spark, sf):
     return C.explanation(alerts(spark, sf)).select("alert_id", "explanation")
 
 
-@query("c4_merged_alerts", "txn", _ALERTS + """, x AS (SELECT *, unnest(list_distinct([sender_id, receiver_id])) AS customer FROM al)
-SELECT customer, alert_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(max(score), 6) AS priority, array_to_string(list_sort(list(DISTINCT transaction_id)), ',') AS ids FROM x GROUP BY 1, 2, 3""")
+@query("c4_merged_alerts", "txn", _ALERTS + f""", x AS (SELECT *, unnest(list_distinct([sender_id, receiver_id])) AS customer, [sender_id, receiver_id] AS ends FROM al WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 168 HOURS)
+SELECT customer, alert_type, count(*) AS n, round(max(score), 6) AS priority, array_to_string(list_sort(list(DISTINCT transaction_id)), ',') AS ids, array_to_string(list_sort(list_distinct(flatten(list(ends)))), ',') AS customers,
+  CASE WHEN count(*) > 1 THEN '[CONSOLIDATED from ' || count(*) || ' related alerts]' ELSE '' END AS note FROM x GROUP BY 1, 2""")
 def c4(spark, sf):
-    out = C.merge_alerts(alerts(spark, sf))
-    return out.select("customer", "alert_type", F.date_format("window", "yyyy-MM-dd").alias("day"), "n", F.round("priority", 6).alias("priority"), F.array_join("transaction_ids", ",").alias("ids"))
+    out = C.merge_alerts(alerts(spark, sf), AS_OF, hours=168)
+    return out.select("customer", "alert_type", "n", F.round("priority", 6).alias("priority"), F.array_join("transaction_ids", ",").alias("ids"), F.array_join("customer_ids", ",").alias("customers"), "note")
 
 
 @query("c5_current_status", "txn", "SELECT sender_id AS alert_id, arg_max(transaction_type, (ts, transaction_type)) AS status FROM txn GROUP BY 1")
@@ -136,11 +136,51 @@ def c6(spark, sf):
     return C.report(alerts(spark, sf), txn(spark, sf)).select("alert_id", "subject_id", "total_amount", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
-@query("c8_narratives")
+@query("c8_narratives", "txn", _ALERTS + " SELECT alert_id, strftime(ts, '%Y-%m-%d') || ' ' || transaction_id || ' ' || amount AS narrative FROM al")
 def c8(spark, sf):
     return C.narrative(alerts(spark, sf), txn(spark, sf))
 
 
+@query("c7_auto_reports", "txn", _ALERTS + " SELECT alert_id FROM al WHERE level = 'critical' AND score >= 0.9")
+def c7(spark, sf):
+    return C.auto_report(alerts(spark, sf)).select("alert_id")
+
+
+@query("c9_filed_reports", "txn", _ALERTS + f""" SELECT alert_id, transaction_id % 3 = 0 AS filed, CASE WHEN transaction_id % 3 = 0 THEN 'officer' || transaction_id % 2 END AS filed_by,
+  CASE WHEN transaction_id % 3 = 0 THEN 'CONF-' || upper(substr(sha256('filing|' || alert_id || '|officer' || transaction_id % 2 || '|{AS_OF}'), 1, 12)) END AS confirmation FROM al""")
+def c9(spark, sf):
+    a = alerts(spark, sf).withColumn("report_id", F.col("alert_id")).withColumn("of", F.col("transaction_ids")[0])
+    filings = a.where("of % 3 = 0").select("report_id", F.concat(F.lit("officer"), (F.col("of") % 2).cast("string")).alias("filed_by"), F.lit(AS_OF).cast("timestamp").alias("filed_at"))
+    return C.file_reports(a, filings).select("alert_id", "filed", "filed_by", "confirmation")
+
+
+@query("c10_report_checks", "txn", _ALERTS + " SELECT alert_id, '' AS errors, concat_ws(',', 'short_narrative', CASE WHEN amount < 5000 THEN 'small_amount' END) AS warnings FROM al")
+def c10(spark, sf):
+    a, t = alerts(spark, sf), txn(spark, sf)
+    out = C.validate_report(C.report(a, t).join(C.narrative(a, t), "alert_id"))
+    return out.select("alert_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("c11_filing_xml", "txn", _ALERTS + f""" SELECT alert_id, '<EFilingBatchXML Version="1.2"><Activity><FilingInstitution><InstitutionTIN>12-345</InstitutionTIN><InstitutionName>A &amp; B</InstitutionName></FilingInstitution><Subject><SubjectType>1</SubjectType><FirstName></FirstName><LastName></LastName><TIN>' || sender_id
+  || '</TIN><Address><Street></Street><City></City><State></State><ZipCode></ZipCode><Country>US</Country></Address></Subject><SuspiciousActivity><SuspiciousActivityStartDate>' || strftime(ts, '%Y-%m-%d') || '</SuspiciousActivityStartDate><SuspiciousActivityEndDate>' || strftime(ts, '%Y-%m-%d')
+  || '</SuspiciousActivityEndDate><TotalDollarAmount>' || amount || '</TotalDollarAmount><ActivityType>' || alert_type || '</ActivityType></SuspiciousActivity><Narrative>' || strftime(ts, '%Y-%m-%d') || ' ' || transaction_id || ' ' || amount || '</Narrative><FilingDate>{AS_OF[:10]}</FilingDate></Activity></EFilingBatchXML>' AS xml FROM al""")
+def c11(spark, sf):
+    a, t = alerts(spark, sf), txn(spark, sf)
+    reports = C.report(a, t).join(C.narrative(a, t), "alert_id").withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("start", "end")}).withColumn("total_amount", F.col("total_amount").cast("decimal(18,2)"))
+    return C.filing_xml(reports, "12-345", "A & B", AS_OF[:10])
+
+
+@query("c11_transaction_xml", "txn", _ALERTS + f""" SELECT alert_id, '<goAMLMessage version="5.0"><report_header><report_code>STR</report_code><submission_date>{AS_OF[:10]}</submission_date></report_header><reporting_entity><entity_id>7</entity_id><entity_name>A &amp; B</entity_name></reporting_entity><transaction><transaction_id>'
+  || transaction_id || '</transaction_id><amount>' || amount || '</amount><currency>USD</currency><date>' || strftime(ts, '%Y-%m-%d') || '</date></transaction><reason_for_suspicion>' || alert_type || '</reason_for_suspicion></goAMLMessage>' AS xml FROM al""")
+def c11b(spark, sf):
+    return C.transaction_xml(alerts(spark, sf), txn(spark, sf), "7", "A & B", AS_OF[:10])
+
+
+@query("j7_attached", "txn", _ALERTS + " SELECT alert_id, transaction_id, amount::DOUBLE AS amount FROM al")
+def j7(spark, sf):
+    return C.attach(alerts(spark, sf), txn(spark, sf)).select("alert_id", "transaction_id", F.col("amount").cast("double").alias("amount"))
+
+
 @query("c12_filing_clock", "txn", _ALERTS + f" SELECT alert_id, amount >= 5000 AS must_file, date_diff('day', DATE '{AS_OF[:10]}', CAST(ts AS DATE) + 30)::INT AS days_left FROM al")
 def c12(spark, sf):
     return C.filing_clock(C.report(alerts(spark, sf), txn(spark, sf)), "start", AS_OF[:10]).select("alert_id", "must_file", "days_left")
@@ -161,50 +201,110 @@ def k5(spark, sf):
     return p.where("p_size <= 2").select(F.col("p_name").alias("name")).subtract(p.where("p_size = 1").select("p_name")).withColumn("change", F.lit("added"))
 
 
-_FEEDBACK = "fb AS (SELECT doc_id, CASE WHEN toxic = 1 AND quality = 0 THEN 'TP' WHEN toxic = 1 THEN 'FP' WHEN quality = 0 THEN 'FN' ELSE 'UNKNOWN' END AS class FROM labels)"
+# predicted: toxic; the decision goes round by id, so that all classes occur
+_FEEDBACK = """fb AS (SELECT doc_id, toxic = 1 AS predicted, CASE WHEN quality = 0 THEN 'TRUE_POSITIVE' ELSE list_extract(['FALSE_POSITIVE', 'TRUE_NEGATIVE', 'TRUE_POSITIVE', 'FALSE_NEGATIVE', 'FALSE_POSITIVE'], (doc_id % 5 + 1)::INT) END AS decision FROM labels),
+fc AS (SELECT doc_id, CASE decision || predicted WHEN 'TRUE_POSITIVEtrue' THEN 'TP' WHEN 'TRUE_POSITIVEfalse' THEN 'FN' WHEN 'FALSE_POSITIVEtrue' THEN 'FP' WHEN 'FALSE_POSITIVEfalse' THEN 'TN' WHEN 'TRUE_NEGATIVEtrue' THEN 'FP' WHEN 'TRUE_NEGATIVEfalse' THEN 'TN' ELSE 'UNKNOWN' END AS class,
+  CASE WHEN doc_id % 3 = 0 THEN ['structuring_near', 'high_value'] WHEN doc_id % 3 = 1 THEN ['high_value'] ELSE ['other'] END AS patterns FROM fb)"""
 
 
 def feedback(spark, sf):
-    decision = F.when(F.col("quality") == 0, "TRUE_POSITIVE").otherwise("FALSE_POSITIVE")
-    return table(spark, sf, "labels").select("doc_id", C.feedback_class(F.col("toxic") == 1, decision).alias("class"))
+    named = F.element_at(F.array(*map(F.lit, ("FALSE_POSITIVE", "TRUE_NEGATIVE", "TRUE_POSITIVE", "FALSE_NEGATIVE", "FALSE_POSITIVE"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    decision = F.when(F.col("quality") == 0, "TRUE_POSITIVE").otherwise(named)
+    third = F.col("doc_id") % 3
+    patterns = F.when(third == 0, F.array(F.lit("structuring_near"), F.lit("high_value"))).when(third == 1, F.array(F.lit("high_value"))).otherwise(F.array(F.lit("other")))
+    return table(spark, sf, "labels").select("doc_id", C.feedback_class(F.col("toxic") == 1, decision).alias("class"), patterns.alias("patterns"))
 
 
-@query("b1_feedback_class", "", _FEEDBACK + " SELECT doc_id, class FROM fb")
+@query("b1_feedback_class", "", _FEEDBACK + " SELECT doc_id, class FROM fc")
 def b1(spark, sf):
-    return feedback(spark, sf)
+    return feedback(spark, sf).select("doc_id", "class")
 
 
-@query("b2_rolling_metrics", "", _FEEDBACK + """, w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, count(*) FILTER (class = 'TP') OVER l AS tp, count(*) FILTER (class = 'FP') OVER l AS fp, count(*) FILTER (class = 'FN') OVER l AS fn FROM fb WINDOW l AS (ORDER BY doc_id ROWS 99 PRECEDING))
-SELECT doc_id, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6)::DOUBLE AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6)::DOUBLE AS recall FROM w WHERE place >= 10""")
+@query("b2_rolling_metrics", "", _FEEDBACK + """, w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, count(*) FILTER (class = 'TP') OVER l AS tp, count(*) FILTER (class = 'FP') OVER l AS fp, count(*) FILTER (class = 'TN') OVER l AS tn, count(*) FILTER (class = 'FN') OVER l AS fn FROM fc WINDOW l AS (ORDER BY doc_id ROWS 99 PRECEDING)),
+m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS p, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS r, coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0)::DOUBLE AS a, coalesce(fp / nullif(fp + tn, 0), 0)::DOUBLE AS f FROM w WHERE place >= 10)
+SELECT doc_id, tp, fp, tn, fn, round(a, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS fpr, round(coalesce(last_value(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) END IGNORE NULLS) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 0), 6) AS f1 FROM m""")
 def b2(spark, sf):
-    return C.rolling_metrics(feedback(spark, sf), "doc_id").select("doc_id", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    out = C.rolling_metrics(feedback(spark, sf), "doc_id")
+    return out.select("doc_id", "tp", "fp", "tn", "fn", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "fpr", "f1")))
+
 
+_STEP = "greatest(least({0} + {1} * s * {2}, CASE WHEN s > 0 THEN {4} ELSE 1e18 END), CASE WHEN s < 0 THEN {3} ELSE -1e18 END)"
 
-@query("b4_feedback_distribution", "", _FEEDBACK + " SELECT class, count(*) AS n FROM fb GROUP BY 1")
+
+@query("b3_threshold_fold", "", _FEEDBACK + f""", o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, CASE class WHEN 'FP' THEN 1 WHEN 'FN' THEN -1 ELSE 0 END AS s, len(list_filter(patterns, lambda p: contains(p, 'structuring'))) AS a, len(list_filter(patterns, lambda p: contains(p, 'high_value') AND NOT contains(p, 'structuring'))) AS b FROM fc),
+f AS (SELECT 0::BIGINT AS place, -1::BIGINT AS doc_id, 9500::DOUBLE AS structuring, 10000::DOUBLE AS high_value, 0.7::DOUBLE AS anomaly UNION ALL
+  SELECT o.place, o.doc_id, {_STEP.format('f.structuring', 50, 'a', 9000, '1e18')}, {_STEP.format('f.high_value', 500, 'b', 5000, '1e18')}, {_STEP.format('f.anomaly', 0.02, 1, 0.5, 0.95)} FROM f JOIN o ON o.place = f.place + 1)
+SELECT doc_id, structuring, high_value, round(anomaly, 6) AS anomaly FROM f WHERE place > 0""", recursive=True)
+def b3(spark, sf):
+    out = C.threshold_fold(feedback(spark, sf), "doc_id", {"structuring": 9500.0, "high_value": 10000.0, "anomaly": 0.7})
+    return out.withColumn("anomaly", F.round("anomaly", 6))
+
+
+@query("b7_threshold_statistics", "txn", """
+c AS (SELECT transaction_type AS name, amount::DOUBLE AS value, amount >= 9000 AS triggered, CASE WHEN amount >= 9000 THEN CASE WHEN hour(ts) < 12 THEN 'TP' ELSE 'FP' END ELSE CASE WHEN hour(ts) < 2 THEN 'FN' ELSE 'TN' END END AS class FROM txn),
+g AS (SELECT name, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd, avg(triggered::INT) AS trigger_rate, count(*) FILTER (class = 'TP') AS tp, count(*) FILTER (class = 'FP') AS fp, count(*) FILTER (class = 'FN') AS fn FROM c GROUP BY 1)
+SELECT name, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(trigger_rate, 6) AS trigger_rate, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, n AS total, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM g""")
+def b7(spark, sf):
+    t = txn(spark, sf)
+    kind = F.when(F.col("amount") >= 9000, F.when(F.hour("ts") < 12, "TP").otherwise("FP")).otherwise(F.when(F.hour("ts") < 2, "FN").otherwise("TN"))
+    rows = t.select(F.col("transaction_type").alias("name"), F.col("amount").cast("double").alias("value"), (F.col("amount") >= 9000).alias("triggered"), kind.alias("class"))
+    out = C.threshold_statistics(rows, rows)
+    return out.select("name", "n", *(F.round(c, d).alias(c) for c, d in (("mean", 4), ("sd", 4), ("trigger_rate", 6), ("precision", 6), ("recall", 6), ("f1", 6))), "total")
+
+
+@query("b4_feedback_distribution", "", _FEEDBACK + " SELECT class, count(*) AS n FROM fc GROUP BY 1")
 def b4(spark, sf):
     return feedback(spark, sf).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("b5_trend", "", _FEEDBACK + ", o AS (SELECT class, row_number() OVER (ORDER BY doc_id) AS a, row_number() OVER (ORDER BY doc_id DESC) AS z FROM fb) SELECT round(avg((class = 'FP')::INT) FILTER (a <= 50), 6) AS first_rate, round(avg((class = 'FP')::INT) FILTER (z <= 50), 6) AS last_rate FROM o")
+@query("b5_trend", "", _FEEDBACK + """, o AS (SELECT class, row_number() OVER (ORDER BY doc_id) AS a, row_number() OVER (ORDER BY doc_id DESC) AS z FROM fc),
+r AS (SELECT avg((class = 'FP')::INT) FILTER (a <= 50) AS first_rate, avg((class = 'FP')::INT) FILTER (z <= 50) AS last_rate FROM o), g AS (SELECT *, CASE WHEN first_rate > 0 THEN (first_rate - last_rate) / first_rate ELSE 0 END AS gain FROM r)
+SELECT round(first_rate, 6) AS first_rate, round(last_rate, 6) AS last_rate, round(gain, 6) AS improvement, CASE WHEN gain > 0 THEN 'improving' WHEN gain = 0 THEN 'stable' ELSE 'declining' END AS trend FROM g""")
 def b5(spark, sf):
-    return C.trend(feedback(spark, sf), "doc_id").select(F.round("first_rate", 6).alias("first_rate"), F.round("last_rate", 6).alias("last_rate"))
+    return C.trend(feedback(spark, sf), "doc_id").select(*(F.round(c, 6).alias(c) for c in ("first_rate", "last_rate", "improvement")), "trend")
 
 
-@query("b6_adaptive_threshold", "", _FEEDBACK + """, w AS (SELECT doc_id, count(*) FILTER (class = 'TP') OVER u AS tp, count(*) FILTER (class = 'FP') OVER u AS fp, count(*) FILTER (class = 'FN') OVER u AS fn FROM fb WINDOW u AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+@query("b6_adaptive_threshold", "", _FEEDBACK + """, w AS (SELECT doc_id, count(*) FILTER (class = 'TP') OVER u AS tp, count(*) FILTER (class = 'FP') OVER u AS fp, count(*) FILTER (class = 'FN') OVER u AS fn FROM fc WINDOW u AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT doc_id, CASE WHEN tp + fp + fn >= 10 AND 2 * tp < tp + fp THEN 1.1 WHEN tp + fp + fn >= 10 AND 2 * tp < tp + fn THEN 0.9 ELSE 1 END::DOUBLE AS factor FROM w)
 SELECT doc_id, round(ln(0.5::DOUBLE) + sum(ln(factor)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 6) AS log_threshold FROM f""")
 def b6(spark, sf):
     return C.adaptive_threshold(feedback(spark, sf), "doc_id").select("doc_id", F.round(F.ln("threshold"), 6).alias("log_threshold"))
 
 
+@query("x1_importance", "txn", _CONSOLIDATED + """, w AS (SELECT transaction_id, CASE finding WHEN 'large_amount' THEN 'transaction_amount' ELSE 'country_risk' END AS feature, sum(risk_score) AS weight FROM results WHERE suspicious AND finding <> 'basic_rule' GROUP BY 1, 2)
+SELECT transaction_id, feature, round(weight, 6)::DOUBLE AS weight, round(weight / max(weight) OVER (PARTITION BY transaction_id), 6)::DOUBLE AS share FROM w""")
+def x1(spark, sf):
+    found = results(spark, sf).where("suspicious").select("transaction_id", F.explode("findings").alias("finding"), F.col("risk_score").alias("risk"))
+    return C.importance(found).select("transaction_id", "feature", F.round("weight", 6).alias("weight"), F.round("share", 6).alias("share"))
+
+
 @query("x2_counterfactuals", "txn", """
-SELECT transaction_id, 'amount_half' AS kind, printf('%.2f', amount::DOUBLE * 0.5) AS scenario FROM txn UNION ALL SELECT transaction_id, 'amount_below', printf('%.2f', least(amount::DOUBLE, 8999)) FROM txn
-UNION ALL SELECT transaction_id, 'country', 'US' FROM txn WHERE country_destination IN ('IR','KP','SY','AF','IQ') UNION ALL SELECT transaction_id, 'hour', '12' FROM txn WHERE hour(ts) < 6 OR hour(ts) > 22""")
+SELECT transaction_id, 'amount_less_10_percent' AS scenario, printf('%.2f', amount::DOUBLE) AS original, printf('%.2f', amount::DOUBLE * 0.9) AS modified, CASE WHEN amount::DOUBLE * 0.9 > 9000 THEN 'yes' ELSE 'no' END AS would_alert FROM txn
+UNION ALL SELECT transaction_id, 'amount_less_50_percent', printf('%.2f', amount::DOUBLE), printf('%.2f', amount::DOUBLE * 0.5), CASE WHEN amount::DOUBLE * 0.5 > 10000 THEN 'yes' ELSE 'no' END FROM txn
+UNION ALL SELECT transaction_id, 'low_risk_destination', country_destination, 'US', 'no' FROM txn WHERE country_destination IN ('IR', 'KP', 'SY')
+UNION ALL SELECT transaction_id, 'business_hours', hour(ts) || ':00', '14:00', 'possibly' FROM txn WHERE hour(ts) < 6 OR hour(ts) > 22""")
 def x2(spark, sf):
-    return C.counterfactuals(txn(spark, sf), HIGH_RISK_COUNTRIES)
+    return C.counterfactuals(txn(spark, sf))
+
+
+@query("x3_regulations", "txn", """
+SELECT transaction_id, 'FATF Recommendation 10' AS regulation FROM txn WHERE amount > 10000 UNION ALL SELECT transaction_id, 'FinCEN CTR' FROM txn WHERE amount > 10000 AND transaction_type IN ('cash_deposit', 'cash_withdrawal')
+UNION ALL SELECT transaction_id, 'BSA/AML Anti-Structuring' FROM txn WHERE amount >= 9000 AND amount < 10000 UNION ALL SELECT transaction_id, 'OFAC Sanctions' FROM txn WHERE country_destination IN ('IR', 'KP', 'SY', 'CU')""")
+def x3(spark, sf):
+    t = txn(spark, sf)
+    near = t.where("amount >= 9000 AND amount < 10000").select("transaction_id", F.array(F.lit("structuring")).alias("patterns"))
+    return C.regulations(t, near).select("transaction_id", "regulation")
+
+
+@query("x4_decision_path", "txn", _CONSOLIDATED + """
+SELECT transaction_id, array_to_string(list(detector || '=' || suspicious ORDER BY CASE detector WHEN 'country' THEN 1 WHEN 'basic' THEN 2 ELSE 3 END), ',') AS path, round(avg(confidence), 6)::DOUBLE AS overall_confidence, CASE WHEN avg(confidence) > 0.9 THEN 'High agreement between agents' END AS factor FROM results GROUP BY 1""")
+def x4(spark, sf):
+    out = C.decision_path(results(spark, sf), ("country", "basic", "size"))
+    steps = F.transform("path", lambda p: F.concat_ws("=", p["detector"], p["suspicious"].cast("string")))
+    return out.select("transaction_id", F.array_join(steps, ",").alias("path"), F.round("overall_confidence", 6).alias("overall_confidence"), "factor")
 
 
-@query("x5_audit_log")
+@query("x5_audit_log", "txn", """SELECT transaction_id, sha256('{"amount":' || amount || ',"sender_id":' || sender_id || ',"transaction_id":' || transaction_id || '}') AS content_hash, true AS intact FROM txn""")
 def x5(spark, sf):
     entries = C.audit(txn(spark, sf), ["transaction_id", "amount", "sender_id"])
     return C.verify(entries, ["transaction_id", "amount", "sender_id"]).select("transaction_id", "content_hash", "intact")

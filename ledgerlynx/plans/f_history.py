@@ -82,20 +82,20 @@ def f6(spark, sf):
 w AS (SELECT transaction_id, count(*) OVER ({ROWS} UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, count(*) OVER ({span(86_400_000_000)}) AS b, count(*) FILTER (amount BETWEEN 9000 AND 10000) OVER ({ROWS} 10 PRECEDING AND 1 PRECEDING) AS near,
   list({A}) OVER ({ROWS} 5 PRECEDING AND 1 PRECEDING) AS l, (epoch_us(ts) - max(epoch_us(ts)) OVER ({ROWS} UNBOUNDED PRECEDING AND 1 PRECEDING)) / 3600000000 AS gap FROM txn)
 SELECT transaction_id, CASE WHEN seen >= 3 THEN b ELSE 0 END AS burst, (seen >= 3 AND b > 10)::INT AS burst_flag, CASE WHEN seen >= 3 THEN near ELSE 0 END AS near_count, (seen >= 3 AND near >= 3)::INT AS near_flag,
-  (seen >= 3 AND len(l) = 5 AND l = list_sort(l))::INT AS escalation, round(CASE WHEN seen >= 3 AND len(l) = 5 AND l = list_sort(l) AND l[1] > 0 THEN l[5] / l[1] ELSE 0 END, 4) AS escalation_ratio,
+  coalesce(seen >= 3 AND l = list_sort(l), false)::INT AS escalation, round(CASE WHEN seen < 3 THEN 0 WHEN l[1] > 0 THEN l[-1] / l[1] ELSE 1 END, 4) AS escalation_ratio,
   round(CASE WHEN seen >= 3 THEN gap ELSE 0 END, 4) AS hours_since_last FROM w""")
 def f7(spark, sf):
     return H.habits(txn(spark, sf)).select("transaction_id", "burst", "burst_flag", "near_count", "near_flag", "escalation", *rounded(["escalation_ratio", "hours_since_last"]))
 
 
-_AR = "CASE WHEN amount > 50000 THEN 1 WHEN amount > 10000 THEN 0.8 WHEN amount > 5000 THEN 0.5 ELSE 0.2 END::DOUBLE"
-_HR = "CASE WHEN hour(ts) < 6 OR hour(ts) > 22 THEN 0.8 WHEN hour(ts) < 9 OR hour(ts) > 17 THEN 0.5 ELSE 0.2 END::DOUBLE"
-_FLAGS = f"((hour(ts) < 6 OR hour(ts) > 22)::INT + (isodow(ts) > 5)::INT + greatest({_O}, {_D}) + (country_origin <> country_destination)::INT + (amount % 1000 = 0)::INT)"
+_AR = "CASE WHEN amount >= 100000 THEN 1 WHEN amount >= 50000 THEN 0.8 WHEN amount >= 10000 THEN 0.5 ELSE 0.2 END::DOUBLE"
+_HR = "CASE WHEN hour(ts) < 6 OR hour(ts) > 22 THEN 0.8 WHEN hour(ts) < 9 OR hour(ts) > 18 THEN 0.5 ELSE 0.2 END::DOUBLE"
+_FLAGS = f"((hour(ts) < 6 OR hour(ts) > 22)::INT + greatest({_O}, {_D}) + (country_origin <> country_destination)::INT + (amount % 1000 = 0)::INT + coalesce(abs({A} - m) > 3 * sd AND sd > 0, false)::INT + (seen >= 3 AND b > 10)::INT + (seen >= 3 AND near >= 3)::INT)"
 
 
-@query("f9_risk_roll_up", "txn", f"SELECT transaction_id, {_FLAGS} AS flags, {_AR} AS amount_risk, {_HR} AS hour_risk, ({_O} + {_D}) / 2::DOUBLE AS geo_risk, round(({_AR} + {_HR} + ({_O} + {_D}) / 2::DOUBLE) / 3, 6) AS composite_risk FROM txn")
+@query("f9_risk_roll_up", "txn", f"x AS (SELECT *, avg({A}) OVER ({ALL}) AS m, stddev_pop({A}) OVER ({ALL}) AS sd, count(*) OVER ({ROWS} UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, count(*) OVER ({span(86_400_000_000)}) AS b, count(*) FILTER (amount BETWEEN 9000 AND 10000) OVER ({ROWS} 10 PRECEDING AND 1 PRECEDING) AS near FROM txn) SELECT transaction_id, {_FLAGS} AS flags, {_AR} AS amount_risk, {_HR} AS hour_risk, ({_O} + {_D}) / 2::DOUBLE AS geo_risk, round(({_AR} + {_HR} + ({_O} + {_D}) / 2::DOUBLE) / 3, 6) AS composite_risk FROM x")
 def f9(spark, sf):
-    out = H.roll_up(H.geography(H.rounding(H.basic(txn(spark, sf)))))
+    out = H.roll_up(H.deviation(H.habits(H.geography(H.basic(txn(spark, sf))))))
     return out.select("transaction_id", "flags", "amount_risk", "hour_risk", "geo_risk", *rounded(["composite_risk"], 6))
 
 
@@ -104,7 +104,7 @@ l AS (SELECT transaction_id, 'amount_risk' AS feature, {_AR} AS value FROM txn U
   UNION ALL SELECT transaction_id, 'international', (country_origin <> country_destination)::INT FROM txn)
 SELECT transaction_id, feature, value, row_number() OVER (PARTITION BY transaction_id ORDER BY abs(value) DESC, feature) AS place FROM l WHERE feature LIKE '%risk%' OR value > 0.7 QUALIFY place <= 3""")
 def f10(spark, sf):
-    out = H.roll_up(H.geography(H.rounding(H.basic(txn(spark, sf)))))
+    out = H.roll_up(H.deviation(H.habits(H.geography(H.basic(txn(spark, sf))))))
     return H.top_features(out, "transaction_id", ["amount_risk", "hour_risk", "night", "international"], k=3)
 
 

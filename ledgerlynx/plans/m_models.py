@@ -31,13 +31,20 @@ def p2(spark, sf):
     return out.select("transaction_id", "reference", F.col("date").cast("string").alias("date"), "currency", F.col("amount").cast("double").alias("amount"), "sender_account", "sender_name")
 
 
+MCC, RESPONSES = ("5411", "7995", "7801", "6051", "4829", "5933", "5812", "5967"), ("00", "14", "41", "43", "54", "05", "51")
+
+
+def one_of(values, key):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
 def cards(spark, sf):
     """Card messages with fields 2, 4, 12, 18, 22 and 39."""
     bits = sum(1 << (64 - k) for k in (2, 4, 12, 18, 22, 39))
     t = txn(spark, sf).where("transaction_type = 'card_payment'")
     text = F.concat(
         F.lit(f"0100{bits:016X}16"), F.lpad(F.col("sender_id").cast("string"), 16, "4"), F.lpad((F.col("amount") * 100).cast("bigint").cast("string"), 12, "0"), F.date_format("ts", "HHmmss"),
-        F.when(F.col("receiver_id") % 5 == 0, "7995").otherwise("5411"), F.when(F.col("receiver_id") % 2 == 0, "051").otherwise("012"), F.when(F.col("sender_id") % 7 == 0, "51").otherwise("00"),
+        one_of(MCC, "receiver_id"), F.when(F.col("receiver_id") % 2 == 0, "051").otherwise("012"), one_of(RESPONSES, "sender_id"),
     )
     return t.select("transaction_id", text.alias("message"))
 
@@ -47,8 +54,8 @@ def parsed(spark, sf):
 
 
 _CARDS = """
-c AS (SELECT transaction_id, lpad(sender_id::VARCHAR, 16, '4') AS pan, amount, hour(ts)::INT AS hour, CASE WHEN receiver_id % 5 = 0 THEN '7995' ELSE '5411' END AS mcc, CASE WHEN receiver_id % 2 = 0 THEN '05' ELSE '01' END AS entry,
-  CASE WHEN sender_id % 7 = 0 THEN '51' ELSE '00' END AS response FROM txn WHERE transaction_type = 'card_payment')
+c AS (SELECT transaction_id, lpad(sender_id::VARCHAR, 16, '4') AS pan, amount, hour(ts)::INT AS hour, list_extract(['5411', '7995', '7801', '6051', '4829', '5933', '5812', '5967'], (receiver_id % 8 + 1)::INT) AS mcc, CASE WHEN receiver_id % 2 = 0 THEN '05' ELSE '01' END AS entry,
+  list_extract(['00', '14', '41', '43', '54', '05', '51'], (sender_id % 7 + 1)::INT) AS response FROM txn WHERE transaction_type = 'card_payment')
 """
 
 
@@ -57,14 +64,14 @@ def p4(spark, sf):
     return parsed(spark, sf).select("transaction_id", "mti", "masked", "last4", F.col("amount").cast("double").alias("amount"), "hour", "mcc", "response", "chip")
 
 
-@query("p5_card_risk", "txn", _CARDS + """, s AS (SELECT transaction_id, round(CASE WHEN amount BETWEEN 9000 AND 9999 THEN 0.4 ELSE 0 END + CASE WHEN hour < 6 OR hour > 22 THEN 0.2 ELSE 0 END + CASE WHEN mcc = '7995' THEN 0.3 ELSE 0 END
-  + CASE WHEN entry = '01' THEN 0.15 ELSE 0 END + CASE WHEN entry <> '05' THEN 0.1 ELSE 0 END + CASE WHEN response = '51' THEN 0.25 ELSE 0 END, 6)::DOUBLE AS t FROM c)
+@query("p5_card_risk", "txn", _CARDS + """, s AS (SELECT transaction_id, round(CASE WHEN amount BETWEEN 9000 AND 9999 THEN 0.4 ELSE 0 END + CASE WHEN hour < 6 OR hour > 22 THEN 0.2 ELSE 0 END + CASE WHEN mcc IN ('7995', '7801', '6051', '4829', '5933') THEN 0.3 ELSE 0 END
+  + CASE WHEN entry = '01' THEN 0.15 ELSE 0 END + CASE WHEN entry <> '05' THEN 0.1 ELSE 0 END + CASE WHEN response IN ('14', '41', '43', '54') THEN 0.25 ELSE 0 END, 6)::DOUBLE AS t FROM c)
 SELECT transaction_id, least(t, 1)::DOUBLE AS card_risk, CASE WHEN t >= 0.7 THEN 'HIGH' WHEN t >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS card_level FROM s""")
 def p5(spark, sf):
     return parsed(spark, sf).select("transaction_id", "card_risk", "card_level")
 
 
-@query("n1_transaction_text")
+@query("n1_transaction_text", "txn", "SELECT transaction_id, concat_ws(' ', 'Transaction', transaction_id, 'of', amount, currency, 'by', transaction_type, 'from', country_origin, 'to', country_destination) AS text FROM txn")
 def n1(spark, sf):
     return N.transaction_text(txn(spark, sf)).select("transaction_id", "text")
 

@@ -123,8 +123,8 @@ def r19(spark, sf):
 
 _RESULTS = _BASIC.rstrip() + f""",
 results AS (SELECT transaction_id, 'basic' AS detector, suspicious, 0.92::DOUBLE AS confidence, risk AS risk_score, 'basic_rule' AS finding, 'basic' AS pattern FROM d
-  UNION ALL SELECT transaction_id, 'country', country_origin IN {C} OR country_destination IN {C}, 0.98, CASE WHEN country_origin IN {C} OR country_destination IN {C} THEN 0.7 ELSE 0 END, 'high_risk_country', 'geography' FROM txn
-  UNION ALL SELECT transaction_id, 'size', is_suspicious, 0.9, risk_score, 'large_amount', 'size' FROM txn)"""
+  UNION ALL SELECT transaction_id, 'country', country_origin IN {C} OR country_destination IN {C}, 0.98, CASE WHEN country_origin IN {C} OR country_destination IN {C} THEN 0.7 ELSE 0 END, 'high_risk_country', 'high_risk_country_origin' FROM txn
+  UNION ALL SELECT transaction_id, 'size', is_suspicious, 0.9, risk_score, 'large_amount', 'large_cash' FROM txn)"""
 
 
 def results(spark, sf):
@@ -138,23 +138,23 @@ def results(spark, sf):
 
     rows = F.array(
         result("basic", "basic_suspicious", 0.92, "basic_risk", "basic_rule", "basic"),
-        result("country", "country_suspicious", 0.98, "country_risk", "high_risk_country", "geography"),
-        result("size", "is_suspicious", 0.9, "risk_score", "large_amount", "size"),
+        result("country", "country_suspicious", 0.98, "country_risk", "high_risk_country", "high_risk_country_origin"),
+        result("size", "is_suspicious", 0.9, "risk_score", "large_amount", "large_cash"),
     )
     return b.select("transaction_id", F.inline(rows))
 
 
 _CONSOLIDATED = _RESULTS + """,
-cons AS (SELECT transaction_id, 0.7::DOUBLE * max(risk_score * confidence) + 0.3::DOUBLE * avg(risk_score * confidence) AS score, count(*) FILTER (suspicious) / count(*) AS share,
+cons AS (SELECT transaction_id, 0.7::DOUBLE * max(risk_score * confidence) + 0.3::DOUBLE * avg(risk_score * confidence) AS score, avg(confidence) AS confidence, count(*) FILTER (suspicious) AS n_suspicious, count(*) AS n_detectors, count(*) FILTER (suspicious) / count(*) AS share,
   list_sort(list(detector) FILTER (suspicious OR risk_score >= 0.5)) AS triggered_by, list_sort(list(finding) FILTER (suspicious OR risk_score >= 0.5)) AS findings, list_sort(list(pattern) FILTER (suspicious OR risk_score >= 0.5)) AS patterns FROM results GROUP BY 1),
 lev AS (SELECT *, CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.65 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS level, share >= 0.3 OR score >= 0.75 AS suspicious FROM cons)"""
 
 
 @query("r20_consolidation", "txn", _CONSOLIDATED + """
-SELECT transaction_id, round(score, 6) AS score, level, suspicious, coalesce(array_to_string(triggered_by, ','), '') AS triggered_by, coalesce(array_to_string(findings, ','), '') AS findings, suspicious AND level IN ('high', 'critical') AS alert FROM lev""")
+SELECT transaction_id, round(score, 6) AS score, round(confidence, 6) AS confidence, n_suspicious, n_detectors, level, suspicious, coalesce(array_to_string(triggered_by, ','), '') AS triggered_by, coalesce(array_to_string(findings, ','), '') AS findings, suspicious AND level IN ('high', 'critical') AS alert FROM lev""")
 def r20(spark, sf):
     out = R.consolidate(results(spark, sf))
-    return out.select("transaction_id", F.round("score", 6).alias("score"), "level", "suspicious", F.array_join("triggered_by", ",").alias("triggered_by"), F.array_join("findings", ",").alias("findings"), "alert")
+    return out.select("transaction_id", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "n_suspicious", "n_detectors", "level", "suspicious", F.array_join("triggered_by", ",").alias("triggered_by"), F.array_join("findings", ",").alias("findings"), "alert")
 
 
 @query("r21_second_stage", "txn", _RESULTS + f""",
