@@ -271,9 +271,14 @@ def enough(total: str, both: Column) -> Column:
     return F.lit(100) * both >= THRESHOLD * (F.col(total) - both)
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The sets in any pair. A set at one end of many pairs is combined before the shuffle."""
+    return pairs.select(F.col("a").alias("sig")).distinct().union(pairs.select("b").distinct()).distinct()
+
+
 def possible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that their sizes and bitmaps don't rule out, materialised."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted-maps")
+    wanted = materialise(ends_of(pairs), "wanted-maps")
     known = join_list(classes.where("rep is not null"), wanted, "sig", "left_semi").select("sig", F.struct("n", "parity").alias("own"))
     known = materialise(known, "maps")
     both = attach(attach(pairs, known, "a", "own", "p"), known, "b", "own", "q")
@@ -284,7 +289,7 @@ def possible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, clashing: frozenset[int]) -> DataFrame:
     """The pairs (a, b) that link, materialised."""
     left = possible_pairs(pairs, classes)
-    wanted = materialise(left.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted-sets")
+    wanted = materialise(ends_of(left), "wanted-sets")
     sets = set_table(docs, classes, wanted, id_col, text_col, clashing)
     both = attach(attach(left, sets, "a", "items", "x"), sets, "b", "items", "y")
     shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("both"))
