@@ -13,8 +13,9 @@ the article (related links, adverts, readers' comments): elements whose name, ro
 as branches on every page. A class or id says so if each of its words is such a word or merely says where something is or
 what it holds (`PLAIN_WORDS`). If a page has an article or main element with text left, blocks outside all of them go.
 
-Counts are combined before the shuffle, so a host with a third of all pages is summed by many tasks. The judged paths of
-hosts that have low ones meet the paths of their pages as rows, in a join that Spark can split, and a page gets back
+Counts are combined before the shuffle, so a host with a third of all pages is summed by many tasks. Only hosts that have
+low paths matter further. If their judged paths are few, counted first, each page gets those of its host by a broadcast and no page is
+shuffled; otherwise they meet the paths of their pages as rows, in a join that Spark can split, and a page gets back
 those of its own. Work is in proportion to a page's length, however deep its elements are.
 
 Null, empty and text-free pages give empty text. Very long pages are read whole. Empty tables give no rows. Repeated rows
@@ -35,6 +36,8 @@ from .common import map_batches, materialise
 
 LEAST_IMPORTANCE = 0.3
 LEAST_PAGES = 8
+#: Judged paths of all hosts that are broadcast at most; beyond, they are joined by a shuffle.
+MOST_JUDGED = 50_000
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,9 +267,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     read = map_batches(pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string")), make, f"id {kind}, url string, {PARTS}")
     read = materialise(read.withColumns({"host": F.xxhash64(host_of("url")), "row": F.monotonically_increasing_id()}), "blocks")
     tree = materialise(style_tree(read, least_pages, least), "judged")
-    own = read.select("row", "host", F.explode(F.array_distinct(F.col("tree.path"))).alias("path"))
-    hit = own.join(tree, ["host", "path"]).groupBy("row").agg(F.collect_list(F.struct("path", "low")).alias("judged"))
-    pruned = read.select("row", "id", "url", "blocks", "tree").join(hit, "row", "left")
+    judged = F.collect_list(F.struct("path", "low")).alias("judged")
+    if tree.count() <= MOST_JUDGED:
+        pruned = read.join(F.broadcast(tree.groupBy("host").agg(judged)), "host", "left")
+    else:
+        own = read.select("row", "host", F.explode(F.array_distinct(F.col("tree.path"))).alias("path"))
+        hit = own.join(tree, ["host", "path"]).groupBy("row").agg(judged)
+        pruned = read.select("row", "id", "url", "blocks", "tree").join(hit, "row", "left")
 
     def finish():
         def work(ids, urls, blocks, trees, judged):

@@ -263,7 +263,10 @@ def test_html_that_is_not_as_it_should_be(spark):
     assert [r["text"] for r in html_extract.extract_text(many).collect()] == ["x"] * 3 and html_extract.extract_text(many.where("false")).count() == 0
 
 
-def test_html_keeps_what_is_important_inside_an_unimportant_branch(spark):
+@pytest.mark.parametrize("most", [html_extract.MOST_JUDGED, 0])
+def test_html_keeps_what_is_important_inside_an_unimportant_branch(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "MOST_JUDGED", most)
+
     def page(k):
         own = f"<section><p>{prose(k, 20)}</p></section>" if k < 9 else ""
         return f"<body><div class=z><p>Same words</p>{own}</div><ul><li>{prose(500 + k, 9)}</li></ul></body>"
