@@ -12,20 +12,40 @@ from ..model import DAY_US, HIGH_RISK_COUNTRIES, level_of
 from .history import amount, earlier, within
 from .validation import labels, worst
 
-#: Id, severity and category of the evaluated rules.
-CATALOGUE = (
-    ("R001", "high", "threshold"), ("R002", "critical", "threshold"), ("R003", "critical", "threshold"), ("R004", "high", "threshold"), ("R005", "high", "threshold"),
-    ("R006", "medium", "threshold"), ("R007", "medium", "threshold"), ("R008", "high", "threshold"), ("R009", "medium", "threshold"), ("R010", "medium", "threshold"),
-    ("R011", "critical", "structuring"), ("R012", "high", "structuring"), ("R013", "high", "structuring"), ("R019", "critical", "layering"), ("R025", "critical", "geographic"),
-    ("R032", "high", "behavioral"), ("R039", "medium", "timing"), ("R040", "medium", "timing"), ("R043", "critical", "sanctions"), ("R044", "critical", "sanctions"),
+#: Id, name, severity, category, threshold (from, to) and regulation of all rules.
+RULES = (
+    ("R001", "High Value Transaction", "high", "threshold", 10_000, None, "BSA/CTR"), ("R002", "Very High Value", "critical", "threshold", 50_000, None, "FinCEN"), ("R003", "Extreme Value", "critical", "threshold", 100_000, None, "SAR Mandatory"),
+    ("R004", "CTR Threshold", "high", "threshold", 9_000, 10_000, "BSA §103.22"), ("R005", "Cash Transaction", "high", "threshold", 5_000, None, "BSA"), ("R006", "Wire Transfer High", "medium", "threshold", 3_000, None, "Travel Rule"),
+    ("R007", "International High", "medium", "threshold", 1_000, None, "FinCEN"), ("R008", "Daily Aggregate", "high", "threshold", 10_000, None, "BSA Aggregation"), ("R009", "Weekly Aggregate", "medium", "threshold", 25_000, None, "Velocity"),
+    ("R010", "Monthly Aggregate", "medium", "threshold", 50_000, None, "Pattern"),
+    ("R011", "Smurfing Pattern", "critical", "structuring", None, None, "31 USC 5324"), ("R012", "Sequential Deposits", "high", "structuring", None, None, "Structuring"), ("R013", "Round Amount Structuring", "high", "structuring", None, None, "Structuring"),
+    ("R014", "Cross-Branch Structuring", "critical", "structuring", None, None, "Geographic Structuring"), ("R015", "Time-Based Structuring", "high", "structuring", None, None, "Temporal Pattern"), ("R016", "Incremental Structuring", "high", "structuring", None, None, "Progressive"),
+    ("R017", "Multi-Account Structuring", "critical", "structuring", None, None, "Account Splitting"), ("R018", "Beneficiary Structuring", "high", "structuring", None, None, "Beneficiary Abuse"),
+    ("R019", "Rapid Movement", "critical", "layering", None, None, "Layering Stage 2"), ("R020", "Circular Transfer", "critical", "layering", None, None, "Round-Tripping"), ("R021", "Complex Web", "high", "layering", None, None, "Obfuscation"),
+    ("R022", "Foreign Layering", "critical", "layering", None, None, "International Layering"), ("R023", "Shell Company Transit", "critical", "layering", None, None, "Shell Usage"), ("R024", "Loan Back Scheme", "high", "layering", None, None, "Loan Back"),
+    ("R025", "High-Risk Country", "critical", "geographic", None, None, "FATF Grey/Black List"), ("R026", "Sanctioned Country", "critical", "geographic", None, None, "OFAC Sanctions"), ("R027", "Tax Haven Route", "high", "geographic", None, None, "Tax Haven"),
+    ("R028", "Conflict Zone", "critical", "geographic", None, None, "Conflict Finance"), ("R029", "Drug Corridor", "high", "geographic", None, None, "Narcotics Risk"), ("R030", "Unusual Route", "medium", "geographic", None, None, "Route Anomaly"),
+    ("R031", "Dormant Account Spike", "critical", "behavioral", None, None, "Account Resurrection"), ("R032", "Sudden Pattern Change", "high", "behavioral", None, None, "Deviation"), ("R033", "Frequency Spike", "high", "behavioral", None, None, "Velocity Change"),
+    ("R034", "New Account Rush", "high", "behavioral", None, None, "New Account"), ("R035", "Inconsistent Profile", "high", "behavioral", None, None, "Profile Mismatch"), ("R036", "Business Anomaly", "medium", "behavioral", None, None, "Business Mismatch"),
+    ("R037", "ATM Abuse", "medium", "behavioral", None, None, "ATM Pattern"), ("R038", "Third-Party Abuse", "medium", "behavioral", None, None, "Third-Party"),
+    ("R039", "Off-Hours Transaction", "medium", "timing", None, None, "Unusual Time"), ("R040", "Weekend/Holiday", "medium", "timing", None, None, "Non-Business Day"), ("R041", "Rapid Succession", "medium", "timing", None, None, "Burst"),
+    ("R042", "Timed Pattern", "medium", "timing", None, None, "Automation Suspected"),
+    ("R043", "PEP Transaction", "critical", "sanctions", None, None, "FATF PEP"), ("R044", "SDN Match", "critical", "sanctions", None, None, "OFAC SDN"), ("R045", "UN Sanctions", "critical", "sanctions", None, None, "UN 1267"),
+    ("R046", "PEP Family/Associate", "high", "sanctions", None, None, "PEP RCA"),
+    ("R047", "Over/Under Invoicing", "high", "trade", None, None, "TBML"), ("R048", "Phantom Shipping", "critical", "trade", None, None, "Trade Fraud"), ("R049", "Carousel Trading", "high", "trade", None, None, "Carousel VAT"), ("R050", "Dual-Use Goods", "critical", "trade", None, None, "Export Control"),
 )
+#: The rules that are evaluated by default; the others are listed, and some have forms in `extended_rules`.
+EVALUATED = frozenset((*(f"R{k:03d}" for k in range(1, 14)), "R019", "R025", "R032", "R039", "R040", "R043", "R044"))
+#: Id, severity and category of the evaluated rules.
+CATALOGUE = tuple((r[0], r[2], r[3]) for r in RULES if r[0] in EVALUATED)
 SEVERITY = {"low": 0.2, "medium": 0.5, "high": 0.8, "critical": 1.0}
 KEYWORDS = {"urgent": 0.15, "cash": 0.1, "gift": 0.2, "crypto": 0.25, "consulting": 0.2, "donation": 0.25, "loan repayment": 0.3, "invoice": 0.1}
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    """The rules as a small table."""
-    return spark.createDataFrame(list(CATALOGUE), "rule string, severity string, category string")
+    """All rules as a small table."""
+    rows = [(r, n, s, c, None if a is None else float(a), None if b is None else float(b), g, r in EVALUATED) for r, n, s, c, a, b, g in RULES]
+    return spark.createDataFrame(rows, "rule string, name string, severity string, category string, threshold double, threshold_to double, regulation string, evaluated boolean")
 
 
 def amount_rules(t: DataFrame) -> DataFrame:

@@ -20,12 +20,6 @@ _PLACE = f"(country_origin IN {C} OR country_destination IN {C}) AS R025, (hour(
 ROW_RULES, PAST_RULES, PLACE_RULES = [f"R00{k}" for k in range(1, 8)], ["R008", "R009", "R010", "R011", "R012", "R013", "R019", "R032"], ["R025", "R039", "R040"]
 
 
-@query("r1_catalogue")
-def r1(spark, sf):
-    fired = R.evaluate(R.all_rules(txn(spark, sf), customers(spark, sf))).select(F.explode("fired").alias("rule"))
-    return fired.groupBy("rule").agg(F.count("*").alias("n")).join(R.catalogue(spark), "rule", "right").fillna(0, ["n"])
-
-
 @query("r2_r3_row_rules", "txn", f"SELECT transaction_id, {_ROW} FROM txn")
 def r2(spark, sf):
     return R.amount_rules(txn(spark, sf)).select("transaction_id", *(F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ROW_RULES))
@@ -54,6 +48,15 @@ e AS (SELECT transaction_id, unnest(fired) AS rule FROM l)
 """
 
 
+_RULES = ", ".join(f"('{r}', '{n}', '{s}', '{c}', {a or 'NULL'}::DOUBLE, {b or 'NULL'}::DOUBLE, '{g}', {str(r in R.EVALUATED).lower()})" for r, n, s, c, a, b, g in R.RULES)
+
+
+@query("r1_catalogue", "txn customers", _ALL + f", v AS (SELECT * FROM (VALUES {_RULES}) v(rule, name, severity, category, threshold, threshold_to, regulation, evaluated)) SELECT v.*, coalesce(k.n, 0) AS n FROM v LEFT JOIN (SELECT rule, count(*) AS n FROM e GROUP BY 1) k USING (rule)")
+def r1(spark, sf):
+    fired = R.evaluate(R.all_rules(txn(spark, sf), customers(spark, sf))).select(F.explode("fired").alias("rule"))
+    return R.catalogue(spark).join(fired.groupBy("rule").agg(F.count("*").alias("n")), "rule", "left").fillna(0, ["n"])
+
+
 @query("r13_rule_evaluation", "txn customers", _ALL + """
 SELECT l.transaction_id, array_to_string(l.fired, ',') AS fired, len(l.fired)::INT AS n_fired, round(coalesce(s.score, 0), 6) AS rule_score FROM l LEFT JOIN (SELECT transaction_id, avg(weight) AS score FROM e JOIN c USING (rule) GROUP BY 1) s USING (transaction_id)""")
 def r13(spark, sf):
