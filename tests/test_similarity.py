@@ -5,6 +5,16 @@ import random
 from ledgerlynx.operators import similarity as N
 
 
+def test_recall_of_approximate_pairs(spark):
+    rnd = random.Random(2)
+    base = [[rnd.gauss(0, 0.125) for _ in range(64)] for _ in range(150)]
+    near = [[v + rnd.gauss(0, 0.03) for v in b] for b in base]
+    rows = [(k, v) for k, v in enumerate(base + near)]
+    got = {(r["a"], r["b"]) for r in N.approximate(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.35).collect()}
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and sum((p - q) ** 2 for p, q in zip(x, y, strict=True)) <= 0.35**2}
+    assert len(want) >= 140 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_nearest_in_blocks(spark):
     rnd = random.Random(4)
     rows = [(k, [rnd.random() for _ in range(4)], k % 2) for k in range(60)]
