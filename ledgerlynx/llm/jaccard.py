@@ -9,8 +9,8 @@ tells both. A pair is then a candidate if its prefixes share as many shingles as
 
 Components need not have all pairs. First, in stars, each holder of a prefix shingle meets only that
 shingle's first holder, the smallest set, so a group of thousands of near copies costs thousands of
-checks; in large groups each set also meets a few random leads, and where the holders that stand apart
-would still make many more pairs than there are holders, the best linked leads. Then holders of a shingle
+checks; where the holders that then stand apart would make many more pairs than there are holders, each meets a
+few random leads, and where that is still so, the best linked leads. Then holders of a shingle
 in different components meet one by one under the full count rule. Only the last step must be
 complete, and it is, so no link that joins two components is lost and pairs within one are not formed.
 
@@ -218,10 +218,10 @@ def may_link() -> Column:
 
 def star_rows(postings: DataFrame) -> DataFrame:
     """The holders of shingles that several sets hold: all but the first one, each with the first as `lead` and
-    `lead_meta`. `second` marks one row of a shingle, `many` the rows of a holder beyond `LARGE`; repeats of a set go."""
+    `lead_meta`. `second` marks one row of a shingle; repeats of a set go."""
     order = Window.partitionBy("token").orderBy("meta", "sig")
-    seen = postings.withColumns({"lead": F.first("sig").over(order), "lead_meta": F.first("meta").over(order), "prior": F.lag("sig").over(order), "nth": F.row_number().over(order)})
-    return seen.where("prior <> sig").select("token", "sig", "meta", "lead", "lead_meta", (F.col("prior") == F.col("lead")).alias("second"), (F.col("nth") > LARGE).alias("many"))
+    seen = postings.withColumns({"lead": F.first("sig").over(order), "lead_meta": F.first("meta").over(order), "prior": F.lag("sig").over(order)})
+    return seen.where("prior <> sig").select("token", "sig", "meta", "lead", "lead_meta", (F.col("prior") == F.col("lead")).alias("second"))
 
 
 def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, clashing: frozenset[int]) -> DataFrame:
@@ -316,7 +316,7 @@ def crowds(members: DataFrame) -> DataFrame:
 def lead_pairs(members: DataFrame, k: int, degrees: DataFrame | None) -> DataFrame:
     """Each set once, under one of its shingles (another each round), with `LEADS` leads of that shingle.
 
-    The first leads are random and meet all sets; `degrees` then tells how many of them a set linked with,
+    The first leads are random; `degrees` then tells how many of them a set linked with,
     and the leads of later rounds are the best linked, which most others are near to."""
     chosen = members.groupBy("sig", "own", "n").agg(F.min(F.struct(F.xxhash64("token", F.lit(k)).alias("h"), "token")).alias("t")).select("sig", "own", "n", "t.token")
     chosen = materialise(chosen, "chosen")
@@ -324,8 +324,7 @@ def lead_pairs(members: DataFrame, k: int, degrees: DataFrame | None) -> DataFra
     order = Window.partitionBy("token").orderBy(F.coalesce("degree", F.lit(0)).desc(), F.xxhash64("sig", F.lit(k)), "sig")
     leads = ranked.withColumn("nth", F.row_number().over(order)).where(f"nth <= {LEADS}")
     leads = leads.select("token", F.col("sig").alias("b"), F.col("own").alias("other"), F.col("n").alias("m"))
-    apart = (F.col("own") != F.col("other")) if degrees is not None else (F.col("sig") != F.col("b"))
-    return chosen.join(leads, "token").where(apart & in_reach("n", "m")).select(F.col("sig").alias("a"), "b").distinct()
+    return chosen.join(leads, "token").where((F.col("own") != F.col("other")) & in_reach("n", "m")).select(F.col("sig").alias("a"), "b").distinct()
 
 
 def merged(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -364,25 +363,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leads = held.where("second").select("token", F.col("lead").alias("sig"), F.col("lead_meta").alias("meta"))
     members = held.select("token", "sig", "meta").union(leads).select("token", "sig", *fields("meta"))
     stars = held.select(F.col("sig").alias("a"), F.col("lead").alias("b"), *fields("meta", "_x"), *fields("lead_meta", "_y")).where(may_link()).select("a", "b")
-    many = materialise(held.where("many").select("token").distinct(), "large-tokens")
-    large = materialise(with_ids(members, many, "token"), "large")
-    pairs = materialise(stars.unionByName(lead_pairs(large.withColumn("own", F.col("sig")), 0, None)).distinct(), "first-pairs")
-    discard(large, many)
+    pairs = materialise(stars.distinct(), "first-pairs")
     found = [verify(pairs, *own)]
     discard(pairs)
     joined = materialise(components(found[0].select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "sig"), "joined")
     members = still_apart(join_list(members, joined, "sig", "left").select(*MEMBER[:-1], F.coalesce("component_id", "sig").alias("own")))
     discard(held, joined)
-
-    crowded = materialise(members.join(crowds(members), "token", "left_semi"), "crowded")
-    if crowded.limit(1).count():
-        degrees = found[0].groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("degree"))
-        pairs = materialise(lead_pairs(crowded, 1, degrees), "lead-pairs")
-        found.append(verify(pairs, *own))
-        before, members = members, still_apart(merged(members, found[-1]))
-        discard(before, pairs)
+    for k in range(2):  # random leads for what the stars have left apart, then the best linked ones
+        crowded = materialise(members.join(crowds(members), "token", "left_semi"), "crowded")
+        if crowded.limit(1).count():
+            degrees = found[-1].groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("degree")) if k else None
+            pairs = materialise(lead_pairs(crowded, k, degrees), "lead-pairs")
+            found.append(verify(pairs, *own))
+            before, members = members, still_apart(merged(members, found[-1]))
+            discard(before, pairs)
+        discard(crowded)
     met = materialise(met_pairs(members), "met-pairs")
-    discard(members, crowded)
+    discard(members)
     found.append(verify(met, *own))
     links = found[0]
     for more in found[1:]:
