@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +91,171 @@ def robustness(df: DataFrame, columns: list[str], scorer, key: str, scale: float
     out = a.join(b, key).agg(F.avg((F.col("before") != F.col("after")).cast("double")).alias("flips"))
     r = 1 - F.col("flips")
     return out.select("flips", r.alias("robustness"), F.when(r >= 0.9, "robust").when(r >= 0.7, "fair").when(r >= 0.5, "weak").otherwise("poor").alias("band"))
+
+
+def compare_robustness(df: DataFrame, columns: list[str], scorers: dict, key: str, scale: float = 0.05) -> DataFrame:
+    """M14 for each named scorer."""
+    found = [robustness(df, columns, f, key, scale).withColumn("scorer", F.lit(name)) for name, f in scorers.items()]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def reducer(df: DataFrame, columns: list[str], k: int = 20):
+    """M3: a fitted pipeline from the columns to `reduced`: assembled by name, scaled to mean 0 and deviation 1, then at most k principal components."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+
+    steps = [
+        VectorAssembler(inputCols=sorted(columns), outputCol="features"),
+        StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
+        PCA(k=min(k, len(columns)), inputCol="scaled", outputCol="reduced"),
+    ]
+    return Pipeline(stages=steps).fit(df)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted pipeline, over an older one at the same place."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """M11."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def outliers(df: DataFrame, key: str, reduced: str = "reduced", contamination: float = 0.05) -> DataFrame:
+    """M5: df: principal components. Isolation forest and distance from the centre; either one makes an outlier.
+
+    Components are uncorrelated, so the distance needs their means and variances only. Both cuts are quantiles over all
+    rows. The covariance is that of all rows, not a robust one. Equal rows get equal scores."""
+    from pyspark.ml.functions import vector_to_array
+
+    x = df.withColumn("x", vector_to_array(reduced))
+    width = len((x.select("x").first() or [[]])[0])
+    stats = x.agg(*(f(F.col("x")[k]).alias(f"{n}{k}") for k in range(width) for n, f in (("m", F.avg), ("v", F.var_samp)))).first() if width else None
+    terms = [(F.col("x")[k] - stats[f"m{k}"]) ** 2 / stats[f"v{k}"] for k in range(width) if (stats[f"v{k}"] or 0) > 1e-12]
+    scored = x.withColumn("distance", sum(terms, F.lit(0.0))).withColumn("isolation", isolation(x, key)("x"))
+    cuts = scored.agg(*(F.percentile_approx(c, 1 - contamination, 100_000).alias(c) for c in ("isolation", "distance"))).first()
+    votes = [F.col(c) > F.lit(cuts[c]) for c in ("isolation", "distance")]
+    n = votes[0].cast("int") + votes[1].cast("int")
+    return scored.drop("x").withColumns({"votes": n, "is_anomaly": n >= 1, "confidence": n / 2, "anomaly_score": (F.col("isolation") + F.when(votes[1], 0.8).otherwise(0.2)) / 2})
+
+
+def isolation(x: DataFrame, key: str, trees: int = 100, sample: int = 256):
+    """The isolation score of an array column: 2 to the power of minus the mean depth over the expected depth.
+
+    A tree is grown from about `sample` rows drawn by a hash of the key and the tree, as the method asks; trees grow in
+    tasks of their own. The forest has at most 2 * trees * sample nodes and is broadcast."""
+    rate = min(1.0, sample / max(x.count(), 1))
+
+    def drawn(t):
+        return F.pmod(F.xxhash64(F.col(key), t), F.lit(1 << 30)) < int(rate * (1 << 30))
+
+    rows = x.select("x", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)).alias("tree"))
+
+    def grown(own: pd.DataFrame) -> pd.DataFrame:
+        points, rng, nodes = np.array(own["x"].tolist()), np.random.default_rng(int(own["tree"].iloc[0])), []
+
+        def grow(part, depth):
+            place = len(nodes)
+            nodes.append((-1, 0.0, place, place, float(depth + _mean_depth(len(part)))))
+            low, high = part.min(0), part.max(0)
+            wide = np.flatnonzero(low < high)
+            if depth < np.ceil(np.log2(sample)) and len(wide):
+                f = int(rng.choice(wide))
+                cut = float(rng.uniform(low[f], high[f]))
+                right = part[:, f] > cut
+                nodes[place] = (f, cut, grow(part[~right], depth + 1), grow(part[right], depth + 1), 0.0)
+            return place
+
+        grow(points[np.lexsort(points.T)], 0)
+        return pd.DataFrame(nodes, columns=["f", "cut", "low", "high", "depth"]).assign(tree=own["tree"].iloc[0], node=range(len(nodes)))
+
+    table = rows.groupBy("tree").applyInPandas(grown, "f int, cut double, low int, high int, depth double, tree int, node int").toPandas()
+    forest = [t.sort_values("node") for _, t in table.groupby("tree")]
+    forest = x.sparkSession.sparkContext.broadcast([tuple(t[c].to_numpy() for c in ("f", "cut", "low", "high", "depth")) for t in forest])
+
+    @F.pandas_udf("double")
+    def score(column: pd.Series) -> pd.Series:
+        points = np.array(column.tolist()).reshape(len(column), -1)
+        total, every = np.zeros(len(points)), np.arange(len(points))
+        for f, cut, low, high, depth in forest.value:
+            at = np.zeros(len(points), dtype=int)
+            while (f[at] >= 0).any():
+                at = np.where(points[every, f[at]] > cut[at], high[at], low[at])
+            total += depth[at]
+        return pd.Series(2.0 ** (-total / max(len(forest.value), 1) / _mean_depth(sample)))
+
+    return score
+
+
+def _mean_depth(n: int) -> float:
+    """The expected depth of a row in a random tree over n rows."""
+    return 2 * (sum(1 / k for k in range(1, n)) - (n - 1) / n) if n > 1 else 0.0
+
+
+def cross_validate(df: DataFrame, label: str, key: str, depths=(2, 4), folds: int = 5) -> DataFrame:
+    """M7: the mean area under the curve over folds dealt by a hash of the key, for each depth of a boosted model."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    model = GBTClassifier(featuresCol="features", labelCol=label, maxIter=5, seed=7)
+    grid = ParamGridBuilder().addGrid(model.maxDepth, list(depths)).build()
+    dealt = df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    found = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, foldCol="fold").fit(dealt)
+    return df.sparkSession.createDataFrame([(d, float(a)) for d, a in zip(depths, found.avgMetrics, strict=True)], "max_depth int, auc double")
+
+
+def auc_weights(df: DataFrame, scores: list[str], label: str) -> DataFrame:
+    """M8: each score's area under the curve as a share of their sum."""
+    found = [auc(df, c, label).withColumn("model", F.lit(c)) for c in scores]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    total = out.agg(F.sum("auc").alias("total"))
+    return out.crossJoin(F.broadcast(total)).select("model", "auc", (F.col("auc") / F.col("total")).alias("weight"))  # one row
+
+
+#: What an alert's rank is learnt from; missing columns count as 0.
+RANK_FEATURES = ("risk_score", "amount", "num_patterns", "customer_risk_level", "has_pep", "has_sanctions", "cross_border", "cash_intensive", "velocity_z_score", "network_centrality")
+
+
+def rank_features(alerts: DataFrame) -> DataFrame:
+    """The ten features as doubles: amounts in thousands, risk levels as 1, 0.5 or 0."""
+    def of(c):
+        if c not in alerts.columns:
+            return F.lit(0.0)
+        if c == "customer_risk_level":
+            return F.when(F.col(c) == "high", 1.0).when(F.col(c) == "medium", 0.5).otherwise(0.0)
+        return F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / (1000 if c == "amount" else 1)
+
+    return alerts.withColumns({f"rank_{c}": of(c) for c in RANK_FEATURES})
+
+
+def ranker(alerts: DataFrame, label: str = "priority"):
+    """A fitted pipeline: the features scaled, then a forest of 100 trees."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    steps = [
+        VectorAssembler(inputCols=[f"rank_{c}" for c in RANK_FEATURES], outputCol="rank_features"),
+        StandardScaler(inputCol="rank_features", outputCol="rank_scaled", withMean=True, withStd=True),
+        RandomForestClassifier(numTrees=100, featuresCol="rank_scaled", labelCol=label, seed=42),
+    ]
+    return Pipeline(stages=steps).fit(rank_features(alerts))
+
+
+def ranked(alerts: DataFrame, model=None) -> DataFrame:
+    """Alerts with their rank score: the probability of the highest class, or the risk score without a model."""
+    if model is None:
+        return alerts.withColumn("rank_score", F.coalesce("risk_score", F.lit(0.0)))
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(rank_features(alerts)).withColumn("rank_score", F.element_at(vector_to_array("probability"), -1))
+    return out.select(*alerts.columns, "rank_score")

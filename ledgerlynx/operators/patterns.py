@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import micros, money
@@ -58,6 +58,20 @@ def rising_sequence(txns: DataFrame, small: float = 5_000, large: float = 15_000
     return two.join(a, "sender_id").where(f"us1 < us2 AND us3 - us1 <= {span}").select("sender_id", "t1", "t2", "t3")
 
 
+def layering_sequence(txns: DataFrame, deposits=("cash_deposit",), transfers=("wire_transfer", "ach"), withdrawals=("cash_withdrawal",), least: int = 3, days: int = 7) -> DataFrame:
+    """Withdrawals with a deposit of the same party in the days before and at least so many transfers in between.
+
+    The earliest such deposit has the most transfers after it, so running counts decide; one exchange and one sort."""
+    before = Window.partitionBy("sender_id").orderBy("us")
+    kind = F.col("transaction_type")
+    t = txns.select("sender_id", "transaction_id", "transaction_type", micros().alias("us"))
+    t = t.withColumn("sent", F.count_if(kind.isin(*transfers)).over(before.rangeBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.when(kind.isin(*deposits), F.struct("us", "sent"))).over(before.rangeBetween(-days * 86_400_000_000, -1))
+    until = F.max("sent").over(before.rangeBetween(Window.unboundedPreceding, -1))
+    out = t.withColumns({"first": first, "n_transfers": until - first["sent"]})
+    return out.where(kind.isin(*withdrawals) & (F.col("n_transfers") >= least)).select("sender_id", "transaction_id", "n_transfers")
+
+
 def smurfing_receivers(txns: DataFrame, threshold: float = 10_000, least: int = 10, similarity: float = 0.9, window: str = "1 day") -> DataFrame:
     """Many similar rows below the threshold to one receiver in a day."""
     out = txns.where(F.col("amount") < threshold).groupBy("receiver_id", F.window("ts", window).alias("w")).agg(F.count("*").alias("n"), F.min("amount").alias("low"), F.max("amount").alias("high"), F.sum("amount").alias("total"))

@@ -154,6 +154,17 @@ def extended_rules(t: DataFrame) -> DataFrame:
     })
 
 
+def equal_spacing(t: DataFrame, slack_s: int = 300) -> DataFrame:
+    """R015: the last two gaps of a sender both lie within the slack of an hour, or both of a day; the slack is ours."""
+    rows = Window.partitionBy("sender_id").orderBy("ts", "transaction_id")
+    us = [F.unix_micros(F.lag("ts", k).over(rows)) for k in (0, 1, 2)]
+
+    def near(k, span):
+        return F.abs(us[k] - us[k + 1] - span) <= slack_s * 1_000_000
+
+    return t.withColumn("R015", F.coalesce((near(0, DAY_US // 24) & near(1, DAY_US // 24)) | (near(0, DAY_US) & near(1, DAY_US)), F.lit(False)))
+
+
 def many_per_day(t: DataFrame, receivers: int = 5, withdrawals: int = 20) -> DataFrame:
     """R017 and R037 by sender and day."""
     out = t.groupBy("sender_id", F.to_date("ts").alias("date")).agg(F.count_distinct("receiver_id").alias("n_receivers"), F.count_if(F.col("transaction_type") == "cash_withdrawal").alias("n_withdrawals"))

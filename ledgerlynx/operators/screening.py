@@ -65,6 +65,13 @@ def token_set(a: Column, b: Column) -> Column:
     return 100.0 * F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))
 
 
+def partial_ratio(a: Column, b: Column) -> Column:
+    """The best edit ratio of the shorter string with the pieces of its length in the longer; 100 if one is empty."""
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    n = F.length(short)
+    return F.array_max(F.transform(F.sequence(F.lit(1), F.length(long) - n + 1), lambda k: ratio(short, F.substring(long, k, n))))
+
+
 def score(a: Column, b: Column) -> Column:
     """The best of the edit ratio, that of the sorted words, and the shared words."""
     return F.when(a == b, 100.0).otherwise(F.greatest(ratio(a, b), ratio(sorted_words(a), sorted_words(b)), token_set(a, b)))

@@ -75,6 +75,14 @@ def e5(spark, sf):
     return S.screen(names(spark, sf), watchlist(spark, sf), least=60, whole=False)
 
 
+@query("e2_partial_ratio", "", NAMES + _BLOCK + """l AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS t FROM pairs),
+w AS (SELECT a, b, s, unnest(list_transform(generate_series(1, length(t) - length(s) + 1), lambda k: substr(t, k, length(s)))) AS piece FROM l)
+SELECT a, b, round(max(100.0 * (1 - levenshtein(s, piece) / length(s))), 4) AS score FROM w GROUP BY 1, 2""")
+def e2_partial(spark, sf):
+    pairs = S.candidates(names(spark, sf), watchlist(spark, sf), whole=False).toDF("a", "b")
+    return pairs.withColumn("score", F.round(S.partial_ratio(F.col("a"), F.col("b")), 4))
+
+
 # the forms above stop at the blocks, as their SQL does; in these a name without candidates meets the whole list
 _WHOLE = _BLOCK.replace("pairs AS", "blocked AS").replace("string_split(name, ' ')", "string_split(lower(name), ' ')") + """
 pairs AS (SELECT a, b FROM blocked UNION ALL SELECT name, n FROM names, (SELECT DISTINCT lower(name_norm) AS n FROM watch) WHERE name NOT IN (SELECT a FROM blocked)), """

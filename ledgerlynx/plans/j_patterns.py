@@ -69,6 +69,16 @@ def s4(spark, sf):
     return P.rising_sequence(txn(spark, sf))
 
 
+# the tables have no withdrawals: crypto rows stand for them
+@query("s5_layering_sequence", "txn", """
+p AS (SELECT w.sender_id, w.transaction_id, w.ts, min(d.ts) AS since FROM txn w JOIN txn d ON d.sender_id = w.sender_id AND d.ts < w.ts AND d.ts >= w.ts - INTERVAL 7 DAYS
+  WHERE w.transaction_type = 'crypto' AND d.transaction_type = 'cash_deposit' GROUP BY 1, 2, 3)
+SELECT p.sender_id, p.transaction_id, count(*) AS n_transfers FROM p JOIN txn x ON x.sender_id = p.sender_id AND x.ts > p.since AND x.ts < p.ts
+WHERE x.transaction_type IN ('wire_transfer', 'ach') GROUP BY 1, 2 HAVING count(*) >= 3""")
+def s5(spark, sf):
+    return P.layering_sequence(txn(spark, sf), withdrawals=("crypto",))
+
+
 @query("s6_smurfing_receivers", "txn", """
 SELECT receiver_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, sum(amount)::DOUBLE AS total FROM txn WHERE amount < 10000
 GROUP BY 1, 2 HAVING count(*) >= 5 AND min(amount)::DOUBLE >= 0.2 * max(amount)::DOUBLE""")

@@ -1,5 +1,6 @@
 """P1-P5, N1-N4, M1-M12, IO5, IO7, IO13, IO17 over the driver's tables."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import sources as IO
@@ -164,3 +165,65 @@ SELECT round(sum((a - n * ta / (ta + tb)) ** 2 / (n * ta / (ta + tb)) + (b - n *
 def m12b(spark, sf):
     t = txn(spark, sf)
     return L.chi_square(t.where("ts < '2024-01-16'"), t.where("ts >= '2024-01-16'"), "transaction_type").withColumn("chi_square", F.round("chi_square", 4))
+
+
+FEATURES = ["hour", "weekday", "roundness", "any_risk", "international", "night"]
+
+
+def numeric_rows(spark, sf):
+    t = H.geography(H.rounding(H.basic(txn(spark, sf)))).withColumn("label", F.col("is_suspicious").cast("int"))
+    return t.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES})
+
+
+@query("m3_components")
+def m3(spark, sf):
+    rows = numeric_rows(spark, sf)
+    return L.reducer(rows, FEATURES).transform(rows).select("transaction_id", F.transform(vector_to_array("reduced"), lambda v: F.round(v, 6)).alias("reduced"))
+
+
+@query("m5_outliers")
+def m5(spark, sf):
+    rows = numeric_rows(spark, sf)
+    out = L.outliers(L.reducer(rows, FEATURES).transform(rows), "transaction_id")
+    return out.select("transaction_id", F.round("isolation", 6).alias("isolation"), F.round("distance", 6).alias("distance"), "votes", "is_anomaly", "confidence")
+
+
+@query("m7_folds")
+def m7(spark, sf):
+    return L.cross_validate(feature_rows(spark, sf), "label", "transaction_id").withColumn("auc", F.round("auc", 6))
+
+
+@query("m8_auc_weights", "txn", """
+s AS (SELECT 'by_hour' AS model, hour(ts) AS score, is_suspicious AS y FROM txn UNION ALL SELECT 'by_day', day(ts), is_suspicious FROM txn),
+r AS (SELECT model, y, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2 AS rank FROM s),
+u AS (SELECT model, (sum(rank) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS auc FROM r GROUP BY 1)
+SELECT model, round(auc, 6) AS auc, round(auc / sum(auc) OVER (), 6) AS weight FROM u""")
+def m8(spark, sf):
+    t = txn(spark, sf).select(F.hour("ts").alias("by_hour"), F.day("ts").alias("by_day"), F.col("is_suspicious").cast("int").alias("label"))
+    return L.auc_weights(t, ["by_hour", "by_day"], "label").select("model", F.round("auc", 6).alias("auc"), F.round("weight", 6).alias("weight"))
+
+
+@query("m9_error_profile", "txn", """
+c AS (SELECT CASE WHEN country_origin <> country_destination THEN 'FP' ELSE 'FN' END AS class, hour(ts)::DOUBLE AS by_hour, day(ts)::DOUBLE AS by_day, amount::DOUBLE AS size FROM txn WHERE (country_origin <> country_destination) <> is_suspicious),
+m AS (SELECT class, 'by_hour' AS feature, avg(by_hour) AS mean FROM c GROUP BY 1 UNION ALL SELECT class, 'by_day', avg(by_day) FROM c GROUP BY 1 UNION ALL SELECT class, 'size', avg(size) FROM c GROUP BY 1)
+SELECT class, feature, round(mean, 4) AS mean, row_number() OVER (PARTITION BY class ORDER BY abs(mean) DESC, feature) AS place FROM m""")
+def m9(spark, sf):
+    abroad = F.col("country_origin") != F.col("country_destination")
+    kind = F.when(abroad & ~F.col("is_suspicious"), "FP").when(~abroad & F.col("is_suspicious"), "FN").otherwise("right")
+    t = txn(spark, sf).select(kind.alias("class"), F.hour("ts").cast("double").alias("by_hour"), F.day("ts").cast("double").alias("by_day"), F.col("amount").cast("double").alias("size"))
+    return L.error_profile(t, ["by_hour", "by_day", "size"]).withColumn("mean", F.round("mean", 4))
+
+
+@query("m10_ranked_alerts")
+def m10(spark, sf):
+    t = txn(spark, sf).where("is_suspicious").withColumn("cross_border", F.col("country_origin") != F.col("country_destination"))
+    alerts = t.withColumn("priority", F.when(F.col("risk_score") >= 0.8, 2).when(F.col("risk_score") >= 0.5, 1).otherwise(0))
+    return L.ranked(alerts, L.ranker(alerts)).select("transaction_id", "priority", F.round("rank_score", 6).alias("rank_score"))
+
+
+@query("m15_robustness")
+def m15(spark, sf):
+    def above(limit):
+        return lambda d: d.withColumn("prediction", (F.col("amount").cast("double") >= limit).cast("int"))
+
+    return L.compare_robustness(txn(spark, sf), ["amount"], {"above_9000": above(9000), "above_15000": above(15000)}, "transaction_id")

@@ -98,6 +98,13 @@ def r16(spark, sf):
     return R.extended_rules(txn(spark, sf)).select("transaction_id", "R016", "R018", "R031", "R033", "R041", "R042")
 
 
+@query("r16_equal_spacing", "txn", f"""
+g AS (SELECT transaction_id, epoch_us(ts) - epoch_us(lag(ts) OVER o) AS x, epoch_us(lag(ts) OVER o) - epoch_us(lag(ts, 2) OVER o) AS y FROM txn WINDOW o AS ({_S}))
+SELECT transaction_id, coalesce((x BETWEEN 3300000000 AND 3900000000 AND y BETWEEN 3300000000 AND 3900000000) OR (x BETWEEN 86100000000 AND 86700000000 AND y BETWEEN 86100000000 AND 86700000000), false) AS R015 FROM g""")
+def r16c(spark, sf):
+    return R.equal_spacing(txn(spark, sf)).select("transaction_id", "R015")
+
+
 @query("r16_many_per_day", "txn", "SELECT sender_id, strftime(ts, '%Y-%m-%d') AS date, count(DISTINCT receiver_id) AS n_receivers, count(DISTINCT receiver_id) >= 5 AS R017 FROM txn GROUP BY 1, 2")
 def r16b(spark, sf):
     return R.many_per_day(txn(spark, sf)).select("sender_id", F.col("date").cast("string").alias("date"), "n_receivers", "R017")
