@@ -16,7 +16,8 @@ complete, and it is, so no link that joins two components is lost and pairs with
 
 Candidates are checked in two steps. Each set has a parity bitmap of about as many bits as shingles; bits in which
 two bitmaps differ are at most the shingles in which the sets differ, so pairs that differ in too many are out for
-certain. Only the sets of the pairs left are shingled again and compared whole.
+certain. Only the sets of the pairs left are shingled again and compared whole. Under crowded shingles the bitmaps
+go with the postings, so pairs that are out for certain are not formed there.
 
 Null and empty texts have no set and are linked with nothing. Texts of fewer than five words are one
 shingle. Empty tables give no rows. Repeated rows are linked as any equal texts are; rows with equal ids are one
@@ -49,6 +50,8 @@ LARGE, CROWD = 64, 8
 PLACE_BITS = 30
 #: Fewest bits of a set's parity bitmap, and pairs of a set from which it is dealt to several tasks.
 LEAST_BITS, HOT_PAIRS = 512, 256
+#: Words of a bitmap that goes with a posting. Bitmaps of over twice as many stay behind: pairs of such sets meet them after they are formed.
+CARRIED = LEAST_BITS // 64
 #: Word hashes that a task remembers.
 MEMO = 300_000
 
@@ -266,9 +269,14 @@ def bits_apart() -> Column:
     return F.aggregate(F.zip_with(fold("x"), fold("y"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
 
 
-def enough(total: str, both: Column) -> Column:
+def enough(total: Column, both: Column) -> Column:
     """Whether sets with so many shingles together and so many in common link."""
-    return F.lit(100) * both >= THRESHOLD * (F.col(total) - both)
+    return F.lit(100 + THRESHOLD) * both >= THRESHOLD * total
+
+
+def not_ruled_out(total: Column, apart: Column) -> Column:
+    """Whether sets with so many shingles together, whose bitmaps differ in so many bits, may link."""
+    return enough(total, (total - apart) / 2)
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -283,7 +291,7 @@ def possible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     known = materialise(known, "maps")
     both = attach(attach(pairs, known, "a", "own", "p"), known, "b", "own", "q")
     both = both.select("a", "b", (F.col("p.n") + F.col("q.n")).alias("total"), F.col("p.n").alias("n"), F.col("q.n").alias("m"), F.col("p.parity").alias("x"), F.col("q.parity").alias("y"))
-    return materialise(both.where(in_reach("n", "m")).where(enough("total", (F.col("total") - bits_apart()) / 2)).select("a", "b"), "possible")
+    return materialise(both.where(in_reach("n", "m")).where(not_ruled_out(F.col("total"), bits_apart())).select("a", "b"), "possible")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, clashing: frozenset[int]) -> DataFrame:
@@ -293,7 +301,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, t
     sets = set_table(docs, classes, wanted, id_col, text_col, clashing)
     both = attach(attach(left, sets, "a", "items", "x"), sets, "b", "items", "y")
     shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return materialise(shared.where(enough("total", F.col("both"))).select("a", "b"), "links-found")
+    return materialise(shared.where(enough(F.col("total"), F.col("both"))).select("a", "b"), "links-found")
 
 
 #: Columns of a holder: its set's size, the shingle's place in its order, its l and its component so far.
@@ -335,10 +343,27 @@ def merged(members: DataFrame, links: DataFrame) -> DataFrame:
     return join_list(members, joined, "own", "left").select(*MEMBER[:-1], F.coalesce("component_id", "own").alias("own"))
 
 
+def with_maps(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The holders with `parity`, their set's bitmap folded to `CARRIED` words, under crowded shingles; it is null
+    elsewhere and for large sets."""
+    tokens = materialise(crowds(members), "crowded-tokens")
+    crowded = materialise(join_list(members, tokens, "token", "left_semi"), "crowded")
+    folded = F.zip_with(F.slice("parity", 1, CARRIED), F.slice("parity", CARRIED + 1, CARRIED), lambda a, b: a.bitwiseXOR(b))
+    maps = classes.where(F.size("parity") <= 2 * CARRIED).select("sig", F.when(F.size("parity") > CARRIED, folded).otherwise(F.col("parity")).alias("parity"))
+    maps = materialise(join_list(maps, materialise(crowded.select("sig").distinct(), "wanted-maps"), "sig", "left_semi"), "maps")
+    crowded = crowded.join(maps, "sig", "left").select(*MEMBER, "parity")
+    rest = join_list(members, tokens, "token", "left_anti").select(*MEMBER, F.lit(None).cast("array<long>").alias("parity"))
+    return materialise(crowded.unionByName(rest), "mapped")
+
+
 def met_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components whose prefixes share as many shingles as the smaller l asks."""
-    x, y = (members.select("token", *(F.col(c).alias(f"{c}_{side}") for c in MEMBER[1:])) for side in "xy")
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("own_x") < F.col("own_y")) & may_link())
+    """Pairs of different components whose prefixes share as many shingles as the smaller l asks.
+
+    A pair that the bitmaps rule out under one shingle is ruled out under all where it carries them, and later otherwise."""
+    x, y = (members.select("token", *(F.col(c).alias(f"{c}_{side}") for c in (*MEMBER[1:], "parity"))) for side in "xy")
+    apart = sum((F.bit_count(F.col("parity_x")[i].bitwiseXOR(F.col("parity_y")[i])) for i in range(CARRIED)), F.lit(0))
+    possible = F.coalesce(not_ruled_out(F.col("n_x") + F.col("n_y"), apart), F.lit(True))  # true where a bitmap is missing
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("own_x") < F.col("own_y")) & may_link() & possible)
     met = met.groupBy(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("l_x", "l_y")).alias("l"))
     return met.where("shared >= l").select("a", "b")
 
@@ -378,8 +403,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             before, members = members, still_apart(merged(members, found[-1]))
             discard(before, pairs)
         discard(crowded)
-    met = materialise(met_pairs(members), "met-pairs")
+    mapped = with_maps(members, classes)
     discard(members)
+    met = materialise(met_pairs(mapped), "met-pairs")
+    discard(mapped)
     found.append(verify(met, *own))
     links = found[0]
     for more in found[1:]:
