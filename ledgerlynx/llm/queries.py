@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import shared_folder, table
+from .conversations import damaged, repair
+from .hard_negatives import hard_negatives
 from .hnsw import near_duplicates
 from .html_extract import extract_text
 from .jaccard import jaccard_components
+from .mixing import mix, taken
 from .packing import pack_documents
 from .pii import digest, find_personal_data
 from .quality import quality_rules
@@ -76,8 +79,25 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_in_order(table(spark, sf_dir, "documents"), folder, ranks, own, public_tokenizers.PATTERN, key=20240101, stride=2048, per_shard=4096, end_id=50256)
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, relabel=shifted)
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(mix(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"), damage=damaged)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_sharding, op3_embedding_near_dedup, op4_byte_bpe, op5_quality_rules, op6_html_extraction, op7_ngram_jaccard_join, op8_url_filters, op9_personal_data, op10_training_order)}
+    own = (
+        op1_best_fit_packing, op2_sharding, op3_embedding_near_dedup, op4_byte_bpe, op5_quality_rules, op6_html_extraction, op7_ngram_jaccard_join, op8_url_filters, op9_personal_data,
+        op10_training_order, op11_hard_negative_mining, op12_source_mixing, op13_conversation_repair,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

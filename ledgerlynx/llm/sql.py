@@ -70,4 +70,18 @@ SELECT e.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, e.vec_id = c.compo
 FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) k ON k.u = e.vec_id JOIN c ON c.id = e.vec_id
 """
 
-ORACLES = {"op3_embedding_near_dedup": _VECTORS, "op7_ngram_jaccard_join": _JACCARD, "op8_url_filters": _URLS}
+_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.id <> b.id AND len(a.e) = len(b.e) WHERE a.id % 50 = 0),
+good AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT g.anchor_id, g.id AS positive_id, (row_number() OVER w)::INT AS rank, n.id AS negative_id, g.score AS positive_score, n.score AS negative_score
+FROM good g JOIN scored n ON n.anchor_id = g.anchor_id AND NOT n.same AND 50 * g.score <= 100 * n.score AND 100 * n.score <= 95 * g.score
+WINDOW w AS (PARTITION BY g.anchor_id, g.id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLES = {"op3_embedding_near_dedup": _VECTORS, "op7_ngram_jaccard_join": _JACCARD, "op8_url_filters": _URLS, "op11_hard_negative_mining": _NEGATIVES}
