@@ -174,6 +174,17 @@ def rolling_metrics(feedback: DataFrame, order: str, rows: int = 100, first: int
     return out.join(F.broadcast(ends), "range").withColumn("f1", F.coalesce(F.last("_f1", ignorenulls=True).over(own), "_before", F.lit(0.0))).drop("_f1", "_before", "range")
 
 
+def threshold_steps() -> dict[str, Column]:
+    """How many steps up (FP) or down (FN) a row of feedback, by its columns class and patterns, takes each threshold."""
+    pattern = {
+        "structuring": F.size(F.filter("patterns", lambda p: p.contains("structuring"))),
+        "high_value": F.size(F.filter("patterns", lambda p: p.contains("high_value") & ~p.contains("structuring"))),
+    }
+    sign = F.when(F.col("class") == "FP", 1).when(F.col("class") == "FN", -1).otherwise(0)
+    # without patterns nothing is counted
+    return {n: sign * F.greatest(F.coalesce(pattern.get(n, F.lit(1)), F.lit(0)), F.lit(0)) for n in THRESHOLDS}
+
+
 def threshold_fold(feedback: DataFrame, order: str, start: dict[str, float], rows: int = 1_000_000) -> DataFrame:
     """Feedback: a numeric key that gives the order, class, patterns. Each row with the thresholds after it.
 
@@ -183,12 +194,7 @@ def threshold_fold(feedback: DataFrame, order: str, start: dict[str, float], row
     import pandas as pd
 
     names = list(THRESHOLDS)
-    pattern = {
-        "structuring": F.size(F.filter("patterns", lambda p: p.contains("structuring"))),
-        "high_value": F.size(F.filter("patterns", lambda p: p.contains("high_value") & ~p.contains("structuring"))),
-    }
-    sign = F.when(F.col("class") == "FP", 1).when(F.col("class") == "FN", -1).otherwise(0)
-    steps = feedback.withColumns({n: sign * F.coalesce(pattern.get(n, F.lit(1)), F.lit(0)) for n in names})
+    steps = feedback.withColumns(threshold_steps())
     steps = ranges(steps.select(order, *names), order, rows)
 
     def folded(own: pd.DataFrame) -> pd.DataFrame:

@@ -3,25 +3,13 @@ nothing changes, other loops a given number of rounds; each round is checkpointe
 
 from __future__ import annotations
 
-import re
-import tempfile
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import money
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, which outlives an executor. Only a local session may go without a named one."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from ..shared import cut
 
 
 def edges(txns: DataFrame, weight: str = "total") -> DataFrame:

@@ -23,9 +23,9 @@ def country(key: str) -> Column:
     return F.element_at(F.array(*map(F.lit, COUNTRIES)), F.col(key) + 1)
 
 
-def txn(spark: SparkSession, sf: str) -> DataFrame:
-    """Transactions; customers are the only lookup and join without hints."""
-    e = table(spark, sf, "events").withColumn("receiver_id", F.get_json_object("props", "$.k").cast("long"))
+def txn(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    """Transactions; customers are the only lookup and join without hints. events: the table as a stream, say."""
+    e = (table(spark, sf, "events") if events is None else events).withColumn("receiver_id", F.get_json_object("props", "$.k").cast("long"))
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     sender, receiver = c.toDF("sender_id", "origin_key"), c.toDF("receiver_id", "dest_key")
     kind = F.lit("crypto")

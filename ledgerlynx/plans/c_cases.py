@@ -215,12 +215,12 @@ fc AS (SELECT doc_id, CASE decision || predicted WHEN 'TRUE_POSITIVEtrue' THEN '
   CASE WHEN doc_id % 3 = 0 THEN ['structuring_near', 'high_value'] WHEN doc_id % 3 = 1 THEN ['high_value'] ELSE ['other'] END AS patterns FROM fb)"""
 
 
-def feedback(spark, sf):
+def feedback(spark, sf, labels=None):
     named = F.element_at(F.array(*map(F.lit, ("FALSE_POSITIVE", "TRUE_NEGATIVE", "TRUE_POSITIVE", "FALSE_NEGATIVE", "FALSE_POSITIVE"))), (F.col("doc_id") % 5 + 1).cast("int"))
     decision = F.when(F.col("quality") == 0, "TRUE_POSITIVE").otherwise(named)
     third = F.col("doc_id") % 3
     patterns = F.when(third == 0, F.array(F.lit("structuring_near"), F.lit("high_value"))).when(third == 1, F.array(F.lit("high_value"))).otherwise(F.array(F.lit("other")))
-    return table(spark, sf, "labels").select("doc_id", C.feedback_class(F.col("toxic") == 1, decision).alias("class"), patterns.alias("patterns"))
+    return (table(spark, sf, "labels") if labels is None else labels).select("doc_id", C.feedback_class(F.col("toxic") == 1, decision).alias("class"), patterns.alias("patterns"))
 
 
 @query("b1_feedback_class", "", _FEEDBACK + " SELECT doc_id, class FROM fc")
