@@ -146,7 +146,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     slots = slots_of(shard_counts(targets, block, per_shard, seed), block, seed)
     places = F.when(F.col("size") > 0, F.sequence(F.expr(f"offset div {block}"), F.expr(f"(offset + size - 1) div {block}")))
     pieces = placed_documents(rows, targets).select("*", F.explode_outer(places).alias("block"))
-    found = pieces.join(slots, ["number", "block"], "left")
+    # slots come out of a task that makes many rows of one, so Spark's guess of their size is far too small to broadcast by
+    found = pieces.join(slots.hint("merge"), ["number", "block"], "left")
     begin, first = F.greatest(F.col("offset"), F.col("block") * block), F.col("block") * block
     end = F.least(F.col("offset") + F.col("size"), first + F.least("most", F.lit(block)))
     length = F.when(F.col("slot").isNotNull(), F.greatest(end - begin, F.lit(0))).otherwise(0)
