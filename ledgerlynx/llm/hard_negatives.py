@@ -191,7 +191,8 @@ def scan(blocks: DataFrame, packs: DataFrame, k: int, negatives: bool) -> DataFr
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = blocks.select("length", F.col("packed").alias("block"), (F.pmod(F.xxhash64("number"), F.lit(slices))).cast("int").alias("slice"), every(groups).alias("group"))
     right = packs.select("length", F.col("packed").alias("anchors"), F.pmod(F.col("number"), F.lit(groups)).cast("int").alias("group"), every(slices).alias("slice"), F.col("number").alias("pack"))
-    pairs = left.join(right, ["length", "slice", "group"]).select("length", "pack", "block", "anchors")
+    # packs are copied to every slice, which Spark's guess of their size does not count, so they are never broadcast
+    pairs = left.join(right.hint("merge"), ["length", "slice", "group"]).select("length", "pack", "block", "anchors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[Pack, Best]] = {}
