@@ -6,13 +6,17 @@ sort serve them all."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..model import DAY_US, HIGH_RISK_COUNTRIES, TRANSACTION_TYPES
 
 
-
 def amount() -> Column:
     return F.col("amount").cast("double")
 
@@ -66,14 +70,95 @@ def geography(t: DataFrame, countries=HIGH_RISK_COUNTRIES) -> DataFrame:
     return t.withColumns({"domestic": same, "international": 1 - same, "origin_risk": o, "destination_risk": d, "any_risk": F.greatest(o, d), "both_risk": F.least(o, d)})
 
 
+#: Rows of a sender that one task takes at most, but for what one minute brings.
+BLOCK = 1_000_000
+
+
+def order_statistics(t: DataFrame, block: int = BLOCK) -> DataFrame:
+    """F5's quartiles (h_q25, h_median, h_q75, linear between rows) and percentile position (h_position) of each row's history; 0 without one.
+
+    A sender's rows, in the order of time, are one sequence; every row asks for the k-th smallest of a prefix of it, and how many of a prefix are
+    at most its own amount. A wavelet matrix over the ranks of the amounts answers all of them together, bit by bit of the
+    rank, in n log n steps of numpy. A sender with more than `block` rows is cut into blocks of time that different tasks take: what a
+    block needs of all before it is their distinct amounts with counts, which stand in the sequence as weighted entries."""
+    minute = F.floor(F.unix_micros("ts") / 60_000_000)
+    rows = t.withColumn("_us", F.unix_micros("ts"))
+    counts = t.groupBy("sender_id", minute.alias("minute")).agg(F.count("*").alias("n"))
+    hot = counts.groupBy("sender_id").agg(F.sum("n").alias("n")).where(F.col("n") > block).select("sender_id")
+    before = Window.partitionBy("sender_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.join(hot, "sender_id", "left_semi").select("sender_id", "minute", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / block).cast("int").alias("_b"))
+    blocks = blocks.select(F.col("sender_id").alias("_of"), F.col("minute").alias("_minute"), "_b")
+    rows = rows.join(blocks, (F.col("sender_id") == F.col("_of")) & (minute == F.col("_minute")), "left").drop("_of", "_minute").withColumn("_b", F.coalesce("_b", F.lit(0)))
+    last = blocks.groupBy("_of").agg(F.max("_b").alias("_last"))
+    amounts = rows.where("amount IS NOT NULL").join(last, F.col("sender_id") == F.col("_of")).groupBy("sender_id", "_b", "_last", amount().alias("value")).agg(F.count("*").alias("n"))
+    past = amounts.where("_b < _last").withColumn("_b", F.explode(F.sequence(F.col("_b") + 1, F.col("_last")))).groupBy("sender_id", "_b", "value").agg(F.sum("n").alias("n"))
+    past = past.select(F.col("sender_id").alias("_of"), F.col("_b").alias("_at"), "value", "n")
+    made = ("h_q25", "h_median", "h_q75", "h_position")
+    schema = StructType([*rows.schema.fields, *(StructField(c, DoubleType()) for c in made)])
+    arrow = to_arrow_schema(schema)
+
+    def run(key, own: pa.Table, state: pa.Table) -> pa.Table:
+        us = own["_us"].to_numpy(zero_copy_only=False).astype(float)
+        value = pc.cast(own["amount"], pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+        found = history_order(us, value, state["value"].to_numpy(), state["n"].to_numpy())
+        for name, column in zip(made, found, strict=True):
+            own = own.append_column(name, pa.array(column))
+        return own.cast(arrow)
+
+    out = rows.groupBy("sender_id", "_b").cogroup(past.groupBy("_of", "_at")).applyInArrow(run, schema)
+    return out.drop("_us", "_b")
+
+
+def history_order(us: np.ndarray, value: np.ndarray, past_values: np.ndarray, past_counts: np.ndarray) -> list[np.ndarray]:
+    """Quartiles and position of the history of each row of one sender: the rows of earlier microseconds, after `past_values` so many times each."""
+    known = np.flatnonzero(~np.isnan(value) & ~np.isnan(us))
+    known = known[np.argsort(us[known], kind="stable")]
+    sequence = np.concatenate([np.asarray(past_values, float), value[known]])
+    weights = np.concatenate([np.asarray(past_counts, np.int64), np.ones(len(known), np.int64)])
+    # a row without a time has no history
+    ends = np.where(np.isnan(us), 0, len(past_values) + np.searchsorted(us[known], us, "left"))
+    n = np.concatenate([[0], np.cumsum(weights)])[ends]
+    places = [np.maximum(n - 1, 0) * p for p in (0.25, 0.5, 0.75)]
+    low = [np.floor(p).astype(np.int64) for p in places]
+    high = [np.minimum(k + 1, np.maximum(n - 1, 0)) for k in low]
+    smallest, at_most = prefix_orders(sequence, weights, ends, [*low, *high], value)
+    out = [smallest[k] + (smallest[k + 3] - smallest[k]) * (places[k] - low[k]) for k in range(3)]
+    out.append(100.0 * at_most / np.maximum(n, 1))
+    return [np.where(n > 0, x, 0.0) for x in out]
+
+
+def prefix_orders(sequence: np.ndarray, weights: np.ndarray, ends: np.ndarray, ks: list[np.ndarray], limits: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each prefix sequence[:end] of weighted values: the k-th smallest for each k of ks, and the weight of what is at most its limit."""
+    values, current = np.unique(sequence, return_inverse=True)
+    below = np.where(np.isnan(limits), 0, np.searchsorted(values, limits, "right"))  # ranks under this one count
+    bits = max(1, len(values).bit_length())
+    asked = [[np.zeros_like(ends), ends.copy(), k.copy(), np.zeros_like(ends)] for k in ks]  # from, to, k, rank so far
+    a, b, weight = np.zeros_like(ends), ends.copy(), np.zeros(len(ends), np.int64)
+    for bit in range(bits - 1, -1, -1):
+        zero = (current >> bit) & 1 == 0
+        place, mass = np.concatenate([[0], np.cumsum(zero)]), np.concatenate([[0], np.cumsum(np.where(zero, weights, 0))])
+        zeros = place[-1]
+        for q in asked:
+            here = mass[q[1]] - mass[q[0]]
+            up = q[2] >= here
+            q[2] = np.where(up, q[2] - here, q[2])
+            q[0], q[1] = (np.where(up, zeros + x - place[x], place[x]) for x in q[:2])
+            q[3] |= up.astype(np.int64) << bit
+        up = (below >> bit) & 1 == 1
+        weight += np.where(up, mass[b] - mass[a], 0)
+        a, b = (np.where(up, zeros + x - place[x], place[x]) for x in (a, b))
+        order = np.concatenate([np.flatnonzero(zero), np.flatnonzero(~zero)])
+        current, weights = current[order], weights[order]
+    return [values[np.minimum(q[3], max(0, len(values) - 1))] if len(values) else np.zeros(len(ends)) for q in asked], weight
+
+
 def moments(t: DataFrame) -> DataFrame:
-    """F5 but for the percentile position; all 0 without history."""
+    """F5; all 0 without history."""
     w = earlier()
     n = F.count("*").over(w)
     mean, sd = F.avg(amount()).over(w), F.stddev_pop(amount()).over(w)
-    q = {p: F.percentile(amount(), F.lit(p / 100)).over(w) for p in (25, 50, 75)}
-    out = t.withColumns({
-        "h_n": n, "h_mean": mean, "h_median": q[50], "h_sd": sd, "h_min": F.min(amount()).over(w), "h_max": F.max(amount()).over(w), "h_q25": q[25], "h_q75": q[75],
+    out = order_statistics(t).withColumns({
+        "h_n": n, "h_mean": mean, "h_sd": sd, "h_min": F.min(amount()).over(w), "h_max": F.max(amount()).over(w),
         "h_skew": F.when(n >= 3, F.skewness(amount()).over(w)), "h_kurtosis": F.when(n >= 4, F.kurtosis(amount()).over(w)),
     })
     z = F.when(F.col("h_sd") > 0, (amount() - F.col("h_mean")) / F.col("h_sd"))
@@ -93,9 +178,7 @@ def deviation(t: DataFrame) -> DataFrame:
 
 def position(t: DataFrame) -> DataFrame:
     """F5's percentile position: the share of the history at or below the amount, times 100."""
-    history = F.collect_list(amount()).over(earlier())
-    share = 100.0 * F.size(F.filter(history, lambda a: a <= amount())) / F.size(history)
-    return t.withColumn("h_position", F.when(F.size(history) > 0, share).otherwise(0.0))
+    return order_statistics(t).drop("h_q25", "h_median", "h_q75")
 
 
 def velocity(t: DataFrame, days=(1, 7, 30)) -> DataFrame:

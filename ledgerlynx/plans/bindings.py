@@ -55,11 +55,10 @@ CTES = {
          CASE WHEN c_acctbal < 0 THEN 'critical' WHEN c_acctbal < 1000 THEN 'high' WHEN c_acctbal < 5000 THEN 'medium' ELSE 'low' END AS risk_rating,
          c_custkey % 50 = 0 AS is_pep, c_custkey % 97 = 3 AS is_sanctioned, DATE '2023-12-01' + CAST(c_custkey % 60 AS INTEGER) AS registration_date
   FROM customer)""",
-    "slice": "slice AS (SELECT * FROM txn WHERE amount >= 15000 AND sender_id <> receiver_id)",
     "edges": """edges AS (
-  SELECT sender_id AS src, receiver_id AS dst, count(*) AS n, sum(amount) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM slice GROUP BY 1, 2)""",
+  SELECT sender_id AS src, receiver_id AS dst, count(*) AS n, sum(amount) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM txn GROUP BY 1, 2)""",
 }
-_NEEDS = {"slice": ["txn"], "edges": ["txn", "slice"]}
+_NEEDS = {"edges": ["txn"]}
 
 
 def customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,10 +71,6 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def graph_slice(spark: SparkSession, sf: str) -> DataFrame:
-    return txn(spark, sf).where("amount >= 15000 AND sender_id <> receiver_id")
-
-
 def sql(needs: str, body: str, recursive: bool = False) -> str:
     """body after the CTEs it names. A body may start with further CTEs (`name AS (...), ... SELECT`)."""
     named: list[str] = []

@@ -26,6 +26,4 @@ def test_strong_components_of_long_cycles(spark):
 
 def test_whole_graph_is_registered(spark):
     t = txn(spark, SF)
-    assert plans.QUERIES["g1_edges_whole"](spark, SF).count() == t.select("sender_id", "receiver_id").distinct().count()
-    assert plans.QUERIES["f8_network_features_whole"](spark, SF).where("degree = 0").count() == 0
-    assert plans.QUERIES["g8_communities"](spark, SF).count() == t.selectExpr("explode(array(sender_id, receiver_id)) n").distinct().count()
+    assert plans.QUERIES["g1_edges"](spark, SF).count() == t.select("sender_id", "receiver_id").distinct().count()

@@ -7,7 +7,6 @@ import pytest
 from ledgerlynx import plans
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"g5_betweenness", "g17_flow_statistics", "g18_hubs", "g20_high_risk_customers", "g21_network_verdict", "g22_risk_scores", "g24_shell_heuristics", "g8_communities", "g7_eigenvector", "g6_closeness", "g15_strong_components"}
 
 
 def shown(v):
@@ -24,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(n for n in plans.ORACLES if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_query(spark, duck, name):
     df = plans.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
