@@ -185,7 +185,7 @@ def threshold_steps() -> dict[str, Column]:
     return {n: sign * F.greatest(F.coalesce(pattern.get(n, F.lit(1)), F.lit(0)), F.lit(0)) for n in THRESHOLDS}
 
 
-def threshold_fold(feedback: DataFrame, order: str, start: dict[str, float], rows: int = 1_000_000) -> DataFrame:
+def threshold_fold(feedback: DataFrame, order: str, start: dict[str, float], rows: int | None = None) -> DataFrame:
     """Feedback: a numeric key that gives the order, class, patterns. Each row with the thresholds after it.
 
     A step adds to a threshold and keeps it between a floor and a cap. Steps one after the other are again one step with
@@ -195,7 +195,7 @@ def threshold_fold(feedback: DataFrame, order: str, start: dict[str, float], row
 
     names = list(THRESHOLDS)
     steps = feedback.withColumns(threshold_steps())
-    steps = ranges(steps.select(order, *names), order, rows)
+    steps = ranges(steps.select(order, *names), order, rows=rows)
 
     def folded(own: pd.DataFrame) -> pd.DataFrame:
         own, out = own.sort_values(order), {"range": [int(own["range"].iloc[0])]}
@@ -249,9 +249,11 @@ def adaptive_threshold(feedback: DataFrame, order: str, start: float = 0.5) -> D
     return running(out.withColumn("factor", factor), order, {"logs": F.ln("factor")}).withColumn("threshold", start * F.exp("logs")).drop("logs")
 
 
-def threshold_statistics(history: DataFrame, feedback: DataFrame) -> DataFrame:
-    """History: name, value, triggered; feedback: name, class. Thresholds without history have no row."""
-    seen = history.groupBy("name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.avg(F.col("triggered").cast("double")).alias("trigger_rate"))
+def threshold_statistics(history: DataFrame, feedback: DataFrame, order: str = "ts", window: int = 1000) -> DataFrame:
+    """History: name, value, triggered and what orders them, by which the last `window` values of each threshold count; feedback: name, class.
+    Thresholds without history have no row."""
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc(order)))
+    seen = history.withColumn("place", place).where(F.col("place") <= window).groupBy("name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.avg(F.col("triggered").cast("double")).alias("trigger_rate"))
     counts = feedback.groupBy("name").agg(*(F.count_if(F.col("class") == k).alias(k.lower()) for k in ("TP", "FP", "TN", "FN")))
     out = seen.join(counts, "name", "left").fillna(0, ["tp", "fp", "tn", "fn"])
     tp, fp, tn, fn = map(F.col, ("tp", "fp", "tn", "fn"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
 from .ordering import running
 
 
@@ -84,6 +87,35 @@ def chi_square(reference: DataFrame, current: DataFrame, c: str) -> DataFrame:
     return x.agg(F.sum(term("a", "ta") + term("b", "tb")).alias("chi_square"), (F.count("*") - 1).alias("freedom"))
 
 
+def drift(reference: DataFrame, current: DataFrame, numeric: list[str], categories: list[str] = (), gap: float = 0.1, least_p: float = 0.05) -> DataFrame:
+    """Of all features in one pass: feature, kind, statistic, freedom, drifted.
+
+    Features become rows (feature, value, how often before and now). Numeric ones drift if the largest gap between their distributions
+    (KS) is above `gap`; its running sums are keyed by the feature and dealt by ranges of the values, so many features and many values are
+    one job. Categories drift if chi-square is above its quantile at 1 - `least_p`, by the cube-root approximation. Null values are left out of numeric ones and
+    are a category of their own."""
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"), F.lit(None).cast("string").alias("w")) for c in numeric]
+    pairs += [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("v"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("w")) for c in categories]
+    sides = [d.select(F.inline(F.array(*pairs))).withColumns({"a": F.lit(a), "b": F.lit(1 - a)}) for d, a in ((reference, 1), (current, 0))]
+    by = sides[0].unionByName(sides[1]).where("v IS NOT NULL OR w IS NOT NULL").groupBy("feature", "v", "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    by = cut(by)
+    totals = by.groupBy("feature").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))  # one row a feature
+    sums = running(by.where("w IS NULL"), "v", {"x": F.col("a"), "y": F.col("b")}, by=("feature",)).join(totals, "feature")
+    ks_of = sums.groupBy("feature").agg(F.max(F.abs(F.try_divide("x", "ta") - F.try_divide("y", "tb"))).alias("statistic"))
+    ks_of = ks_of.select("feature", F.lit("ks").alias("kind"), "statistic", F.lit(None).cast("long").alias("freedom"), (F.col("statistic") > gap).alias("drifted"))
+    t = F.col("ta") + F.col("tb")
+
+    def term(o, side):
+        e = (F.col("a") + F.col("b")) * F.col(side) / t
+        return (F.col(o) - e) * (F.col(o) - e) / e
+
+    chi = by.where("w IS NOT NULL").join(totals, "feature").groupBy("feature").agg(F.sum(term("a", "ta") + term("b", "tb")).alias("statistic"), (F.count("*") - 1).alias("freedom"))
+    k = F.col("freedom").cast("double")
+    limit = k * F.pow(1 - F.try_divide(F.lit(2.0), 9 * k) + NormalDist().inv_cdf(1 - least_p) * F.sqrt(F.try_divide(F.lit(2.0), 9 * k)), F.lit(3.0))
+    chi = chi.select("feature", F.lit("chi_square").alias("kind"), "statistic", "freedom", F.coalesce(F.col("statistic") > limit, F.lit(False)).alias("drifted"))
+    return ks_of.unionByName(chi)
+
+
 def robustness(df: DataFrame, columns: list[str], scorer, key: str, scale: float = 0.05) -> DataFrame:
     """The share of predictions that a small, repeatable noise flips, with its band."""
     noise = {c: F.col(c).cast("double") * (1 + scale * (F.pmod(F.xxhash64(key, F.lit(c)), F.lit(2001)) / 1000 - 1)) for c in columns}
@@ -127,18 +159,71 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
-def outliers(df: DataFrame, key: str, reduced: str = "reduced", contamination: float = 0.05) -> DataFrame:
-    """M5: df: principal components. Isolation forest and distance from the centre; either one makes an outlier.
+def _sums(x: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many rows, their mean and their covariance, from one aggregate of width squared sums."""
+    one, two = [F.sum(F.col("x")[i]) for i in range(width)], [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(width) for j in range(i + 1)]
+    got = x.agg(F.count("*"), *one, *two).first()
+    n, mean = got[0], np.array(got[1 : 1 + width], float) / max(1, got[0])
+    scatter = np.zeros((width, width))
+    scatter[np.tril_indices(width)] = np.array(got[1 + width :], float) / max(1, n)
+    scatter = scatter + np.tril(scatter, -1).T - np.outer(mean, mean)
+    return n, mean, scatter
+
+
+def _distance(mean: np.ndarray, scatter: np.ndarray, floor: float) -> tuple[Column, float]:
+    """The squared distance of the array column x, and the logarithm of the scatter's determinant. Flat directions count as if they had the floor's variance."""
+    values, vectors = np.linalg.eigh(scatter)
+    values = np.maximum(values, floor)
+    terms = []
+    for value, vector in zip(values, vectors.T, strict=True):
+        along = sum(((F.col("x")[i] - float(mean[i])) * float(vector[i]) for i in range(len(mean))), F.lit(0.0))
+        terms.append(along * along / float(value))
+    return sum(terms, F.lit(0.0)), float(np.log(values).sum())
+
+
+def robust_scatter(x: DataFrame, width: int, share: float = 0.5, steps: int = 20) -> tuple[np.ndarray, np.ndarray, Column]:
+    """M5: centre, scatter and squared distance by the minimum covariance determinant of the array column x, over all rows.
+
+    A concentration step takes the mean and covariance of the `share` of rows that are nearest by the last ones; it never raises the
+    determinant, and steps go on until that stands still. They start from medians and median deviations, and from the mean and covariance of
+    all rows; the smaller determinant counts. Each step is one quantile and one aggregate of width squared sums. The scatter is scaled so that
+    the median distance is that of a normal distribution. A covariance without variance in some direction is kept above a floor."""
+    n, mean, scatter = _sums(x, width)
+    floor = max(1e-12, 1e-6 * float(np.trace(scatter)) / max(1, width))
+    middle = np.array(x.agg(*(F.percentile_approx(F.col("x")[i], 0.5, 10_000) for i in range(width))).first(), float)
+    spread = np.array(x.agg(*(F.percentile_approx(F.abs(F.col("x")[i] - float(middle[i])), 0.5, 10_000) for i in range(width))).first(), float)
+    starts = [(middle, np.diag(np.maximum((1.4826 * spread) ** 2, floor))), (mean, scatter)]
+    best = None
+    for centre, shape in starts:
+        last = None
+        for _ in range(steps):
+            d, _ = _distance(centre, shape, floor)
+            near = x.agg(F.percentile_approx(d, max(share, min(1.0, (n + width + 1) / (2 * n))), 100_000)).first()[0]
+            _, centre, shape = _sums(x.where(d <= near), width)
+            _, size = _distance(centre, shape, floor)
+            if last is not None and last - size < 1e-9:
+                break
+            last = size
+        if best is None or size < best[0]:
+            best = size, centre, shape
+    _, centre, shape = best
+    d, _ = _distance(centre, shape, floor)
+    normal = width * (1 - 2 / (9 * width)) ** 3  # the median of chi-square, by the cube-root approximation
+    scale = x.agg(F.percentile_approx(d, 0.5, 100_000)).first()[0] / normal
+    if not scale > 0:
+        scale = 1.0
+    return centre, shape * scale, d / scale
 
-    Components are uncorrelated, so the distance needs their means and variances only. Both cuts are quantiles over all
-    rows. The covariance is that of all rows, not a robust one. Equal rows get equal scores."""
+
+def outliers(df: DataFrame, key: str, reduced: str = "reduced", contamination: float = 0.05) -> DataFrame:
+    """M5: df: principal components. Isolation forest and distance from a robust centre; either one makes an outlier.
+    Both cuts are quantiles over all rows. Equal rows get equal scores."""
     from pyspark.ml.functions import vector_to_array
 
-    x = df.withColumn("x", vector_to_array(reduced))
+    x = cut(df.withColumn("x", vector_to_array(reduced)))
     width = len((x.select("x").first() or [[]])[0])
-    stats = x.agg(*(f(F.col("x")[k]).alias(f"{n}{k}") for k in range(width) for n, f in (("m", F.avg), ("v", F.var_samp)))).first() if width else None
-    terms = [(F.col("x")[k] - stats[f"m{k}"]) ** 2 / stats[f"v{k}"] for k in range(width) if (stats[f"v{k}"] or 0) > 1e-12]
-    scored = x.withColumn("distance", sum(terms, F.lit(0.0))).withColumn("isolation", isolation(x, key)("x"))
+    distance = robust_scatter(x, width)[2] if width else F.lit(0.0)
+    scored = cut(x.withColumn("distance", distance).withColumn("isolation", isolation(x, key)("x")))
     cuts = scored.agg(*(F.percentile_approx(c, 1 - contamination, 100_000).alias(c) for c in ("isolation", "distance"))).first()
     votes = [F.col(c) > F.lit(cuts[c]) for c in ("isolation", "distance")]
     n = votes[0].cast("int") + votes[1].cast("int")

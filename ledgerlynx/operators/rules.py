@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import DAY_US, HIGH_RISK_COUNTRIES, level_of
 from .history import amount, earlier, within
+from .network import return_legs, timed_layering
 from .validation import labels, worst
 
 #: Id, name, severity, category, threshold (from, to) and regulation of all rules.
@@ -268,3 +269,20 @@ def case_decision(df: DataFrame, score: str) -> DataFrame:
     s = F.col(score)
     level = F.round(F.least(s + 0.1 * (2 + (s > 0.5).cast("int")), F.lit(1.0)), 6)
     return df.withColumn("case_level", level).withColumn("decision", F.when(level >= 0.8, "FILE_SAR").when(level >= 0.5, "MONITOR").otherwise("CLEAR"))
+
+
+def circular_transfers(txns: DataFrame, most_hops: int = 3, hours: int = 48) -> DataFrame:
+    """R16, R020: transactions that return money to where it came from, after up to `most_hops` hops, each later than the last, within the hours
+    and by an amount within a tenth of the first: transaction_id, hops (of the shortest way out)."""
+    found = [return_legs(timed_layering(txns, k, hours), txns, hours).select(F.col("return_id").alias("transaction_id"), F.lit(k).alias("hops")) for k in range(1, most_hops + 1)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("transaction_id").agg(F.min("hops").alias("hops"))
+
+
+def soon_after_opening(txns: DataFrame, customers: DataFrame, days: int = 30, least: float = 10_000) -> DataFrame:
+    """R16, R034: transactions of a high amount by a customer in the first days after registration: transaction_id, days_open."""
+    own = customers.select(F.col("customer_id").alias("sender_id"), "registration_date")
+    out = txns.where(F.col("amount") > least).join(own, "sender_id").withColumn("days_open", F.datediff("ts", "registration_date"))
+    return out.where(F.col("days_open").between(0, days)).select("transaction_id", "days_open")

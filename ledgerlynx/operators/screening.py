@@ -91,20 +91,82 @@ def candidates(names: DataFrame, watchlist: DataFrame, whole: bool = True) -> Da
     return found.unionByName(left.join(found.select("name"), "name", "left_anti").crossJoin(F.broadcast(entries) if small else entries))
 
 
+def grams(c: Column, q: int) -> Column:
+    """The pieces of q characters of a string, each with how many of its kind stood before it, so that sets of them count like bags."""
+    n = F.length(c) - q + 1
+    pieces = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(c, k, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array_sort(pieces), lambda g, i: F.struct(g.alias("gram"), (i - F.array_position(F.array_sort(pieces), g)).cast("int").alias("nth")))
+
+
+def near_pairs(names: DataFrame, watchlist: DataFrame, least: float, q: int = 2) -> DataFrame:
+    """Pairs of a name and a list entry among which are all that `score` puts at `least` or above: name, name_norm.
+
+    A score that the shared words give needs a shared word. One that edits give, of the strings or of their sorted words, needs shared pieces: one edit
+    spoils at most q pieces, so strings whose longer one has n characters, at most e = (1 - least / 100) * n edits apart, share n - q + 1 - q * e of
+    their pieces at least. Pieces are joined and counted, and pairs below that are dropped. Where the bound says nothing, for
+    short strings, single characters take the pieces' place: these share n - e, which is over 0 for every score over 0. Equal strings are pairs."""
+    if not 0 < least <= 100:
+        raise ValueError("a score between 0 and 100 is needed")
+    part = 1 - least / 100
+    left = names.select("name").where("name IS NOT NULL").distinct().withColumn("a", F.lower("name"))
+    right = watchlist.select("name_norm").where("name_norm IS NOT NULL").distinct()
+    words = [d.select(k, F.explode(F.array_distinct(F.split(c, " "))).alias("word")) for d, k, c in ((left, "name", "a"), (right, "name_norm", "name_norm"))]
+    found = [words[0].join(words[1], "word").select("name", "name_norm"), left.join(right, F.col("a") == F.col("name_norm")).select("name", "name_norm")]
+    for form in (lambda c: F.col(c), lambda c: sorted_words(F.col(c))):
+        x, y = left.select("name", form("a").alias("s")), right.select("name_norm", form("name_norm").alias("t"))
+        x, y = x.withColumn("m", F.length("s")), y.withColumn("n", F.length("t"))
+        for size in (q, 1):
+            longest = F.greatest("m", "n")
+            bound = longest - size + 1 - size * F.floor(longest * part + 1e-9)
+            # the single characters are only for what longer pieces say nothing about
+            usable = longest - q + 1 - q * F.floor(longest * part + 1e-9) >= 1
+            # a string whose own length and the edits allow no partner with a usable bound brings no pieces
+            one = x.select("name", "m", F.inline(grams(F.col("s"), size)))
+            two = y.select("name_norm", "n", F.inline(grams(F.col("t"), size)))
+            if size == 1:
+                short = q / max(1e-9, 1 - q * part) + q if q * part < 1 else None  # at this length the bound is usable for sure
+                if short is not None:
+                    one, two = one.where(F.col("m") < short), two.where(F.col("n") < short)
+            shared = one.join(two, ["gram", "nth"]).where(F.abs(F.col("m") - F.col("n")) <= longest * part + 1e-9).groupBy("name", "name_norm", "m", "n").agg(F.count("*").alias("shared"))
+            found.append(shared.where((F.col("shared") >= bound) & (usable if size == q else ~usable)).select("name", "name_norm"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def phonetic_key(name: Column) -> Column:
+    """The sounds of a name's words, in their order by letter: names that are spelt otherwise but sound alike share it."""
+    return F.array_join(F.array_sort(F.transform(F.filter(F.split(F.lower(name), " "), lambda w: w != ""), lambda w: F.soundex(w))), " ")
+
+
+def sounding_alike(names: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """Pairs of names and list entries with equal phonetic keys, by one join on the key."""
+    x = names.select("name").where("name IS NOT NULL").distinct().withColumn("sounds", phonetic_key(F.col("name")))
+    return x.join(watchlist.select("name_norm").distinct().withColumn("sounds", phonetic_key(F.col("name_norm"))), "sounds").where("sounds <> ''").select("name", "name_norm", "sounds")
+
+
 def screen(names: DataFrame, watchlist: DataFrame, least: float = 85, k: int = 5, whole: bool = True) -> DataFrame:
-    """Exact entries first, else the best k at or above the score."""
-    scored = candidates(names, watchlist, whole).withColumn("score", F.round(score(F.lower("name"), F.col("name_norm")), 4)).where(F.col("score") >= least)
+    """Exact entries first, else the best k at or above the score. A name without candidates is looked up by its pieces
+    (`near_pairs`), which finds the same hits as the whole list and makes no pairs that cannot score."""
+    pairs = candidates(names, watchlist, False)
+    if whole:
+        alone = names.select("name").distinct().join(pairs.select("name"), "name", "left_anti")
+        pairs = pairs.unionByName(near_pairs(alone, watchlist, least))
+    scored = pairs.withColumn("score", F.round(score(F.lower("name"), F.col("name_norm")), 4)).where(F.col("score") >= least)
     order = Window.partitionBy("name").orderBy(F.desc("score"), "name_norm")
     return scored.withColumn("place", F.row_number().over(order)).withColumn("best", F.max("score").over(Window.partitionBy("name"))).where((F.col("place") <= k) & ((F.col("best") < 100) | (F.col("score") == 100))).drop("best")
 
 
 def entities(names: DataFrame, least: float = 90) -> DataFrame:
-    """Names: id, name. Groups of names linked by a score; the canonical id is the smallest."""
+    """Names: id, name. Groups of names linked by a score, with their size; the canonical id is the smallest."""
     words = names.select("id", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
     x, y = words.toDF("src", "a", "word"), words.toDF("dst", "b", "word")
     pairs = x.join(y, "word").where("src < dst").select("src", "dst", "a", "b").distinct().where(score(F.col("a"), F.col("b")) >= least)
     found = weak_components(pairs.select("src", "dst")).select(F.col("node").alias("id"), "component")
-    return names.join(found, "id", "left").select("id", "name", F.coalesce("component", "id").alias("entity"))
+    out = names.join(found, "id", "left").select("id", "name", F.coalesce("component", "id").alias("entity"))
+    sizes = out.groupBy("entity").agg(F.count("*").alias("n_names"))
+    return out.join(sizes, "entity").select("id", "name", "entity", "n_names")
 
 
 def jaccard_words(a: Column, b: Column) -> Column:

@@ -99,13 +99,18 @@ def e5_whole(spark, sf):
     return S.screen(names(spark, sf), watchlist(spark, sf), least=60)
 
 
+@query("e7_sounding_alike")
+def e7_sounding(spark, sf):
+    return S.sounding_alike(names(spark, sf), watchlist(spark, sf))
+
+
 @query("e6_entities", "", """
 n AS (SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY 2),
 l AS (SELECT x.id AS u, y.id AS v FROM n x JOIN n y ON x.id <> y.id WHERE list_has_any(string_split(x.name, ' '), string_split(y.name, ' ')) AND greatest(100 * (1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))),
   100 * (1 - levenshtein(array_to_string(list_sort(string_split(x.name, ' ')), ' '), array_to_string(list_sort(string_split(y.name, ' ')), ' ')) / greatest(length(x.name), length(y.name))),
   100 * len(list_intersect(string_split(x.name, ' '), string_split(y.name, ' '))) / least(len(list_distinct(string_split(x.name, ' '))), len(list_distinct(string_split(y.name, ' '))))) >= 90),
 reach AS (SELECT id, id AS t FROM n UNION SELECT reach.id, l.v FROM reach JOIN l ON l.u = reach.t)
-SELECT n.id, n.name, min(t) AS entity FROM n JOIN reach USING (id) GROUP BY 1, 2""", recursive=True)
+SELECT *, count(*) OVER (PARTITION BY entity) AS n_names FROM (SELECT n.id, n.name, min(t) AS entity FROM n JOIN reach USING (id) GROUP BY 1, 2)""", recursive=True)
 def e6(spark, sf):
     return S.entities(table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).select("id", "name"))
 
@@ -249,14 +254,15 @@ def b3(spark, sf):
 
 
 @query("b7_threshold_statistics", "txn", """
-c AS (SELECT transaction_type AS name, amount::DOUBLE AS value, amount >= 9000 AS triggered, CASE WHEN amount >= 9000 THEN CASE WHEN hour(ts) < 12 THEN 'TP' ELSE 'FP' END ELSE CASE WHEN hour(ts) < 2 THEN 'FN' ELSE 'TN' END END AS class FROM txn),
-g AS (SELECT name, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd, avg(triggered::INT) AS trigger_rate, count(*) FILTER (class = 'TP') AS tp, count(*) FILTER (class = 'FP') AS fp, count(*) FILTER (class = 'FN') AS fn FROM c GROUP BY 1)
-SELECT name, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(trigger_rate, 6) AS trigger_rate, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, n AS total, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM g""")
+c AS (SELECT transaction_type AS name, amount::DOUBLE AS value, amount >= 9000 AS triggered, row_number() OVER (PARTITION BY transaction_type ORDER BY transaction_id DESC) AS place, CASE WHEN amount >= 9000 THEN CASE WHEN hour(ts) < 12 THEN 'TP' ELSE 'FP' END ELSE CASE WHEN hour(ts) < 2 THEN 'FN' ELSE 'TN' END END AS class FROM txn),
+g AS (SELECT name, count(*) FILTER (place <= 1000) AS n, avg(value) FILTER (place <= 1000) AS mean, stddev_pop(value) FILTER (place <= 1000) AS sd, avg(triggered::INT) FILTER (place <= 1000) AS trigger_rate, count(*) AS total,
+  count(*) FILTER (class = 'TP') AS tp, count(*) FILTER (class = 'FP') AS fp, count(*) FILTER (class = 'FN') AS fn FROM c GROUP BY 1)
+SELECT name, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(trigger_rate, 6) AS trigger_rate, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, total, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM g""")
 def b7(spark, sf):
     t = txn(spark, sf)
     kind = F.when(F.col("amount") >= 9000, F.when(F.hour("ts") < 12, "TP").otherwise("FP")).otherwise(F.when(F.hour("ts") < 2, "FN").otherwise("TN"))
-    rows = t.select(F.col("transaction_type").alias("name"), F.col("amount").cast("double").alias("value"), (F.col("amount") >= 9000).alias("triggered"), kind.alias("class"))
-    out = C.threshold_statistics(rows, rows)
+    rows = t.select(F.col("transaction_type").alias("name"), F.col("amount").cast("double").alias("value"), (F.col("amount") >= 9000).alias("triggered"), kind.alias("class"), "transaction_id")
+    out = C.threshold_statistics(rows, rows, "transaction_id")
     return out.select("name", "n", *(F.round(c, d).alias(c) for c, d in (("mean", 4), ("sd", 4), ("trigger_rate", 6), ("precision", 6), ("recall", 6), ("f1", 6))), "total")
 
 

@@ -167,6 +167,23 @@ def m12b(spark, sf):
     return L.chi_square(t.where("ts < '2024-01-16'"), t.where("ts >= '2024-01-16'"), "transaction_type").withColumn("chi_square", F.round("chi_square", 4))
 
 
+_FEATURES = "SELECT 'amount' AS feature, amount::DOUBLE AS v, ts FROM txn UNION ALL SELECT 'by_hour', hour(ts), ts FROM txn UNION ALL SELECT 'risk_score', risk_score, ts FROM txn"
+_CATEGORIES = "SELECT 'transaction_type' AS feature, transaction_type AS w, ts FROM txn UNION ALL SELECT 'country_origin', country_origin, ts FROM txn"
+
+
+@query("m12_drifted_features", "txn", f"""
+x AS ({_FEATURES}), g AS (SELECT feature, v, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM x GROUP BY 1, 2),
+s AS (SELECT feature, sum(a) OVER (PARTITION BY feature ORDER BY v) / sum(a) OVER (PARTITION BY feature) - sum(b) OVER (PARTITION BY feature ORDER BY v) / sum(b) OVER (PARTITION BY feature) AS gap FROM g),
+c AS (SELECT feature, w, count(*) FILTER (ts < TIMESTAMP '2024-01-16')::DOUBLE AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16')::DOUBLE AS b FROM ({_CATEGORIES}) GROUP BY 1, 2),
+t AS (SELECT *, sum(a) OVER f AS ta, sum(b) OVER f AS tb, a + b AS n FROM c WINDOW f AS (PARTITION BY feature))
+SELECT feature, 'ks' AS kind, round(max(abs(gap)), 6) AS statistic, NULL::BIGINT AS freedom FROM s GROUP BY 1
+UNION ALL SELECT feature, 'chi_square', round(sum((a - n * ta / (ta + tb)) ** 2 / (n * ta / (ta + tb)) + (b - n * tb / (ta + tb)) ** 2 / (n * tb / (ta + tb))), 4), count(*) - 1 FROM t GROUP BY 1""")
+def m12c(spark, sf):
+    t = txn(spark, sf).withColumn("by_hour", F.hour("ts"))
+    out = L.drift(t.where("ts < '2024-01-16'"), t.where("ts >= '2024-01-16'"), ["amount", "by_hour", "risk_score"], ["transaction_type", "country_origin"])
+    return out.select("feature", "kind", F.when(F.col("kind") == "ks", F.round("statistic", 6)).otherwise(F.round("statistic", 4)).alias("statistic"), "freedom")
+
+
 FEATURES = ["hour", "weekday", "roundness", "any_risk", "international", "night"]
 
 

@@ -238,3 +238,19 @@ s AS (SELECT transaction_id, round(least(risk_score + 0.1::DOUBLE * (2 + (risk_s
 SELECT transaction_id, case_level, CASE WHEN case_level >= 0.8 THEN 'FILE_SAR' WHEN case_level >= 0.5 THEN 'MONITOR' ELSE 'CLEAR' END AS decision FROM s""")
 def r28(spark, sf):
     return R.case_decision(txn(spark, sf), "risk_score").select("transaction_id", "case_level", "decision")
+
+
+@query("r16_circular_transfers", "txn", """
+t AS (SELECT * FROM txn WHERE sender_id <> receiver_id),
+back AS (SELECT r.transaction_id, 1 AS hops FROM t a JOIN t r ON r.sender_id = a.receiver_id AND r.receiver_id = a.sender_id AND r.ts > a.ts AND r.ts < a.ts + INTERVAL 48 HOURS WHERE abs(r.amount - a.amount) <= 0.1 * a.amount AND a.amount > 0 AND r.amount > 0
+  UNION ALL SELECT r.transaction_id, 2 FROM t a JOIN t b ON b.sender_id = a.receiver_id AND b.receiver_id <> a.sender_id AND b.ts > a.ts AND b.ts < a.ts + INTERVAL 48 HOURS
+  JOIN t r ON r.sender_id = b.receiver_id AND r.receiver_id = a.sender_id AND r.ts > b.ts AND r.ts < a.ts + INTERVAL 48 HOURS WHERE abs(r.amount - a.amount) <= 0.1 * a.amount AND a.amount > 0 AND r.amount > 0)
+SELECT transaction_id, min(hops) AS hops FROM back GROUP BY 1""")
+def r16_circular(spark, sf):
+    return R.circular_transfers(txn(spark, sf), most_hops=2)
+
+
+@query("r16_soon_after_opening", "txn customers", """
+SELECT transaction_id, date_diff('day', registration_date, ts::DATE) AS days_open FROM txn JOIN customers ON customer_id = sender_id WHERE amount > 10000 AND date_diff('day', registration_date, ts::DATE) BETWEEN 0 AND 30""")
+def r16_opening(spark, sf):
+    return R.soon_after_opening(txn(spark, sf), customers(spark, sf))
