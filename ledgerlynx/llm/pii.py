@@ -2,7 +2,8 @@
 
 Base spans (emails, IP addresses, card and phone numbers in their plain form, checked by their own rules)
 always count. Further generators propose spans, which may overlap: spelled-out emails, defanged or bracketed IP
-addresses, cards in other groupings, phones without a plus, and whatever failed a base rule. Boosted trees
+addresses, cards in other groupings, phones without a plus, whatever failed a base rule, and what lies inside of that: a base pattern takes
+numbers that stand side by side as one, which then fails, so cards are looked for among its groups of digits and phones at its front. Boosted trees
 score these by their format and the words around them; those at or above the threshold of their kind are
 added, the best score first, unless they overlap a span taken before.
 
@@ -118,6 +119,34 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Digits of the groups that cards are printed in.
+_PRINTED = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+
+
+def inside(kind: int, text: str, start: int) -> list[tuple[int, int]]:
+    """Cards and phones within a match that failed its base rule. A card is one group of digits or a row of groups as cards are printed
+    in, and passes its rule; a phone is the beginning up to a group's end. No window is longer than a card or phone, so the work is linear."""
+    groups = [(start + m.start(), start + m.end()) for m in _SHAPE.finditer(text)]
+    out = []
+    if kind == CARD:
+        for i, (a, b) in enumerate(groups):
+            if 14 <= b - a <= 19 and luhn(text[a - start : b - start]):
+                out.append((a, b))
+            for k in (3, 4):
+                row = groups[i : i + k]
+                if tuple(y - x for x, y in row) in _PRINTED and luhn(digits_of(text[a - start : row[-1][1] - start])):
+                    out.append((a, row[-1][1]))
+    elif kind == PHONE:
+        n = 0
+        for a, b in groups:
+            n += b - a
+            if n > 15:
+                break
+            if n >= 10:
+                out.append((start, b))
+    return out
+
+
 def matches(text: str) -> list[Span]:
     """What the base patterns match, whether or not the base rules hold, and what the others match."""
     found: list[Span] = []
@@ -128,6 +157,8 @@ def matches(text: str) -> list[Span]:
             for m in pattern.finditer(text):
                 if (ok := base_rule(kind, m[0])) or sum(map(str.isdigit, m[0])) >= 8:
                     found.append(Span(kind, m.start(), m.end(), ok))
+                    if not ok:
+                        found += [Span(kind, a, b, False) for a, b in inside(kind, m[0], m.start()) if (a, b) != m.span()]
         for kind, pattern in _MORE[1:]:
             found += [Span(kind, m.start(), m.end(), False) for m in pattern.finditer(text)]
     if " at " in text or " AT " in text or "at" in text and any(c in text for c in "[({<"):
@@ -178,6 +209,11 @@ def made_rows(text: str, spans: list[Span]) -> list[list[float]]:
                 a = len(before) + len(cue)
                 if any((f.kind, f.start, f.stop) == (s.kind, a, a + len(own)) for f in matches(there) if not f.base):
                     out.append(features(there, Span(s.kind, a, a + len(own), False)))
+            if s.kind in (CARD, PHONE):  # and beside a number that hides it from the base pattern
+                own = text[s.start : s.stop]
+                there = f"{before}{own} {digits_of(own)}{after}"
+                if any((f.kind, f.start, f.stop) == (s.kind, len(before), len(before) + len(own)) for f in matches(there) if not f.base):
+                    out.append(features(there, Span(s.kind, len(before), len(before) + len(own), False)))
     return out
 
 
@@ -233,6 +269,30 @@ def _counter(kind: int, rnd: random.Random) -> tuple[str, str]:
     ])
 
 
+def _beside(kind: int, rnd: random.Random) -> tuple[str, str, str]:
+    """(left, own, right): an invented card or phone that a number beside it hides from the base pattern."""
+    card = _real(CARD, rnd)
+    printed = rnd.choice([card, card, " ".join(card[i : i + 4] for i in range(0, 16, 4)), "-".join(card[i : i + 4] for i in range(0, 16, 4))])
+    other = rnd.choice([card, _real(CARD, rnd), str(rnd.randrange(10**9, 10**10)), str(rnd.randrange(10**11, 10**12))])
+    if kind == PHONE:
+        return "", _real(PHONE, rnd), " " + rnd.choice([card, _real(CARD, rnd)])
+    return ("", printed, " " + other) if rnd.random() < 0.5 else (other + " ", printed, "")
+
+
+def _luhn_number(n: int, rnd: random.Random) -> str:
+    digits = "".join(rnd.choices("0123456789", k=n - 1))
+    return digits + next(d for d in "0123456789" if luhn(digits + d))
+
+
+def _junk(kind: int, rnd: random.Random) -> tuple[str, str]:
+    """(lead, own): rows of digits in which something passes the rule of a kind by chance alone."""
+    lead = rnd.choice(["order ", "serial ", "invoice ", "number ", "total ", "ref "])
+    if kind == CARD:
+        n = rnd.choice([14, 15, 16, 17, 18, 19])
+        return lead, rnd.choice([f"{rnd.randrange(10**5)} {_luhn_number(n, rnd)} {rnd.randrange(10**4)}", f"{_luhn_number(n, rnd)} {rnd.randrange(10**7)}", f"{rnd.randrange(10, 10**4)}-{_luhn_number(n, rnd)}-{rnd.randrange(10, 10**4)}"])
+    return lead, "+" + " ".join(str(rnd.randrange(10 ** rnd.randint(2, 5))) for _ in range(rnd.randint(6, 9)))
+
+
 @lru_cache(maxsize=1)
 def invented(each: int = MADE) -> tuple[np.ndarray, np.ndarray]:
     """Features and classes of `each` invented rows of each class and kind, always the same ones."""
@@ -242,9 +302,15 @@ def invented(each: int = MADE) -> tuple[np.ndarray, np.ndarray]:
             n = 0
             while n < each:
                 before = " ".join(rnd.choices(_PROSE, k=6)) + rnd.choice([" ", " ", ", ", ". ", ": "])
-                lead, own = _counter(kind, rnd) if label == 0 else (rnd.choice(["", "", f"{KINDS[kind]} ", f"{KINDS[kind]}: "]), rnd.choice(disguises(kind, _real(kind, rnd))))
-                text = f"{before}{lead}{own}{rnd.choice([' ', ' ', ', ', '. ', '; '])}{' '.join(rnd.choices(_PROSE, k=6))}"
-                a = len(before) + len(lead)
+                left, right, hidden = "", "", kind in (CARD, PHONE) and rnd.random() < 0.4
+                if label == 0:
+                    lead, own = _junk(kind, rnd) if hidden else _counter(kind, rnd)
+                else:
+                    lead, own = rnd.choice(["", "", f"{KINDS[kind]} ", f"{KINDS[kind]}: "]), rnd.choice(disguises(kind, _real(kind, rnd)))
+                    if hidden:
+                        left, own, right = _beside(kind, rnd)
+                text = f"{before}{lead}{left}{own}{right}{rnd.choice([' ', ' ', ', ', '. ', '; '])}{' '.join(rnd.choices(_PROSE, k=6))}"
+                a = len(before) + len(lead) + len(left)
                 for s in matches(text):
                     if not s.base and s.kind == kind and ((s.start, s.stop) == (a, a + len(own)) if label else s.start < a + len(own) and a < s.stop) and n < each:
                         x.append(features(text, s))
@@ -278,7 +344,10 @@ def fit(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) ->
     again = np.where(own, -(-len(x) // own.sum()), 1)[~held]  # neither part outweighs the other
     trees = boost(np.repeat(x[~held], again, axis=0), np.repeat(y[~held], again))
     scores, of_kind = trees.score(x), x[:, :4].argmax(1)
-    return Model(trees, tuple(max(0.5, *(threshold_for(scores[of], y[of], precision) for of in (held & (of_kind == k), held & own & (of_kind == k)))) for k in range(4)))
+    limits = tuple(max(0.5, *(threshold_for(scores[of], y[of], precision) for of in (held & (of_kind == k), held & own & (of_kind == k)))) for k in range(4))
+    if max(limits) > 1:
+        raise RuntimeError(f"no threshold holds a precision of {precision} for {[KINDS[k] for k in range(4) if limits[k] > 1]}")
+    return Model(trees, limits)
 
 
 def spans_of(text: str | None) -> list[dict]:
