@@ -76,6 +76,16 @@ def auto_report(alerts: DataFrame) -> DataFrame:
     return alerts.where("risk_level = 'critical' AND priority >= 0.90")
 
 
+#: The states of an alert that a report may be made of.
+REPORTABLE = ("resolved_suspicious", "under_investigation")
+
+
+def reportable(alerts: DataFrame) -> DataFrame:
+    """Alerts with whether a report may be made of them by their status, and why not. A null status allows none."""
+    may = F.coalesce(F.col("status").isin(*REPORTABLE), F.lit(False))
+    return alerts.withColumns({"may_report": may, "refusal": F.when(~may, F.concat(F.lit("cannot report an alert with status "), F.coalesce("status", F.lit("none"))))})
+
+
 def narrative(alerts: DataFrame, txns: DataFrame, shown: int = 10) -> DataFrame:
     """The first transactions in order, and how many more there are."""
     rows = attach(alerts, txns).groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct("ts", "transaction_id", "amount"))).alias("rows"))
@@ -326,3 +336,9 @@ def audit(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def verify(entries: DataFrame, columns: list[str]) -> DataFrame:
     return entries.withColumn("intact", F.col("content_hash") == F.sha2(F.to_json(F.struct(*sorted(columns))), 256))
+
+
+def audit_history(entries: DataFrame, entity: str, entities: DataFrame, order: str) -> DataFrame:
+    """The entries of some entities (one column, named as in the log), numbered in their order: `place`, from 1."""
+    own = entries.join(entities.select(entity).distinct(), entity, "left_semi")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(entity).orderBy(order)))

@@ -125,6 +125,25 @@ def robustness(df: DataFrame, columns: list[str], scorer, key: str, scale: float
     return out.select("flips", r.alias("robustness"), F.when(r >= 0.9, "robust").when(r >= 0.7, "fair").when(r >= 0.5, "weak").otherwise("poor").alias("band"))
 
 
+def robustness_report(df: DataFrame, perturbed: dict[str, Column], scorer, key: str, label: str = "label", share: float = 0.95) -> DataFrame:
+    """One row: accuracy before and after the perturbation of some columns, the share of predictions that it flips, its mean length, the share of rows
+    that it moves farther than a percentile of its lengths, the false positive rate after it, robustness and its band. No labelled negatives: rate 0.
+
+    Rows are scored twice and stand side by side; predictions are 0 or 1. Everything is one aggregate after one percentile."""
+    moved = sum(((c.cast("double") - F.col(n).cast("double")) * (c.cast("double") - F.col(n).cast("double")) for n, c in perturbed.items()), F.lit(0.0))
+    before = scorer(df.withColumn("_moved", F.sqrt(moved))).select(key, F.col(label).alias("y"), "_moved", F.col("prediction").alias("before"))
+    both = before.join(scorer(df.withColumns(perturbed)).select(key, F.col("prediction").alias("after")), key)
+    limit = both.agg(F.percentile("_moved", F.lit(share)).alias("limit"))  # one row
+    mean = lambda c: F.avg(c.cast("double"))
+    negative = F.col("y") == 0
+    out = both.crossJoin(F.broadcast(limit)).agg(
+        mean(F.col("before") == F.col("y")).alias("accuracy_before"), mean(F.col("after") == F.col("y")).alias("accuracy_after"), mean(F.col("before") != F.col("after")).alias("flips"),
+        F.avg("_moved").alias("perturbation"), mean(F.col("_moved") > F.col("limit")).alias("detected"), F.coalesce(F.try_divide(F.count_if(negative & (F.col("after") == 1)), F.count_if(negative)), F.lit(0.0)).alias("fpr"),
+    )
+    r = 1 - F.col("flips")
+    return out.withColumns({"robustness": r, "band": F.when(r >= 0.9, "robust").when(r >= 0.7, "fair").when(r >= 0.5, "weak").otherwise("poor")})
+
+
 def compare_robustness(df: DataFrame, columns: list[str], scorers: dict, key: str, scale: float = 0.05) -> DataFrame:
     """M14 for each named scorer."""
     found = [robustness(df, columns, f, key, scale).withColumn("scorer", F.lit(name)) for name, f in scorers.items()]

@@ -77,6 +77,14 @@ def score(a: Column, b: Column) -> Column:
     return F.when(a == b, 100.0).otherwise(F.greatest(ratio(a, b), ratio(sorted_words(a), sorted_words(b)), token_set(a, b)))
 
 
+def best_match(a: Column, b: Column) -> Column:
+    """(score, method): the best of all ways to compare two names, rounded to four places, and the first way that reaches it."""
+    ways = {"ratio": ratio(a, b), "partial_ratio": partial_ratio(a, b), "sorted_words": ratio(sorted_words(a), sorted_words(b)), "shared_words": token_set(a, b)}
+    found = F.array(*(F.struct(F.round(v, 4).alias("score"), F.lit(n).alias("method")) for n, v in ways.items()))
+    best = F.aggregate(found, F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("method")), lambda x, y: F.when(y["score"] > x["score"], y).otherwise(x))
+    return F.when(a == b, F.struct(F.lit(100.0).alias("score"), F.lit("exact").alias("method"))).otherwise(best)
+
+
 def candidates(names: DataFrame, watchlist: DataFrame, whole: bool = True) -> DataFrame:
     """Pairs of a name and a list entry whose first or last word is one of the name's words, in any case. A name
     without such an entry meets the whole list, which is broadcast only up to `MOST_LISTED` entries; not so if `whole` is false."""

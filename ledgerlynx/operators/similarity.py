@@ -48,3 +48,16 @@ def approximate(vectors: DataFrame, distance: float, bucket: float = 0.5, tables
 def transaction_text(t: DataFrame) -> DataFrame:
     """N1."""
     return t.withColumn("text", F.concat_ws(" ", F.lit("Transaction"), F.col("transaction_id").cast("string"), F.lit("of"), F.col("amount").cast("string"), "currency", F.lit("by"), "transaction_type", F.lit("from"), "country_origin", F.lit("to"), "country_destination"))
+
+
+def alert_text(alerts: DataFrame, attached: DataFrame, shown: int = 5) -> DataFrame:
+    """Alerts with a text of their type, level, patterns, first transactions and priority. attached: alert_id and the transactions' columns.
+    An alert's transactions are cut to the first ones by time before they are gathered."""
+    first = attached.withColumn("place", F.row_number().over(Window.partitionBy("alert_id").orderBy("ts", "transaction_id"))).where(F.col("place") <= shown)
+    line = F.concat_ws(" ", F.col("amount").cast("string"), "currency", F.lit("from"), F.col("sender_id").cast("string"), F.lit("to"), F.col("receiver_id").cast("string"))
+    lines = first.groupBy("alert_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda r: r["line"]), "; ").alias("lines"))
+    text = F.concat(
+        F.lit("Alert "), "alert_id", F.lit(" of type "), "alert_type", F.lit(" at level "), "risk_level", F.lit(". Patterns: "), F.array_join("patterns", ", "),
+        F.lit(". Transactions: "), F.coalesce("lines", F.lit("none")), F.lit(". Priority: "), F.format_string("%.2f", F.col("priority").cast("double")),
+    )
+    return alerts.join(lines, "alert_id", "left").withColumn("text", text).drop("lines")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import cases as C
 from ..operators import rules as R
 from ..operators import screening as S
+from ..operators import similarity as N
 from .bindings import AS_OF, query, table, txn
 from .r_rules import _CONSOLIDATED, results
 
@@ -159,6 +160,14 @@ def c7(spark, sf):
     return C.auto_report(alerts(spark, sf)).select("alert_id")
 
 
+@query("c7_reportable_alerts", "txn", _ALERTS + """, st AS (SELECT alert_id, CASE transaction_id % 4 WHEN 0 THEN 'resolved_suspicious' WHEN 1 THEN 'under_investigation' WHEN 2 THEN 'new' END AS status FROM al)
+SELECT alert_id, coalesce(status IN ('resolved_suspicious', 'under_investigation'), false) AS may_report, CASE WHEN status = 'new' OR status IS NULL THEN 'cannot report an alert with status ' || coalesce(status, 'none') END AS refusal FROM st""")
+def c7_reportable(spark, sf):
+    rest = F.col("transaction_ids")[0] % 4
+    status = F.when(rest == 0, "resolved_suspicious").when(rest == 1, "under_investigation").when(rest == 2, "new")
+    return C.reportable(alerts(spark, sf).withColumn("status", status)).select("alert_id", "may_report", "refusal")
+
+
 @query("c9_filed_reports", "txn", _ALERTS + f""" SELECT alert_id, transaction_id % 3 = 0 AS filed, CASE WHEN transaction_id % 3 = 0 THEN 'officer' || transaction_id % 2 END AS filed_by,
   CASE WHEN transaction_id % 3 = 0 THEN 'CONF-' || upper(substr(sha256('filing|' || alert_id || '|officer' || transaction_id % 2 || '|{AS_OF}'), 1, 12)) END AS confirmation FROM al""")
 def c9(spark, sf):
@@ -322,3 +331,29 @@ def x4(spark, sf):
 def x5(spark, sf):
     entries = C.audit(txn(spark, sf), ["transaction_id", "amount", "sender_id"])
     return C.verify(entries, ["transaction_id", "amount", "sender_id"]).select("transaction_id", "content_hash", "intact")
+
+
+@query("x5_audit_history", "txn", """SELECT sender_id, transaction_id, row_number() OVER (PARTITION BY sender_id ORDER BY ts, transaction_id) AS place FROM txn WHERE sender_id IN (SELECT sender_id FROM txn WHERE amount > 20000)""")
+def x5_history(spark, sf):
+    t = txn(spark, sf)
+    entries = C.audit(t.withColumn("at", F.struct("ts", "transaction_id")), ["transaction_id", "amount", "sender_id"])
+    return C.audit_history(entries, "sender_id", t.where("amount > 20000"), "at").select("sender_id", "transaction_id", "place")
+
+
+@query("n1_alert_text", "txn", _ALERTS + """ SELECT alert_id, 'Alert ' || alert_id || ' of type ' || alert_type || ' at level ' || level || '. Patterns: ' || array_to_string(list_sort(patterns), ', ') || '. Transactions: ' || amount || ' USD from ' || sender_id || ' to ' || receiver_id || '. Priority: ' || printf('%.2f', score) AS text FROM al""")
+def n1_alert(spark, sf):
+    a = alerts(spark, sf).withColumn("patterns", F.array_sort("patterns"))
+    return N.alert_text(a, C.attach(a.select("alert_id", "transaction_ids"), txn(spark, sf))).select("alert_id", "text")
+
+
+@query("e2_best_match", "", NAMES + _BLOCK + """l AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS t FROM pairs),
+w AS (SELECT a, b, s, unnest(list_transform(generate_series(1, length(t) - length(s) + 1), lambda k: substr(t, k, length(s)))) AS piece FROM l),
+pr AS (SELECT a, b, max(100.0::DOUBLE * (1 - levenshtein(s, piece) / length(s))) AS partial FROM w GROUP BY 1, 2),
+x AS (SELECT a, b, partial, 100 * (1 - levenshtein(a, b) / greatest(length(a), length(b))) AS ratio,
+  100 * (1 - levenshtein(array_to_string(list_sort(string_split(a, ' ')), ' '), array_to_string(list_sort(string_split(b, ' ')), ' ')) / greatest(length(a), length(b))) AS sorted,
+  100 * len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) / least(len(list_distinct(string_split(a, ' '))), len(list_distinct(string_split(b, ' ')))) AS shared FROM pr),
+g AS (SELECT *, greatest(round(ratio, 4), round(partial, 4), round(sorted, 4), round(shared, 4)) AS score FROM x)
+SELECT a, b, CASE WHEN a = b THEN 100 ELSE score END::DOUBLE AS score, CASE WHEN a = b THEN 'exact' WHEN round(ratio, 4) = score THEN 'ratio' WHEN round(partial, 4) = score THEN 'partial_ratio' WHEN round(sorted, 4) = score THEN 'sorted_words' ELSE 'shared_words' END AS method FROM g""")
+def e2_best(spark, sf):
+    pairs = S.candidates(names(spark, sf), watchlist(spark, sf), whole=False).toDF("a", "b")
+    return pairs.select("a", "b", F.inline(F.array(S.best_match(F.col("a"), F.col("b")))))

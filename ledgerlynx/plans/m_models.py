@@ -78,19 +78,10 @@ def n1(spark, sf):
 
 
 @query("n2_nearest", "", """
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS l FROM embeddings WHERE vec_id < 20),
-s AS (SELECT query_id, vec_id, list_dot_product(q, embedding::DOUBLE[]) / sqrt(list_dot_product(q, q) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS sim FROM q JOIN embeddings ON label = l AND vec_id <> query_id)
-SELECT query_id, vec_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM s QUALIFY place <= 5""")
-def n2(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return N.nearest(e.where("vec_id < 20"), e, 5, "label").withColumn("similarity", F.round("similarity", 6))
-
-
-@query("n2_nearest_whole", "", """
 q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS l FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_dot_product(q, embedding::DOUBLE[]) / sqrt(list_dot_product(q, q) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS sim FROM q JOIN embeddings ON label = l AND vec_id <> query_id)
 SELECT query_id, vec_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM s QUALIFY place <= 5""")
-def n2_whole(spark, sf):
+def n2(spark, sf):
     e = table(spark, sf, "embeddings")
     return N.nearest(e.where("vec_id % 100 = 0"), e, 5, "label").withColumn("similarity", F.round("similarity", 6))
 
@@ -244,3 +235,15 @@ def m15(spark, sf):
         return lambda d: d.withColumn("prediction", (F.col("amount").cast("double") >= limit).cast("int"))
 
     return L.compare_robustness(txn(spark, sf), ["amount"], {"above_9000": above(9000), "above_15000": above(15000)}, "transaction_id")
+
+
+@query("m14_robustness_report", "txn", """
+r AS (SELECT transaction_id, amount::DOUBLE AS amount, amount::DOUBLE * (1 + 0.2::DOUBLE * (transaction_id * 7919 % 2001 / 1000 - 1)) AS moved, is_suspicious::INT AS y FROM txn),
+s AS (SELECT *, (amount >= 10000)::INT AS b, (moved >= 10000)::INT AS a, sqrt((moved - amount) * (moved - amount)) AS len FROM r)
+SELECT round(avg((b = y)::INT), 6) AS accuracy_before, round(avg((a = y)::INT), 6) AS accuracy_after, round(avg((a <> b)::INT), 6) AS flips, round(avg(len), 4) AS perturbation, round(avg((len > (SELECT quantile_cont(len, 0.95) FROM s))::INT), 6) AS detected,
+  round(count(*) FILTER (y = 0 AND a = 1) / count(*) FILTER (y = 0), 6)::DOUBLE AS fpr, CASE WHEN 1 - avg((a <> b)::INT) >= 0.9 THEN 'robust' WHEN 1 - avg((a <> b)::INT) >= 0.7 THEN 'fair' WHEN 1 - avg((a <> b)::INT) >= 0.5 THEN 'weak' ELSE 'poor' END AS band FROM s""")
+def m14(spark, sf):
+    t = txn(spark, sf).withColumns({"amount": F.col("amount").cast("double"), "label": F.col("is_suspicious").cast("int")})
+    noise = {"amount": F.col("amount") * (1 + 0.2 * (F.col("transaction_id") * 7919 % 2001 / 1000 - 1))}
+    out = L.robustness_report(t, noise, lambda d: d.withColumn("prediction", (F.col("amount") >= 10000).cast("int")), "transaction_id")
+    return out.select(*(F.round(c, 4 if c == "perturbation" else 6).alias(c) for c in ("accuracy_before", "accuracy_after", "flips", "perturbation", "detected", "fpr")), "band")
