@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, which outlives an executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage by a table written in the shared folder, which outlives an executor. A checkpoint would keep the constraints
+    that Spark has inferred for the rows, which grow from round to round of a loop until planning takes minutes."""
+    path = f"{shared_folder(df.sparkSession)}/cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
