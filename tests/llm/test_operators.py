@@ -463,3 +463,22 @@ def test_packing_over_several_rounds(spark):
     assert len(out) == 30_000 and out.groupby("sequence_id").length.sum().max() <= 256
     best = packing.best_fit(lengths, 256)[0].max() + 1
     assert max(-(-lengths.sum() // 256), (lengths > 128).sum()) <= out.sequence_id.nunique() <= 1.02 * best
+
+
+def test_packing_by_a_tree_of_three_levels(spark):
+    rnd = np.random.default_rng(4)
+    lengths = np.concatenate([rnd.integers(20, 256, 30_000), rnd.integers(140, 250, 8_000)])
+    pieces = spark.createDataFrame([(k, k, 0, 0, int(v), 0) for k, v in enumerate(lengths)], "row long, doc_id long, piece int, start long, length long, ids_crc32 long").repartition(8)
+    for group_rows in (400, 40):  # 95 groups, and 950 of a few bins each, whose lightest bins must travel far
+        out = packing.pack(pieces, 256, group_rows=group_rows).toPandas().sort_values(["sequence_id", "offset"])
+        assert len(out) == len(lengths) and (out.length.groupby(out.sequence_id).cumsum() - out.length == out.offset).all()
+        used = out.groupby("sequence_id").length.sum()
+        assert used.max() <= 256 and (2 * used <= 256).sum() <= 1
+        if group_rows == 400:
+            assert out.sequence_id.nunique() <= 1.02 * (packing.best_fit(lengths, 256)[0].max() + 1)
+
+
+def test_bins_to_hand_up():
+    used = np.array([255, 200, 130, 129, 60, 140, 256])
+    assert np.flatnonzero(packing.to_hand_up(used, 256, 2)).tolist() == [2, 3, 4]
+    assert np.flatnonzero(packing.to_hand_up(used, 256, 9)).tolist() == [1, 2, 3, 4, 5]
