@@ -41,6 +41,23 @@ def explanation(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("explanation", F.concat_ws(" ", F.format_string("%s alert at level %s.", "alert_type", "risk_level"), F.array_join(F.transform(F.slice("findings", 1, 5), lambda f: F.concat(F.lit("- "), f)), " ")))
 
 
+def case_alerts(alerts: DataFrame, unit: str = "month") -> DataFrame:
+    """One alert for all of one subject, type and calendar unit. The alert of highest priority, by id among equals, gives the
+    level; transactions, customers, patterns, detectors and findings are united. An alert without customers has a null subject."""
+    def union(c):
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+
+    by = alerts.groupBy(F.get("customer_ids", F.lit(0)).alias("subject"), "alert_type", F.date_trunc(unit, "created_at").alias("began"))
+    out = by.agg(
+        F.min("created_at").alias("created_at"), F.max_by("risk_level", F.struct("priority", "alert_id")).alias("risk_level"), F.max("priority").alias("priority"), F.count("*").alias("n_alerts"),
+        *map(union, ("transaction_ids", "customer_ids", "patterns", "triggered_by", "findings")),
+    )
+    key = F.concat_ws("|", F.lit("case"), F.col("subject").cast("string"), "alert_type", F.date_format("began", "yyyy-MM-dd"))
+    # the subject comes first among the customers, as in a single alert
+    ids = F.when(F.col("subject").isNull(), F.col("customer_ids")).otherwise(F.array_union(F.array("subject"), F.col("customer_ids")))
+    return out.withColumns({"alert_id": F.sha2(key, 256), "customer_ids": ids}).drop("subject", "began")
+
+
 def merge_alerts(alerts: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """C4: the alerts of the last hours before `as_of`, and any later ones, by customer and type: the row of highest
     priority with the union of ids, customers, patterns and detectors, and a note if it stands for several."""
@@ -87,10 +104,15 @@ def reportable(alerts: DataFrame) -> DataFrame:
 
 
 def narrative(alerts: DataFrame, txns: DataFrame, shown: int = 10) -> DataFrame:
-    """The first transactions in order, and how many more there are."""
-    rows = attach(alerts, txns).groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct("ts", "transaction_id", "amount"))).alias("rows"))
-    lines = F.transform(F.slice("rows", 1, shown), lambda r: F.concat_ws(" ", F.date_format(r["ts"], "yyyy-MM-dd"), r["transaction_id"].cast("string"), r["amount"].cast("string")))
-    return rows.select("alert_id", F.concat(F.array_join(lines, "\n"), F.when(F.size("rows") > shown, F.concat(F.lit("\nand "), (F.size("rows") - shown).cast("string"), F.lit(" more"))).otherwise("")).alias("narrative"))
+    """The first transactions in order, and how many more there are. The others are counted, not gathered."""
+    rows = attach(alerts, txns).select("alert_id", "ts", "transaction_id", "amount")
+    order = Window.partitionBy("alert_id").orderBy("ts", "transaction_id")
+    first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= shown)
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd"), F.col("transaction_id").cast("string"), F.col("amount").cast("string"))
+    lines = first.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
+    out = lines.join(rows.groupBy("alert_id").agg(F.count("*").alias("n")), "alert_id")
+    more = F.when(F.col("n") > shown, F.concat(F.lit("\nand "), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise("")
+    return out.select("alert_id", F.concat(F.array_join(F.transform("lines", lambda r: r["line"]), "\n"), more).alias("narrative"))
 
 
 def file_reports(reports: DataFrame, filings: DataFrame) -> DataFrame:

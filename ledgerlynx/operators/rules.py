@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import DAY_US, HIGH_RISK_COUNTRIES, level_of
+from ..shared import cut
 from .history import amount, earlier, within
 from .network import return_legs, timed_layering
 from .validation import labels, worst
@@ -286,3 +287,22 @@ def soon_after_opening(txns: DataFrame, customers: DataFrame, days: int = 30, le
     own = customers.select(F.col("customer_id").alias("sender_id"), "registration_date")
     out = txns.where(F.col("amount") > least).join(own, "sender_id").withColumn("days_open", F.datediff("ts", "registration_date"))
     return out.where(F.col("days_open").between(0, days)).select("transaction_id", "days_open")
+
+
+def complex_web(t: DataFrame, hours: int = 24, intermediaries: int = 5) -> DataFrame:
+    """R16, R021: how many transfers in a row led to a transaction, itself included, and whether they passed so many accounts on the way:
+    transaction_id, depth (not counted beyond what the rule asks), R021. Each transfer leaves the account that the one before reached, later and within the hours;
+    an account may come again. Transfers to oneself lead nowhere and are left out.
+
+    Each round looks up the longest chain into the sender by one window over incoming and outgoing transfers, so no pairs are formed. Accounts are cut
+    into buckets of `hours`, incoming transfers standing in their own and in the next, so an account with a third of all rows is many groups."""
+    span = hours * 3_600_000_000
+    before = Window.partitionBy("party", "bucket").orderBy("us").rangeBetween(-span, -1)
+    chains = t.where("sender_id <> receiver_id").select("transaction_id", "sender_id", "receiver_id", F.unix_micros("ts").alias("us"), F.lit(1).alias("depth"))
+    for _ in range(intermediaries):
+        bucket = F.floor(F.col("us") / span)
+        came = chains.select(F.col("receiver_id").alias("party"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"), "us", "depth")
+        went = chains.select(F.col("sender_id").alias("party"), bucket.alias("bucket"), "us", F.lit(None).cast("int").alias("depth"), "transaction_id", "sender_id", "receiver_id", F.lit(True).alias("out"))
+        seen = came.unionByName(went, allowMissingColumns=True).withColumn("depth", F.coalesce(F.max("depth").over(before) + 1, F.lit(1)))
+        chains = cut(seen.where("out").select("transaction_id", "sender_id", "receiver_id", "us", "depth"))
+    return chains.select("transaction_id", "depth", (F.col("depth") > intermediaries).alias("R021"))

@@ -357,3 +357,64 @@ SELECT a, b, CASE WHEN a = b THEN 100 ELSE score END::DOUBLE AS score, CASE WHEN
 def e2_best(spark, sf):
     pairs = S.candidates(names(spark, sf), watchlist(spark, sf), whole=False).toDF("a", "b")
     return pairs.select("a", "b", F.inline(F.array(S.best_match(F.col("a"), F.col("b")))))
+
+
+# cases: the alerts of one subject, type and month as one, so that an alert has several transactions
+_CASES = _ALERTS + """,
+cs AS (SELECT sha256('case|' || sender_id || '|' || alert_type || '|' || strftime(date_trunc('month', ts), '%Y-%m-%d')) AS alert_id, sender_id, alert_type, max(score) AS score, arg_max(level, (score, alert_id)) AS level,
+  list_sort(list_distinct(flatten(list(findings)))) AS findings FROM al GROUP BY sender_id, alert_type, date_trunc('month', ts)),
+ct AS (SELECT cs.*, al.transaction_id, al.amount, al.ts, row_number() OVER (PARTITION BY cs.alert_id ORDER BY al.ts, al.transaction_id) AS place, count(*) OVER (PARTITION BY cs.alert_id) AS n
+  FROM al JOIN cs ON cs.alert_id = sha256('case|' || al.sender_id || '|' || al.alert_type || '|' || strftime(date_trunc('month', al.ts), '%Y-%m-%d'))),
+na AS (SELECT alert_id, string_agg(strftime(ts, '%Y-%m-%d') || ' ' || transaction_id || ' ' || amount, chr(10) ORDER BY place) FILTER (place <= 10) || CASE WHEN max(n) > 10 THEN chr(10) || 'and ' || (max(n) - 10) || ' more' ELSE '' END AS narrative FROM ct GROUP BY 1)"""
+
+
+def case_alerts(spark, sf):
+    return C.case_alerts(alerts(spark, sf))
+
+
+@query("c3_case_explanations", "txn", _CASES + " SELECT alert_id, round(score, 6) AS priority, alert_type || ' alert at level ' || level || '. ' || array_to_string(list_transform(findings[1:5], lambda f: '- ' || f), ' ') AS explanation FROM cs")
+def c3_case(spark, sf):
+    return C.explanation(case_alerts(spark, sf)).select("alert_id", F.round("priority", 6).alias("priority"), "explanation")
+
+
+@query("c6_case_reports", "txn", _CASES + " SELECT alert_id, sender_id AS subject_id, sum(amount)::DOUBLE AS total_amount, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS until FROM ct GROUP BY 1, 2")
+def c6_case(spark, sf):
+    out = C.report(case_alerts(spark, sf), txn(spark, sf))
+    return out.select("alert_id", "subject_id", "total_amount", "n", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n) for c, n in (("start", "start"), ("end", "until"))))
+
+
+@query("c8_case_narratives", "txn", _CASES + " SELECT alert_id, narrative FROM na")
+def c8_case(spark, sf):
+    return C.narrative(case_alerts(spark, sf), txn(spark, sf))
+
+
+# reports of 3, 6, ... transactions lose their type, those of 4, 8, ... their narrative
+@query("c10_case_checks", "txn", _CASES + """, x AS (SELECT alert_id, max(n) AS n, sum(amount) AS total FROM ct GROUP BY 1)
+SELECT alert_id, concat_ws(',', CASE WHEN n % 3 = 0 THEN 'alert_type' END, CASE WHEN n % 4 = 0 THEN 'narrative' END) AS errors, concat_ws(',', CASE WHEN n % 4 <> 0 AND length(narrative) < 100 THEN 'short_narrative' END, CASE WHEN total < 5000 THEN 'small_amount' END) AS warnings
+FROM x JOIN na USING (alert_id)""")
+def c10_case(spark, sf):
+    a, t = case_alerts(spark, sf), txn(spark, sf)
+    made = C.report(a, t).join(C.narrative(a, t), "alert_id")
+    out = C.validate_report(made.withColumns({"alert_type": F.when(F.col("n") % 3 != 0, F.col("alert_type")), "narrative": F.when(F.col("n") % 4 != 0, F.col("narrative"))}))
+    return out.select("alert_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("c11_case_transaction_xml", "txn", _CASES + f""" SELECT alert_id, '<goAMLMessage version="5.0"><report_header><report_code>STR</report_code><submission_date>{AS_OF[:10]}</submission_date></report_header><reporting_entity><entity_id>7</entity_id><entity_name>A &amp; B</entity_name></reporting_entity>'
+  || string_agg('<transaction><transaction_id>' || transaction_id || '</transaction_id><amount>' || amount || '</amount><currency>USD</currency><date>' || strftime(ts, '%Y-%m-%d') || '</date></transaction>', '' ORDER BY place) || '<reason_for_suspicion>' || alert_type || '</reason_for_suspicion></goAMLMessage>' AS xml FROM ct GROUP BY alert_id, alert_type""")
+def c11_case(spark, sf):
+    return C.transaction_xml(case_alerts(spark, sf), txn(spark, sf), "7", "A & B", AS_OF[:10])
+
+
+@query("j7_case_attached", "txn", _CASES + " SELECT alert_id, transaction_id, amount::DOUBLE AS amount FROM ct")
+def j7_case(spark, sf):
+    return C.attach(case_alerts(spark, sf), txn(spark, sf)).select("alert_id", "transaction_id", F.col("amount").cast("double").alias("amount"))
+
+
+@query("e8_match_bands", "", """
+m AS (SELECT a.p_partkey, (a.p_type = b.p_type)::DOUBLE * 0.4::DOUBLE + (a.p_brand = b.p_brand)::DOUBLE * 0.3::DOUBLE + (a.p_size = b.p_size)::DOUBLE * 0.25::DOUBLE AS t FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
+SELECT p_partkey, round(t, 6) AS score, CASE WHEN t > 0.9 THEN 'exact' WHEN t > 0.7 THEN 'strong' WHEN t > 0.5 THEN 'weak' ELSE 'none' END AS band FROM m""")
+def e8(spark, sf):
+    a = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size")
+    pairs = a.join(a.select((F.col("p_partkey") - 1).alias("p_partkey"), *(F.col(c).alias(f"{c}_2") for c in ("p_type", "p_brand", "p_size"))), "p_partkey")
+    total, band = S.match_band([(F.col(c) == F.col(f"{c}_2"), w) for c, w in (("p_type", 0.4), ("p_brand", 0.3), ("p_size", 0.25))])
+    return pairs.select("p_partkey", F.round(total, 6).alias("score"), band.alias("band"))

@@ -91,6 +91,25 @@ def n3(spark, sf):
     return N.approximate(table(spark, sf, "embeddings"), 0.35)
 
 
+# the given vectors are far apart, so each gets a copy that is stretched and shrunk by turns
+@query("n3_approximate_copies", "", """
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT vec_id, v FROM e UNION ALL SELECT -1 - vec_id, list_transform(v, lambda x, i: x * CASE WHEN i % 2 = 1 THEN 1.02 ELSE 0.98 END) FROM e)
+SELECT q.vec_id AS query_id, count(b.vec_id) AS n_near FROM e q LEFT JOIN b ON b.vec_id <> q.vec_id AND sqrt(list_dot_product(q.v, q.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(q.v, b.v)) < 0.35 WHERE q.vec_id % 100 = 0 GROUP BY 1""")
+def n3_copies(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    copies = e.select((-1 - F.col("vec_id")).alias("vec_id"), F.transform("embedding", lambda x, i: x * F.when(i % 2 == 0, 1.02).otherwise(0.98)).alias("embedding"))
+    pairs = N.approximate(e.unionByName(copies), 0.35)
+    near = pairs.select(F.explode(F.array("a", "b")).alias("query_id")).groupBy("query_id").agg(F.count("*").alias("n_near"))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")).join(near, "query_id", "left").fillna(0, ["n_near"])
+
+
+# every fifth message is cut off within field 4
+@query("p3_message_errors", "txn", "SELECT transaction_id, transaction_id % 5 <> 0 AS parsed, CASE WHEN transaction_id % 5 = 0 THEN 'ValueError: field 4 is cut off' ELSE '' END AS error FROM txn WHERE transaction_type = 'card_payment'")
+def p3_errors(spark, sf):
+    damaged = cards(spark, sf).withColumn("message", F.when(F.col("transaction_id") % 5 == 0, F.substring("message", 1, 44)).otherwise(F.col("message")))
+    return M.parse_card_messages(damaged, "transaction_id", "message").select("transaction_id", F.col("mti").isNotNull().alias("parsed"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 @query("io5_upsert", "txn", "SELECT transaction_id, CASE WHEN sender_id % 10 = 0 THEN amount * 2 ELSE amount END::DOUBLE AS amount FROM txn")
 def io5(spark, sf):
     t = txn(spark, sf).select("transaction_id", "sender_id", "amount")

@@ -254,3 +254,11 @@ def r16_circular(spark, sf):
 SELECT transaction_id, date_diff('day', registration_date, ts::DATE) AS days_open FROM txn JOIN customers ON customer_id = sender_id WHERE amount > 10000 AND date_diff('day', registration_date, ts::DATE) BETWEEN 0 AND 30""")
 def r16_opening(spark, sf):
     return R.soon_after_opening(txn(spark, sf), customers(spark, sf))
+
+
+@query("r16_complex_web", "txn", """
+reach AS (SELECT transaction_id, receiver_id, ts, 1 AS depth FROM txn WHERE sender_id <> receiver_id UNION
+  SELECT t.transaction_id, t.receiver_id, t.ts, depth + 1 FROM reach JOIN txn t ON t.sender_id = reach.receiver_id AND t.ts > reach.ts AND t.ts <= reach.ts + INTERVAL 6 HOURS WHERE depth < 6 AND t.sender_id <> t.receiver_id)
+SELECT transaction_id, max(depth)::INT AS depth, max(depth) > 5 AS R021 FROM reach GROUP BY 1""", recursive=True)
+def r16_web(spark, sf):
+    return R.complex_web(txn(spark, sf), hours=6)

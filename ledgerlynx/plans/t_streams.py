@@ -48,6 +48,24 @@ def s2(spark, sf):
     return out.select("sender_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", "total")
 
 
+@query("s3_bursts_stream", "txn", """
+g AS (SELECT sender_id, ts, amount, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER o) >= 21600000000, true) AS fresh FROM txn WINDOW o AS (PARTITION BY sender_id ORDER BY ts)),
+k AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY sender_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g),
+b AS (SELECT sender_id, min(ts) AS began, max(ts) + INTERVAL 6 HOURS AS until, count(*) AS n, sum(amount)::DOUBLE AS total FROM k GROUP BY sender_id, session HAVING count(*) >= 3)
+SELECT sender_id, strftime(began, '%Y-%m-%d %H:%M:%S') AS began, strftime(until, '%Y-%m-%d %H:%M:%S') AS ended, n, total FROM b WHERE until <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM txn)""")
+def s3(spark, sf):
+    out = ran(spark, S.bursts(moving(spark, sf), gap="6 hours", least=3))
+    return out.select("sender_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n) for c, n in (("start", "began"), ("end", "ended"))), "n", "total")
+
+
+@query("s6_smurfing_stream", "txn", """
+w AS (SELECT receiver_id, date_trunc('day', ts)::TIMESTAMP AS began, count(*) AS n FROM txn WHERE amount < 10000 GROUP BY 1, 2 HAVING count(*) >= 2 AND min(amount)::DOUBLE >= 0.7::DOUBLE * max(amount)::DOUBLE)
+SELECT receiver_id, strftime(began, '%Y-%m-%d') AS began, n FROM w WHERE began + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM txn WHERE amount < 10000)""")
+def s6(spark, sf):
+    out = ran(spark, S.smurfing(moving(spark, sf), least=2, similarity=0.7))
+    return out.select("receiver_id", F.date_format("start", "yyyy-MM-dd").alias("began"), "n")
+
+
 @query("s4_rising_sequence_stream", "txn", """
 SELECT a.sender_id, a.transaction_id::VARCHAR AS t1, b.transaction_id::VARCHAR AS t2, c.transaction_id::VARCHAR AS t3
 FROM txn a JOIN txn b ON a.sender_id = b.sender_id AND b.ts > a.ts JOIN txn c ON c.sender_id = a.sender_id AND c.ts > b.ts AND c.ts <= a.ts + INTERVAL 24 HOURS
