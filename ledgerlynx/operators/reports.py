@@ -176,6 +176,21 @@ def spikes(df: DataFrame, minutes: int = 5, factor: float = 2.0) -> DataFrame:
     return whole.crossJoin(F.broadcast(mean)).select("bucket", "n", (F.col("n") > factor * F.col("mean")).alias("spike"), (F.col("n") == 0).alias("silent"))
 
 
+def rate_alarms(df: DataFrame, missing: Column, minutes: int = 5, most: float = 0.01, silent_windows: int = 2) -> DataFrame:
+    """Every window from the first to the last, with the rate of rows with missing values a second, whether that is above `most`, and whether
+    neither it nor the windows before it, `silent_windows` in all, had a row. Before the first window nothing is known, so it is silent only if they all are within."""
+    bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (60 * minutes))
+    counts = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(missing).alias("n_missing"))
+    ends = counts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
+    every = ends.select("a", F.explode(F.sequence("a", "b")).alias("bucket"))
+    # a window with rows speaks for itself and for those that look back on it
+    heard = counts.select(F.explode(F.sequence("bucket", F.col("bucket") + silent_windows - 1)).alias("bucket")).distinct().withColumn("heard", F.lit(True))
+    out = every.join(counts, "bucket", "left").join(heard, "bucket", "left").fillna(0, ["n", "n_missing"])
+    rate = F.col("n_missing") / (60.0 * minutes)
+    silent = F.col("heard").isNull() & (F.col("bucket") - F.col("a") >= silent_windows - 1)
+    return out.select("bucket", "n", rate.alias("missing_rate"), (rate > most).alias("missing_alarm"), silent.alias("silence_alarm"))
+
+
 def months(txns: DataFrame) -> DataFrame:
     """By month and country with totals of each month and of all."""
     return txns.rollup(F.date_format(F.date_trunc("month", "ts"), "yyyy-MM").alias("month"), F.col("country_destination").alias("country")).agg(F.count("*").alias("n"), money(F.sum("amount")).alias("total"))

@@ -177,6 +177,17 @@ def a27(spark, sf):
     return A.spikes(txn(spark, sf))
 
 
+# a missing value: a description is not given in one of seven transactions
+@query("a27_rate_alarms", "txn", """
+c AS (SELECT epoch_us(ts) // 300000000 AS bucket, count(*) AS n, count(*) FILTER (transaction_id % 7 = 0) AS m FROM txn GROUP BY 1),
+e AS (SELECT unnest(range((SELECT min(bucket) FROM c), (SELECT max(bucket) FROM c) + 1)) AS bucket),
+w AS (SELECT e.bucket, coalesce(c.n, 0) AS n, coalesce(c.m, 0) AS m FROM e LEFT JOIN c ON c.bucket = e.bucket)
+SELECT bucket, n, round(m / 300.0, 6)::DOUBLE AS missing_rate, m > 3 AS missing_alarm, coalesce(n = 0 AND lag(n) OVER (ORDER BY bucket) = 0, false) AS silence_alarm FROM w""")
+def a27_alarms(spark, sf):
+    t = txn(spark, sf).withColumn("description", F.when(F.col("transaction_id") % 7 != 0, "given"))
+    return A.rate_alarms(t, F.isnull("description")).withColumn("missing_rate", F.round("missing_rate", 6))
+
+
 @query("a28_months", "txn", "SELECT strftime(ts, '%Y-%m') AS month, country_destination AS country, count(*) AS n, sum(amount)::DOUBLE AS total FROM txn GROUP BY ROLLUP (strftime(ts, '%Y-%m'), country_destination)")
 def a28(spark, sf):
     return A.months(txn(spark, sf))

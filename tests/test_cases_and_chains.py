@@ -54,3 +54,30 @@ def test_narrative_cuts_after_ten(spark):
     out = {r["alert_id"]: r["narrative"].split("\n") for r in cases.narrative(a, t).collect()}
     first = [f"2024-01-{1 + k // 2:02d} {k} {float(k)}" for k in range(10)]
     assert out == {"a": [*first, "and 3 more"], "b": first}
+
+
+def test_rate_alarms(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlynx.operators import reports
+
+    # windows 0, 1, 4: four missing values in the first, three in the second, none later
+    rows = [(0, None)] * 4 + [(299, "x")] + [(300, None)] * 3 + [(1200, "x")]
+    t = spark.createDataFrame(rows, "s long, note string").withColumn("ts", F.timestamp_seconds("s"))
+    out = sorted(map(tuple, reports.rate_alarms(t, F.isnull("note")).collect()))
+    assert [(b, n, m, q) for b, n, _, m, q in out] == [(0, 5, True, False), (1, 3, False, False), (2, 0, False, False), (3, 0, False, True), (4, 1, False, False)]
+    assert reports.rate_alarms(t.where("false"), F.isnull("note")).count() == 0
+
+
+def test_ranks_of_held_out_alerts(spark):
+    """The label follows the hidden rule of one feature and of noise; ranks of rows that were not fitted on must tell it."""
+    import random
+
+    from ledgerlynx.operators import learning
+
+    rnd = random.Random(3)
+    rows = [(k, float(a := rnd.randrange(20_000)), rnd.random(), int(a + rnd.gauss(0, 3000) > 10_000)) for k in range(1200)]
+    d = learning.split(spark.createDataFrame(rows, "transaction_id long, amount double, risk_score double, label int"), "label", "transaction_id")
+    out = learning.ranked(d.where("part = 'test'"), learning.ranker(d.where("part = 'train'"), "label")).collect()
+    good, bad = ([r["rank_score"] for r in out if r["label"] == y] for y in (1, 0))
+    assert len(out) < 300 and sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.9
