@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import money
-from ..shared import cut
+from ..shared import Steps, cut
 
 
 def edges(txns: DataFrame, weight: str = "total") -> DataFrame:
@@ -72,18 +72,35 @@ def eigenvector(e: DataFrame, rounds: int = 100, tolerance: float = 1e-9) -> Dat
     return x
 
 
+def _inner(links: DataFrame) -> DataFrame:
+    """The links that a search can follow after its first step: from nodes that another one leads to."""
+    return cut(links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+
+
 def distances(e: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Breadth-first search from every source (default all), to the end or `most` steps far: source, node, dist, sigma = number of shortest paths."""
     links = cut(e.where("src <> dst").select("src", "dst").distinct())
-    seen = (nodes_of(e) if sources is None else sources).select(F.col("node").alias("source"), "node").withColumns({"dist": F.lit(0), "sigma": F.lit(1.0)})
-    front = seen
+    return _search(links, _inner(links), nodes_of(e) if sources is None else sources, most)[0]
+
+
+def _search(links: DataFrame, inner: DataFrame, sources: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """The result of `distances` and the number of its steps. links: distinct, without loops; inner: those of them that lead on from where a link ends.
+
+    The first step is the sources' own links. Later ones keep a source's rows together, so that where inner links are few enough to be
+    broadcast, paths are summed where they are made and only their sums are shuffled. A step's rows are written once, into a part of one table."""
+    kind = dict(links.dtypes)["src"]
+    steps = Steps(links.sparkSession, f"source {kind}, node {kind}, sigma double, dist int")
+    seen = steps.add(sources.select(F.col("node").cast(kind).alias("source"), F.col("node").cast(kind).alias("node"), F.lit(1.0).alias("sigma")), 0)
     for k in count(1) if most is None else range(1, most + 1):
-        step = front.join(links, front["node"] == links["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
-        front = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(k).alias("dist"), "sigma"))
-        if front.limit(1).count() == 0:
-            break
-        seen = cut(seen.unionByName(front))
-    return seen
+        if k == 1:
+            front = links.join(sources.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("src").alias("source"), F.col("dst").alias("node"), F.lit(1.0).alias("sigma"))
+        else:
+            step = seen.where(F.col("dist") == k - 1).repartition("source").join(inner, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
+            front = step.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        seen = steps.add(front, k)
+        if seen.where(F.col("dist") == k).limit(1).count() == 0:
+            return seen.select("source", "node", "dist", "sigma"), k - 1
+    return seen.select("source", "node", "dist", "sigma"), most
 
 
 #: Bytes that one (source, node) row of a search takes while it is joined, about.
@@ -106,41 +123,49 @@ def path_measures(e: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Node, betweenness, reached (nodes that reach it), far (the sum of their distances), cycle (the hops of the shortest cycle
     through it, null without one; a transfer to oneself is none).
 
-    Sources are searched in blocks, so that no more than `most_rows` pairs of a source and a node are alive at once (by default what the
-    executors' memory allows), whatever the number of nodes. In a block, levels of a breadth-first search count shortest paths, then
-    dependencies flow back level by level from the farthest nodes; both are summed by node and the pairs are dropped. All nodes are sources."""
+    Sources are searched in blocks, so that about `most_rows` pairs of a source and a node that it reaches are alive at once (by default what the
+    executors' memory allows), whatever the number of nodes. No source reaches more than the nodes that links lead to, and one without
+    links reaches none, so the first block is dealt by that; later ones by what the sources before them have reached. In a block, levels of a breadth-first
+    search count shortest paths, then dependencies flow back level by level from the farthest nodes; both are summed by node and the pairs are dropped. All nodes are sources."""
     nodes = cut(nodes_of(e))
     links = cut(e.where("src <> dst").select("src", "dst").distinct())
-    n = nodes.count()
-    blocks = max(1, -(-n * n // (most_rows or block_rows(e))))
+    inner = _inner(links)
+    n, most_rows = nodes.count(), most_rows or block_rows(e)
+    starts = cut(links.select(F.col("src").alias("node")).distinct())
+    pairs = starts.count() * (1 + links.select("dst").distinct().count())
     sums = nodes.select("node", F.lit(0.0).alias("delta"), F.lit(0).cast("long").alias("reached"), F.lit(0).cast("long").alias("far"), F.lit(None).cast("int").alias("cycle"))
-    for k in range(blocks):
-        found = cut(distances(links, nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k)))
+    whole = 1 << 30
+    at, width, held = 0, max(1, min(whole, whole * most_rows // max(1, pairs))), 0
+    while at < whole:
+        place = F.pmod(F.xxhash64("node"), F.lit(whole))
+        found, depth = _search(links, inner, starts.where((place >= at) & (place < at + width)))
         parts = [
-            dependencies(links, found).select("node", "delta"), found.where("dist > 0").groupBy("node").agg(F.count("*").alias("reached"), F.sum("dist").cast("long").alias("far")),
-            found.join(links, (F.col("node") == F.col("src")) & (F.col("source") == F.col("dst"))).groupBy(F.col("source").alias("node")).agg((F.min("dist") + 1).alias("cycle")),
+            _dependencies(inner, found, depth), found.where("dist > 0").groupBy("node").agg(F.count("*").alias("reached"), F.sum("dist").cast("long").alias("far")),
+            found.join(inner, (F.col("node") == F.col("src")) & (F.col("source") == F.col("dst"))).groupBy(F.col("source").alias("node")).agg((F.min("dist") + 1).alias("cycle")),
         ]
         for own in parts:
             sums = sums.unionByName(own, allowMissingColumns=True)
         sums = cut(sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("delta", "reached", "far")), F.min("cycle").alias("cycle")))
+        at, held = at + width, held + found.count()
+        width = max(1, min(whole - at, most_rows * at // max(1, held)))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return sums.select("node", (F.col("delta") * scale).alias("betweenness"), "reached", "far", "cycle")
 
 
-def dependencies(links: DataFrame, found: DataFrame) -> DataFrame:
-    """node, delta: the summed dependencies on each node of the sources in `found` (source, node, dist, sigma)."""
-    a, w = found.toDF("source", "v", "dv", "sv"), found.toDF("source", "w", "dw", "sw")
-    # edges on shortest paths: v before w
-    on_path = links.join(a, F.col("src") == F.col("v")).join(w, (F.col("dst") == F.col("w")) & (a["source"] == w["source"]) & (F.col("dw") == F.col("dv") + 1))
-    on_path = cut(on_path.select(a["source"], "v", "w", "dw", (F.col("sv") / F.col("sw")).alias("share")))
-    depth = on_path.agg(F.max("dw")).first()[0] or 0
+def _dependencies(inner: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """node, delta: the summed dependencies on each node of the sources in `found` (source, node, dist, sigma), which ends after `depth` steps.
+
+    A node's share goes to those before it, which are inner nodes, for nothing is asked of the sources themselves. What a node is due is
+    summed before its own number of paths is looked up."""
     level, total = None, None
-    for k in range(depth, 0, -1):
-        step = on_path.where(F.col("dw") == k)
-        step = step.withColumn("delta", F.lit(0.0)) if level is None else step.join(level, ["source", "w"], "left").fillna(0.0, ["delta"])
+    for k in range(depth, 1, -1):
+        far = found.where(F.col("dist") == k).select("source", "node", "sigma")
+        far = far.withColumn("delta", F.lit(0.0)) if level is None else far.join(level, ["source", "node"], "left").fillna(0.0, ["delta"])
+        due = far.select("source", "node", ((1 + F.col("delta")) / F.col("sigma")).alias("due")).repartition("source")
+        due = due.join(inner, F.col("node") == F.col("dst")).groupBy("source", F.col("src").alias("node")).agg(F.sum("due").alias("due"))
         # a node's level is fixed, so what the nodes of one level have is whole after it, and is all that the next one needs
-        level = cut(step.groupBy("source", "v").agg(F.sum(F.col("share") * (1 + F.col("delta"))).alias("delta")).withColumnRenamed("v", "w"))
-        own = level.where("source <> w").groupBy(F.col("w").alias("node")).agg(F.sum("delta").alias("delta"))
+        level = cut(found.where(F.col("dist") == k - 1).join(due, ["source", "node"]).select("source", "node", (F.col("sigma") * F.col("due")).alias("delta")))
+        own = level.groupBy("node").agg(F.sum("delta").alias("delta"))
         total = own if total is None else total.unionByName(own)
     if total is None:
         return found.select("node", F.lit(0.0).alias("delta")).limit(0)

@@ -270,3 +270,13 @@ def test_verdict_hubs_and_risk(spark):
     features = {r["transaction_id"]: r for r in G.network_features(t, m.join(G.clustering(e), "node")).collect()}
     assert features[4]["degree"] == 12 and features[4]["hub"] and features[5]["degree"] == 0 and features[1]["clustering"] == 1.0
     assert {r["transaction_id"]: r["community_size"] for r in G.community_sizes(t, community).collect()} == {1: 3, 2: 3, 3: 3, 4: 3, 5: 0}
+
+
+def test_search_needs_no_block_for_pairs_that_cannot_be(spark, monkeypatch):
+    """Many senders and few receivers: what is alive at once is what sources reach, not the square of the nodes."""
+    pairs = [(100 + k, k % 7) for k in range(400)] + [(k, (k + 1) % 7) for k in range(7)]
+    runs = []
+    search = G._search
+    monkeypatch.setattr(G, "_search", lambda *a: runs.append(1) or search(*a))
+    got = {r["node"]: (round(r["betweenness"], 9), r["reached"], r["far"], r["cycle"]) for r in G.path_measures(graph(spark, pairs), 4_000).collect()}
+    assert got == searched(pairs) and len(runs) == 1
