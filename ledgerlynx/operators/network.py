@@ -396,11 +396,16 @@ def flow_statistics(e: DataFrame) -> DataFrame:
 
 
 def clustering(e: DataFrame) -> DataFrame:
-    """Undirected local coefficient; triangles by joining edges from their smaller end."""
-    u = cut(e.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
-    degree = u.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    two = u.join(u.select("a", F.col("b").alias("c")), "a").where("b < c")
-    tri = two.join(u.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
+    """Undirected local coefficient. Edges point from the end of the smaller degree (ties by node) to the other, so that no node has more than
+    the root of twice the edges of them, however many neighbours it has; two edges from one node are closed by an edge between their ends."""
+    pairs = cut(e.where("src <> dst").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct())
+    degree = cut(pairs.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("d")))
+    known = pairs.join(degree.toDF("x", "dx"), "x").join(degree.toDF("y", "dy"), "y")
+    ends = F.array_sort(F.array(F.struct(F.col("dx").alias("d"), F.col("x").alias("node")), F.struct(F.col("dy").alias("d"), F.col("y").alias("node"))))
+    u = cut(known.select(ends[0]["node"].alias("a"), ends[1].alias("b")))
+    two = u.join(u.select("a", F.col("b").alias("c")), "a").where("b < c").select("a", F.col("b.node").alias("b"), F.col("c.node").alias("c"))
+    closing = cut(u.select(F.col("a").alias("b"), F.col("b.node").alias("c")).join(u.select("b.node").toDF("b").distinct(), "b", "left_semi"))
+    tri = two.join(closing, ["b", "c"]).select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
     return nodes_of(e).join(degree, "node", "left").join(tri, "node", "left").select("node", F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
 
 

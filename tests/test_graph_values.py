@@ -280,3 +280,15 @@ def test_search_needs_no_block_for_pairs_that_cannot_be(spark, monkeypatch):
     monkeypatch.setattr(G, "_search", lambda *a: runs.append(1) or search(*a))
     got = {r["node"]: (round(r["betweenness"], 9), r["reached"], r["far"], r["cycle"]) for r in G.path_measures(graph(spark, pairs), 4_000).collect()}
     assert got == searched(pairs) and len(runs) == 1
+
+
+def test_triangles_of_a_node_with_many_neighbours(spark, monkeypatch):
+    """The smallest node has 2,000 neighbours, whose pairs are 2,000,000; only pairs of edges that leave a node of smaller degree are made."""
+    pairs = [(0, k) for k in range(1, 2001)] + [(k, k + 1) for k in range(1, 2000, 2)]
+    made = []
+    monkeypatch.setattr(G, "cut", lambda df: made.append(df) or df.localCheckpoint())
+    e = graph(spark, pairs)
+    got = {r["node"]: r["clustering"] for r in G.clustering(e).collect()}
+    assert got[0] == pytest.approx(2 * 1000 / (2000 * 1999)) and all(got[k] == 1.0 for k in range(1, 2001))
+    u = next(d for d in made if d.columns == ["a", "b"])
+    assert u.groupBy("a").count().agg(F.max("count")).first()[0] <= 2
