@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -274,11 +276,15 @@ def trend(feedback: DataFrame, order: str, rows: int = 50) -> DataFrame:
 
 
 def adaptive_threshold(feedback: DataFrame, order: str, start: float = 0.5) -> DataFrame:
-    """A running product of factors that depend on running counts alone."""
+    """A running product of factors that depend on running counts alone. The product is held as counts of its two factors and by its logarithm
+    (`log_threshold`), which no number of rows takes out of range; `threshold` may leave it."""
     out = running(feedback, order, _of_class("TP", "FP", "FN"))
     enough = F.col("tp") + F.col("fp") + F.col("fn") >= 10
-    factor = F.when(enough & (2 * F.col("tp") < F.col("tp") + F.col("fp")), 1.1).when(enough & (2 * F.col("tp") < F.col("tp") + F.col("fn")), 0.9).otherwise(1.0)
-    return running(out.withColumn("factor", factor), order, {"logs": F.ln("factor")}).withColumn("threshold", start * F.exp("logs")).drop("logs")
+    up = enough & (2 * F.col("tp") < F.col("tp") + F.col("fp"))
+    down = enough & ~up & (2 * F.col("tp") < F.col("tp") + F.col("fn"))
+    out = running(out, order, {"_ups": up.cast("long"), "_downs": down.cast("long")})
+    out = out.withColumn("log_threshold", F.lit(math.log(start)) + F.col("_ups") * F.lit(math.log(1.1)) + F.col("_downs") * F.lit(math.log(0.9)))
+    return out.withColumn("threshold", F.exp("log_threshold")).drop("_ups", "_downs")
 
 
 def threshold_statistics(history: DataFrame, feedback: DataFrame, order: str = "ts", window: int = 1000) -> DataFrame:

@@ -289,9 +289,9 @@ def b5(spark, sf):
 
 @query("b6_adaptive_threshold", "", _FEEDBACK + """, w AS (SELECT doc_id, count(*) FILTER (class = 'TP') OVER u AS tp, count(*) FILTER (class = 'FP') OVER u AS fp, count(*) FILTER (class = 'FN') OVER u AS fn FROM fc WINDOW u AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT doc_id, CASE WHEN tp + fp + fn >= 10 AND 2 * tp < tp + fp THEN 1.1 WHEN tp + fp + fn >= 10 AND 2 * tp < tp + fn THEN 0.9 ELSE 1 END::DOUBLE AS factor FROM w)
-SELECT doc_id, round(ln(0.5::DOUBLE) + sum(ln(factor)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 6) AS log_threshold FROM f""")
+SELECT doc_id, round(ln(0.5::DOUBLE) + count(*) FILTER (factor > 1) OVER u * ln(1.1::DOUBLE) + count(*) FILTER (factor < 1) OVER u * ln(0.9::DOUBLE), 6) AS log_threshold FROM f WINDOW u AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)""")
 def b6(spark, sf):
-    return C.adaptive_threshold(feedback(spark, sf), "doc_id").select("doc_id", F.round(F.ln("threshold"), 6).alias("log_threshold"))
+    return C.adaptive_threshold(feedback(spark, sf), "doc_id").select("doc_id", F.round("log_threshold", 6).alias("log_threshold"))
 
 
 @query("x1_importance", "txn", _CONSOLIDATED + """, w AS (SELECT transaction_id, CASE finding WHEN 'large_amount' THEN 'transaction_amount' ELSE 'country_risk' END AS feature, sum(risk_score) AS weight FROM results WHERE suspicious AND finding <> 'basic_rule' GROUP BY 1, 2)

@@ -155,3 +155,12 @@ def test_registry(spark):
     r.unregister("broken")
     assert {x["detector"] for x in r.run(t).collect()} == {"small", "last"} and r.failures == {}
     assert Registry().run(t) is None
+
+
+def test_adaptive_threshold_stays_in_range(spark):
+    """After 8,000 false alarms the product is beyond a double; its logarithm is not."""
+    from math import log
+
+    rows = spark.range(8_000).select(F.col("id").alias("doc_id"), F.lit("FP").alias("class"))
+    got = {r["doc_id"]: r["log_threshold"] for r in cases.adaptive_threshold(rows, "doc_id").where("doc_id IN (8, 9, 7999)").collect()}
+    assert got == pytest.approx({8: log(0.5), 9: log(0.5) + log(1.1), 7999: log(0.5) + 7991 * log(1.1)})
