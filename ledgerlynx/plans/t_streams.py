@@ -83,6 +83,10 @@ def s5(spark, sf):
     return ran(spark, stateful.layering_sequence(moving(spark, sf), withdrawals=("crypto",)))
 
 
+#: Where the invented time of feedback starts, in seconds. Spark's first watermark is 1970, and what is not after it is late.
+START = 1_704_067_200
+
+
 # feedback has no time: a minute passes between the ids of documents; a segment is a seventh of them
 @query("s7_thresholds_stream", "", _FEEDBACK + f""", o AS (SELECT doc_id, doc_id % 7 AS segment, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS place, CASE class WHEN 'FP' THEN 1 WHEN 'FN' THEN -1 ELSE 0 END AS s,
   len(list_filter(patterns, lambda p: contains(p, 'structuring'))) AS a, len(list_filter(patterns, lambda p: contains(p, 'high_value') AND NOT contains(p, 'structuring'))) AS b FROM fc),
@@ -90,7 +94,7 @@ f AS (SELECT segment, 0::BIGINT AS place, -1::BIGINT AS doc_id, 9500::DOUBLE AS
   SELECT o.segment, o.place, o.doc_id, {_STEP.format('f.structuring', 50, 'a', 9000, '1e18')}, {_STEP.format('f.high_value', 500, 'b', 5000, '1e18')}, {_STEP.format('f.anomaly', 0.02, 1, 0.5, 0.95)} FROM f JOIN o ON o.segment = f.segment AND o.place = f.place + 1)
 SELECT segment, doc_id, structuring, high_value, round(anomaly, 6) AS anomaly FROM f WHERE place > 0 AND doc_id <= (SELECT max(doc_id) - 60 FROM labels)""", recursive=True)
 def s7(spark, sf):
-    rows = feedback(spark, sf, stream(spark, sf, "labels")).withColumns({"segment": F.col("doc_id") % 7, "ts": F.timestamp_seconds(F.col("doc_id") * 60), "place": F.col("doc_id")})
+    rows = feedback(spark, sf, stream(spark, sf, "labels")).withColumns({"segment": F.col("doc_id") % 7, "ts": F.timestamp_seconds(START + F.col("doc_id") * 60), "place": F.col("doc_id")})
     out = ran(spark, stateful.feedback_thresholds(rows, {"structuring": 9500.0, "high_value": 10000.0, "anomaly": 0.7}))
     return out.select("segment", F.col("place").alias("doc_id"), "structuring", "high_value", F.round("anomaly", 6).alias("anomaly"))
 

@@ -164,3 +164,12 @@ def test_adaptive_threshold_stays_in_range(spark):
     rows = spark.range(8_000).select(F.col("id").alias("doc_id"), F.lit("FP").alias("class"))
     got = {r["doc_id"]: r["log_threshold"] for r in cases.adaptive_threshold(rows, "doc_id").where("doc_id IN (8, 9, 7999)").collect()}
     assert got == pytest.approx({8: log(0.5), 9: log(0.5) + log(1.1), 7999: log(0.5) + 7991 * log(1.1)})
+
+
+def test_first_feedback_is_not_late(spark, tmp_path):
+    """Document 0 is the first row of its stream and counts, like all others."""
+    from ledgerlynx.plans import QUERIES
+
+    spark.createDataFrame([(k, 1, 0) for k in (0, 7, 14, 100)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(r["doc_id"] for r in QUERIES["s7_thresholds_stream"](spark, str(tmp_path)).collect())
+    assert got == [0, 7, 14]
