@@ -96,3 +96,15 @@ def test_windows_of_a_day_and_live_figures(spark):
     assert [(r["n"], r["alerts"]) for r in live] == [(24, 12), (1, 0)] and abs(live[0]["risk"] - 0.5) < 1e-9
     alerts = spark.createDataFrame([(3, datetime(2024, 1, 1, 10, 40)), (4, datetime(2024, 1, 1, 13))], "alert_transaction_id long, alert_ts timestamp")
     assert [r["transaction_id"] for r in streaming.with_alerts(t, alerts).collect()] == [3]
+
+
+def test_a_month_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(4_000).selectExpr("id AS transaction_id", "timestamp_seconds(1704067200 + id) AS ts", "id % 7 AS sender_id", "id % 5 AS receiver_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        sources.write_monthly(rows, str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(str(tmp_path / "m")).groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("a").collect()
+    assert sum(r["n"] for r in files) == 4_000 and max(r["n"] for r in files) < 2_000
+    assert all(x["b"] <= y["a"] for x, y in zip(files, files[1:], strict=False))
