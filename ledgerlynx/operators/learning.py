@@ -14,10 +14,12 @@ from .ordering import running
 
 
 def split(df: DataFrame, label: str, key: str, share: float = 0.8) -> DataFrame:
-    """M2: a stratified split by the rank of a hash within each label; the same rows at every run."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("part", F.when(F.row_number().over(order) <= F.floor(n * share), "train").otherwise("test"))
+    """M2: a stratified split by the rank of a hash within each label; the same rows at every run. Ranks are running counts over ranges, so a label
+    of very many rows is no single task; the rows are written once."""
+    ranked = running(df.withColumn("_order", F.struct(F.md5(F.col(key).cast("string")), F.col(key))), "_order", {"_place": F.lit(1)}, by=(label,))
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))  # one row a label
+    out = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label")))
+    return out.select(*df.columns, F.when(F.col("_place") <= F.floor(F.col("_n") * share), "train").otherwise("test").alias("part"))
 
 
 def assemble(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlynx.operators import learning as L
@@ -76,3 +77,22 @@ def test_partial_ratio(spark):
     rows = [("bin laden", "osama bin laden", 100.0), ("kim", "kam jong", 100 * 2 / 3), ("", "abc", 100.0), ("abc", "xyz", 0.0)]
     got = spark.createDataFrame(rows, "a string, b string, want double").withColumn("got", screening.partial_ratio(F.col("a"), F.col("b"))).collect()
     assert all(abs(r["got"] - r["want"]) < 1e-9 for r in got)
+
+
+def test_a_label_is_split_by_several_tasks(spark):
+    from hashlib import md5
+
+    from ledgerlynx.operators import ordering
+
+    ranges, dealt = ordering.ranges, []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(ordering, "ranges", lambda *a, **k: dealt.append(ranges(*a, **k)) or dealt[-1])
+            got = {(r["label"], r["id"]): r["part"] for r in L.split(spark.range(1_000).selectExpr("id", "IF(id % 10 = 0, 1, IF(id = 3, NULL, 0)) AS label"), "label", "id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for label, ids in ((1, range(0, 1_000, 10)), (0, [k for k in range(1_000) if k % 10 and k != 3]), (None, [3])):
+        order = sorted(ids, key=lambda k: md5(str(k).encode()).hexdigest())
+        assert all(got[label, k] == ("train" if place <= int(len(order) * 0.8) else "test") for place, k in enumerate(order, 1))
+    assert dealt and dealt[0].where("label = 0").groupBy("range").count().agg(F.max("count")).first()[0] < 500
