@@ -96,3 +96,11 @@ def test_a_label_is_split_by_several_tasks(spark):
         order = sorted(ids, key=lambda k: md5(str(k).encode()).hexdigest())
         assert all(got[label, k] == ("train" if place <= int(len(order) * 0.8) else "test") for place, k in enumerate(order, 1))
     assert dealt and dealt[0].where("label = 0").groupBy("range").count().agg(F.max("count")).first()[0] < 500
+
+
+def test_folds_count_equal_rows_once(spark, monkeypatch):
+    df = spark.range(4000).select("id", (F.col("id") % 6).cast("double").alias("a"), (F.col("id") % 12 >= 5).cast("int").alias("label"))
+    sizes, cut = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda d: sizes.append(d.count()) or cut(d))
+    got = {r["max_depth"]: r["auc"] for r in L.cross_validate(L.assemble(df, ["a"]), "label", "id", depths=(2,)).collect()}
+    assert sizes == [5 * 2 * 6 - 5] and 0.55 < got[2] < 0.7  # 9/14 of the pairs, but for the deal
