@@ -13,8 +13,13 @@ def swift_fields(message: Column) -> Column:
     tags = F.regexp_extract_all(message, F.lit(r"(?m)^:(\d{2}[A-Z]?):"), F.lit(1))
     values = F.regexp_extract_all(message, F.lit(r"(?ms)^:\d{2}[A-Z]?:(.*?)(?=^:\d{2}[A-Z]?:|\z)"), F.lit(1))
     pairs = F.arrays_zip(tags.alias("k"), F.transform(values, lambda v: F.regexp_replace(v, r"\s+$", "")).alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+
+    def last(found: Column) -> Column:
+        kept = F.filter(found, lambda p, i: ~F.exists(F.slice(found, i + 2, F.greatest(F.size(found) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
+        return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
+
+    # as the element of an array, so that each row's pairs are found once and not anew for each of them
+    return F.transform(F.array(pairs), last)[0]
 
 
 def parse_mt103(df: DataFrame, message: str) -> DataFrame:
