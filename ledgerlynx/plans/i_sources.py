@@ -9,6 +9,9 @@ from ..operators.registry import Detector, Registry
 from ..shared import shared_folder
 from .bindings import query, table, txn
 
+#: Rows of a written XML file. A file with one row tag is read by one task, however large it is.
+XML_ROWS = 100_000
+
 
 def scratch(spark) -> str:
     return f"{shared_folder(spark)}/io/{uuid.uuid4().hex}"
@@ -54,7 +57,7 @@ def io9(spark, sf):
 def io10(spark, sf):
     path, k = scratch(spark), F.col("p_partkey")
     rows = table(spark, sf, "part").select(k.alias("DATAID"), k.alias("REFERENCE_NUMBER"), F.col("p_brand").alias("FIRST_NAME"), F.when(k % 3 != 0, F.col("p_name")).alias("SECOND_NAME"), F.col("p_type").alias("FOURTH_NAME"))
-    rows.write.format("xml").option("rowTag", "INDIVIDUAL").option("rootTag", "INDIVIDUALS").save(path)
+    rows.write.format("xml").option("maxRecordsPerFile", XML_ROWS).option("rowTag", "INDIVIDUAL").option("rootTag", "INDIVIDUALS").save(path)
     return IO.un_xml(spark, path)
 
 
@@ -64,7 +67,7 @@ def io11(spark, sf):
     path, k = scratch(spark), F.col("p_partkey")
     alias = F.struct(F.col("p_name").alias("_wholeName"), F.col("p_brand").alias("_firstName"), F.when(k % 3 != 0, F.col("p_type")).alias("_lastName"))
     rows = table(spark, sf, "part").select(k.cast("string").alias("_euReferenceNumber"), F.array(alias).alias("nameAlias"))
-    rows.write.format("xml").option("rowTag", "sanctionEntity").option("rootTag", "export").save(path)
+    rows.write.format("xml").option("maxRecordsPerFile", XML_ROWS).option("rowTag", "sanctionEntity").option("rootTag", "export").save(path)
     return IO.eu_xml(spark, path)
 
 

@@ -108,3 +108,13 @@ def test_a_month_is_written_by_several_tasks(spark, tmp_path):
     files = spark.read.parquet(str(tmp_path / "m")).groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("a").collect()
     assert sum(r["n"] for r in files) == 4_000 and max(r["n"] for r in files) < 2_000
     assert all(x["b"] <= y["a"] for x, y in zip(files, files[1:], strict=False))
+
+
+def test_lists_in_xml_are_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    from ledgerlynx.plans import i_sources
+
+    spark.range(250).selectExpr("id AS p_partkey", "concat('Name ', id) AS p_name", "concat('Type ', id) AS p_type", "concat('Brand ', id) AS p_brand").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(i_sources, "XML_ROWS", 50, raising=False)
+    for made, n in ((i_sources.io10, 250), (i_sources.io11, 250 + 166)):
+        found = made(spark, str(tmp_path))
+        assert found.count() == n and len(found.inputFiles()) == 5
