@@ -429,7 +429,8 @@ def communities(e: DataFrame, rounds: int = 30, levels: int = 12, passes: int =
     fewer after a round that lowered the modularity, because two neighbours that move at once may both be wrong. The
     best labels of a level are the ones that count, so the result is never below that of the singletons. Ties go to the smallest community.
     The modularity of each round's labels falls out of the sums that the next moves need."""
-    both = e.where("src <> dst").select("src", "dst", "weight").union(e.where("src <> dst").select("dst", "src", "weight"))
+    e = cut(e.select("src", "dst", "weight"))  # read four times
+    both = e.where("src <> dst").union(e.where("src <> dst").select("dst", "src", "weight"))
     graph = cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
     m2 = graph.agg(F.sum("w")).first()[0]
     whole = cut(nodes_of(e).withColumn("c", F.col("node")))
@@ -456,22 +457,22 @@ def communities(e: DataFrame, rounds: int = 30, levels: int = 12, passes: int =
 
 
 def _best_moves(graph: DataFrame, m2: float, rounds: int, start: DataFrame | None) -> tuple[DataFrame, float]:
-    """(node, c) of the best labels met from `start` on (by default each node's own), and their modularity. graph: src, dst, w in both directions, with loops."""
+    """(node, c) of the best labels met from `start` on (by default each node's own), and their modularity. graph: src, dst, w in both directions, with loops.
+    A round moves its links twice, to the labels of their ends and to the nodes that may move; sums of communities and of nodes travel with them."""
     label = graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
     label = cut(label.withColumn("c", F.col("node")) if start is None else label.join(start.select("node", "c"), "node"))
     loops = graph.where("src = dst").agg(F.sum("w")).first()[0] or 0.0
-    links = graph.where("src <> dst")
+    links = cut(graph.where("src <> dst").join(label.select(F.col("node").alias("src"), "k"), "src").select("src", "dst", "w", "k"))
     best, best_quality, deal, last = None, None, 2, None
     for r in range(rounds + 1):
-        total = label.groupBy("c").agg(F.sum("k").alias("total"))
-        own = label.select("node", "k", F.col("c").alias("own"))
-        to = links.join(label.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c", "w").unionByName(label.select("node", "c", F.lit(0.0).alias("w")))
-        to = to.groupBy("node", "c").agg(F.sum("w").alias("w")).join(own, "node").join(total, "c")
-        stays = F.col("c") == F.col("own")
-        to = to.withColumn("gain", F.col("w") - F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / m2)
+        known = label.join(label.groupBy("c").agg(F.sum("k").alias("total")), "c")
+        near = links.join(known.select(F.col("node").alias("dst"), "c", "total"), "dst").select(F.col("src").alias("node"), "k", "c", "total", "w", F.lit(False).alias("stays"))
+        to = near.unionByName(known.select("node", "k", "c", "total", F.lit(0.0).alias("w"), F.lit(True).alias("stays"))).repartition("node")
+        to = to.groupBy("node", "c").agg(F.sum("w").alias("w"), F.max("stays").alias("stays"), F.first("k").alias("k"), F.first("total").alias("total"))
+        to = to.withColumn("gain", F.col("w") - F.col("k") * (F.col("total") - F.when(F.col("stays"), F.col("k")).otherwise(0.0)) / m2)
         found = to.groupBy("node").agg(
-            F.first("k").alias("k"), F.first("own").alias("own"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("to"), F.max("gain").alias("gain"),
-            *(F.max(F.when(stays, F.col(c))).alias(n) for c, n in (("gain", "stay"), ("w", "inside"), ("total", "around"))),
+            F.first("k").alias("k"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("to"), F.max("gain").alias("gain"),
+            *(F.max(F.when(F.col("stays"), F.col(c))).alias(n) for c, n in (("c", "own"), ("gain", "stay"), ("w", "inside"), ("total", "around"))),
         )
         found = cut(found.withColumn("wants", F.col("gain") > F.col("stay") + 1e-9 * m2))
         sums = found.agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("around")).alias("squares"), F.count_if("wants").alias("wants")).first()

@@ -292,3 +292,16 @@ def test_triangles_of_a_node_with_many_neighbours(spark, monkeypatch):
     assert got[0] == pytest.approx(2 * 1000 / (2000 * 1999)) and all(got[k] == 1.0 for k in range(1, 2001))
     u = next(d for d in made if d.columns == ["a", "b"])
     assert u.groupBy("a").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_communities_read_the_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(w):
+        read.add(1)
+        return w
+
+    pairs = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (0, 3)]
+    got = {r["node"]: r["community"] for r in G.communities(graph(spark, pairs).coalesce(1).withColumn("weight", seen("weight")), rounds=4, levels=1, passes=1).collect()}
+    assert len(got) == 6 and read.value == len(pairs)
