@@ -180,13 +180,39 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
-def _sums(x: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+def quantiles(x: DataFrame, values: list[Column], share: float, weight: Column | None = None, bins: int = 1024) -> list[float | None]:
+    """Of each value the least one that at least the share of all weight does not exceed, exactly; None without rows.
+
+    The range that holds it is cut into bins, whose sums tell the one to go on with, until that holds a single value: some aggregates of at
+    most `bins` rows a value, however many rows there are. What is not finite counts as 1e300 (NaN too) or -1e300."""
+    v = F.least(F.greatest(F.col("v"), F.lit(-1e300)), F.lit(1e300))
+    long = x.select((F.lit(1) if weight is None else weight).alias("w"), F.posexplode(F.array(*values)).alias("i", "v")).where("v IS NOT NULL").withColumn("v", v)
+    per = [F.sum("w").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")]
+    at = {r["i"]: [r["low"], r["high"], max(1, int(np.ceil(share * r["n"])))] for r in long.groupBy("i").agg(*per).collect()}
+    while wide := [i for i, (low, high, _) in at.items() if low < high]:
+        low, high = (F.element_at(F.array(*(F.lit(float(at[i][k]) if i in wide else 0.0) for i in range(len(values)))), F.col("i") + 1) for k in (0, 1))
+        inside = long.where(F.col("i").isin(wide) & F.col("v").between(low, high))
+        place = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
+        found = inside.groupBy("i", place.alias("bin")).agg(*per).orderBy("bin").collect()
+        for i in wide:
+            left = at[i][2]
+            for r in (r for r in found if r["i"] == i):
+                if r["n"] >= left:
+                    at[i] = [r["low"], r["high"], left]
+                    break
+                left -= r["n"]
+    return [at[i][0] if i in at else None for i in range(len(values))]
+
+
+def _sums(x: DataFrame, width: int, weight: Column | None = None) -> tuple[int, np.ndarray, np.ndarray]:
     """How many rows, their mean and their covariance, from one aggregate of width squared sums."""
-    one, two = [F.sum(F.col("x")[i]) for i in range(width)], [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(width) for j in range(i + 1)]
-    got = x.agg(F.count("*"), *one, *two).first()
-    n, mean = got[0], np.array(got[1 : 1 + width], float) / max(1, got[0])
+    w = F.lit(1) if weight is None else weight
+    one, two = [F.sum(w * F.col("x")[i]) for i in range(width)], [F.sum(w * F.col("x")[i] * F.col("x")[j]) for i in range(width) for j in range(i + 1)]
+    got = x.agg(F.sum(w), *one, *two).first()
+    n, one, two = got[0] or 0, got[1 : 1 + width], got[1 + width :]
+    mean = np.array(one, float) / max(1, n)
     scatter = np.zeros((width, width))
-    scatter[np.tril_indices(width)] = np.array(got[1 + width :], float) / max(1, n)
+    scatter[np.tril_indices(width)] = np.array(two, float) / max(1, n)
     scatter = scatter + np.tril(scatter, -1).T - np.outer(mean, mean)
     return n, mean, scatter
 
@@ -202,25 +228,26 @@ def _distance(mean: np.ndarray, scatter: np.ndarray, floor: float) -> tuple[Colu
     return sum(terms, F.lit(0.0)), float(np.log(values).sum())
 
 
-def robust_scatter(x: DataFrame, width: int, share: float = 0.5, steps: int = 20) -> tuple[np.ndarray, np.ndarray, Column]:
+def robust_scatter(x: DataFrame, width: int, share: float = 0.5, steps: int = 20, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, Column]:
     """M5: centre, scatter and squared distance by the minimum covariance determinant of the array column x, over all rows.
 
     A concentration step takes the mean and covariance of the `share` of rows that are nearest by the last ones; it never raises the
     determinant, and steps go on until that stands still. They start from medians and median deviations, and from the mean and covariance of
     all rows; the smaller determinant counts. Each step is one quantile and one aggregate of width squared sums. The scatter is scaled so that
-    the median distance is that of a normal distribution. A covariance without variance in some direction is kept above a floor."""
-    n, mean, scatter = _sums(x, width)
+    the median distance is that of a normal distribution. A covariance without variance in some direction is kept above a floor.
+    weight: how many rows a row stands for."""
+    n, mean, scatter = _sums(x, width, weight)
     floor = max(1e-12, 1e-6 * float(np.trace(scatter)) / max(1, width))
-    middle = np.array(x.agg(*(F.percentile_approx(F.col("x")[i], 0.5, 10_000) for i in range(width))).first(), float)
-    spread = np.array(x.agg(*(F.percentile_approx(F.abs(F.col("x")[i] - float(middle[i])), 0.5, 10_000) for i in range(width))).first(), float)
+    middle = np.array(quantiles(x, [F.col("x")[i] for i in range(width)], 0.5, weight), float)
+    spread = np.array(quantiles(x, [F.abs(F.col("x")[i] - float(middle[i])) for i in range(width)], 0.5, weight), float)
     starts = [(middle, np.diag(np.maximum((1.4826 * spread) ** 2, floor))), (mean, scatter)]
     best = None
     for centre, shape in starts:
         last = None
         for _ in range(steps):
             d, _ = _distance(centre, shape, floor)
-            near = x.agg(F.percentile_approx(d, max(share, min(1.0, (n + width + 1) / (2 * n))), 100_000)).first()[0]
-            _, centre, shape = _sums(x.where(d <= near), width)
+            near = quantiles(x, [d], max(share, min(1.0, (n + width + 1) / (2 * n))), weight)[0]
+            _, centre, shape = _sums(x.where(d <= near), width, weight)
             _, size = _distance(centre, shape, floor)
             if last is not None and last - size < 1e-9:
                 break
@@ -230,7 +257,7 @@ def robust_scatter(x: DataFrame, width: int, share: float = 0.5, steps: int = 20
     _, centre, shape = best
     d, _ = _distance(centre, shape, floor)
     normal = width * (1 - 2 / (9 * width)) ** 3  # the median of chi-square, by the cube-root approximation
-    scale = x.agg(F.percentile_approx(d, 0.5, 100_000)).first()[0] / normal
+    scale = quantiles(x, [d], 0.5, weight)[0] / normal
     if not scale > 0:
         scale = 1.0
     return centre, shape * scale, d / scale
@@ -238,14 +265,17 @@ def robust_scatter(x: DataFrame, width: int, share: float = 0.5, steps: int = 20
 
 def outliers(df: DataFrame, key: str, reduced: str = "reduced", contamination: float = 0.05) -> DataFrame:
     """M5: df: principal components. Isolation forest and distance from a robust centre; either one makes an outlier.
-    Both cuts are quantiles over all rows. Equal rows get equal scores."""
+    Both cuts are quantiles over all rows. Equal rows get equal scores, so they are one point with their number as weight, and the points are
+    read again and again in place of the rows."""
     from pyspark.ml.functions import vector_to_array
 
     x = cut(df.withColumn("x", vector_to_array(reduced)))
-    width = len((x.select("x").first() or [[]])[0])
-    distance = robust_scatter(x, width)[2] if width else F.lit(0.0)
-    scored = cut(x.withColumn("distance", distance).withColumn("isolation", isolation(x, key)("x")))
-    cuts = scored.agg(*(F.percentile_approx(c, 1 - contamination, 100_000).alias(c) for c in ("isolation", "distance"))).first()
+    points = cut(x.groupBy("x").agg(F.count("*").alias("_n")))
+    width, n = len((x.select("x").first() or [[]])[0]), F.col("_n")
+    distance = robust_scatter(points, width, weight=n)[2] if width else F.lit(0.0)
+    points = cut(points.withColumn("distance", distance).withColumn("isolation", isolation(x, key)("x")))
+    cuts = dict(zip(("isolation", "distance"), quantiles(points, [F.col("isolation"), F.col("distance")], 1 - contamination, n), strict=True))
+    scored = x.join(points.drop("_n"), "x")
     votes = [F.col(c) > F.lit(cuts[c]) for c in ("isolation", "distance")]
     n = votes[0].cast("int") + votes[1].cast("int")
     return scored.drop("x").withColumns({"votes": n, "is_anomaly": n >= 1, "confidence": n / 2, "anomaly_score": (F.col("isolation") + F.when(votes[1], 0.8).otherwise(0.2)) / 2})
@@ -257,11 +287,9 @@ def isolation(x: DataFrame, key: str, trees: int = 100, sample: int = 256):
     A tree is grown from about `sample` rows drawn by a hash of the key and the tree, as the method asks; trees grow in
     tasks of their own. The forest has at most 2 * trees * sample nodes and is broadcast."""
     rate = min(1.0, sample / max(x.count(), 1))
-
-    def drawn(t):
-        return F.pmod(F.xxhash64(F.col(key), t), F.lit(1 << 30)) < int(rate * (1 << 30))
-
-    rows = x.select("x", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)).alias("tree"))
+    forest = x.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"))
+    drawn = F.pmod(F.xxhash64(F.col(key), F.col("tree")), F.lit(1 << 30)) < int(rate * (1 << 30))
+    rows = x.select("x", key).join(F.broadcast(forest), drawn).select("x", "tree")  # one row a tree is broadcast
 
     def grown(own: pd.DataFrame) -> pd.DataFrame:
         points, rng, nodes = np.array(own["x"].tolist()), np.random.default_rng(int(own["tree"].iloc[0])), []

@@ -24,6 +24,29 @@ def test_outliers_find_planted_rows_and_few_others(spark):
     assert min(got[k]["isolation"] for k in (1000, 1001, 1002)) > max(r["isolation"] for k, r in got.items() if k < 1000)
 
 
+def test_equal_rows_are_one_point_with_their_number_as_weight(spark, monkeypatch):
+    rows = spark.range(1200).select("id", F.sin(F.col("id") % 40).alias("a"), F.cos(F.col("id") % 40 * 3).alias("b")).where("id % 40 < 20 OR id < 600")
+    seen, scatter = [], L.robust_scatter
+    monkeypatch.setattr(L, "robust_scatter", lambda x, *a, **k: seen.append(x.count()) or scatter(x, *a, **k))
+    out = L.outliers(L.reducer(rows, ["a", "b"]).transform(rows), "id")
+    assert seen == [40] and out.count() == rows.count() == 900
+    x = rows.select(F.array("a", "b").alias("x"))
+    points = x.groupBy("x").agg(F.count("*").alias("n"))
+    whole, weighted = scatter(x, 2), scatter(points, 2, weight=F.col("n"))
+    assert abs(whole[0] - weighted[0]).max() < 1e-9 and abs(whole[1] - weighted[1]).max() < 1e-9
+
+
+def test_quantiles_are_exact(spark):
+    values = [(float(v), k % 4) for k, v in enumerate([*range(50), *[7.5] * 30, 1e18, -1e12, 3e-300])]
+    x = spark.createDataFrame(values, "a double, n int").repartition(3)
+    long = sorted(v for v, n in values for _ in range(n))
+    for share in (0.0, 0.77):
+        place = max(1, -int(-share * len(long) // 1)) - 1
+        want = [long[place], sorted(abs(v) for v in long)[place]]
+        assert L.quantiles(x, [F.col("a"), F.abs("a")], share, F.col("n"), bins=64) == want
+    assert L.quantiles(x.where("a > 1e30"), [F.col("a")], 0.5) == [None]
+
+
 def test_components_are_scaled_and_survive_saving(spark, tmp_path):
     df = points(spark)
     model = L.reducer(df, ["b", "a"])
