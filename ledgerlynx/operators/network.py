@@ -4,6 +4,7 @@ nothing changes, other loops a given number of rounds; each round is checkpointe
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -306,21 +307,32 @@ def return_legs(chains: DataFrame, txns: DataFrame, hours: int = 48, tolerance:
     return_id, return_ts, return_amount. Amounts that are not positive return nothing.
 
     A join over two ranges: rows meet by the pair of nodes, a bucket of time and a bin of the logarithm of the amount, and a chain asks
-    the neighbouring ones too, so that a pair with very many transfers is not multiplied with itself."""
-    span, width = hours * 3_600_000_000, -math.log1p(-tolerance)
+    the bins that its range of amounts touches, so that a pair with very many transfers is not multiplied with itself. A bin is four times as wide as
+    the tolerance, so most chains ask one or two."""
+    span, width = hours * 3_600_000_000, -4 * math.log1p(-tolerance)
     bucket = lambda c: F.floor(F.unix_micros(c) / span)
     amount = lambda c: F.col(c).cast("double")
     legs = txns.where("amount > 0 AND sender_id <> receiver_id").select(
         F.col("sender_id").alias("last"), F.col("receiver_id").alias("start"), F.col("transaction_id").alias("return_id"), F.col("ts").alias("return_ts"), F.col("amount").alias("return_amount"),
         bucket("ts").alias("time_bin"), F.floor(F.ln(amount("amount")) / width).alias("amount_bin"),
     )
-    place = F.floor(F.ln(amount("first_amount")) / width)
-    asked = chains.where("first_amount > 0").withColumn("time_bin", F.explode(F.sequence(bucket("at"), F.floor((F.unix_micros("began") + span) / span)))).withColumn("amount_bin", F.explode(F.sequence(place - 2, place + 2)))
+    reach = [F.floor((F.ln(amount("first_amount")) + math.log1p(d)) / width + e) for d, e in ((-tolerance, -1e-9), (tolerance, 1e-9))]  # a margin for rounding
+    asked = chains.where("first_amount > 0").withColumn("time_bin", F.explode(F.sequence(bucket("at"), F.floor((F.unix_micros("began") + span) / span)))).withColumn("amount_bin", F.explode(F.sequence(*reach)))
     near = F.abs(F.col("return_amount") - F.col("first_amount")) <= F.lit(tolerance).cast("decimal(9,6)") * F.col("first_amount")
     found = asked.join(legs, ["last", "start", "time_bin", "amount_bin"]).where((F.col("return_ts") > F.col("at")) & (F.unix_micros("return_ts") - F.unix_micros("began") < span) & near)
     return found.drop("time_bin", "amount_bin")
 
 
+def round_trips(txns: DataFrame, hops: Iterable[int], hours: int = 48, tolerance: float = 0.1) -> dict[int, DataFrame]:
+    """G13, R020: for each number of hops the timed chains with their return legs. Every transfer of such a round leaves an account that receives and reaches
+    one that sends, so chains are built over those transfers alone; the given ones are read once."""
+    t = cut(txns.where("sender_id <> receiver_id").select("transaction_id", "sender_id", "receiver_id", "ts", "amount"))
+    ends = {c: t.select(c).distinct() for c in ("sender_id", "receiver_id")}
+    inner = t.join(ends["receiver_id"].toDF("sender_id"), "sender_id", "left_semi").join(ends["sender_id"].toDF("receiver_id"), "receiver_id", "left_semi")
+    inner = cut(inner.select(t.columns))
+    return {k: return_legs(timed_layering(inner, k, hours), inner, hours, tolerance) for k in hops}
+
+
 def greedy_chain(txns: DataFrame, most: int = 10) -> DataFrame:
     """From each transaction follow the receiver's first outgoing transaction; layers, and whether it comes back."""
     first = cut(txns.groupBy(F.col("sender_id").alias("at")).agg(F.min_by("receiver_id", F.struct("ts", "transaction_id")).alias("to")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..model import DAY_US, HIGH_RISK_COUNTRIES, level_of
 from ..shared import cut
 from .history import amount, earlier, within
-from .network import return_legs, timed_layering
+from .network import round_trips
 from .validation import labels, worst
 
 #: Id, name, severity, category, threshold (from, to) and regulation of all rules.
@@ -275,7 +275,7 @@ def case_decision(df: DataFrame, score: str) -> DataFrame:
 def circular_transfers(txns: DataFrame, most_hops: int = 3, hours: int = 48) -> DataFrame:
     """R16, R020: transactions that return money to where it came from, after up to `most_hops` hops, each later than the last, within the hours
     and by an amount within a tenth of the first: transaction_id, hops (of the shortest way out)."""
-    found = [return_legs(timed_layering(txns, k, hours), txns, hours).select(F.col("return_id").alias("transaction_id"), F.lit(k).alias("hops")) for k in range(1, most_hops + 1)]
+    found = [r.select(F.col("return_id").alias("transaction_id"), F.lit(k).alias("hops")) for k, r in round_trips(txns, range(1, most_hops + 1), hours).items()]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -128,8 +128,7 @@ def g13(spark, sf):
 @query("g13_return_legs", "txn", f"""{_TIMED} SELECT concat_ws(',', t1, t2, t3) AS ids, r.transaction_id AS return_id, r.amount::DOUBLE AS return_amount
 FROM ch JOIN t r ON r.sender_id = ch.last AND r.receiver_id = ch.start AND r.ts > ch.at AND r.ts < ch.began + INTERVAL 48 HOURS WHERE ch.first_amount > 0 AND r.amount > 0 AND abs(r.amount - ch.first_amount) <= 0.1 * ch.first_amount""")
 def g13_returns(spark, sf):
-    t = txn(spark, sf)
-    return G.return_legs(G.timed_layering(t), t).select(text("ids").alias("ids"), "return_id", F.col("return_amount").cast("double").alias("return_amount"))
+    return G.round_trips(txn(spark, sf), [3])[3].select(text("ids").alias("ids"), "return_id", F.col("return_amount").cast("double").alias("return_amount"))
 
 
 @query("g14_greedy_chain", "txn", """

@@ -228,6 +228,18 @@ def test_layered_links(spark):
         assert {tuple(r) for r in G.layered_links(graph(spark, pairs)).collect()} == want
 
 
+def test_round_trips_follow_only_transfers_that_can_close(spark, monkeypatch):
+    rnd = random.Random(3)
+    t0 = datetime(2024, 1, 1)
+    rows = [(k, rnd.choice([*range(4)] * 20 + [*range(100, 160)]), rnd.choice([*range(4)] * 2 + [*range(200, 203)]), t0 + timedelta(minutes=rnd.randrange(4000)), rnd.choice([100, 91, 109.99, 500, 0])) for k in range(300)]
+    t = spark.createDataFrame([(*r[:4], float(r[4])) for r in rows], "transaction_id long, sender_id long, receiver_id long, ts timestamp, amount double").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    seen, layering = [], G.timed_layering
+    monkeypatch.setattr(G, "timed_layering", lambda x, *a: seen.append(x.count()) or layering(x, *a))
+    got = sorted((*r["ids"], r["return_id"]) for r in G.round_trips(t, [2])[2].collect())
+    assert seen == [sum(r[1] < 4 and r[2] < 4 and r[1] != r[2] for r in rows)]
+    assert len(got) > 10 and got == sorted((*r["ids"], r["return_id"]) for r in G.return_legs(layering(t, 2), t).collect())
+
+
 def test_return_legs(spark):
     rnd = random.Random(11)
     t0 = datetime(2024, 1, 1)
