@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.cases import THRESHOLDS, threshold_steps
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
-#: Rows that a processor hands on at a time.
-CHUNK = 10_000
+#: Rows in one entry of the state, and rows that a processor hands on at a time.
+PACK = 10_000
 
 
 def keyed_state(spark: SparkSession) -> None:
@@ -33,9 +34,10 @@ def keyed_state(spark: SparkSession) -> None:
 
 
 class _Keyed(StatefulProcessor):
-    """A list of rows that begin with their time in microseconds, and one timer."""
+    """A list of rows that begin with their time in microseconds, and one timer. An entry of the list holds the columns of many rows as arrays,
+    for each entry is pickled by itself, which would take most of the time if it were one row."""
 
-    #: Columns of the state and of what comes out.
+    #: Columns of the state, each an array, and those of what comes out.
     state, out = "", ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -46,44 +48,48 @@ class _Keyed(StatefulProcessor):
         pass
 
     def held(self) -> list[tuple]:
-        return sorted(map(tuple, self.rows.get())) if self.rows.exists() else []
+        return sorted(row for pack in self.rows.get() for row in zip(*pack, strict=True))
+
+    def packs(self, rows: list[tuple]) -> list[tuple]:
+        return [tuple(map(list, zip(*rows[k : k + PACK], strict=True))) for k in range(0, len(rows), PACK)]
+
+    def add(self, rows: list[tuple]) -> None:
+        self.rows.appendList(self.packs(rows))
 
     def hold(self, rows: list[tuple]) -> None:
         if rows:
-            self.rows.put(rows)
+            self.rows.put(self.packs(rows))
         else:
             self.rows.clear()
 
-    def wait_until(self, us: int | None) -> None:
-        """One timer: the first millisecond not before `us`."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if us is not None:
-            self.handle.registerTimer(-(-us // 1000))
+    def came(self, frames: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
+        return [row for frame in frames for row in zip(*(frame[c].tolist() for c in columns), strict=True)]
 
     def frames(self, found: Iterator[tuple]) -> Iterator[pd.DataFrame]:
-        chunk = []
-        for row in found:
-            chunk.append(row)
-            if len(chunk) >= CHUNK:
-                yield pd.DataFrame(chunk, columns=self.out)
-                chunk = []
-        if chunk:
+        while chunk := list(islice(found, PACK)):
             yield pd.DataFrame(chunk, columns=self.out)
 
+    def wait_until(self, us: int | None, instead_of: int | None = None) -> None:
+        """The one timer: the first millisecond not before `us`. An expired timer is gone by itself; another one is named, since each look into the state
+        is a call of its own, which most of a key's time goes into."""
+        if instead_of is not None:
+            self.handle.deleteTimer(-(-instead_of // 1000))
+        if us is not None:
+            self.handle.registerTimer(-(-us // 1000))
+
 
 class RisingSequence(_Keyed):
     """Small, then medium, then large amounts within a span. A triple is complete when the last of its three rows comes, in whichever order."""
 
-    state, out = "us long, leg int, id string", ("sender_id", "t1", "t2", "t3")
+    state, out = "us array<long>, leg array<int>, id array<string>", ("sender_id", "t1", "t2", "t3")
 
     def __init__(self, span_us: int):
         self.span = span_us
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         old = self.held()
-        new = sorted((int(us), int(leg), str(i)) for frame in rows for us, leg, i in zip(frame["us"], frame["leg"], frame["id"], strict=True))
-        self.rows.appendList(new)
+        new = sorted(self.came(rows, "us", "leg", "id"))
+        self.add(new)
         if not old:
             self.wait_until(new[0][0] + self.span)
         yield from self.frames((*key, *t) for t in self.triples(old, new))
@@ -114,22 +120,23 @@ class RisingSequence(_Keyed):
 class LayeringSequence(_Keyed):
     """A deposit, transfers, then a withdrawal within a span. A withdrawal is judged when no row before it can come any more."""
 
-    state, out = "us long, kind int, id string", ("sender_id", "transaction_id", "n_transfers")
+    state, out = "us array<long>, kind array<int>, id array<string>", ("sender_id", "transaction_id", "n_transfers")
     DEPOSIT, TRANSFER, WITHDRAWAL = range(3)
 
     def __init__(self, span_us: int, least: int):
         self.span, self.least = span_us, least
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(us), int(kind), str(i)) for frame in rows for us, kind, i in zip(frame["us"], frame["kind"], frame["id"], strict=True)]
-        self.rows.appendList(new)
-        self.next(self.held())
+        new = self.came(rows, "us", "kind", "id")
+        old, until = self.next(self.held()), self.next(new)
+        self.add(new)
+        if old is None or until < old:
+            self.wait_until(until, instead_of=old)
         yield from ()
 
-    def next(self, rows: list[tuple]) -> None:
-        """Wait for the first withdrawal, or for the first row to be out of every span."""
-        waits = [us if kind == self.WITHDRAWAL else us + self.span for us, kind, _ in rows]
-        self.wait_until(min(waits) if waits else None)
+    def next(self, rows: list[tuple]) -> int | None:
+        """The first withdrawal, or the first row to be out of every span. The timer always stands there."""
+        return min((us if kind == self.WITHDRAWAL else us + self.span for us, kind, _ in rows), default=None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -145,14 +152,14 @@ class LayeringSequence(_Keyed):
                         found.append((*key, i, n))
         left = [r for r in rows if (r[0] > passed if r[1] == self.WITHDRAWAL else r[0] + self.span >= passed)]
         self.hold(left)
-        self.next(left)
+        self.wait_until(self.next(left))
         yield from self.frames(iter(found))
 
 
 class FeedbackThresholds(_Keyed):
     """Thresholds that each row of feedback moves, in the order of event time. Rows wait until none before them can come any more."""
 
-    state = "us long, place long, " + ", ".join(f"{n} int" for n in THRESHOLDS)
+    state = "us array<long>, place array<long>, " + ", ".join(f"{n} array<int>" for n in THRESHOLDS)
     out = ("segment", "place", *THRESHOLDS)
 
     def __init__(self, start: dict[str, float]):
@@ -163,12 +170,12 @@ class FeedbackThresholds(_Keyed):
         self.now = handle.getValueState("thresholds", ", ".join(f"{n} double" for n in THRESHOLDS))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(map(int, r)) for frame in rows for r in frame[["us", "place", *THRESHOLDS]].itertuples(index=False)]
-        self.rows.appendList(new)
+        new = self.came(rows, "us", "place", *THRESHOLDS)
+        self.add(new)
         waiting = list(self.handle.listTimers())
         first = min(new)[0]
         if not waiting or first <= waiting[0] * 1000:
-            self.wait_until(first)
+            self.wait_until(first, instead_of=waiting[0] * 1000 if waiting else None)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

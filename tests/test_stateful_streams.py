@@ -105,6 +105,17 @@ def test_state_is_evicted(spark, tmp_path):
     assert held.count() <= 1  # the last row alone may wait
 
 
+def test_rows_of_a_batch_are_one_entry_of_the_state(spark, tmp_path):
+    rows = [(k, T0 + timedelta(seconds=k), 100.0, k % 2, "wire_transfer") for k in range(400)]
+    schema = "transaction_id long, ts timestamp, amount double, sender_id long, transaction_type string"
+    for name, stream in (("s4", stateful.rising_sequence), ("s5", stateful.layering_sequence)):
+        (tmp_path / name / "made").mkdir(parents=True)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name / "made" / "000"))
+        Running(spark, tmp_path / name, stream, spark.createDataFrame([], schema).schema).run(["x/000"])
+        held = spark.read.format("statestore").option("path", str(tmp_path / name / "state")).option("stateVarName", "rows").load()
+        assert held.count() == 2
+
+
 def test_thresholds_equal_the_fold_and_outlive_a_restart(spark, tmp_path):
     rnd = random.Random(2)
     start = {"structuring": 9100.0, "high_value": 5400.0, "anomaly": 0.55}
